@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +34,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; null for a null key."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which needn't have it installed; once for each application."""
+    name = f"ebbtide-{spark.sparkContext.applicationId}.zip"
+    target = Path(tempfile.gettempdir(), name)
+    if any(name in str(f) for f in spark.sparkContext.listFiles) or target.exists():
+        return
+    here = Path(__file__).parent
+    with zipfile.ZipFile(target, "w") as out:
+        for f in sorted(here.rglob("*.py")):
+            out.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(target))
