@@ -19,9 +19,9 @@ ARTEFACT_CONFIDENCE = 40
 
 def words_of_blocks(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
     """Words of a nested OCR result (blocks, paragraphs, lines, words with bbox), in reading order. Null: no words."""
-    flat = F.col(blocks)
-    for level in ("paragraphs", "lines", "words"):
-        flat = F.flatten(F.transform(flat, lambda x, name=level: x[name]))
+    flat = F.flatten(F.transform(blocks, lambda x: x["paragraphs"]))
+    flat = F.flatten(F.transform(flat, lambda x: x["lines"]))
+    flat = F.flatten(F.transform(flat, lambda x: x["words"]))
     return pages.select("capture_id", F.posexplode(flat).alias("word_pos", "w")).select("capture_id", "word_pos", "w.text", "w.confidence", "w.bbox.*")
 
 
