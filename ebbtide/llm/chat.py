@@ -1,8 +1,8 @@
 r"""Chat formatting of reply trees.
 
 Messages form trees (tree, node, parent, role, text, score). Iterative self-joins find the paths: in round k each message is
-joined with the message 2**k replies above it, so a thread of n turns takes log2(n) rounds; score sums and depths come
-along. The leaves of a tree are ranked by the mean score of their path and the best `top` are chosen; going back down the
+joined with the message 2**k replies above it, until it has reached its root, so a thread of n turns takes log2(n) rounds
+and a message takes part in log2(its depth) of them; score sums and depths come along. The leaves of a tree are ranked by the mean score of their path and the best `top` are chosen; going back down the
 rounds' tables names each message of a chosen path once. Only ids and scores take part; texts are joined at the end.
 
 A chosen path becomes one conversation of turns `### role: text</turn>\n`. In a text, `\`, `### ` and `</turn>` are escaped
@@ -45,17 +45,16 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     there = own.select("tree", F.col("node").alias("parent"), F.col("node").alias("up"))
     level = checkpointed(own.join(there, ["tree", "parent"], "left").select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), "total"))
     leaves = level.join(level.select("tree", F.col("up").alias("node")).where("node is not null"), ["tree", "node"], "left_anti").select("tree", "node")
-    levels = []
-    while not level.where("up is not null").isEmpty():
+    done, active, levels = level.where("up is null"), level.where("up is not null"), []
+    while not active.isEmpty():
         if len(levels) > 50:
             raise ValueError("the replies go round in a circle")
-        levels.append(level.select("tree", "node", "up").where("up is not null"))
-        above = level.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        level = checkpointed(
-            level.join(above, ["tree", "up"], "left").select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
-        )
+        levels.append(active.select("tree", "node", "up"))
+        above = done.union(active).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        level = checkpointed(active.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total")))
+        done, active = done.union(level.where("up is null")), level.where("up is not null")
     best = Window.partitionBy("tree").orderBy(F.desc("mean"), "node")
-    ranked = leaves.join(level, ["tree", "node"]).withColumn("mean", F.col("total") / F.col("depth")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked = leaves.join(done, ["tree", "node"]).withColumn("mean", F.col("total") / F.col("depth")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     found = ranked.select("tree", "rank", "node", (F.col("depth") - 1).alias("place"))
     for k in reversed(range(len(levels))):
         higher = found.join(levels[k], ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"), (F.col("place") - 2**k).alias("place"))
@@ -133,7 +132,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### ')"
 ORACLE = rf"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
-select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
-coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
 sum(length(replace({_ESCAPED.format("role")}, ':', '\:')) + length({_ESCAPED.format("text")}) + 14)::bigint as formatted_chars
 from c group by conv_id"""
