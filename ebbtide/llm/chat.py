@@ -46,8 +46,9 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     level = checkpointed(own.join(there, ["tree", "parent"], "left").select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), "total"))
     leaves = level.join(level.select("tree", F.col("up").alias("node")).where("node is not null"), ["tree", "node"], "left_anti").select("tree", "node")
     done, active, levels = level.where("up is null"), level.where("up is not null"), []
+    messages_there = level.count()
     while not active.isEmpty():
-        if len(levels) > 50:
+        if 2 ** len(levels) >= messages_there:  # an active message has as many above it
             raise ValueError("the replies go round in a circle")
         levels.append(active.select("tree", "node", "up"))
         above = done.union(active).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
