@@ -135,8 +135,7 @@ def _estimate(langs: list[str], orders: list[pd.DataFrame], discounts: dict) ->
     """Interpolated probabilities, lowest order first; `orders` has lang, gram, cnt, total (of the context)."""
     model = Model(langs)
     n = len(langs)
-    sizes = orders[0].groupby("lang").size()
-    model.floor = -np.log2(np.array([sizes.get(x, 0) + 1 for x in langs], float))
+    model.floor = np.full(n, -np.log2(orders[0].gram.nunique() + 1))  # every letter of any language alike, and one for all others
     for k, rows in enumerate(orders, 1):
         at = rows.lang.map({x: j for j, x in enumerate(langs)}).to_numpy()
         gram = rows.gram.to_numpy(np.int64)
