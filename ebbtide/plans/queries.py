@@ -487,3 +487,46 @@ def platform_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     agent = F.when(k % 4 == 0, "Mozilla/5.0 (iPhone) Version/17.0 Mobile Safari/604.1").when(k % 4 == 1, "Linux; Android 14 SamsungBrowser/23 Chrome/115 Safari/537").when(k % 4 == 2, "Windows NT 10 Chrome/120 Safari/537 Edg/120").otherwise("X11; Linux Firefox/121")
     rows = table(spark, sf_dir, "events").select(k, web.operating_system(agent, F.lit(0)).alias("system")).withColumn("browser", web.browser(agent, F.col("system")))
     return rows.withColumn("guide", web.install_guide(F.col("system"), F.col("browser"), k % 5 == 0, k % 3 == 0))
+
+
+@query("""with h as (select event_id as k, case event_id % 6 when 0 then 'localhost' when 1 then '192.168.1.' || event_id % 250 when 2 then 'box.local' when 3 then '127.0.0.1' when 4 then '172.20.0.9' else 'host' || event_id || '.example' end as host, case when event_id % 2 = 0 then 'http:' else 'https:' end as proto from events)
+select k, case when host = 'localhost' or host = '127.0.0.1' then 'this-computer-only' when proto = 'http:' and k % 6 in (1, 2, 4) then 'no-https' end as issue, proto || '//' || host || '/' as shared, k % 3 = 0 and k % 2 = 0 as taken from h""")
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that a phone can't open, the address to share, and clicks that stay in the application."""
+    k = F.col("event_id")
+    host = F.when(k % 6 == 0, "localhost").when(k % 6 == 1, F.concat(F.lit("192.168.1."), k % 250)).when(k % 6 == 2, "box.local").when(k % 6 == 3, "127.0.0.1").when(k % 6 == 4, "172.20.0.9").otherwise(F.concat(F.lit("host"), k, F.lit(".example")))
+    rows = table(spark, sf_dir, "events").select(k.alias("k"), host.alias("host"), F.when(k % 2 == 0, "http:").otherwise("https:").alias("proto"))
+    here = F.concat("proto", F.lit("//"), "host")
+    link = F.when(F.col("k") % 3 == 0, F.concat(here, F.lit("/memoire"))).otherwise("https://elsewhere.example/")
+    no = F.lit(False)
+    taken = web.intercepts_click(F.col("k") % 2, no, no, no, F.lit(None).cast("string"), link, here)
+    return rows.select("k", web.local_address_issue(F.col("host"), F.col("proto")).alias("issue"), web.shareable_url(F.concat(here, F.lit("//"))).alias("shared"), taken.alias("taken"))
+
+
+@query("select event_id as k, case when ts::timestamp <= timestamp '2024-06-01' and ts::timestamp > timestamp '2024-06-01' - interval 730 day then ts::date else date '2024-06-01' end as day from events")
+def capture_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day a page shows, by a file's time."""
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), dates.capture_day(ts, F.lit("2024-06-01 00:00:00").cast("timestamp")).alias("day"))
+
+
+@query("select o_orderkey as k, case when o_orderkey % 2 = 0 then ['streaming'] else ['streaming', 'sport', 'musique'] end as checked, ((o_orderkey % 7) + 0.5::double) / 8 * 100 as progress from orders")
+def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toggled categories and the progress of an import."""
+    k = F.col("o_orderkey")
+    checked = F.when(k % 2 == 0, F.array(F.lit("streaming"), F.lit("musique"))).otherwise(F.array(F.lit("streaming"), F.lit("sport")))
+    return orders(spark, sf_dir).select(k.alias("k"), reports.toggled(checked, F.lit("musique")).alias("checked"), reports.progress(k % 7 + 1, F.lit(8), F.lit(0.5)).alias("progress"))
+
+
+@query()
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaro-Winkler similarity of part names and types; the tests compare it with known values."""
+    from ebbtide.functions.fuzzy import similarity
+
+    return table(spark, sf_dir, "part").select("p_partkey", similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))
+
+
+@query()
+def calendar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded lines of every event; the tests check folding by its rule."""
+    return reports.calendar_lines(saved_rows(spark, sf_dir), _day(), F.lit("2026-10-05 10:00:00").cast("timestamp"))
