@@ -91,6 +91,19 @@ def manual_rows(entries: DataFrame, now: Column, trial: bool = False) -> DataFra
     )
 
 
+def with_form_defaults(entries: DataFrame, today: Column, trial: bool = False) -> DataFrame:
+    """Typed entries with what the form fills in: a trial ends in a week and its price is monthly; others are monthly and `autre`."""
+    if trial:
+        period = F.coalesce("period", F.when(F.col("amount_cents").isNotNull(), "monthly"))
+        return entries.withColumns({"trial_ends_at": F.coalesce("trial_ends_at", F.date_add(today, 7)), "period": period})
+    return entries.withColumns({"period": F.coalesce("period", F.lit("monthly")), "category": F.coalesce("category", F.lit("autre"))})
+
+
+def home_screen(users: DataFrame, items: DataFrame, scope: str) -> DataFrame:
+    """(scope, screen): the dashboard for users with saved rows, else the welcome page."""
+    return users.select(scope).distinct().join(items.select(scope).distinct().withColumn("_has", F.lit(True)), scope, "left").select(scope, F.when(F.col("_has"), "dashboard").otherwise("welcome").alias("screen"))
+
+
 def is_counted() -> Column:
     """In the totals: a subscription, neither rejected nor cancelled."""
     return (F.col("kind") == "subscription") & (F.col("status") != "rejected") & (F.col("user_status") != "cancelled")

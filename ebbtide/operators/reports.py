@@ -140,6 +140,14 @@ def import_summary(rows: DataFrame, captures: DataFrame, found: DataFrame) -> Da
     return pages.join(priced, "import_id", "left").join(what, "import_id", "left").na.fill(0, ["operations", "found", "other_debits", "added"])
 
 
+LOW_CONFIDENCE = 60
+
+
+def unsure_lines(lines: DataFrame) -> DataFrame:
+    """Lines read with little confidence."""
+    return lines.where(F.col("confidence") < LOW_CONFIDENCE)
+
+
 def page_confidence(lines: DataFrame) -> DataFrame:
     """(capture_id, confidence): rounded mean over a page's lines; 0 for a page whose confidences are all null."""
     return lines.groupBy("capture_id").agg(F.coalesce(F.floor(F.avg("confidence") + 0.5), F.lit(0)).cast("int").alias("confidence"))

@@ -530,3 +530,30 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calendar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded lines of every event; the tests check folding by its rule."""
     return reports.calendar_lines(saved_rows(spark, sf_dir), _day(), F.lit("2026-10-05 10:00:00").cast("timestamp"))
+
+
+@query("""select case when o_orderkey % 2 = 0 then 'trial:' else 'manual:' end || o_orderkey as id, case when o_orderkey % 2 = 0 then 'essai' when o_orderkey % 3 = 0 then 'sport' else 'autre' end as category, case when o_orderkey % 5 > 0 then 1200 end::bigint as amount_cents,
+case when o_orderkey % 7 = 0 then 'yearly' when o_orderkey % 2 = 1 or o_orderkey % 5 > 0 then 'monthly' else 'unknown' end as period, case when o_orderkey % 5 > 0 then (case when o_orderkey % 7 = 0 then 100 else 1200 end) end::bigint as monthly_equivalent_cents,
+case when o_orderkey % 2 = 0 then date '2026-10-12' end as trial_ends_at, o_orderkey % 5 = 0 as needs_amount from orders""")
+def typed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that users add by hand, trials and others, with the form's defaults."""
+    k = F.col("o_orderkey")
+    rows = orders(spark, sf_dir).select(
+        k.cast("string").alias("entry_id"), F.lit(" Box ").alias("display_name"), F.when(k % 3 == 0, "sport").alias("category"), F.when(k % 5 > 0, 1200).alias("amount_cents"), F.when(k % 7 == 0, "yearly").alias("period"),
+        F.lit(None).cast("date").alias("trial_ends_at"), (k % 2 == 0).alias("trial"),
+    )
+    now = F.lit("2026-10-05 10:00:00").cast("timestamp")
+    made = [portfolio.manual_rows(portfolio.with_form_defaults(rows.where(F.col("trial") == t), _day(), t), now, t) for t in (False, True)]
+    return made[0].unionByName(made[1]).select("id", "category", "amount_cents", "period", "monthly_equivalent_cents", "trial_ends_at", "needs_amount")
+
+
+@query("select c_custkey, case when c_custkey in (select o_custkey from orders) then 'dashboard' else 'welcome' end as screen from customer")
+def home_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.home_screen(table(spark, sf_dir, "customer").select("c_custkey"), orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("select l_suppkey as capture_id, floor(avg(l_quantity * 2) + 0.5)::int as confidence, count_if(l_quantity * 2 < 60) as unsure from lineitem group by 1")
+def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("capture_id"), (F.col("l_quantity") * 2).alias("confidence"))
+    unsure = reports.unsure_lines(lines).groupBy("capture_id").agg(F.count("*").alias("unsure"))
+    return reports.page_confidence(lines).join(unsure, "capture_id", "left").na.fill(0, ["unsure"])
