@@ -174,7 +174,7 @@ def _score_lower(self: Model, gram: np.ndarray, k: int) -> np.ndarray:
 Model.score_lower = _score_lower
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_entries: int = 2_000_000, false_rejects: float = 0.001, margin_bits: float = 1.5) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_entries: int = 1_000_000, false_rejects: float = 0.001, margin_bits: float = 1.5) -> Model:
     """Learn from rows whose id doesn't fall in fold 0 of 5: folds 2 to 4 give the counts, fold 1 the rejection limits.
 
     A language's limit is the bits a character that all but `false_rejects` of its own calibration texts stay below,
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             discounts[k, x] = once / (once + 2 * twice) if once and twice else 0.5
         least = next(b for b in range(65) if sum(r.n for r in spread if r.b >= b) <= max_entries)
         context = Window.partitionBy("lang", F.shiftright("gram", BITS))  # 4096 rows at most, one for each letter code
-        orders.append(level.withColumn("total", F.sum("cnt").over(context)).where(F.col("cnt") >= 2**least).toPandas().sort_values(["lang", "gram"]))
+        orders.append(level.withColumn("total", F.sum("cnt").over(context)).where(F.col("cnt") >= 2**least).toArrow().to_pandas().sort_values(["lang", "gram"]))
     langs = sorted(orders[0].lang.unique())
     if not langs:
         return Model([])
