@@ -21,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.core import checkpointed, table
 from ebbtide.llm.graph import components
-from ebbtide.llm.text import pieces
+from ebbtide.llm.text import fresh, pieces
 
 SEED, LENGTH = 42, 31
 
@@ -104,15 +105,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
 
 
+def _place(docs: DataFrame) -> Column:
+    """What names a row in every read: file and row of a Parquet table, whatever executors read it; else its number as planned."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, threshold: int = 2) -> DataFrame:
-    """One document of each component (smallest id, then first row). docs must be an immutable table: rows are numbered as read."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = checkpointed(numbered.select("_row", F.col(key).alias("doc_id"), fingerprint(F.col(text), width).alias("fp")))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    """One document of each component (smallest id, then first row). docs must be an immutable table or checkpointed: it is read twice."""
+    row = fresh(docs, "_row")
+    numbered = docs.withColumn(row, _place(docs))
+    rows = checkpointed(numbered.select(F.col(row).alias("row"), F.col(key).alias("doc_id"), fingerprint(F.col(text), width).alias("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     prints = checkpointed(rows.groupBy("fp").agg(first.alias("first")))
     rooted = prints.join(classes(prints.select("fp"), threshold), "fp", "left")
-    kept = rooted.groupBy(F.coalesce("root", "fp")).agg(F.min("first")["_row"].alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = rooted.groupBy(F.coalesce("root", "fp")).agg(F.min("first")["row"].alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def docs(spark):
             words[random.randrange(200)] = "changed"
     rows += [t for t in TEXTS]
     frame = [(i, t, "en", "s", 1, i) for i, t in enumerate(rows)] + [(None, "alone in its kind and null", "en", "s", 1, 1), (3, rows[3], "en", "s", 1, 1)]
-    return spark.createDataFrame(frame, "doc_id long, text string, lang string, source string, n_chars long, fp int")
+    return spark.createDataFrame(frame, "doc_id long, text string, lang string, source string, n_chars long, _row int").withColumn("fp", F.lit(1))
 
 
 def test_near_duplicates_and_kept_rows(spark):
