@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ebbtide.core import checkpointed
 from ebbtide.operators.portfolio import STORED, apply_edits, merge_detections
 
 SETTINGS = "key string, checked_categories array<string>"
@@ -50,7 +51,7 @@ class Portfolio:
 
     def save_detections(self, detected: DataFrame, now: Column) -> DataFrame:
         """Merge and save; the counts of added and refreshed rows."""
-        merged = merge_detections(self.read(), detected, now, self.scope)
+        merged = checkpointed(merge_detections(self.read(), detected, now, self.scope))  # counted and written
         added = "change = 'added'"
         counts = merged.groupBy().agg(F.count_if(F.expr(added)).alias("added"), F.count_if(F.expr("change = 'refreshed'")).alias("refreshed"))
         told = counts.first()
