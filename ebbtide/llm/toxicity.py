@@ -79,16 +79,18 @@ def _held(texts: pd.Series) -> pd.Series:
 
 
 def _learner(state, alpha: float, beta: float, l1: float, l2: float):
-    """One round over a shard, from the common state."""
-
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        z, n = (x.copy() for x in state.value)
-        own = Ftrl(z, n, alpha, beta, l1, l2)
-        part = part.sort_values("k").sample(frac=1, random_state=5)
-        for at, y in zip(part["at"], part["y"], strict=True):
-            own.learn(np.append(np.asarray(at, np.int64), 1 << BITS), y)
-        at = np.flatnonzero((z != 0) | (n != 0))
-        return pd.DataFrame({"f": at, "z": z[at], "n": n[at]})
+    """One round over the shards of a partition, each from the common state."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there = pd.concat([pd.DataFrame({"k": [], "y": [], "at": [], "shard": []}), *batches], ignore_index=True)
+        for _, part in there.groupby("shard"):
+            z, n = (x.copy() for x in state.value)
+            own = Ftrl(z, n, alpha, beta, l1, l2)
+            part = part.sort_values("k").sample(frac=1, random_state=5)
+            for at, y in zip(part["at"], part["y"], strict=True):
+                own.learn(np.append(np.asarray(at, np.int64), 1 << BITS), y)
+            at = np.flatnonzero((z != 0) | (n != 0))
+            yield pd.DataFrame({"f": at, "z": z[at], "n": n[at]})
 
     return learn
 
@@ -98,15 +100,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (crc_fold(F.col(key), folds) != held_out)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     sample = marked.orderBy(F.xxhash64("k"), "k").limit(max_examples)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(sample), "k").groupBy("k").agg(F.first("y").alias("y"), F.min("t").alias("t"))
-    rows = checkpointed(rows.select("k", "y", F.pandas_udf(_held, "array<int>")("t").alias("at"), F.pmod(F.xxhash64("k", F.lit(1)), F.lit(shards)).alias("shard")))
+    rows = rows.select("k", "y", F.pandas_udf(_held, "array<int>")("t").alias("at"), F.pmod(F.xxhash64("k", F.lit(1)), F.lit(shards)).alias("shard"))
+    rows = checkpointed(rows.repartition(shards, "shard"))  # a shard stays in one partition, so the rounds need no shuffle of it
+    used = max(1, rows.select("shard").distinct().count())
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     spark = docs.sparkSession
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-
-        mixed = rows.groupBy("shard").applyInPandas(_learner(state, alpha, beta, l1, l2), "f long, z double, n double").groupBy("f").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-        used = max(1, rows.select("shard").distinct().count())
-        learnt = mixed.toPandas()
+        mixed = rows.mapInPandas(_learner(state, alpha, beta, l1, l2), "f long, z double, n double").groupBy("f").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
+        learnt = mixed.toArrow().to_pandas()
         z, n = np.zeros_like(z), np.zeros_like(n)
         z[learnt.f], n[learnt.f] = learnt.z / used, learnt.n / used
     return Ftrl(z, n, alpha, beta, l1, l2).weights(np.arange(len(z))).astype(np.float32)
