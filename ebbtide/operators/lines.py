@@ -8,10 +8,11 @@ Blank words and boxes without height are dropped; an empty page has no lines.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.operators.paging import fold_pages
+
 # The share of the smaller height that must overlap; the gap, in line heights, that splits a line.
 LEAST_OVERLAP, SEGMENT_GAP = 0.5, 1.5
 ARTEFACT_CONFIDENCE = 40
@@ -31,11 +32,10 @@ def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(shared > 0, shared / F.least(a1 - a0, b1 - b0)).otherwise(0.0)
 
 
-def _rows_of_page(page: pd.DataFrame) -> pd.DataFrame:
+def _rows_of_page(page: list[tuple]) -> list[tuple]:
     """A row number for each word: the row it overlaps most (the later of equals), whose extent it then widens."""
-    page = page.assign(_center=(page.y0 + page.y1) / 2).sort_values(["_center", "word_pos"], kind="stable")
-    tops, bottoms, numbers = [], [], []
-    for y0, y1 in zip(page.y0, page.y1, strict=True):
+    tops, bottoms, out = [], [], []
+    for joined, (capture, word, y0, y1, _) in enumerate(page):
         chosen, most = len(tops), LEAST_OVERLAP
         for k, (a, b) in enumerate(zip(tops, bottoms, strict=True)):
             shared = min(b, y1) - max(a, y0)
@@ -47,15 +47,17 @@ def _rows_of_page(page: pd.DataFrame) -> pd.DataFrame:
             bottoms.append(y1)
         else:
             tops[chosen], bottoms[chosen] = min(tops[chosen], y0), max(bottoms[chosen], y1)
-        numbers.append(chosen)
-    return page.assign(row=numbers, joined=range(len(page))).drop(columns="_center")
+        out.append((capture, word, chosen, joined))
+    return out
 
 
 def assign_rows(words: DataFrame) -> DataFrame:
-    """words with `row` (within its capture) and `joined` (the order in which words joined)."""
+    """words with `row` (within its capture) and `joined` (the order in which words joined); word_pos is unique in a capture."""
     usable = words.where((F.trim("text") != "") & (F.col("y1") > F.col("y0")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in usable.schema)
-    return usable.groupBy("capture_id").applyInPandas(_rows_of_page, f"{schema}, row int, joined int")
+    asked = usable.select("capture_id", "word_pos", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("center"))
+    kinds = {f.name: f.dataType.simpleString() for f in usable.schema}
+    found = fold_pages(asked, "capture_id", ["center", "word_pos"], _rows_of_page, f"capture_id {kinds['capture_id']}, word_pos {kinds['word_pos']}, row int, joined int")
+    return usable.join(found, ["capture_id", "word_pos"])
 
 
 def assemble_lines(placed: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ a page of bounded size. Empty pages give no entries and count as card history.
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ebbtide.functions import dates, money
 from ebbtide.functions.patterns import matches, replaced
 from ebbtide.functions.text import has_letters, payment_kind, period_from_text, plain_upper
 from ebbtide.operators.lines import clean_text, word_height
+from ebbtide.operators.paging import fold_pages
 
 # Words that tell the kind of a page.
 STORE_PAGE = r"\b(RENOUVEL\w*|ESSAI GRATUIT|\/ ?MOIS|\/ ?AN\b|PAR MOIS|PROCHAIN PAIEMENT|EXPIRE\w*)\b|^ABONNEMENTS$"
@@ -86,15 +88,28 @@ def _features(lines: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).withColumn("text_date", dates.parse_date(F.col("text"), F.col("reference"))).withColumn("rest_date", dates.parse_date(F.col("rest"), F.col("reference")))
 
 
-def _layout(page: pd.DataFrame) -> pd.DataFrame:
+class _Line(NamedTuple):
+    capture: object
+    line_pos: int
+    y0: float
+    y1: float
+    height: float
+    kind: str
+    priced: bool
+    day: object
+    near: bool | None
+    rest_day: object
+    rest_near: bool | None
+
+
+def _layout(page: list[tuple]) -> list[tuple]:
     """Which entry (block) each line belongs to and as what; the entry's date stands on its first line."""
-    page = page.sort_values(["y0", "line_pos"], kind="stable").reset_index(drop=True)
-    heights = sorted(page.height)
-    usual = heights[len(heights) // 2]
+    page = [_Line(*x) for x in page]
+    usual = sorted(x.height for x in page)[len(page) // 2]
     blocks, loose = [], []
     now, label_height = (None, None), None
-    block_of, role_of, date_of = [None] * len(page), [None] * len(page), {}
-    for i, x in enumerate(page.itertuples()):
+    placed = [(None, None)] * len(page)
+    for i, x in enumerate(page):
         kind = x.kind
         if kind in ("amount", "sublabel", "short", "label") and x.height > TITLE_HEIGHT * usual:
             kind = "ignore"
@@ -112,7 +127,7 @@ def _layout(page: pd.DataFrame) -> pd.DataFrame:
                 last["date"] = (x.day, x.near)
             last["bottom"] = max(last["bottom"], x.y1)
             last["sub"] = True
-            block_of[i], role_of[i] = len(blocks) - 1, "sublabel"
+            placed[i] = len(blocks) - 1, "sublabel"
         elif kind == "amount":
             loose.append(i)
         elif kind == "label":
@@ -122,34 +137,32 @@ def _layout(page: pd.DataFrame) -> pd.DataFrame:
                 own = (x.rest_day, x.rest_near) if x.rest_day is not None else now
                 blocks.append(last := {"first": i, "top": x.y0, "bottom": x.y1, "height": x.height, "date": own, "sub": False, "priced": False})
             last["priced"] |= x.priced
-            block_of[i], role_of[i] = len(blocks) - 1, "label"
+            placed[i] = len(blocks) - 1, "label"
             label_height = x.height
     for i in loose:  # an amount alone belongs to the nearest entry without one
-        center = (page.y0[i] + page.y1[i]) / 2
+        center = (page[i].y0 + page[i].y1) / 2
         away = [(max(b["top"] - center, center - b["bottom"], 0), k) for k, b in enumerate(blocks) if not b["priced"]]
         if away and min(away)[0] <= blocks[min(away)[1]]["height"]:
-            block_of[i], role_of[i] = min(away)[1], "amount"
+            placed[i] = min(away)[1], "amount"
             blocks[min(away)[1]]["priced"] = True
-    for b in blocks:
-        date_of[b["first"]] = b["date"]
-    out = page[["capture_id", "line_pos"]].assign(block=pd.array(block_of, "Int32"), role=role_of)
-    return out.assign(date=[date_of.get(i, (None, None))[0] for i in range(len(page))], approximate=pd.array([date_of.get(i, (None, None))[1] for i in range(len(page))], "boolean"))
+    dates_of = {b["first"]: b["date"] for b in blocks}
+    return [(x.capture, x.line_pos, *placed[i], *dates_of.get(i, (None, None))) for i, x in enumerate(page) if placed[i][1]]
 
 
 def layout(features: DataFrame) -> DataFrame:
-    """features with block, role, date and approximate."""
+    """Features of the lines that belong to an entry, with block, role, date and approximate."""
     asked = features.select(
         "capture_id", "line_pos", "y0", "y1", "height", "kind", F.col("amount").isNotNull().alias("priced"),
         F.col("text_date.date").alias("day"), F.col("text_date.approximate").alias("near"), F.col("rest_date.date").alias("rest_day"), F.col("rest_date.approximate").alias("rest_near"),
     )
     kind = asked.schema["capture_id"].dataType.simpleString()
-    places = asked.groupBy("capture_id").applyInPandas(_layout, f"capture_id {kind}, line_pos int, block int, role string, date date, approximate boolean")
+    places = fold_pages(asked, "capture_id", ["y0", "line_pos"], _layout, f"capture_id {kind}, line_pos int, block int, role string, date date, approximate boolean")
     return features.join(places, ["capture_id", "line_pos"])
 
 
 def parse_bank(lines: DataFrame) -> DataFrame:
     """(capture_id, entry, label, raw_text, cents, date, approximate, kind, direction, confidence)."""
-    placed = layout(_features(lines)).where("block is not null").withColumn("at", F.struct("y0", "line_pos"))
+    placed = layout(_features(lines)).withColumn("at", F.struct("y0", "line_pos"))
     texts = lambda role, column: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("at", F.col(column).alias("t"))))), lambda x: x["t"]), " ")
     priced = F.col("role").isin("label", "amount") & F.col("amount").isNotNull()
     twice = (F.col("role") == "label") & priced  # the line of the amount counts again
