@@ -52,3 +52,8 @@ def first_that(text: Column, rules, otherwise: Column | None = None) -> Column:
         value = value if isinstance(value, Column) else F.lit(value)
         chain = F.when(matches(text, pattern), value) if chain is None else chain.when(matches(text, pattern), value)
     return chain if otherwise is None else chain.otherwise(otherwise)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -100,11 +100,12 @@ class _Line(NamedTuple):
     near: bool | None
     rest_day: object
     rest_near: bool | None
+    shown: tuple  # what only passes through
 
 
 def _layout(page: list[tuple]) -> list[tuple]:
     """Which entry (block) each line belongs to and as what; the entry's date stands on its first line."""
-    page = [_Line(*x) for x in page]
+    page = [_Line(*x[:11], x[11:]) for x in page]
     usual = sorted(x.height for x in page)[len(page) // 2]
     blocks, loose = [], []
     now, label_height = (None, None), None
@@ -146,18 +147,21 @@ def _layout(page: list[tuple]) -> list[tuple]:
             placed[i] = min(away)[1], "amount"
             blocks[min(away)[1]]["priced"] = True
     dates_of = {b["first"]: b["date"] for b in blocks}
-    return [(x.capture, x.line_pos, *placed[i], *dates_of.get(i, (None, None))) for i, x in enumerate(page) if placed[i][1]]
+    return [(x.capture, x.line_pos, x.y0, *placed[i], *dates_of.get(i, (None, None)), *x.shown) for i, x in enumerate(page) if placed[i][1]]
 
 
 def layout(features: DataFrame) -> DataFrame:
-    """Features of the lines that belong to an entry, with block, role, date and approximate."""
+    """The lines that belong to an entry, with block, role, date and approximate."""
     asked = features.select(
         "capture_id", "line_pos", "y0", "y1", "height", "kind", F.col("amount").isNotNull().alias("priced"),
         F.col("text_date.date").alias("day"), F.col("text_date.approximate").alias("near"), F.col("rest_date.date").alias("rest_day"), F.col("rest_date.approximate").alias("rest_near"),
+        "text", "rest", "confidence", F.col("amount.cents").cast("string").alias("cents"), F.col("amount.direction").alias("direction"), F.col("amount.text").alias("priced_as"),
     )
     kind = asked.schema["capture_id"].dataType.simpleString()
-    places = fold_pages(asked, "capture_id", ["y0", "line_pos"], _layout, f"capture_id {kind}, line_pos int, block int, role string, date date, approximate boolean")
-    return features.join(places, ["capture_id", "line_pos"])
+    made = f"capture_id {kind}, line_pos int, y0 double, block int, role string, date date, approximate boolean, text string, rest string, confidence double, cents string, direction string, priced_as string"
+    placed = fold_pages(asked, "capture_id", ["y0", "line_pos"], _layout, made)
+    amount = F.when(F.col("cents").isNotNull(), F.struct(F.col("cents").cast("long").alias("cents"), "direction", F.col("priced_as").alias("text")))
+    return placed.withColumn("amount", amount)
 
 
 def parse_bank(lines: DataFrame) -> DataFrame:
