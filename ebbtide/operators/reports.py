@@ -13,11 +13,11 @@ from ebbtide.functions.text import ics_escape
 from ebbtide.operators.portfolio import is_counted
 from ebbtide.sources import dictionary
 
-# Recurrence rules; the calendar's head and foot.
+# Recurrence rules; the calendar's head and foot (the maker's name is this library's own).
 RULES = {"weekly": "FREQ=WEEKLY", "monthly": "FREQ=MONTHLY", "quarterly": "FREQ=MONTHLY;INTERVAL=3", "yearly": "FREQ=YEARLY"}
-HEAD = ("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//Detecteur d abonnements//FR", "CALSCALE:GREGORIAN", "METHOD:PUBLISH")
+HEAD = ("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//ebbtide//FR", "CALSCALE:GREGORIAN", "METHOD:PUBLISH")
 FOOT = "END:VCALENDAR"
-DOMAIN = "detecteur-abonnements"
+DOMAIN = "ebbtide"
 
 
 def fold(line: Column) -> Column:
