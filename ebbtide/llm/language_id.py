@@ -2,9 +2,12 @@
 
 A text is lower-cased; every run of non-letters is one blank; letters are coded in 12 bits (code points below 2048 are
 themselves, the others share 2047 codes), so a 4-gram is one 48-bit integer. Spark counts the 4-grams of every training
-text, derives the continuation counts of the lower orders from the distinct 4-grams, and keeps at most `max_entries` of
-an order (the rarest go first; their mass goes to the lower order, so the model still sums to one). The tables become
-sorted arrays of gram codes with one column of log probabilities per language, broadcast because of that bound.
+text, derives the continuation counts of the lower orders from the distinct 4-grams and estimates every counted gram and
+context: the model is a table (entry, language, log2 value), nothing of it is dropped and nothing bounds it.
+
+Texts are dealt by hash to chunks of about CHUNK characters. A chunk names the entries that its own 4-grams can ask for, a
+shuffled join with the model's table answers, and the chunk's texts are scored by its slice of the model. So a task's memory
+follows its chunk and not the model. `fit` and `predict` hold the whole model instead, for tables of which it is small.
 
 Edge cases: null texts and texts without a letter are `und`, score 0, rejected. No usable training row: all are `und`.
 Rows with a null id are predicted but never learnt from. Equal cross-entropies: the first language by name.
@@ -14,16 +17,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.core import checkpointed, crc_fold, table
 from ebbtide.llm.text import fresh, pieces
 
 ORDER, BITS = 4, 12
+CHUNK = 8_000_000
 MASK = (1 << BITS) - 1
 UND = "und"
 RESULT = "lang_pred string, score double, bits_per_char double, n_chars long, rejected boolean"
@@ -86,7 +93,7 @@ class Model:
     keys: list[np.ndarray] = field(default_factory=list)  # of each order: sorted gram codes,
     logp: list[np.ndarray] = field(default_factory=list)  # their log2 probability in each language, NaN where unseen,
     contexts: list[np.ndarray] = field(default_factory=list)  # sorted context codes
-    backoff: list[np.ndarray] = field(default_factory=list)  # and their log2 back-off weight in each language
+    backoff: list[np.ndarray] = field(default_factory=list)  # and their log2 back-off weight in each language, 0 where unseen
     floor: np.ndarray | None = None
     limits: np.ndarray | None = None  # bits a character from which a text of the language is rejected
     usual: np.ndarray | None = None
@@ -103,14 +110,16 @@ class Model:
             total[hit] = np.where(np.isnan(seen), total[hit], seen)
         return total
 
-    def texts(self, texts: list[str]) -> pd.DataFrame:
+    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: bits a character by language, characters, whether it has a letter."""
         gram, owner = grams(texts)
         code, unique = pd.factorize(gram)
         per = self.score(unique)
         n = np.bincount(owner, minlength=len(texts))
         bits = -np.stack([np.bincount(owner, per[code, j], len(texts)) for j in range(len(self.langs))], axis=1)
-        lettered = np.bincount(owner[(gram & MASK) > 0], minlength=len(texts)) > 0
-        mean = bits / np.maximum(n, 1)[:, None]
+        return bits / np.maximum(n, 1)[:, None], n, np.bincount(owner[(gram & MASK) > 0], minlength=len(texts)) > 0
+
+    def verdict(self, mean: np.ndarray, n: np.ndarray, lettered: np.ndarray) -> pd.DataFrame:
         best = mean.argmin(axis=1)
         lead = (mean - mean.min(axis=1)[:, None]) * np.minimum(n, 50)[:, None]
         score = 1 / np.exp2(-np.minimum(lead, 1000)).sum(axis=1)
@@ -124,6 +133,9 @@ class Model:
         out.loc[~lettered, ["lang_pred", "score", "bits_per_char", "n_chars"]] = [UND, 0.0, 0.0, 0]
         return out
 
+    def texts(self, texts: list[str]) -> pd.DataFrame:
+        return self.verdict(*self.bits(texts))
+
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(keys, wanted)
@@ -131,84 +143,89 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
 
 
-def _estimate(langs: list[str], orders: list[pd.DataFrame], discounts: dict) -> Model:
-    """Interpolated probabilities, lowest order first; `orders` has lang, gram, cnt, total (of the context)."""
-    model = Model(langs)
-    n = len(langs)
-    model.floor = np.full(n, -np.log2(orders[0].gram.nunique() + 1))  # every letter of any language alike, and one for all others
-    for k, rows in enumerate(orders, 1):
-        at = rows.lang.map({x: j for j, x in enumerate(langs)}).to_numpy()
-        gram = rows.gram.to_numpy(np.int64)
-        cut = np.array([discounts[k, x] for x in rows.lang]) if len(rows) else np.zeros(0)
-        own = np.maximum(rows.cnt.to_numpy() - cut, 0) / rows.total.to_numpy()
-        contexts, c = np.unique(gram >> BITS, return_inverse=True)
-        kept = np.zeros((len(contexts), n))
-        np.add.at(kept, (c, at), own)
-        weight = np.maximum(1 - kept, 1e-9)
-        known = np.zeros_like(kept, bool)
-        known[c, at] = True
-        lower = np.exp2(model.score_lower(gram, k))[np.arange(len(gram)), at] if k > 1 else np.exp2(model.floor)[at]
-        keys, g = np.unique(gram, return_inverse=True)
-        logp = np.full((len(keys), n), np.nan, np.float32)
-        logp[g, at] = np.log2(own + weight[c, at] * lower)
-        model.keys.append(keys)
-        model.logp.append(logp)
-        model.contexts.append(contexts)
-        model.backoff.append(np.where(known, np.log2(weight), 0).astype(np.float32))
+def _needed(gram: np.ndarray) -> np.ndarray:
+    """The entries that scoring the grams can ask for: of order k, grams are numbered from k << 48, contexts from (ORDER + k) << 48."""
+    out, whole = [], np.unique(gram)
+    for k in range(1, ORDER + 1):
+        part = np.unique(whole & ((1 << (BITS * k)) - 1))
+        out += [part | (k << 48), np.unique(part >> BITS) | ((ORDER + k) << 48)]
+    return np.concatenate(out)
+
+
+def _model(langs: list[str], floor: float, entry: np.ndarray, at: np.ndarray, value: np.ndarray) -> Model:
+    """The Model of some entries; `at` is the language's place."""
+    model, kind, code = Model(langs, floor=np.full(len(langs), floor)), entry >> 48, entry & ((1 << 48) - 1)
+    for k in range(1, ORDER + 1):
+        for own, keys, values, blank in ((kind == k, model.keys, model.logp, np.nan), (kind == ORDER + k, model.contexts, model.backoff, 0)):
+            unique, place = np.unique(code[own], return_inverse=True)
+            wide = np.full((len(unique), len(langs)), blank, np.float32)
+            wide[place, at[own]] = value[own]
+            keys.append(unique)
+            values.append(wide)
     return model
 
 
-def _score_lower(self: Model, gram: np.ndarray, k: int) -> np.ndarray:
-    """As score, by the orders below k alone."""
-    total = np.repeat(self.floor[None, :], len(gram), axis=0)
-    for j in range(1, k):
-        part = gram & ((1 << (BITS * j)) - 1)
-        at, hit = _find(self.contexts[j - 1], part >> BITS)
-        total[hit] += self.backoff[j - 1][at[hit]]
-        at, hit = _find(self.keys[j - 1], part)
-        seen = self.logp[j - 1][at[hit]]
-        total[hit] = np.where(np.isnan(seen), total[hit], seen)
-    return total
-
-
-Model.score_lower = _score_lower
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_entries: int = 1_000_000, false_rejects: float = 0.001, margin_bits: float = 1.5) -> Model:
-    """Learn from rows whose id doesn't fall in fold 0 of 5: folds 2 to 4 give the counts, fold 1 the rejection limits.
-
-    A language's limit is the bits a character that all but `false_rejects` of its own calibration texts stay below,
-    and `margin_bits` more.
-    """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), crc_fold(F.col(key), 5).alias("fold")).where("text is not null and lang is not null and fold <> 0")
-    counted = rows.where("fold <> 1").select("lang", "text").mapInPandas(_counts, "lang string, gram long, cnt long").groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt"))
-    level = checkpointed(counted)
+def learn(rows: DataFrame) -> tuple[list[str], float, DataFrame | None]:
+    """Languages, floor and entries (entry, at, value) of a model of rows (text, lang)."""
+    level = checkpointed(rows.select("lang", "text").mapInPandas(_counts, "lang string, gram long, cnt long").groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")))
     levels = [level]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many characters come before the gram
         level = checkpointed(level.groupBy("lang", F.col("gram").bitwiseAND((1 << (BITS * k)) - 1).alias("gram")).agg(F.count("*").alias("cnt")))
         levels.insert(0, level)
-    orders, discounts = [], {}
-    for k, level in enumerate(levels, 1):
-        spread = level.groupBy("lang", F.floor(F.log2("cnt")).cast("int").alias("b"), F.when(F.col("cnt") <= 2, F.col("cnt")).alias("few")).agg(F.count("*").alias("n")).collect()
-        for x in {r.lang for r in spread}:
-            once, twice = (sum(r.n for r in spread if r.lang == x and r.few == c) for c in (1, 2))
-            discounts[k, x] = once / (once + 2 * twice) if once and twice else 0.5
-        least = next(b for b in range(65) if sum(r.n for r in spread if r.b >= b) <= max_entries)
-        context = Window.partitionBy("lang", F.shiftright("gram", BITS))  # 4096 rows at most, one for each letter code
-        orders.append(level.withColumn("total", F.sum("cnt").over(context)).where(F.col("cnt") >= 2**least).toArrow().to_pandas().sort_values(["lang", "gram"]))
-    langs = sorted(orders[0].lang.unique())
+    langs = sorted(r.lang for r in levels[0].select("lang").distinct().collect())
     if not langs:
-        return Model([])
-    model = _estimate(langs, orders, discounts)
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+        return [], 0.0, None
+    floor = -float(np.log2(levels[0].select("gram").distinct().count() + 1))  # every letter of any language alike, and one for all others
+    lower, parts = None, []
+    for k, level in enumerate(levels, 1):
+        few = {(r.lang, r.cnt): r.n for r in level.where("cnt <= 2").groupBy("lang", "cnt").agg(F.count("*").alias("n")).collect()}
+        told = []
+        for i, x in enumerate(langs):
+            once, twice = few.get((x, 1), 0), few.get((x, 2), 0)
+            told.append((x, i, once / (once + 2 * twice) if once and twice else 0.5))
+        context = Window.partitionBy("at", "ctx")  # 4096 rows at most, one for each letter code
+        own = (
+            level.join(F.broadcast(level.sparkSession.createDataFrame(told, "lang string, at int, cut double")), "lang").withColumn("ctx", F.shiftright("gram", BITS))
+            .withColumn("own", F.greatest(F.col("cnt") - F.col("cut"), F.lit(0.0)) / F.sum("cnt").over(context))
+            .withColumn("weight", F.greatest(1 - F.sum("own").over(context), F.lit(1e-9)))
+            .withColumn("short", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1))
+        )
+        own = own.withColumn("less", F.lit(2.0**floor)) if lower is None else own.join(lower, ["at", "short"])  # whose gram is seen, its end is
+        own = checkpointed(own.select("at", "gram", "ctx", "weight", (F.col("own") + F.col("weight") * F.col("less")).alias("p")))
+        lower = own.select("at", F.col("gram").alias("short"), F.col("p").alias("less"))
+        parts.append(own.select(F.col("gram").bitwiseOR(F.lit(k << 48)).alias("entry"), "at", F.log2("p").cast("float").alias("value")))
+        parts.append(own.groupBy("at", "ctx").agg(F.max("weight").alias("weight")).select(F.col("ctx").bitwiseOR(F.lit((ORDER + k) << 48)).alias("entry"), "at", F.log2("weight").cast("float").alias("value")))
+    return langs, floor, reduce(DataFrame.union, parts)
+
+
+def _training(docs: DataFrame, text: str, lang: str, key: str) -> DataFrame:
+    return docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), crc_fold(F.col(key), 5).alias("fold")).where("text is not null and lang is not null and fold <> 0")
+
+
+def _limits(model: Model, scored: DataFrame, false_rejects: float = 0.001, margin_bits: float = 1.5) -> None:
+    """Set the model's limits by the calibration texts (lang, lang_pred, bits_per_char)."""
     bits = (
-        rows.where("fold = 1").select("lang", predict(F.col("text"), held).alias("p")).where("p.lang_pred = lang")
-        .groupBy("lang").agg(F.avg("p.bits_per_char").alias("usual"), F.percentile_approx("p.bits_per_char", 1 - false_rejects, 10_000).alias("most"), F.count("*").alias("n")).collect()
+        scored.where("lang_pred = lang")
+        .groupBy("lang").agg(F.avg("bits_per_char").alias("usual"), F.percentile_approx("bits_per_char", 1 - false_rejects, 10_000).alias("most"), F.count("*").alias("n")).collect()
     )
     found = {r.lang: r for r in bits if r.n >= 20}
-    model.usual = np.array([found[x].usual if x in found else 0.0 for x in langs])
-    model.limits = np.array([found[x].most + margin_bits if x in found else np.inf for x in langs])
+    model.usual = np.array([found[x].usual if x in found else 0.0 for x in model.langs])
+    model.limits = np.array([found[x].most + margin_bits if x in found else np.inf for x in model.langs])
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
+    """Learn from rows whose id doesn't fall in fold 0 of 5: folds 2 to 4 give the counts, fold 1 the rejection limits.
+
+    The whole model comes to the driver; `identify` doesn't need that.
+    """
+    rows = _training(docs, text, lang, key)
+    langs, floor, entries = learn(rows.where("fold <> 1"))
+    if not langs:
+        return Model([])
+    held = entries.toArrow()
+    model = _model(langs, floor, *(held[c].to_numpy() for c in held.column_names))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    _limits(model, rows.where("fold = 1").select("lang", predict(F.col("text"), sent).alias("p")).select("lang", "p.*"))
     return model
 
 
@@ -228,10 +245,52 @@ def predict(text: Column, held) -> Column:
     return score.asNondeterministic()(text)
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """docs with a struct column `language` (or a longer name, if docs has that one) fitted on docs itself."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, text, lang, key))
-    return docs.withColumn(fresh(docs, "language"), predict(F.col(text), held))
+def _scored(docs: DataFrame, model: Model, entries: DataFrame, kept: list[str], text: str, names: list[str]) -> DataFrame:
+    """Columns `kept` of docs, then `names`: bits a character by language, characters, whether there is a letter."""
+    chunk, bits, n, lettered = names
+    langs, floor = model.langs, float(model.floor[0])
+    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    dealt = docs.withColumn(chunk, F.pmod(F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant")))), F.lit(1 + total // CHUNK)))
+
+    def ask(group: pa.Table) -> pa.Table:
+        own = [_needed(grams(piece)[0]) for piece in pieces(group[text].to_pylist(), 2_000_000)]
+        entry = np.unique(np.concatenate(own))
+        return pa.table({chunk: pa.array(np.full(len(entry), group[chunk][0].as_py())), "entry": pa.array(entry)})
+
+    def answer(group: pa.Table, found: pa.Table) -> pa.Table:
+        part = _model(langs, floor, *(found[c].to_numpy() for c in ("entry", "at", "value")))
+        own = [part.bits(piece) for piece in pieces(group[text].to_pylist(), 2_000_000)]
+        mean, count, letter = (np.concatenate([x[i] for x in own]) for i in range(3))
+        ends = pa.array(np.arange(len(mean) + 1, dtype=np.int32) * len(langs))
+        return group.select(kept).append_column(bits, pa.ListArray.from_arrays(ends, pa.array(mean.ravel()))).append_column(n, pa.array(count)).append_column(lettered, pa.array(letter))
+
+    asked = dealt.groupBy(chunk).applyInArrow(ask, f"`{chunk}` long, entry long")
+    slices = asked.join(entries.hint("shuffle_hash"), "entry")
+    made = docs.select(*kept).schema
+    for name, kind in ((bits, "array<double>"), (n, "long"), (lettered, "boolean")):
+        made = T.StructType([*made.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    return dealt.groupBy(chunk).cogroup(slices.groupBy(chunk)).applyInArrow(answer, made)
+
+
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", kept: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `kept`, which include lang and key) with a struct column `language` (or a longer name, if docs has that one) fitted on docs itself."""
+    kept, name = kept or docs.columns, fresh(docs, "language")
+    langs, floor, entries = learn(_training(docs, text, lang, key).where("fold <> 1"))
+    if not langs:
+        return docs.select(*kept).withColumn(name, predict(F.lit(None).cast("string"), docs.sparkSession.sparkContext.broadcast(Model([]))))
+    model = Model(langs, floor=np.full(len(langs), floor))
+    names = [fresh(docs, x) for x in ("chunk_", "bits_", "n_", "lettered_")]
+    scored = checkpointed(_scored(docs, model, entries, kept, text, names))
+
+    def judged(model: Model) -> Column:
+        @F.pandas_udf(RESULT)
+        def verdict(bits: pd.Series, n: pd.Series, lettered: pd.Series) -> pd.DataFrame:
+            return model.verdict(np.stack(bits), n.to_numpy(), lettered.to_numpy(bool)) if len(bits) else pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
+
+        return verdict(*names[1:])
+
+    _limits(model, scored.where((crc_fold(F.col(key), 5) == 1) & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), judged(model).alias("p")).select("lang", "p.*"))
+    return scored.withColumn(name, judged(model)).select(*kept, name)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -241,5 +300,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), kept=["doc_id", "lang"])
     return docs.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", "language.bits_per_char", "language.rejected")

@@ -53,3 +53,20 @@ def test_nothing_to_learn_and_empty_table(docs):
     assert language_id.keep_identified(docs.where("false")).count() == 0
     kept = language_id.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+
+
+def test_no_gram_is_dropped_and_slices_score_as_the_whole(docs, spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)]
+    random = np.random.default_rng(2)
+    crowd = [(5000 + i, "".join(random.choice(letters, 10_000)), "zz") for i in range(240)]
+    both = docs.where("doc_id < 1000").select("doc_id", "text", "lang").union(spark.createDataFrame([*crowd, (9000, "quixotic", "en")], "doc_id long, text string, lang string"))
+    model = language_id.fit(both)
+    assert len(model.keys[3]) > 1_000_000  # more than an order once kept
+    gram = language_id.grams(["quixotic"])[0]
+    at, hit = language_id._find(model.keys[3], gram)
+    assert hit.all() and not np.isnan(model.logp[3][at, model.langs.index("en")]).any()
+    told = {r.doc_id: r.language for r in language_id.identify(both.where("doc_id < 5020 or doc_id >= 9000")).collect()}
+    small = language_id.fit(both.where("doc_id < 5020 or doc_id >= 9000"))
+    for r in both.where("doc_id < 5020 or doc_id >= 9000").collect():
+        own = small.texts([r.text]).iloc[0]
+        assert told[r.doc_id].lang_pred == own.lang_pred and abs(told[r.doc_id].bits_per_char - own.bits_per_char) < 1e-4 and told[r.doc_id].rejected == own.rejected
