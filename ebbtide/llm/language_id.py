@@ -15,6 +15,7 @@ Rows with a null id are predicted but never learnt from. Equal cross-entropies:
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -202,15 +203,49 @@ def _training(docs: DataFrame, text: str, lang: str, key: str) -> DataFrame:
     return docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), crc_fold(F.col(key), 5).alias("fold")).where("text is not null and lang is not null and fold <> 0")
 
 
-def _limits(model: Model, scored: DataFrame, false_rejects: float = 0.001, margin_bits: float = 1.5) -> None:
-    """Set the model's limits by the calibration texts (lang, lang_pred, bits_per_char)."""
-    bits = (
-        scored.where("lang_pred = lang")
-        .groupBy("lang").agg(F.avg("bits_per_char").alias("usual"), F.percentile_approx("bits_per_char", 1 - false_rejects, 10_000).alias("most"), F.count("*").alias("n")).collect()
-    )
-    found = {r.lang: r for r in bits if r.n >= 20}
-    model.usual = np.array([found[x].usual if x in found else 0.0 for x in model.langs])
-    model.limits = np.array([found[x].most + margin_bits if x in found else np.inf for x in model.langs])
+def _threshold(own: dict[int, int], foreign: dict[int, int], false_rejects: float) -> float:
+    """The bin edge with the least sum of the shares of own bins above it and foreign bins below it; of equal ones the middle.
+
+    Without foreign texts, the edge that all but `false_rejects` of the own ones stay below.
+    """
+    edges = np.arange(min([*own, *foreign]), max([*own, *foreign]) + 2)
+    above = np.array([sum(n for b, n in own.items() if b >= e) for e in edges]) / max(sum(own.values()), 1)
+    below = np.array([sum(n for b, n in foreign.items() if b < e) for e in edges]) / max(sum(foreign.values()), 1)
+    if not foreign:
+        return float(edges[np.flatnonzero(above <= false_rejects)[0]])
+    cost = above + below
+    return float(np.median(edges[cost <= cost.min() + 1e-12]))
+
+
+def _limits(model: Model, scored: DataFrame, false_rejects: float = 0.001) -> None:
+    """Set the model's limits by the calibration texts (lang, bits, n, lettered).
+
+    A language's own texts are those of it that are predicted so; foreign to it are the texts of each other language that
+    would go to it if their own language had not been learnt. A limit is drawn between the two. Bits are compared as
+    excess over the language's usual value, in bins of a hundredth, so what reaches the driver is bounded by the
+    languages. A language without 20 texts of either kind takes the limit of all languages together.
+    """
+    if not model.langs:
+        return
+    index = F.create_map(*(x for i, lang in enumerate(model.langs) for x in (F.lit(lang), F.lit(i))))
+    told = scored.where("lettered").select(index[F.col("lang")].alias("mine"), "n", "bits").where("mine is not null")
+    told = told.withColumn("best", F.array_position("bits", F.array_min("bits")).cast("int") - 1)
+    without = F.transform("bits", lambda x, i: F.when(i != F.col("mine"), x))
+    own = told.where("best = mine").select(F.col("mine").alias("at"), F.lit(True).alias("own"), "n", F.array_min("bits").alias("b"))
+    other = told.withColumn("_rest", without).select((F.array_position("_rest", F.array_min("_rest")).cast("int") - 1).alias("at"), F.lit(False).alias("own"), "n", F.array_min("_rest").alias("b")).where("b is not null")
+    usual = {r["at"]: r.usual for r in own.groupBy("at").agg(F.avg("b").alias("usual")).collect()}
+    if not usual:  # nothing to calibrate by
+        model.usual, model.limits = np.zeros(len(model.langs)), np.full(len(model.langs), np.inf)
+        return
+    model.usual = np.array([usual.get(i, np.mean(list(usual.values()))) for i in range(len(model.langs))])
+    drawn = (F.col("b") - F.array(*map(F.lit, model.usual.tolist()))[F.col("at")]) * F.col("n") / (F.col("n") + 20)
+    bins = own.union(other).groupBy("at", "own", F.floor(100 * drawn).cast("int").alias("bin")).agg(F.count("*").alias("many")).collect()
+    held: list[tuple[Counter, Counter]] = [(Counter(), Counter()) for _ in range(len(model.langs) + 1)]
+    for r in bins:
+        for i in (r["at"], -1):
+            held[i][not r.own][r.bin] += r.many
+    enough = [min(sum(x.values()) for x in pair) >= 20 for pair in held]
+    model.limits = model.usual + np.array([_threshold(*held[i if enough[i] else -1], false_rejects) / 100 for i in range(len(model.langs))])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -225,7 +260,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     held = entries.toArrow()
     model = _model(langs, floor, *(held[c].to_numpy() for c in held.column_names))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    _limits(model, rows.where("fold = 1").select("lang", predict(F.col("text"), sent).alias("p")).select("lang", "p.*"))
+
+    @F.pandas_udf("bits array<double>, n long, lettered boolean")
+    def bits(batch: pd.Series) -> pd.DataFrame:
+        own = [sent.value.bits(piece) for piece in pieces(batch, 2_000_000)]
+        return pd.DataFrame({"bits": [row for x in own for row in x[0]], "n": [v for x in own for v in x[1]], "lettered": [v for x in own for v in x[2]]})
+
+    _limits(model, checkpointed(rows.where("fold = 1").select("lang", bits("text").alias("p")).select("lang", "p.*")))
     return model
 
 
@@ -289,7 +330,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
         return verdict(*names[1:])
 
-    _limits(model, scored.where((crc_fold(F.col(key), 5) == 1) & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), judged(model).alias("p")).select("lang", "p.*"))
+    _limits(model, scored.where((crc_fold(F.col(key), 5) == 1) & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), *(F.col(c).alias(x) for c, x in zip(names[1:], ("bits", "n", "lettered"), strict=True))))
     return scored.withColumn(name, judged(model)).select(*kept, name)
 
 

@@ -70,3 +70,12 @@ def test_no_gram_is_dropped_and_slices_score_as_the_whole(docs, spark):
     for r in both.where("doc_id < 5020 or doc_id >= 9000").collect():
         own = small.texts([r.text]).iloc[0]
         assert told[r.doc_id].lang_pred == own.lang_pred and abs(told[r.doc_id].bits_per_char - own.bits_per_char) < 1e-4 and told[r.doc_id].rejected == own.rejected
+
+
+@pytest.mark.parametrize("odd", ["en", "es"])
+def test_an_unlearned_language_in_latin_letters_is_rejected(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.when(F.col("lang") != odd, F.col("lang")).alias("lang"))
+    told = language_id.identify(docs).select("lang", "language.rejected", "language.n_chars", crc_fold(F.col("doc_id"), 5).alias("fold")).where("n_chars > 0").collect()
+    foreign, own = [r.rejected for r in told if r.lang is None], [r.rejected for r in told if r.lang and r.fold == 0]
+    print(odd, "accepted", foreign.count(False), "of", len(foreign), "own rejected", own.count(True), "of", len(own))
+    assert sum(foreign) > 0.9 * len(foreign) and sum(own) < 0.1 * len(own)
