@@ -4,10 +4,12 @@ Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z. A window is
 item; an item of fewer words, but not none, is one window. Each Arrow piece of the corpus is a shard: its suffixes that
 could begin a window (their first words do, by a bitmap without false negatives) are sorted by their first `width` words, a
 suffix array; every test suffix is binary-searched in it, which gives the range of its verbatim occurrences, hence their
-locations; neighbouring occurrences on one diagonal join to the longest match. No text is shuffled.
+locations; neighbouring occurrences on one diagonal join to the longest match.
 
-The benchmark is read through the driver in blocks of at most `block_words` words and each block is broadcast, so what is
-broadcast at once is bounded; a document's hits are united over the blocks.
+Neither the driver nor a worker holds the benchmark. Its windows are hashed in tasks to a table, of which only a bitmap of
+2**SLOT_BITS bits is collected and broadcast. Texts are dealt by hash to chunks of about CHUNK characters; a chunk names the
+window hashes of its own that the bitmap lets through, a shuffled join finds the benchmark rows that have them, and the
+chunk is searched for those rows alone. Equal windows have equal hashes, so no hit is missed; the search verifies the words.
 
 Edge cases: null and wordless texts have no words and no hit. Repeated benchmark rows count once for an item_id; a null
 item_id hits words but is no item. An empty benchmark contaminates nothing.
@@ -16,20 +18,24 @@ item_id hits words but is no item. An empty benchmark contaminates nothing.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ebbtide.core import table
+from ebbtide.core import checkpointed, table
 from ebbtide.llm.text import fresh, pieces
 
 WIDTH = 13
 KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_at long"
 SLOTS = 1 << 22
+SLOT_BITS, CHUNK = 26, 8_000_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -103,7 +109,7 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH, block_words: int = 500_000) -> list:
-    """Broadcast Blocks, built one at a time."""
+    """Broadcast Blocks of a small benchmark, built one at a time; `match` doesn't use them."""
     context, out, held, size = benchmark.sparkSession.sparkContext, [], [], 0
     for row in benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
         own = words(row[1])
@@ -148,22 +154,72 @@ def examine(texts: list[str], found: list[Block], width: int = WIDTH) -> list[tu
     ]
 
 
-def search(text: Column, held: list, width: int = WIDTH) -> Column:
-    """A struct column (RESULT) for a text column, by broadcast blocks."""
+def _hashes(own: list[bytes], size: int) -> np.ndarray:
+    """64-bit hashes of all `size` consecutive words."""
+    each = np.fromiter(map(zlib.crc32, own), np.uint64, len(own)) * MIX[0]
+    each ^= each >> np.uint64(31)
+    n = max(len(own) - size + 1, 0)
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = out * MIX[1] + each[k : k + n]
+    return (out ^ (out >> np.uint64(32))) * MIX[2]
 
-    @F.pandas_udf(RESULT)
-    def searched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        found = [b.value for b in held]
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        for batch in batches:
-            yield pd.DataFrame([row for piece in pieces(batch, 2_000_000) for row in examine(piece, found, width)], columns=names)
 
-    return searched.asNondeterministic()(text)
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
 
+def windows(rows: DataFrame, width: int) -> DataFrame:
+    """(row, size, hash) of each window of benchmark rows (row, text)."""
 
-def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """docs with a struct column `overlap` (or a longer name)."""
-    return docs.withColumn(fresh(docs, "overlap"), search(F.col(text), blocks(benchmark, width=width), width))
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row, text in zip(batch["row"], batch["text"], strict=True):
+                own = words(text)
+                if own:
+                    size = min(width, len(own))
+                    yield pd.DataFrame({"row": row, "size": size, "hash": np.unique(_hashes(own, size)).view(np.int64)})
+
+    return rows.mapInPandas(made, "row long, size int, hash long")
+
+
+def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, kept: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `kept`) with a struct column `overlap` (or a longer name)."""
+    kept, name, chunk, spark = kept or docs.columns, fresh(docs, "overlap"), fresh(docs, "chunk_"), docs.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").distinct().withColumn("row", F.xxhash64("item", "text"))
+    known = checkpointed(windows(rows.select("row", "text"), width))
+    sizes = [r[0] for r in known.select("size").distinct().collect()]
+    slot = F.shiftrightunsigned("hash", 64 - SLOT_BITS)
+    bitmap = np.zeros((1 << SLOT_BITS) // 64, np.uint64)
+    bits = known.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - SLOT_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    bitmap[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast(bitmap)
+    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    dealt = docs.withColumn(chunk, F.pmod(F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant")))), F.lit(1 + total // CHUNK)))
+
+    def ask(group: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.uint64)]
+        for piece in pieces(group[text].to_pylist(), 2_000_000):
+            own = [w for t in piece for w in words(t)]  # windows over two texts ask for too much, never for too little
+            for size in sizes:
+                asked = _hashes(own, size)
+                at = _slot(asked)
+                found.append(np.unique(asked[(held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0]))
+        asked = np.unique(np.concatenate(found)).view(np.int64)
+        return pa.table({chunk: pa.array(np.full(len(asked), group[chunk][0].as_py(), np.int64)), "hash": pa.array(asked)})
+
+    def answer(group: pa.Table, items: pa.Table) -> pa.Table:
+        block = [Block([(i, words(t)) for i, t in zip(items["item"].to_pylist(), items["text"].to_pylist(), strict=True)], width)] if len(items) else []
+        told = [row for piece in pieces(group[text].to_pylist(), 2_000_000) for row in examine(piece, block, width)]
+        names, kinds = zip(*(c.split() for c in RESULT.split(", ")), strict=True)
+        columns = [pa.array(x, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[k]) for x, k in zip(zip(*told, strict=True), kinds, strict=True)]
+        return group.select(kept).append_column(name, pa.StructArray.from_arrays(columns, list(names)))
+
+    asked = dealt.groupBy(chunk).applyInArrow(ask, f"`{chunk}` long, hash long")
+    pairs = asked.join(known.select("hash", "row"), "hash").select(chunk, "row").distinct()
+    items = pairs.join(rows, "row").select(chunk, "item", "text")
+    made = T.StructType([*docs.select(*kept).schema.fields, T.StructField(name, T._parse_datatype_string(RESULT))])
+    return dealt.groupBy(chunk).cogroup(items.groupBy(chunk)).applyInArrow(answer, made)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -173,7 +229,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), kept=["doc_id"])
     return found.select("doc_id", *(f"overlap.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 

@@ -71,3 +71,14 @@ def test_empty_tables_and_the_kept(case):
     clean = decontaminate.keep_clean(frame, table.where("false"))
     assert clean.columns == frame.columns and clean.count() == frame.count()
     assert sorted(r.doc_id for r in decontaminate.keep_clean(frame, table).collect() if r.doc_id) == sorted(r.doc_id for r in frame.collect() if r.doc_id and not brute(r.text, benchmark)[4])
+
+
+def test_the_benchmark_stays_off_the_driver_and_chunks_change_nothing(case, monkeypatch):
+    frame, table, benchmark = case
+    monkeypatch.setattr(decontaminate, "CHUNK", 2000)
+    monkeypatch.setattr(decontaminate, "blocks", None)
+    monkeypatch.setattr(type(table), "toLocalIterator", None)
+    told = decontaminate.match(frame, table).select("text", "overlap_.*").collect()
+    assert len(told) == frame.count()
+    for r in told:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest_match) == brute(r.text, benchmark), r.text
