@@ -50,6 +50,10 @@ RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", re.ASCII, 20),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", re.ASCII),
 )
+# Masking takes a key whole: to its END line, or where that is missing to the end of the key's header and base64 lines.
+_BREAK = r"(?:[ \t]*(?:\r?\n|\\n))+[ \t]*"
+_BODY = rf"(?:\s*[A-Za-z0-9+/]{{40,}}={{0,2}}|{_BREAK}(?:Proc-Type|DEK-Info):[^\n]*|{_BREAK}[A-Za-z0-9+/]+={{0,2}}(?=[ \t]*(?:\r?\n|\\n|$)))*"
+MASKED = tuple(r if r.kind != "pem" else Rule("pem", rf"{r.pattern}(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|{_BODY})", r.flags) for r in RULES)
 ALL = None  # the query that every text answers
 
 
@@ -212,7 +216,7 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: all documents, secrets masked; n_chars follows the text."""
-    masked = docs.withColumn("text", mask(F.col("text")))
+    masked = docs.withColumn("text", mask(F.col("text"), MASKED))
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 

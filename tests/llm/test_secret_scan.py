@@ -50,3 +50,11 @@ def test_frames(spark):
     assert len(masked) == len(rows) and all(r.text is None or (r.n_chars == len(r.text)) for r in masked)
     assert sorted(r.text for r in masked if r.doc_id == 9005) == ["[SECRET]"] * 2
     assert all(not brute(r.text) or "[SECRET]" in r.text for r in masked if r.text)
+
+
+def test_a_private_key_is_masked_whole(spark):
+    head, lines, end = "-----BEGIN RSA PRIVATE KEY-----", "\n".join(["Ab1+" * 16] * 3 + ["Zz9/Q=="]), "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {head}\n{lines}\n{end} b", f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{lines}\n{end} b", f"a {head}\n{lines}\n b c", f"a {head} b {head}\n{lines}\n{end} b", f"a {head}{lines}{end} b".replace("\n", "\\n")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    told = [r.text for r in secret_scan.mask_secrets(docs).orderBy("doc_id").collect()]
+    assert told == ["a [SECRET] b", "a [SECRET] b", "a [SECRET]\n b c", "a [SECRET] b [SECRET] b", "a [SECRET] b"]
