@@ -1,22 +1,26 @@
 """Embedding near-duplicates by cross-polytope hashing.
 
 A vector (zero-padded to a power of two) is turned by pseudo-random rotations made of three rounds of random signs and a
-fast Hadamard transform; a hash is the largest coordinate in absolute value with its sign, and a table's bucket joins two of
-them. Each vector lives in its own bucket of each table and probes the two in which one hash takes its second choice. A
-vector is compared, in a bucket, with those whose own bucket it is, and only within its label; a pair links if its cosine
-in double precision reaches the threshold.
+fast Hadamard transform; a hash is the largest coordinate in absolute value with its sign, and a table's bucket joins HASHES
+of them, so there are (2 * width) ** HASHES buckets a label (2 million for 64 dimensions). Each vector lives in its own
+bucket of each table and probes those in which one hash takes its second choice. A vector is compared, in a bucket, with
+those whose own bucket it is, and only within its label; a pair links if its cosine in double precision reaches the threshold.
 
-Equal vectors of a label are one class, so copies are not expanded. A bucket of more than BLOCK members is split into tiles
-of BLOCK by BLOCK, so no task holds an unbounded bucket. A tile's result is linear: the number of links of each member and a
-spanning star of each tile component. A pair that several tables find counts in the first of them alone, which both
-members' hashes tell.
+Equal vectors of a label are one class, so copies are not expanded. Buckets without company are dropped before any vector
+moves. A bucket of more than BLOCK members is split into tiles of BLOCK by BLOCK, so no task holds an unbounded bucket, and
+tiles are dealt by hash to batches. A batch's result is linear: the number of links of each member and a spanning star of
+each component. A pair that several tables find counts in the first of them alone, which both members' hashes tell.
 
 Edge cases: null, zero or non-finite vectors, null components and null labels link with nothing. Vectors of different length
-never link. Null ids take part; a component of null ids alone has a null component_id.
+never link. Null ids take part; a component of null ids alone has a null component_id. Repeated rows are copies: they link
+with one another, each is a row of the result. Ties of the hash take the first coordinate. An empty table gives no rows.
+Vectors may be of any length. Columns other than the three named are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,89 +29,131 @@ from pyspark.sql import functions as F
 from ebbtide.core import checkpointed, table
 from ebbtide.llm.graph import components
 
-TABLES, PROBES, BLOCK = 6, 3, 1024
+TABLES, HASHES, BLOCK = 6, 3, 1024
+PROBES = 1 + HASHES
+PAIRS = 500_000  # of small tiles, compared at once
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row."""
-    n, d, h = len(x), x.shape[1], 1
+    """Fast Walsh-Hadamard transform of each column."""
+    d, n = x.shape
+    h = 1
     while h < d:
-        x = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2).reshape(n, d)
+        x = x.reshape(d // (2 * h), 2, h, n)
+        x = np.stack((x[:, 0] + x[:, 1], x[:, 0] - x[:, 1]), axis=1)
         h *= 2
-    return x
+    return x.reshape(d, n)
 
 
 def codes(vectors: np.ndarray, tables: int = TABLES, seed: int = 11) -> np.ndarray:
     """(rows, tables, PROBES) buckets; the first is the vector's own."""
     n, d = vectors.shape
     width = 1 << max(1, d - 1).bit_length()
-    padded = np.zeros((n, width))
-    padded[:, :d] = vectors
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 2, 3, width))
+    signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (tables, HASHES, 3, width, 1))
     out = np.empty((n, tables, PROBES), np.int64)
-    for t in range(tables):
-        pick = []
-        for k in range(2):
-            y = padded
-            for r in range(3):
-                y = _hadamard(y * signs[t, k, r])
-            two = np.argpartition(-np.abs(y), 1, axis=1)[:, :2]
-            value = np.take_along_axis(y, two, 1)
-            swap = np.abs(value[:, 1]) > np.abs(value[:, 0])
-            two[swap], value[swap] = two[swap][:, ::-1], value[swap][:, ::-1]
-            pick.append(2 * two + (value < 0))
-        (a, a2), (b, b2) = pick[0].T, pick[1].T
-        base = np.int64(t) << 48
-        out[:, t] = base + np.stack((a << 24 | b, a2 << 24 | b, a << 24 | b2), axis=1)
-    return out
-
-
-def _codes(vectors: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
-    for _, same in vectors.groupby(vectors.map(len)):
-        found = codes(np.stack(same.to_numpy()).astype(float)).reshape(len(same), -1)
-        out.loc[same.index] = pd.Series(list(found), index=same.index)
+    for at in range(0, n, 1024):  # a block stays in the processor's cache
+        block = vectors[at : at + 1024]
+        padded = np.zeros((width, len(block)), np.float32)
+        padded[:d] = (block / np.abs(block).max(axis=1)[:, None]).T
+        for t in range(tables):
+            first = np.empty((HASHES, len(block)), np.int64)
+            second = np.empty_like(first)
+            for k in range(HASHES):
+                y = padded
+                for r in range(3):
+                    y = _hadamard(y * signs[t, k, r])
+                y = np.ascontiguousarray(y.T)
+                size, row = np.abs(y), np.arange(len(y))
+                for pick in (first, second):
+                    most = size.argmax(axis=1)
+                    pick[k] = 2 * most + (y[row, most] < 0)
+                    size[row, most] = -1
+            base = np.int64(2 * width)
+            for p in range(PROBES):
+                bucket = np.full(len(block), t, np.int64)
+                for k in range(HASHES):
+                    bucket = bucket * base + (second if p == k + 1 else first)[k]
+                out[at : at + 1024, t, p] = bucket
     return out
 
 
-def _tile(homes: pd.DataFrame, others: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links counted in this tile: cid, links, root."""
-
-    def unit(rows: pd.DataFrame) -> np.ndarray:
-        x = np.stack(rows.embedding.to_numpy()).astype(float)
-        x = x / np.abs(x).max(axis=1)[:, None]
-        return x / np.sqrt((x * x).sum(axis=1))[:, None]
-
-    i, j = np.nonzero(unit(homes) @ unit(others).T >= threshold)
-    a, b = homes.cid.to_numpy()[i], others.cid.to_numpy()[j]
-    x = np.stack(homes.codes.to_numpy()).reshape(len(homes), -1, PROBES)[i]
-    y = np.stack(others.codes.to_numpy()).reshape(len(others), -1, PROBES)[j]
-    table_ = int(homes.bucket.iloc[0]) >> 48
-    forth = (x[:, :, :1] == y).any(axis=2)  # the first one's bucket is among the second one's probes
-    back = (y[:, :, :1] == x).any(axis=2)
-    first = ~(forth[:, :table_] | back[:, :table_]).any(axis=1) & (~back[:, table_] | (a < b)) & (a != b)
-    i, j, a, b = i[first], j[first], a[first], b[first]
-    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    p, q = at[: len(a)], at[len(a) :]
-    links = np.bincount(p, others.copies.to_numpy()[j], len(ids)) + np.bincount(q, homes.copies.to_numpy()[i], len(ids))
-    root, was = np.arange(len(ids)), None
+def _codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for vectors in batches:
+        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+        for _, same in vectors.groupby(vectors.map(len)):
+            found = codes(np.stack(same.to_numpy()).astype(float)).reshape(len(same), -1)
+            out.loc[same.index] = pd.Series(list(found), index=same.index)
+        yield out
+
+
+def _spread(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (many of them) of each."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - start, many)
+
+
+def _near(x: np.ndarray, tile: np.ndarray, home: np.ndarray, other: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (home, other) of pairs of a tile whose cosine reaches the threshold. x: unit vectors, sorted by tile."""
+    homes, others = np.flatnonzero(home), np.flatnonzero(other)
+    tiles = np.unique(tile)
+    h, h2 = (np.searchsorted(tile[homes], tiles, side) for side in ("left", "right"))
+    o, o2 = (np.searchsorted(tile[others], tiles, side) for side in ("left", "right"))
+    large = (h2 - h) * (o2 - o) > 4096
+    for k in np.flatnonzero(large).tolist():
+        a, b = homes[h[k] : h2[k]], others[o[k] : o2[k]]
+        i, j = np.nonzero(x[a] @ x[b].T >= threshold)
+        yield a[i], b[j]
+    left = _spread(h[~large], (h2 - h)[~large])  # homes of small tiles, each beside all others of its tile
+    many, start = (np.repeat(v[~large], (h2 - h)[~large]) for v in (o2 - o, o))
+    ends = np.cumsum(many)
+    for cut in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        own = slice(np.searchsorted(ends, cut, "right"), np.searchsorted(ends, cut + PAIRS, "right"))
+        a, b = np.repeat(homes[left[own]], many[own]), others[_spread(start[own], many[own])]
+        hit = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+        yield a[hit], b[hit]
+
+
+def _stars(ids: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0 .. ids - 1 is joined with by pairs (p, q)."""
+    root, was = np.arange(ids), None
     while was is None or (root != was).any():
         was = root.copy()
         np.minimum.at(root, p, was[q])
         np.minimum.at(root, q, was[p])
         root = root[root]
-    return pd.DataFrame({"cid": ids, "links": links.astype(np.int64), "root": ids[root]})
+    return root
+
+
+def _counted(threshold: float):
+    """Links counted in a batch of tiles: cid, links, root."""
 
+    def met(buckets: np.ndarray, probes: np.ndarray) -> np.ndarray:
+        return (buckets[:, None] == probes).any(axis=1)
 
-def _tiles(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"cid": [], "links": [], "root": []}, dtype=np.int64)]
-        for _, tile in rows.groupby(["label", "size", "bucket", "i", "j"], sort=False):
-            homes, others = tile[tile.as_home], tile[tile.as_other]
-            if len(homes) and len(others):
-                found.append(_tile(homes, others, threshold))
-        return pd.concat(found, ignore_index=True)
+        found = [np.zeros((0, 3), np.int64)]
+        for _, same in rows.groupby("size"):
+            same = same.assign(tile=same.groupby(["label", "bucket", "i", "j"], sort=False).ngroup()).sort_values("tile", kind="stable")
+            x = np.stack(same.embedding.to_numpy()).astype(float)
+            x /= np.abs(x).max(axis=1)[:, None]
+            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            own = np.stack(same.codes.to_numpy()).reshape(len(same), -1, PROBES)
+            cid, copies, place = same.cid.to_numpy(), same.copies.to_numpy(), same.place.to_numpy()
+            ids, at = np.unique(cid, return_inverse=True)
+            links, pairs = np.zeros(len(ids), np.int64), []
+            for i, j in _near(x, same.tile.to_numpy(), same.as_home.to_numpy(), same.as_other.to_numpy(), threshold):
+                t = place[i]
+                keep = (cid[i] < cid[j]) | ((cid[i] > cid[j]) & ~met(own[j, t, 0], own[i, t]))  # from one side alone
+                i, j, t = i[keep], j[keep], t[keep]
+                for s in range(own.shape[1] - 1):  # in no earlier table
+                    later = np.flatnonzero(t > s)
+                    known = met(own[i[later], s, 0], own[j[later], s]) | met(own[j[later], s, 0], own[i[later], s])
+                    i, j, t = (np.delete(v, later[known]) for v in (i, j, t))
+                links += np.bincount(at[i], copies[j], len(ids)).astype(np.int64) + np.bincount(at[j], copies[i], len(ids)).astype(np.int64)
+                pairs.append((at[i], at[j]))
+            p, q = (np.concatenate(v) for v in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+            told = np.flatnonzero(links)
+            found.append(np.stack((ids, links, ids[_stars(len(ids), p, q)]), axis=1)[told])
+        return pd.DataFrame(np.concatenate(found), columns=["cid", "links", "root"])
 
     return run
 
@@ -118,20 +164,20 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     able = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     classes = rows.where(able).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("cid"), "*", F.size("embedding").alias("size"), F.pandas_udf(_codes, "array<long>")("embedding").alias("codes")))
-    placed = classes.select("cid", "label", "size", F.posexplode("codes").alias("n", "bucket")).withColumn("home", F.col("n") % PROBES == 0).drop("n")
+    hashed = F.pandas_udf(_codes, "array<long>").asNondeterministic()("embedding")
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("cid"), "*", F.size("embedding").alias("size"), hashed.alias("codes")))
+    placed = classes.select("cid", "label", "size", F.posexplode("codes").alias("n", "bucket")).withColumn("home", F.col("n") % PROBES == 0).withColumn("place", F.floor(F.col("n") / PROBES).cast("int")).drop("n")
     full = placed.groupBy("label", "size", "bucket").agg(F.count("*").alias("members"), F.max("home").alias("lived")).where("lived and members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    placed = checkpointed(placed.join(full, ["label", "size", "bucket"]).select("cid", "label", "size", "bucket", "home", blocks.alias("blocks"), own.alias("own")))
-    single = placed.where("blocks = 1").select("cid", "label", "size", "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("as_home"), F.lit(True).alias("as_other"))
+    full = checkpointed(full.select("label", "size", "bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))  # a table of its own: Spark splits the rows of a large bucket in the join
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    placed = checkpointed(placed.join(full, ["label", "size", "bucket"]).select("cid", "label", "size", "bucket", "place", "home", "blocks", own.alias("own")))
+    part = lambda rows, i, j, home, other: rows.select("cid", "label", "size", "bucket", "place", i.alias("i"), j.alias("j"), home.alias("as_home"), other.alias("as_other"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
     split = placed.where("blocks > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    homes = split.where("home").select("cid", "label", "size", "bucket", F.col("own").alias("i"), F.col("k").alias("j"), F.lit(True).alias("as_home"), F.lit(False).alias("as_other"))
-    others = split.select("cid", "label", "size", "bucket", F.col("k").alias("i"), F.col("own").alias("j"), F.lit(False).alias("as_home"), F.lit(True).alias("as_other"))
-    tiles = single.unionByName(homes).unionByName(others)
+    tiles = part(placed.where("blocks = 1"), zero, zero, F.col("home"), yes).union(part(split.where("home"), F.col("own"), F.col("k"), yes, no)).union(part(split, F.col("k"), F.col("own"), no, yes))
     batches = max(1, -(-placed.count() // 10_000))
     dealt = tiles.join(classes.select("cid", "embedding", "codes", "copies"), "cid").withColumn("batch", F.pmod(F.xxhash64("label", "size", "bucket", "i", "j"), F.lit(batches)))
-    found = checkpointed(dealt.groupBy("batch").applyInPandas(_tiles(threshold), "cid long, links long, root long"))
+    found = checkpointed(dealt.groupBy("batch").applyInPandas(_counted(threshold), "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     rooted = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), F.col("component").alias("root"))
     judged = classes.select("cid", "label", "embedding", "first", "copies").join(links, "cid", "left").join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 
-from ebbtide.core import table
 from ebbtide.llm import embedding_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int, links int"
@@ -63,11 +62,33 @@ def test_recall_and_edges(spark, rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_recall_on_a_driver_table(spark):
-    vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
-    want = {k: (n, c) for k, n, c in brute([(r.vec_id, r.embedding, r.label) for r in vectors.collect()])}
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors).collect()}
-    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values()) and all(got[k][0] <= want[k][0] for k in want)
+def _toward(random, x, cosine):
+    """Unit vectors at the given cosines to the unit vector x."""
+    side = random.normal(size=(len(cosine), len(x)))
+    side -= side @ x[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    return cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * side
+
+
+def test_recall_on_planted_pairs_and_clusters(spark):
+    """6,000 vectors: 600 pairs just above the threshold, clusters of up to 300, a background without links; none wrong, recall 0.99."""
+    random = np.random.default_rng(3)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(random.normal(size=(n, 64)))
+    parts = [unit(4200)]
+    for x in unit(600):
+        parts.append(np.stack([x, *_toward(random, x, random.uniform(0.98, 0.99, 1))]))
+    for size in (300, 150, 100, *[5] * 10):
+        parts.append(_toward(random, unit(1)[0], random.uniform(0.985, 0.999, size)))
+    vectors = np.concatenate(parts).astype(np.float32)
+    labels = np.concatenate([np.full(len(p), k % 3) for k, p in enumerate(parts)])
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), int(c), 1) for i, (v, c) in enumerate(zip(vectors, labels, strict=True))], SCHEMA)).collect()}
+    got = np.array([found[i] for i in range(len(vectors))])
+    wide = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    linked = (wide @ wide.T >= 0.98) & (labels[:, None] == labels)
+    want = linked.sum(axis=1) - 1
+    assert len(vectors) >= 6000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    pairs = want[4200:5400]
+    assert pairs.sum() > 1100 and got[4200:5400].sum() >= 0.99 * pairs.sum()  # the hardest ones by themselves
 
 
 def test_large_buckets_are_tiled(spark, rows, monkeypatch):
