@@ -1,16 +1,21 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
-A text is lower-cased; every run of non-letters is one blank; letters are coded in 12 bits (code points below 2048 are
-themselves, the others share 2047 codes), so a 4-gram is one 48-bit integer. Spark counts the 4-grams of every training
-text, derives the continuation counts of the lower orders from the distinct 4-grams and estimates every counted gram and
-context: the model is a table (entry, language, log2 value), nothing of it is dropped and nothing bounds it.
+A text is lower-cased; every run of non-letters is one blank; letters are UTF-16 code units of 16 bits (a letter beyond
+U+FFFF is two), so a 4-gram of any alphabet is one 64-bit integer. Spark counts the 4-grams of every training text, derives
+the continuation counts of the lower orders from the distinct 4-grams and estimates every counted gram and context: the
+model is a table (kind, code, language, log2 value), nothing of it is dropped and nothing bounds it.
 
-Texts are dealt by hash to chunks of about CHUNK characters. A chunk names the entries that its own 4-grams can ask for, a
-shuffled join with the model's table answers, and the chunk's texts are scored by its slice of the model. So a task's memory
-follows its chunk and not the model. `fit` and `predict` hold the whole model instead, for tables of which it is small.
+The distinct 4-grams of all texts are dealt to blocks of about GRAMS; a block names the entries it can ask for, a shuffled
+join answers, and the block is scored by binary search in sorted arrays of its slice of the model. Texts are dealt by hash
+to chunks of about CHUNK characters, shuffled once; a chunk names its 4-grams, a join brings their scores, and the texts are
+scored by binary search in them. So a task's memory follows its chunk and not the model, and the driver holds no model.
+
+Rows whose id falls in fold 0 of 5 are never learnt from. Folds 2 to 4 give the counts, fold 1 the rejection limits.
 
 Edge cases: null texts and texts without a letter are `und`, score 0, rejected. No usable training row: all are `und`.
-Rows with a null id are predicted but never learnt from. Equal cross-entropies: the first language by name.
+Rows with a null id are predicted but never learnt from. Equal cross-entropies: the first language by name. Repeated rows
+are counted and judged as often as they occur. A text of any length is scored whole, in the chunk it falls in. An empty
+table gives no rows. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,38 +35,47 @@ from pyspark.sql import types as T
 from ebbtide.core import checkpointed, crc_fold, table
 from ebbtide.llm.text import fresh, pieces
 
-ORDER, BITS = 4, 12
-CHUNK = 8_000_000
-MASK = (1 << BITS) - 1
+ORDER, BITS = 4, 16
+CHUNK, GRAMS = 8_000_000, 65_536
 UND = "und"
 RESULT = "lang_pred string, score double, bits_per_char double, n_chars long, rejected boolean"
-_CODES: list[np.ndarray] = []
+_LETTERS: list[np.ndarray] = []
+
 
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
 
-def letter_codes() -> np.ndarray:
-    """Code point -> 12-bit letter code, 0 for what is not a letter."""
-    if not _CODES:
-        points = np.arange(0x110000, dtype=np.uint32)
-        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        _CODES.append(np.where(letter, np.where(points < 2048, points, 2048 + points * np.uint32(40503) % 2047), 0).astype(np.int64))
-    return _CODES[0]
+
+def _part(gram: np.ndarray, order: int) -> np.ndarray:
+    """The last `order` letters of unsigned grams."""
+    return gram & np.uint64((1 << (BITS * order)) - 1)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram ending at every coded character, and the index of its text."""
+    """The 4-gram (unsigned) ending at every letter and blank, and the index of its text."""
     lowered = [f"   {t.lower()} " for t in texts]
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
-    codes = letter_codes()[np.frombuffer("".join(lowered).encode("utf-32-le"), np.uint32)]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(letters()[points], points, 0)
     starts = np.cumsum(sizes) - sizes
     keep = codes > 0
     keep[1:] |= codes[:-1] > 0
     for k in range(ORDER - 1):
         keep[starts + k] = True
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[keep]
-    codes = codes[keep]
+    codes = codes[keep].astype(np.uint64)
+    wide = codes > 0xFFFF
+    if wide.any():
+        at = np.flatnonzero(wide)
+        high, low = 0xD7C0 + (codes[at] >> np.uint64(10)), 0xDC00 + (codes[at] & np.uint64(0x3FF))
+        codes[at] = high
+        codes, owner = np.insert(codes, at + 1, low), np.insert(owner, at + 1, owner[at])
     gram = codes.copy()
     for k in range(1, ORDER):
-        gram[k:] |= codes[:-k] << (BITS * k)
+        gram[k:] |= codes[:-k] << np.uint64(BITS * k)
     whole = np.ones(len(codes), bool)
     first = np.searchsorted(owner, np.arange(len(texts)))
     for k in range(ORDER - 1):
@@ -70,22 +84,23 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial 4-gram counts of each language, merged within the task before they are sent."""
+    """Partial 4-gram counts of each language (of no language for texts that are not learnt from), merged within the task before they are sent."""
     held: dict[str, pd.Series] = {}
     for batch in batches:
-        for lang, texts in batch.groupby("lang").text:
+        for lang, texts in batch.groupby("lang", dropna=False).text:
+            lang = lang if isinstance(lang, str) else None
             for piece in pieces(texts, 4_000_000):
                 code, unique = pd.factorize(grams(piece)[0])
                 part = pd.Series(np.bincount(code, minlength=len(unique)), index=unique)
                 held[lang] = part if lang not in held else held[lang].add(part, fill_value=0)
-            if len(held[lang]) > 1_000_000:
+            if lang in held and len(held[lang]) > 1_000_000:
                 yield _rows(lang, held.pop(lang))
     for lang, part in held.items():
         yield _rows(lang, part)
 
 
-def _rows(lang: str, part: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"lang": lang, "gram": part.index.to_numpy(np.int64), "cnt": part.to_numpy().astype(np.int64)})
+def _rows(lang: str | None, part: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"lang": pd.Series([lang] * len(part), dtype=object), "gram": part.index.to_numpy(np.uint64).view(np.int64), "cnt": part.to_numpy().astype(np.int64)})
 
 
 @dataclass
@@ -103,23 +118,14 @@ class Model:
         """log2 probability of the last character of each gram, by language."""
         total = np.repeat(self.floor[None, :], len(gram), axis=0)
         for k in range(1, ORDER + 1):
-            part = gram & ((1 << (BITS * k)) - 1)
-            at, hit = _find(self.contexts[k - 1], part >> BITS)
+            part = _part(gram, k)
+            at, hit = _find(self.contexts[k - 1], part >> np.uint64(BITS))
             total[hit] += self.backoff[k - 1][at[hit]]
             at, hit = _find(self.keys[k - 1], part)
             seen = self.logp[k - 1][at[hit]]
             total[hit] = np.where(np.isnan(seen), total[hit], seen)
         return total
 
-    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: bits a character by language, characters, whether it has a letter."""
-        gram, owner = grams(texts)
-        code, unique = pd.factorize(gram)
-        per = self.score(unique)
-        n = np.bincount(owner, minlength=len(texts))
-        bits = -np.stack([np.bincount(owner, per[code, j], len(texts)) for j in range(len(self.langs))], axis=1)
-        return bits / np.maximum(n, 1)[:, None], n, np.bincount(owner[(gram & MASK) > 0], minlength=len(texts)) > 0
-
     def verdict(self, mean: np.ndarray, n: np.ndarray, lettered: np.ndarray) -> pd.DataFrame:
         best = mean.argmin(axis=1)
         lead = (mean - mean.min(axis=1)[:, None]) * np.minimum(n, 50)[:, None]
@@ -134,9 +140,6 @@ class Model:
         out.loc[~lettered, ["lang_pred", "score", "bits_per_char", "n_chars"]] = [UND, 0.0, 0.0, 0]
         return out
 
-    def texts(self, texts: list[str]) -> pd.DataFrame:
-        return self.verdict(*self.bits(texts))
-
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(keys, wanted)
@@ -144,18 +147,20 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
 
 
-def _needed(gram: np.ndarray) -> np.ndarray:
-    """The entries that scoring the grams can ask for: of order k, grams are numbered from k << 48, contexts from (ORDER + k) << 48."""
-    out, whole = [], np.unique(gram)
+def _needed(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kind and code of the entries that scoring the grams can ask for: kind k is a gram of that order, ORDER + k the context of one."""
+    kinds, codes = [], []
     for k in range(1, ORDER + 1):
-        part = np.unique(whole & ((1 << (BITS * k)) - 1))
-        out += [part | (k << 48), np.unique(part >> BITS) | ((ORDER + k) << 48)]
-    return np.concatenate(out)
+        part = np.unique(_part(gram, k))
+        for kind, code in ((k, part), (ORDER + k, np.unique(part >> np.uint64(BITS)))):
+            kinds.append(np.full(len(code), kind, np.int32))
+            codes.append(code.view(np.int64))
+    return np.concatenate(kinds), np.concatenate(codes)
 
 
-def _model(langs: list[str], floor: float, entry: np.ndarray, at: np.ndarray, value: np.ndarray) -> Model:
+def _model(langs: list[str], floor: float, kind: np.ndarray, code: np.ndarray, at: np.ndarray, value: np.ndarray) -> Model:
     """The Model of some entries; `at` is the language's place."""
-    model, kind, code = Model(langs, floor=np.full(len(langs), floor)), entry >> 48, entry & ((1 << 48) - 1)
+    model, code = Model(langs, floor=np.full(len(langs), floor)), code.view(np.uint64)
     for k in range(1, ORDER + 1):
         for own, keys, values, blank in ((kind == k, model.keys, model.logp, np.nan), (kind == ORDER + k, model.contexts, model.backoff, 0)):
             unique, place = np.unique(code[own], return_inverse=True)
@@ -166,9 +171,14 @@ def _model(langs: list[str], floor: float, entry: np.ndarray, at: np.ndarray, va
     return model
 
 
-def learn(rows: DataFrame) -> tuple[list[str], float, DataFrame | None]:
-    """Languages, floor and entries (entry, at, value) of a model of rows (text, lang)."""
-    level = checkpointed(rows.select("lang", "text").mapInPandas(_counts, "lang string, gram long, cnt long").groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")))
+def count(rows: DataFrame) -> DataFrame:
+    """(lang, gram, cnt) of rows (text, lang); texts without lang are counted under none."""
+    return checkpointed(rows.select("lang", "text").mapInPandas(_counts, "lang string, gram long, cnt long").groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")))
+
+
+def learn(counted: DataFrame) -> tuple[list[str], float, DataFrame | None]:
+    """Languages, floor and entries (kind, code, at, value) of a model of counted 4-grams."""
+    level = counted.where("lang is not null")
     levels = [level]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many characters come before the gram
         level = checkpointed(level.groupBy("lang", F.col("gram").bitwiseAND((1 << (BITS * k)) - 1).alias("gram")).agg(F.count("*").alias("cnt")))
@@ -184,9 +194,9 @@ def learn(rows: DataFrame) -> tuple[list[str], float, DataFrame | None]:
         for i, x in enumerate(langs):
             once, twice = few.get((x, 1), 0), few.get((x, 2), 0)
             told.append((x, i, once / (once + 2 * twice) if once and twice else 0.5))
-        context = Window.partitionBy("at", "ctx")  # 4096 rows at most, one for each letter code
+        context = Window.partitionBy("at", "ctx")  # 65,536 rows at most, one for each letter
         own = (
-            level.join(F.broadcast(level.sparkSession.createDataFrame(told, "lang string, at int, cut double")), "lang").withColumn("ctx", F.shiftright("gram", BITS))
+            level.join(F.broadcast(level.sparkSession.createDataFrame(told, "lang string, at int, cut double")), "lang").withColumn("ctx", F.shiftrightunsigned("gram", BITS))
             .withColumn("own", F.greatest(F.col("cnt") - F.col("cut"), F.lit(0.0)) / F.sum("cnt").over(context))
             .withColumn("weight", F.greatest(1 - F.sum("own").over(context), F.lit(1e-9)))
             .withColumn("short", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1))
@@ -194,13 +204,34 @@ def learn(rows: DataFrame) -> tuple[list[str], float, DataFrame | None]:
         own = own.withColumn("less", F.lit(2.0**floor)) if lower is None else own.join(lower, ["at", "short"])  # whose gram is seen, its end is
         own = checkpointed(own.select("at", "gram", "ctx", "weight", (F.col("own") + F.col("weight") * F.col("less")).alias("p")))
         lower = own.select("at", F.col("gram").alias("short"), F.col("p").alias("less"))
-        parts.append(own.select(F.col("gram").bitwiseOR(F.lit(k << 48)).alias("entry"), "at", F.log2("p").cast("float").alias("value")))
-        parts.append(own.groupBy("at", "ctx").agg(F.max("weight").alias("weight")).select(F.col("ctx").bitwiseOR(F.lit((ORDER + k) << 48)).alias("entry"), "at", F.log2("weight").cast("float").alias("value")))
+        parts.append(own.select(F.lit(k).alias("kind"), F.col("gram").alias("code"), "at", F.log2("p").cast("float").alias("value")))
+        parts.append(own.groupBy("at", "ctx").agg(F.max("weight").alias("weight")).select(F.lit(ORDER + k).alias("kind"), F.col("ctx").alias("code"), "at", F.log2("weight").cast("float").alias("value")))
     return langs, floor, reduce(DataFrame.union, parts)
 
 
+def gram_scores(distinct: DataFrame, langs: list[str], floor: float, entries: DataFrame) -> DataFrame:
+    """(gram, scores) of distinct grams: the log2 probability of the last character in each language."""
+    blocks = 1 + distinct.count() // GRAMS
+    dealt = distinct.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks))).repartition("block")
+
+    def ask(group: pa.Table) -> pa.Table:
+        kind, code = _needed(group["gram"].to_numpy().view(np.uint64))
+        return pa.table({"block": pa.array(np.full(len(kind), group["block"][0].as_py())), "kind": pa.array(kind), "code": pa.array(code)})
+
+    def answer(group: pa.Table, found: pa.Table) -> pa.Table:
+        model = _model(langs, floor, *(found[c].to_numpy() for c in ("kind", "code", "at", "value")))
+        scores = model.score(group["gram"].to_numpy().view(np.uint64)).astype(np.float32)
+        ends = pa.array(np.arange(len(scores) + 1, dtype=np.int32) * len(langs))
+        return pa.table({"gram": group["gram"], "scores": pa.ListArray.from_arrays(ends, pa.array(scores.ravel()))})
+
+    slices = dealt.groupBy("block").applyInArrow(ask, "block long, kind int, code long").join(entries, ["kind", "code"])
+    return checkpointed(dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(answer, "gram long, scores array<float>"))
+
+
 def _training(docs: DataFrame, text: str, lang: str, key: str) -> DataFrame:
-    return docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), crc_fold(F.col(key), 5).alias("fold")).where("text is not null and lang is not null and fold <> 0")
+    """(text, lang) of all texts; lang is null for those that give no counts: fold 0, fold 1 and rows without id."""
+    counts = crc_fold(F.col(key), 5) > 1
+    return docs.select(F.col(text).alias("text"), F.when(counts, F.col(lang).cast("string")).alias("lang")).where("text is not null")
 
 
 def _threshold(own: dict[int, int], foreign: dict[int, int], false_rejects: float) -> float:
@@ -248,65 +279,35 @@ def _limits(model: Model, scored: DataFrame, false_rejects: float = 0.001) -> No
     model.limits = model.usual + np.array([_threshold(*held[i if enough[i] else -1], false_rejects) / 100 for i in range(len(model.langs))])
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Learn from rows whose id doesn't fall in fold 0 of 5: folds 2 to 4 give the counts, fold 1 the rejection limits.
-
-    The whole model comes to the driver; `identify` doesn't need that.
-    """
-    rows = _training(docs, text, lang, key)
-    langs, floor, entries = learn(rows.where("fold <> 1"))
-    if not langs:
-        return Model([])
-    held = entries.toArrow()
-    model = _model(langs, floor, *(held[c].to_numpy() for c in held.column_names))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("bits array<double>, n long, lettered boolean")
-    def bits(batch: pd.Series) -> pd.DataFrame:
-        own = [sent.value.bits(piece) for piece in pieces(batch, 2_000_000)]
-        return pd.DataFrame({"bits": [row for x in own for row in x[0]], "n": [v for x in own for v in x[1]], "lettered": [v for x in own for v in x[2]]})
-
-    _limits(model, checkpointed(rows.where("fold = 1").select("lang", bits("text").alias("p")).select("lang", "p.*")))
-    return model
-
-
-def predict(text: Column, held) -> Column:
-    """A struct column (RESULT) for a text column, by a broadcast Model."""
-
-    @F.pandas_udf(RESULT)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = held.value
-        for batch in batches:
-            if not model.langs:
-                yield pd.DataFrame({"lang_pred": [UND] * len(batch), "score": 0.0, "bits_per_char": 0.0, "n_chars": 0, "rejected": True})
-                continue
-            parts = [model.texts(piece) for piece in pieces(batch, 2_000_000)]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
-
-    return score.asNondeterministic()(text)
-
-
-def _scored(docs: DataFrame, model: Model, entries: DataFrame, kept: list[str], text: str, names: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, langs: list[str], scores: DataFrame, kept: list[str], text: str, names: list[str]) -> DataFrame:
     """Columns `kept` of docs, then `names`: bits a character by language, characters, whether there is a letter."""
     chunk, bits, n, lettered = names
-    langs, floor = model.langs, float(model.floor[0])
     total = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    dealt = docs.withColumn(chunk, F.pmod(F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant")))), F.lit(1 + total // CHUNK)))
+    named = F.pmod(F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant")))), F.lit(1 + total // CHUNK))
+    dealt = docs.withColumn(chunk, named).repartition(chunk)  # the one shuffle of texts, which both uses below share
 
     def ask(group: pa.Table) -> pa.Table:
-        own = [_needed(grams(piece)[0]) for piece in pieces(group[text].to_pylist(), 2_000_000)]
-        entry = np.unique(np.concatenate(own))
-        return pa.table({chunk: pa.array(np.full(len(entry), group[chunk][0].as_py())), "entry": pa.array(entry)})
+        own = np.unique(np.concatenate([np.unique(grams(piece)[0]) for piece in pieces(group[text].to_pylist(), 2_000_000)])).view(np.int64)
+        return pa.table({chunk: pa.array(np.full(len(own), group[chunk][0].as_py())), "gram": pa.array(own)})
 
     def answer(group: pa.Table, found: pa.Table) -> pa.Table:
-        part = _model(langs, floor, *(found[c].to_numpy() for c in ("entry", "at", "value")))
-        own = [part.bits(piece) for piece in pieces(group[text].to_pylist(), 2_000_000)]
-        mean, count, letter = (np.concatenate([x[i] for x in own]) for i in range(3))
+        keys = found["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, values = keys[order], found["scores"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs))[order]
+        means, counts, letter = [np.zeros((0, len(langs)))], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for piece in pieces(group[text].to_pylist(), 2_000_000):
+            gram, owner = grams(piece)
+            at, size = np.searchsorted(keys, gram), len(piece)
+            many = np.bincount(owner, minlength=size)
+            sums = np.stack([np.bincount(owner, values[at, j], size) for j in range(len(langs))], axis=1)
+            means.append(-sums / np.maximum(many, 1)[:, None])
+            counts.append(many.astype(np.int64))
+            letter.append(np.bincount(owner[_part(gram, 1) > 0], minlength=size) > 0)
+        mean = np.concatenate(means)
         ends = pa.array(np.arange(len(mean) + 1, dtype=np.int32) * len(langs))
-        return group.select(kept).append_column(bits, pa.ListArray.from_arrays(ends, pa.array(mean.ravel()))).append_column(n, pa.array(count)).append_column(lettered, pa.array(letter))
+        return group.select(kept).append_column(bits, pa.ListArray.from_arrays(ends, pa.array(mean.ravel()))).append_column(n, pa.array(np.concatenate(counts))).append_column(lettered, pa.array(np.concatenate(letter)))
 
-    asked = dealt.groupBy(chunk).applyInArrow(ask, f"`{chunk}` long, entry long")
-    slices = asked.join(entries.hint("shuffle_hash"), "entry")
+    slices = dealt.groupBy(chunk).applyInArrow(ask, f"`{chunk}` long, gram long").join(scores, "gram")
     made = docs.select(*kept).schema
     for name, kind in ((bits, "array<double>"), (n, "long"), (lettered, "boolean")):
         made = T.StructType([*made.fields, T.StructField(name, T._parse_datatype_string(kind))])
@@ -316,12 +317,15 @@ def _scored(docs: DataFrame, model: Model, entries: DataFrame, kept: list[str],
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", kept: list[str] | None = None) -> DataFrame:
     """docs (or its columns `kept`, which include lang and key) with a struct column `language` (or a longer name, if docs has that one) fitted on docs itself."""
     kept, name = kept or docs.columns, fresh(docs, "language")
-    langs, floor, entries = learn(_training(docs, text, lang, key).where("fold <> 1"))
+    counted = count(_training(docs, text, lang, key))
+    langs, floor, entries = learn(counted)
     if not langs:
-        return docs.select(*kept).withColumn(name, predict(F.lit(None).cast("string"), docs.sparkSession.sparkContext.broadcast(Model([]))))
+        none = F.struct(F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_char"), F.lit(0).cast("long").alias("n_chars"), F.lit(True).alias("rejected"))
+        return docs.select(*kept).withColumn(name, none)
     model = Model(langs, floor=np.full(len(langs), floor))
     names = [fresh(docs, x) for x in ("chunk_", "bits_", "n_", "lettered_")]
-    scored = checkpointed(_scored(docs, model, entries, kept, text, names))
+    scores = gram_scores(counted.select("gram").distinct(), langs, floor, entries)
+    scored = checkpointed(_scored(docs, langs, scores, kept, text, names))
 
     def judged(model: Model) -> Column:
         @F.pandas_udf(RESULT)

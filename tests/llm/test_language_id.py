@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,20 +34,95 @@ def test_held_out_accuracy_and_edges(docs):
     assert all(0 <= r.score <= 1 for r in told)
 
 
+def letters_of(text):
+    """Lower-cased letters as UTF-16 units, a blank for each run of others, three blanks before and one after."""
+    out = []
+    for c in text.lower() + " ":
+        if c.isalpha():
+            unit = c.encode("utf-16-le")
+            out += [int.from_bytes(unit[i : i + 2], "little") for i in range(0, len(unit), 2)]
+        elif not out or out[-1]:
+            out.append(0)
+    return [0, 0, 0, *(out[1:] if out[:1] == [0] else out)]
+
+
+class Brute:
+    """Interpolated Kneser-Ney of one language, by dictionaries."""
+
+    def __init__(self, texts, floor):
+        full = Counter(tuple(x[i : i + 4]) for x in map(letters_of, texts) for i in range(len(x) - 3))
+        self.levels = [full]
+        for _ in range(3):
+            self.levels.insert(0, Counter(g[1:] for g in self.levels[0]))
+        self.floor, self.cut, self.total, self.kept = floor, [], [], []
+        for level in self.levels:
+            many = Counter(level.values())
+            cut = many[1] / (many[1] + 2 * many[2]) if many[1] and many[2] else 0.5
+            total, kept = Counter(), Counter()
+            for g, n in level.items():
+                total[g[:-1]] += n
+                kept[g[:-1]] += n - min(cut, n)
+            self.cut.append(cut)
+            self.total.append(total)
+            self.kept.append(kept)
+
+    def p(self, gram):
+        p = self.floor
+        for k in range(4):
+            own = gram[3 - k :]
+            total = self.total[k].get(own[:-1])
+            if total:
+                seen = self.levels[k].get(own, 0)
+                p = max(seen - self.cut[k], 0) / total + max(1 - self.kept[k][own[:-1]] / total, 1e-9) * p
+        return p
+
+    def bits(self, text):
+        x = letters_of(text)
+        return -sum(math.log2(self.p(tuple(x[i : i + 4]))) for i in range(len(x) - 3)) / (len(x) - 3)
+
+
+def models(rows):
+    """Brute-force models of (text, lang), as rows of folds 2 to 4 teach them."""
+    by = {lang: [t for t, x in rows if x == lang] for lang in sorted({x for _, x in rows})}
+    floor = 1 / (len({c for t, _ in rows for c in letters_of(t)}) + 1)
+    return {lang: Brute(texts, floor) for lang, texts in by.items()}
+
+
+def test_scores_are_those_of_brute_force(docs, spark):
+    """Every text's bits a character and language, with letters beyond U+FFFF and unseen ones."""
+    more = spark.createDataFrame([(2000 + i, t, x) for i, (t, x) in enumerate([("𐐀𐐩𐐪𐐫 𐐬𐐭 𐐀𐐩𐐪", "xx"), ("한국어 말 漢字", "xx"), ("quixotic zephyr жщ", None), ("ß", None), ("été " * 300, None)] * 4)], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").union(more).withColumn("fold", crc_fold(F.col("doc_id"), 5))
+    rows = both.collect()
+    brute = models([(r.text, r.lang) for r in rows if r.text is not None and r.lang is not None and (r.fold or 0) > 1])
+    told = language_id.identify(both).select("text", "language.*").collect()
+    assert len(told) == len(rows)
+    for r in told:
+        if r.text is None or not any(c.isalpha() for c in r.text) or len(r.text) > 10_000:
+            continue
+        bits = {lang: m.bits(r.text) for lang, m in brute.items()}
+        assert abs(r.bits_per_char - min(bits.values())) < 1e-4 and bits[r.lang_pred] - min(bits.values()) < 1e-4
+
+
 def test_probabilities_sum_to_one(docs):
-    model = language_id.fit(docs)
-    used = np.unique(model.keys[0])
-    for text in ("the", "cha", "zzz", "dé"):
-        gram = language_id.grams([text])[0][len(text) - 1]
-        context = (int(gram) << language_id.BITS) & ((1 << 48) - 1)
-        p = np.exp2(model.score(np.array([context | int(c) for c in used], np.int64))).sum(axis=0)
-        assert (p <= 1 + 1e-5).all() and (p >= 1 - 2 * np.exp2(model.floor)).all()  # the rest is for letters never seen
+    rows = [(r.text, r.lang) for r in docs.collect() if r.text and r.lang]
+    brute = models(rows)
+    counted = language_id.count(docs.where("text <> ''").select("text", "lang").where("lang is not null"))
+    langs, floor, entries = language_id.learn(counted)
+    units = sorted({c for t, _ in rows for c in letters_of(t)})
+    for context in ("   ", " th", "cha", "zzz"):
+        grams = [letters_of(context)[-4:-1] + [u] if context.strip() else [0, 0, 0, u] for u in units]
+        codes = [sum(c << (16 * (3 - i)) for i, c in enumerate(g)) for g in grams]
+        scores = {r.gram: r.scores for r in language_id.gram_scores(docs.sparkSession.createDataFrame([(c,) for c in codes], "gram long"), langs, floor, entries).collect()}
+        for j, lang in enumerate(langs):
+            p = [2 ** scores[c][j] for c in codes]
+            assert 1 - 2 * 2**floor - 1e-5 <= sum(p) <= 1 + 1e-5  # the rest is for letters never seen
+            assert all(abs(x - brute[lang].p(tuple(g))) < 1e-5 for x, g in zip(p, grams, strict=True))
 
 
 def test_wrong_script_is_rejected(docs, spark):
-    held = spark.sparkContext.broadcast(language_id.fit(docs))
-    odd = spark.createDataFrame([("жщ ыъэ юящ фхц чшщ ъыь эюя " * 20,), ("the cat and dog said " * 10,)], "text string")
-    assert [r[0] for r in odd.select(language_id.predict(F.col("text"), held)["rejected"]).collect()] == [True, False]
+    odd = spark.createDataFrame([(3000, "жщ ыъэ юящ фхц чшщ ъыь эюя " * 20, None), (3001, "the cat and dog said " * 10, None)], "doc_id long, text string, lang string")
+    told = {r.doc_id: r.rejected for r in language_id.identify(docs.select("doc_id", "text", "lang").union(odd)).select("doc_id", "language.rejected").collect()}
+    assert told[3000] and not told[3001]
 
 
 def test_nothing_to_learn_and_empty_table(docs):
@@ -55,21 +134,20 @@ def test_nothing_to_learn_and_empty_table(docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
 
 
-def test_no_gram_is_dropped_and_slices_score_as_the_whole(docs, spark):
-    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)]
+def test_no_gram_is_dropped_and_chunks_and_blocks_change_nothing(docs, spark, monkeypatch):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]
     random = np.random.default_rng(2)
-    crowd = [(5000 + i, "".join(random.choice(letters, 10_000)), "zz") for i in range(240)]
-    both = docs.where("doc_id < 1000").select("doc_id", "text", "lang").union(spark.createDataFrame([*crowd, (9000, "quixotic", "en")], "doc_id long, text string, lang string"))
-    model = language_id.fit(both)
-    assert len(model.keys[3]) > 1_000_000  # more than an order once kept
-    gram = language_id.grams(["quixotic"])[0]
-    at, hit = language_id._find(model.keys[3], gram)
-    assert hit.all() and not np.isnan(model.logp[3][at, model.langs.index("en")]).any()
-    told = {r.doc_id: r.language for r in language_id.identify(both.where("doc_id < 5020 or doc_id >= 9000")).collect()}
-    small = language_id.fit(both.where("doc_id < 5020 or doc_id >= 9000"))
-    for r in both.where("doc_id < 5020 or doc_id >= 9000").collect():
-        own = small.texts([r.text]).iloc[0]
-        assert told[r.doc_id].lang_pred == own.lang_pred and abs(told[r.doc_id].bits_per_char - own.bits_per_char) < 1e-4 and told[r.doc_id].rejected == own.rejected
+    crowd = [(5000 + i, "".join(random.choice(letters, 10_000)), "zz") for i in range(120)]
+    both = docs.where("doc_id < 1000").select("doc_id", "text", "lang").union(spark.createDataFrame([*crowd, (9002, "quixotic", "en")], "doc_id long, text string, lang string"))
+    counted = language_id.count(language_id._training(both, "text", "lang", "doc_id"))
+    learnt = [r[1] for r in crowd if zlib.crc32(str(r[0]).encode()) % 5 > 1]
+    assert counted.where("lang = 'zz'").count() == len({g for t in learnt for x in [letters_of(t)] for g in zip(x, x[1:], x[2:], x[3:])}) > 600_000
+    some = both.where("doc_id < 5010 or doc_id >= 9000")
+    whole = {r.doc_id: r.language for r in language_id.identify(some).collect()}
+    monkeypatch.setattr(language_id, "CHUNK", 5000)
+    monkeypatch.setattr(language_id, "GRAMS", 1000)
+    for r in language_id.identify(some).collect():
+        assert r.language.lang_pred == whole[r.doc_id].lang_pred and abs(r.language.bits_per_char - whole[r.doc_id].bits_per_char) < 1e-6
 
 
 @pytest.mark.parametrize("odd", ["en", "es"])
