@@ -1,16 +1,18 @@
 """Token counts by a compiled finite-state tokenizer, for byte-level BPE with the usual contraction/letter/number split.
 
-Three compiled parts: a table from code point to one of 11 classes (asked of the tokenizer's own splitter, so its Unicode
-version counts); a deterministic transducer of 12 states over those classes whose transitions emit token starts at this or
-the previous character; and a lexicon transducer from a split word to the tokens it emits, which grows as words appear
-(the vocabulary library compiles an entry once; a full lexicon is dropped and grows anew, so memory is bounded).
+Two transducers. The splitter: a table from code point to one of 11 classes (asked of the tokenizer's own splitter, so its
+Unicode version counts) and a deterministic machine of 12 states over those classes, whose transitions emit word starts at
+this or the previous character. Texts of a batch form one stream with an end class between texts, cut into chunks of CHUNK
+characters; all chunks advance in step from every entry state, which gives a state map for each; a parallel prefix scan
+composes the maps; a second pass emits from the entry states now known.
 
-Texts of a batch form one stream with an end class between texts. The stream is cut into chunks of CHUNK characters; all
-chunks advance in step from every entry state, which gives a state map for each; a parallel prefix scan composes the maps;
-a second pass emits from the entry states now known. A text may be of any length.
+The merges (`Merges`): a deterministic machine over bytes whose transitions emit the change of the token count. Its states
+are compiled when first met, as far as memory allows. It starts anew at each word, so a word's map is the same from every
+entry state, a text's count is the sum over its words, and the counts of words met before are looked up.
 
 Edge cases: null text counts as empty: 0 bytes, 0 tokens. Added special tokens inside a text count one each, as the
-library does by default. Repeated rows give repeated results.
+library does by default. Repeated rows give repeated results, an empty table none. A text or word of any length is counted
+whole. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,15 +106,141 @@ def token_starts(kinds: np.ndarray, tables: tuple[np.ndarray, np.ndarray], chunk
     return starts
 
 
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies show printable Latin-1 bytes as themselves and the others, in order, from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Merges:
+    """Byte-pair merges as a transducer: state and byte give the next state and the change of the token count.
+
+    The tokens of a prefix are those of a shorter prefix and one more token, and there is one such pair whose border no
+    merge crosses. A state therefore holds, for each place where a token that goes on could have begun, the trie node since
+    then, the last token before it, and its token count less that of the whole prefix.
+    """
+
+    def __init__(self, merges: list, size: int = 400_000):
+        byte_of = _byte_of()
+        raw = lambda shown: bytes(byte_of[c] for c in shown)
+        self.names = [bytes([b]) for b in range(256)]
+        number = {n: i for i, n in enumerate(self.names)}
+        self.pair: dict[tuple[int, int], int] = {}  # of two tokens: what they merge into; tokens are numbered as they are made
+        self.halves: list[tuple[int, int] | None] = [None] * 256
+        for a, b in (m.split(" ") if isinstance(m, str) else m for m in merges):
+            both = number[raw(a)], number[raw(b)]
+            name = raw(a) + raw(b)
+            if name in number:
+                raise ValueError("two merges make the same token")
+            self.pair[both] = number[name] = len(self.names)
+            self.names.append(name)
+            self.halves.append(both)
+        if max(map(len, self.names)) > 255:
+            raise ValueError("a token of more than 255 bytes")
+        self.after: dict[int, int] = {}  # trie: node * 256 + byte -> node
+        self.token, self.inner = [-1], [False]
+        whole = [True] * 256
+        for t, halves in enumerate(self.halves):
+            if halves:  # whether its own bytes give the token
+                whole.append(whole[halves[0]] and whole[halves[1]] and self._apart(*halves, made=t))
+            if whole[t]:
+                self._add(t)
+        self.size = size
+        self.border: dict[int, bool] = {}
+        self._clear()
+
+    def _add(self, t: int) -> None:
+        at = 0
+        for b in self.names[t]:
+            if (at << 8 | b) not in self.after:
+                self.after[at << 8 | b] = len(self.token)
+                self.inner[at] = True
+                self.token.append(-1)
+                self.inner.append(False)
+            at = self.after[at << 8 | b]
+        self.token[at] = t
+
+    def _edge(self, t: int, side: int) -> list[tuple[int, int]]:
+        """The pieces that are outermost on a side of the token while it is made, each with the token whose making ends it."""
+        out, end = [], len(self.names)
+        while True:
+            out.append((t, end))
+            if self.halves[t] is None:
+                return out
+            t, end = self.halves[t][side], t
+
+    def _apart(self, a: int, b: int, made: int = -1) -> bool:
+        """Whether no merge (but `made`) crosses the border of the bytes of a and b. A merge takes place if it comes before both pieces' own next ones; of equal merges the left goes first."""
+        for x, x_end in self._edge(a, 1):
+            for y, y_end in self._edge(b, 0):
+                m = self.pair.get((x, y), -1)
+                if m >= 0 and m != made and m < x_end and m <= y_end:
+                    return False
+        return True
+
+    def _clear(self) -> None:
+        self.states: list[tuple[int, ...]] = []
+        self.known: dict[tuple[int, ...], int] = {}
+        self.moves: dict[int, int] = {}  # state * 256 + byte -> next state * 512 + change + 256
+        self.border.clear()
+        self._number((256,))  # the trie's root, no token before it, as many tokens as there are
+
+    def _number(self, state: tuple[int, ...]) -> int:
+        if state not in self.known:
+            self.known[state] = len(self.states)
+            self.states.append(state)
+        return self.known[state]
+
+    def _compile(self, state: int, byte: int) -> int:
+        """Add the move; a place is packed as (node * 2**20 + last token + 1) * 512 + difference + 256."""
+        there = self.states[state]
+        if len(self.moves) >= self.size:  # forget what was compiled
+            self._clear()
+            state = self._number(there)
+        going, found = [], None
+        for place in there:
+            last, node, more = (place >> 9 & 0xFFFFF) - 1, place >> 29, (place & 511) - 256
+            node = self.after.get(node << 8 | byte, -1)
+            if node < 0:
+                continue
+            t = self.token[node]
+            if t >= 0:
+                key = last << 20 | t
+                fits = last < 0 or self.border.get(key)
+                if fits is None:
+                    fits = self.border[key] = self._apart(last, t)
+                if fits:
+                    found = t, more + 1
+            if self.inner[node]:
+                going.append((node << 20 | last + 1, more))
+        t, change = found
+        state_after = self._number((*((head << 9) + more - change + 256 for head, more in going), t + 1 << 9 | 256))
+        move = self.moves[state << 8 | byte] = state_after << 9 | change + 256
+        return move
+
+    def count(self, word: bytes) -> int:
+        state = total = 0
+        for byte in word:
+            move = self.moves.get(state << 8 | byte)
+            if move is None:
+                move = self._compile(state, byte)
+            state = move >> 9
+            total += (move & 511) - 256
+        return total
+
+
 class Compiled:
-    """A tokenizer of the library, compiled; one for each worker process."""
+    """A tokenizer, compiled; one for each worker process. The library's splitter is asked for classes of characters, for no count."""
 
     def __init__(self, definition: str, lexicon_size: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        told = json.loads(definition)
         self.library = Tokenizer.from_str(definition)
-        self.special = [t["content"] for t in json.loads(definition)["added_tokens"]]
+        self.special = [t["content"] for t in told["added_tokens"]]
+        self.merges = Merges(told["model"]["merges"])
         self.kinds = np.full(0x110000, 255, np.uint8)
         self._classify(np.arange(0x3000))
         self.tables = compiled()
@@ -158,8 +286,7 @@ class Compiled:
         emitted[closing] = 0
         new = np.flatnonzero(emitted < 0)
         if len(new):
-            unknown = list(dict.fromkeys(words[i] for i in new.tolist()))
-            counts = dict(zip(unknown, (len(e.ids) for e in self.library.encode_batch(unknown, add_special_tokens=False)), strict=True))
+            counts = {w: self.merges.count(w.encode()) for w in dict.fromkeys(words[i] for i in new.tolist())}
             emitted[new] = [counts[words[i]] for i in new.tolist()]
             if len(self.lexicon) + len(counts) > self.lexicon_size:
                 self.lexicon.clear()

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -32,6 +33,23 @@ def test_any_text(texts):
     assert MACHINE.count(texts).tolist() == [true(t) for t in texts]
 
 
+def test_no_count_comes_from_the_library_and_forgetting_changes_nothing(monkeypatch):
+    """The merges alone, with room for 50 compiled moves, over words of the driver's documents and of random letters."""
+    import duckdb
+
+    random.seed(2)
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' where text is not null").fetchall()]
+    words = [w.replace("Ġ", " ") for t in texts for w, _ in LIBRARY.pre_tokenizer.pre_tokenize_str(t)]
+    words = [w for w in dict.fromkeys(words) if w.isascii()][:3000] + ["".join(random.choices("aeinrst", k=random.randrange(1, 60))) for _ in range(2000)] + ["na" * 20_000]
+    small = token_count.Merges(json.loads(DEFINITION)["model"]["merges"], size=50)
+    want = [len(e.ids) for e in LIBRARY.encode_batch(words, add_special_tokens=False)]
+    assert [MACHINE.merges.count(w.encode()) for w in words] == want
+    assert [small.count(w.encode()) for w in words[:500]] == want[:500]
+    machine = token_count.Compiled(DEFINITION)
+    monkeypatch.setattr(machine, "library", None)  # classes of these characters are known
+    assert machine.count(words[:100]).tolist() == want[:100]
+
+
 def test_chunks_change_nothing():
     random.seed(5)
     kinds = np.array(random.choices(range(12), k=3000), np.uint8)
