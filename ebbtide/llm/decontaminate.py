@@ -1,225 +1,242 @@
 r"""Benchmark decontamination by suffix arrays of the training words.
 
-Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z. A window is `width` consecutive words of a benchmark
-item; an item of fewer words, but not none, is one window. Each Arrow piece of the corpus is a shard: its suffixes that
-could begin a window (their first words do, by a bitmap without false negatives) are sorted by their first `width` words, a
-suffix array; every test suffix is binary-searched in it, which gives the range of its verbatim occurrences, hence their
-locations; neighbouring occurrences on one diagonal join to the longest match.
+Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z. Texts stay where they are read: each Arrow piece of about
+SHARD characters is a shard. All its suffixes are sorted (prefix doubling, to the depth of the longest benchmark item, which
+is all that a search can tell apart), and every suffix of every benchmark item is binary-searched in that array. The places
+found give, with the common prefixes of the neighbours, the longest verbatim match at every word of the shard, of any
+length. A second pair of searches, by the first `width` words, gives the range of all occurrences of each window: `width`
+consecutive words of an item; an item of fewer words, but not none, is one window.
 
-Neither the driver nor a worker holds the benchmark. Its windows are hashed in tasks to a table, of which only a bitmap of
-2**SLOT_BITS bits is collected and broadcast. Texts are dealt by hash to chunks of about CHUNK characters; a chunk names the
-window hashes of its own that the bitmap lets through, a shuffled join finds the benchmark rows that have them, and the
-chunk is searched for those rows alone. Equal windows have equal hashes, so no hit is missed; the search verifies the words.
+The benchmark is a stated set of queries. It is taken in blocks of BLOCK characters (and one item at least), one pass over
+the texts for each: a block, and no more, is on the driver and in a worker at once, and what a pass finds is written before
+the next begins. A benchmark of up to BLOCK characters takes one pass, without any shuffle.
 
 Edge cases: null and wordless texts have no words and no hit. Repeated benchmark rows count once for an item_id; a null
-item_id hits words but is no item. An empty benchmark contaminates nothing.
+item_id hits words but is no item. An empty benchmark contaminates nothing; an empty table gives no rows. Repeated rows are
+judged alike. A text is never cut: one longer than SHARD is a shard of its own. Of equally long matches the first in the
+text is told, with one of the items that hold it. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ebbtide.core import checkpointed, table
 from ebbtide.llm.text import fresh, pieces
 
-WIDTH = 13
+WIDTH, SHARD, BLOCK = 13, 4_000_000, 8_000_000
 KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_item string, longest_at long"
-SLOTS = 1 << 22
-SLOT_BITS, CHUNK = 26, 8_000_000
-MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+FOUND = "n_words long, spans array<struct<start: int, end: int>>, items array<string>, longest_match long, longest_item string, longest_at long"
 
 
 def words(text: str) -> list[bytes]:
     return text.encode().translate(KEEP).split()
 
 
-def _slots(*ids: np.ndarray) -> np.ndarray:
-    mixed = sum((x.astype(np.uint64) + np.uint64(k)) * MIX[k] for k, x in enumerate(ids))
-    return ((mixed ^ (mixed >> np.uint64(29))) * MIX[0] >> np.uint64(42)).astype(np.int64)
-
-
-def _rows(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """The `width` word numbers from each place, as strings that sort like them."""
-    wide = np.lib.stride_tricks.sliding_window_view(ids, width)[at]
-    return np.ascontiguousarray(wide.astype(">u4")).view(f"S{4 * width}")[:, 0]
-
-
-class Block:
-    """Windows of some benchmark items, over the block's own numbering of words (0: no word of the block)."""
-
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int = WIDTH):
-        self.width = width
+def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Places of ids, sorted by the `depth` (or more) ids from there on."""
+    rank, size = ids.astype(np.int64), 1
+    while True:
+        later = np.zeros_like(rank)
+        later[:-size] = rank[size:] + 1
+        key = rank * (int(rank.max(initial=0)) + 2) + later
+        order = np.argsort(key)
+        key = key[order]
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        size *= 2
+        if size >= depth or size >= len(ids) or rank[order[-1]] == len(ids) - 1:
+            return order
+
+
+def common(a: np.ndarray, at: np.ndarray, b: np.ndarray, there: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many ids from a's places `at` and b's places `there` agree, `most` at most. Both end in an id that the other lacks."""
+    n, going = np.zeros(len(at), np.int64), np.arange(len(at))
+    while len(going):
+        k = n[going]
+        going = going[(k < most[going]) & (a[at[going] + k] == b[there[going] + k])]
+        n[going] += 1
+    return n
+
+
+def bound(ids: np.ndarray, array: np.ndarray, tests: np.ndarray, places: np.ndarray, sizes: np.ndarray, after: bool = False) -> np.ndarray:
+    """Binary search: for each test (the `sizes` ids from `places`), how many suffixes come before it; `after`: or begin with it."""
+    low, high = np.zeros(len(places), np.int64), np.full(len(places), len(array))
+    going = np.arange(len(places))
+    while len(going := going[low[going] < high[going]]):
+        middle = (low[going] + high[going]) // 2
+        at, p, most = array[middle], places[going], sizes[going]
+        n = common(ids, at, tests, p, most)
+        whole = n == most
+        right = np.where(whole, after, ids[at + n] < tests[p + n])
+        low[going[right]] = middle[right] + 1
+        high[going[~right]] = middle[~right]
+    return low
+
+
+def _spread(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (many of them) of each."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - start, many)
+
+
+class Tests:
+    """All suffixes of some benchmark items, sorted, and their distinct windows."""
+
+    def __init__(self, rows: list[tuple[str | None, str]], width: int = WIDTH):
         self.number: dict[bytes, int] = {}
-        seen: dict[bytes, tuple[int, set]] = {}
-        self.starts = [np.zeros(SLOTS, bool) for _ in range(3)]  # of windows of 1, 2, and more words
-        lasting: list[list[int]] = [[], [], []]
-        for item, own in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in own]
-            size = min(width, len(ids))
-            for p in range(len(ids) - size + 1 if ids else 0):
-                window = ids[p : p + size]
-                seen.setdefault(np.array(window, ">u4").tobytes(), (size, set()))[1].add((item, p))
-                kind = min(size, 3) - 1
-                lasting[kind] += window[: kind + 1]
-        for kind, flat in enumerate(lasting):
-            first = np.array(flat, np.int64).reshape(-1, kind + 1)
-            self.starts[kind][_slots(*first.T)] = True
-        self.used = [bool(x) for x in lasting]
-        keys = sorted(seen)
-        self.sizes = np.array([seen[k][0] for k in keys], np.int64)
-        self.low = np.array([k.ljust(4 * width, b"\0") for k in keys], f"S{4 * width}")
-        self.high = np.array([k.ljust(4 * width, b"\xff") for k in keys], f"S{4 * width}")
-        self.places = [sorted(seen[k][1], key=str) for k in keys]
-
-    def occurrences(self, owned: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Places (words from the piece's start, `width` blanks after each text) and window numbers."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.sizes):
-            return none
-        get = self.number.get
-        ids = np.array([x for own in owned for x in (*map(get, own), *[None] * self.width)], object)
-        ids = np.where(np.equal(ids, None), 0, ids).astype(np.int64)
-        may = np.zeros(len(ids) - self.width, bool)
-        for kind in (k for k in range(3) if self.used[k]):
-            at = np.flatnonzero(ids[: len(may)])
-            for k in range(1, kind + 1):
-                at = at[ids[at + k] > 0]
-            may[at[self.starts[kind][_slots(*(ids[at + k] for k in range(kind + 1)))]]] = True
-        at = np.flatnonzero(may)
-        if not len(at):
-            return none
-        rows = _rows(ids, at, self.width)
-        order = np.argsort(rows, kind="stable")
-        array, at = rows[order], at[order]
-        low, high = np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.high, "right")
-        hit = np.flatnonzero(high > low)
-        many = (high - low)[hit]
-        flat = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[hit], many)
-        return at[flat], np.repeat(hit, many)
-
-
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH, block_words: int = 500_000) -> list:
-    """Broadcast Blocks of a small benchmark, built one at a time; `match` doesn't use them."""
-    context, out, held, size = benchmark.sparkSession.sparkContext, [], [], 0
-    for row in benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
-        own = words(row[1])
-        if held and size + len(own) > block_words:
-            out.append(context.broadcast(Block(held, width)))
-            held, size = [], 0
-        held.append((row[0], own))
-        size += len(own)
-    return [*out, context.broadcast(Block(held, width))] if held else out
-
-
-def examine(texts: list[str], found: list[Block], width: int = WIDTH) -> list[tuple]:
-    owned = [words(t) for t in texts]
-    sizes = np.fromiter(map(len, owned), np.int64, len(owned)) + width
-    starts = np.cumsum(sizes) - sizes
-    edges = np.zeros(int(sizes.sum()) + 1, np.int32)
-    items: list[set] = [set() for _ in texts]
-    longest: list[tuple] = [(0, "", 0)] * len(texts)
-    for block in found:
-        at, window = block.occurrences(owned)
-        if not len(at):
-            continue
-        size = block.sizes[window]
+        self.names = sorted({item for item, _ in rows if item is not None})
+        name = {item: i for i, item in enumerate(self.names)}
+        flat, ends, owner, windows = [], [], [], []
+        for item, text in rows:
+            own = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+            start, size = len(flat), min(width, len(own))
+            flat += own
+            ends += [len(flat)] * len(own)
+            owner += [name.get(item, -1)] * len(own)
+            windows += [(p, size) for p in range(start, start + len(own) - size + 1) if own]
+        self.ids = np.array([*flat, 0], np.int64)
+        self.room = np.array(ends, np.int64) - np.arange(len(flat))
+        self.owner = np.array(owner, np.int64)
+        self.depth = int(self.room.max(initial=1))
+        # one blank after each item, for sorting alone: a suffix ends with its item
+        cut = np.flatnonzero(self.room == 1)
+        spaced = np.insert(self.ids[:-1], cut + 1, 0)
+        array = suffix_array(spaced, self.depth) if len(flat) else np.zeros(0, np.int64)
+        back = np.cumsum(spaced > 0) - 1
+        self.array = back[array[spaced[array] > 0]]
+        at, size = np.array(windows, np.int64).reshape(-1, 2).T
+        rank = np.zeros(len(flat), np.int64)  # of equal windows one stands for all
+        rank[self.array] = np.arange(len(flat))
+        order = np.lexsort((rank[at], size))
+        at, size = at[order], size[order]
+        same = np.zeros(len(at), bool)
+        same[1:] = (size[1:] == size[:-1]) & (common(self.ids, at[1:], self.ids, at[:-1], size[1:]) == size[1:])
+        group = np.cumsum(~same) - 1
+        self.window, self.size = at[~same], size[~same]
+        pairs = np.unique(np.stack((group, self.owner[at])), axis=1)
+        pairs = pairs[:, pairs[1] >= 0]
+        self.items = pairs[1]  # of each window, one after the other
+        self.many = np.bincount(pairs[0], minlength=len(self.window)).astype(np.int64)
+        self.first = np.cumsum(self.many) - self.many
+
+    def examine(self, texts: list[str]) -> list[tuple]:
+        """A row of FOUND for each text of a shard."""
+        owned = [words(t) for t in texts]
+        sizes = np.fromiter(map(len, owned), np.int64, len(owned))
+        if not len(self.array) or not len(texts):
+            return [(n, [], [], 0, "", 0) for n in sizes.tolist()]
+        number = defaultdict(count(len(self.number) + 1).__next__, self.number)  # further words follow those of the tests
+        ids = np.fromiter((number[w] for own in owned for w in (*own, b"")), np.int64, int(sizes.sum()) + len(sizes))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        ids[starts + sizes] = 0  # a blank after each text
+        array = suffix_array(ids, self.depth)
+        spans, items = self._windows(ids, array, starts, sizes)
+        return list(zip(sizes.tolist(), spans, items, *self._longest(ids, array, starts, sizes), strict=True))
+
+    def _windows(self, ids: np.ndarray, array: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[list, list]:
+        """Spans of words inside window occurrences, and the items of the windows, of each text."""
+        low = bound(ids, array, self.ids, self.window, self.size)
+        many = bound(ids, array, self.ids, self.window, self.size, after=True) - low
+        window = np.repeat(np.arange(len(many)), many)
+        at = array[_spread(low, many)]
+        edges = np.zeros(len(ids) + 1, np.int64)
         np.add.at(edges, at, 1)
-        np.add.at(edges, at + size, -1)
-        owner = np.searchsorted(starts, at, "right") - 1
-        runs: dict[tuple, tuple[int, int]] = {}  # (text, item, place in text - place in item): where the run began, where it goes on
-        for k in np.argsort(at, kind="stable").tolist():
-            a, i, w = int(at[k]), int(owner[k]), int(window[k])
-            for item, p in block.places[w]:
-                if item is not None:
-                    items[i].add(item)
-                key = (i, item, a - p)
-                began = runs[key][0] if key in runs and runs[key][1] == a else a
-                runs[key] = began, a + 1
-                longest[i] = max(longest[i], (a - began + int(size[k]), item or "", int(began - starts[i])), key=lambda x: x[0])
-    covered = np.cumsum(edges)[:-1] > 0
-    hits = np.add.reduceat(covered.astype(np.int64), starts) if len(starts) else []
-    return [
-        (int(n) - width, int(h), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(h > 0 and 20 * h >= n - width), *best)
-        for n, h, own, best in zip(sizes, hits, items, longest, strict=True)
-    ]
-
-
-def _hashes(own: list[bytes], size: int) -> np.ndarray:
-    """64-bit hashes of all `size` consecutive words."""
-    each = np.fromiter(map(zlib.crc32, own), np.uint64, len(own)) * MIX[0]
-    each ^= each >> np.uint64(31)
-    n = max(len(own) - size + 1, 0)
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = out * MIX[1] + each[k : k + n]
-    return (out ^ (out >> np.uint64(32))) * MIX[2]
-
-
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def windows(rows: DataFrame, width: int) -> DataFrame:
-    """(row, size, hash) of each window of benchmark rows (row, text)."""
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        np.add.at(edges, at + self.size[window], -1)
+        covered = np.concatenate(([0], (np.cumsum(edges)[:-1] > 0).astype(np.int8), [0]))
+        change = np.diff(covered)
+        begin, end = np.flatnonzero(change > 0), np.flatnonzero(change < 0)
+        spans: list = [[] for _ in starts]
+        owner = np.searchsorted(starts, begin, "right") - 1
+        for i, a, b in zip(owner.tolist(), (begin - starts[owner]).tolist(), (end - starts[owner]).tolist(), strict=True):
+            spans[i].append({"start": a, "end": b})
+        pairs = np.unique((np.searchsorted(starts, at, "right") - 1) * np.int64(len(many)) + window)
+        text, window = pairs // max(len(many), 1), pairs % max(len(many), 1)
+        found = np.unique(np.repeat(text, self.many[window]) * np.int64(len(self.names) + 1) + self.items[_spread(self.first[window], self.many[window])])
+        items: list = [[] for _ in starts]
+        for i, k in zip((found // (len(self.names) + 1)).tolist(), (found % (len(self.names) + 1)).tolist(), strict=True):
+            items[i].append(self.names[k])
+        return spans, items
+
+    def _longest(self, ids: np.ndarray, array: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[list, list, list]:
+        """The longest match of any length, its item and its first word, of each text."""
+        low = bound(ids, array, self.ids, self.array, self.room[self.array])  # of the sorted tests: rises
+        shared = np.flatnonzero((ids[array] > 0) & (ids[array] <= len(self.number)))
+        at, next_ = array[shared], np.searchsorted(low, shared, "right")
+        length, source = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for side in (next_ - 1, next_):
+            ok = (side >= 0) & (side < len(low))
+            test = self.array[side[ok]]
+            n = common(ids, at[ok], self.ids, test, self.room[test])
+            more = n > length[at[ok]]
+            length[at[ok][more]], source[at[ok][more]] = n[more], test[more]
+        best = np.maximum.reduceat(length * np.int64(len(ids)) + (len(ids) - 1 - np.arange(len(ids))), starts)
+        n, place = best // len(ids), len(ids) - 1 - best % len(ids)
+        owner = self.owner[source[place]]
+        return n.tolist(), [self.names[k] if m and k >= 0 else "" for k, m in zip(owner.tolist(), n.tolist(), strict=True)], np.where(n > 0, place - starts, 0).tolist()
+
+
+_TESTS: list = []
+
+
+def _tests(rows: list, width: int) -> Tests:
+    """One a worker process: the block that is searched now."""
+    if not _TESTS or _TESTS[0] is not rows or _TESTS[1] != width:
+        _TESTS[:] = rows, width, Tests(rows, width)
+    return _TESTS[2]
+
+
+def searched(text: Column, held, width: int = WIDTH) -> Column:
+    """A struct column (FOUND) of a text column; `held` is a broadcast list of (item, text)."""
+
+    @F.pandas_udf(FOUND)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tests = _tests(held.value, width)
+        names = ["n_words", "spans", "items", "longest_match", "longest_item", "longest_at"]
         for batch in batches:
-            for row, text in zip(batch["row"], batch["text"], strict=True):
-                own = words(text)
-                if own:
-                    size = min(width, len(own))
-                    yield pd.DataFrame({"row": row, "size": size, "hash": np.unique(_hashes(own, size)).view(np.int64)})
-
-    return rows.mapInPandas(made, "row long, size int, hash long")
-
-
-def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, kept: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `kept`) with a struct column `overlap` (or a longer name)."""
-    kept, name, chunk, spark = kept or docs.columns, fresh(docs, "overlap"), fresh(docs, "chunk_"), docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").distinct().withColumn("row", F.xxhash64("item", "text"))
-    known = checkpointed(windows(rows.select("row", "text"), width))
-    sizes = [r[0] for r in known.select("size").distinct().collect()]
-    slot = F.shiftrightunsigned("hash", 64 - SLOT_BITS)
-    bitmap = np.zeros((1 << SLOT_BITS) // 64, np.uint64)
-    bits = known.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - SLOT_BITS}) & 63 as int))")).alias("bits")).toArrow()
-    bitmap[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-    held = spark.sparkContext.broadcast(bitmap)
-    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    dealt = docs.withColumn(chunk, F.pmod(F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant")))), F.lit(1 + total // CHUNK)))
-
-    def ask(group: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.uint64)]
-        for piece in pieces(group[text].to_pylist(), 2_000_000):
-            own = [w for t in piece for w in words(t)]  # windows over two texts ask for too much, never for too little
-            for size in sizes:
-                asked = _hashes(own, size)
-                at = _slot(asked)
-                found.append(np.unique(asked[(held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0]))
-        asked = np.unique(np.concatenate(found)).view(np.int64)
-        return pa.table({chunk: pa.array(np.full(len(asked), group[chunk][0].as_py(), np.int64)), "hash": pa.array(asked)})
-
-    def answer(group: pa.Table, items: pa.Table) -> pa.Table:
-        block = [Block([(i, words(t)) for i, t in zip(items["item"].to_pylist(), items["text"].to_pylist(), strict=True)], width)] if len(items) else []
-        told = [row for piece in pieces(group[text].to_pylist(), 2_000_000) for row in examine(piece, block, width)]
-        names, kinds = zip(*(c.split() for c in RESULT.split(", ")), strict=True)
-        columns = [pa.array(x, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[k]) for x, k in zip(zip(*told, strict=True), kinds, strict=True)]
-        return group.select(kept).append_column(name, pa.StructArray.from_arrays(columns, list(names)))
-
-    asked = dealt.groupBy(chunk).applyInArrow(ask, f"`{chunk}` long, hash long")
-    pairs = asked.join(known.select("hash", "row"), "hash").select(chunk, "row").distinct()
-    items = pairs.join(rows, "row").select(chunk, "item", "text")
-    made = T.StructType([*docs.select(*kept).schema.fields, T.StructField(name, T._parse_datatype_string(RESULT))])
-    return dealt.groupBy(chunk).cogroup(items.groupBy(chunk)).applyInArrow(answer, made)
+            yield pd.DataFrame([row for piece in pieces(batch, SHARD) for row in tests.examine(piece)], columns=names)
+
+    return found.asNondeterministic()(text)
+
+
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[str | None, str]]]:
+    """The benchmark's distinct rows (item, text), in lists of about BLOCK characters; one list at least."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null").distinct()
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    many = max(1, -(-total // BLOCK))
+    for k in range(many):
+        own: pa.Table = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k).toArrow()
+        yield list(zip(own["item"].to_pylist(), own["text"].to_pylist(), strict=True))
+
+
+def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """docs with a struct column `overlap` (or a longer name): n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_item, longest_at."""
+    name, context = fresh(docs, "overlap"), docs.sparkSession.sparkContext
+    out, parts = docs, []
+    for own in blocks(benchmark):
+        if parts:
+            out = checkpointed(out)
+        parts.append(fresh(out, "found_"))
+        out = out.withColumn(parts[-1], searched(F.col(text), context.broadcast(own), width))
+    spans = F.array_sort(F.flatten(F.array(*(F.col(p)["spans"] for p in parts))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
+    more = lambda sofar, x: F.struct((sofar["n"] + F.greatest(x["end"] - F.greatest(x["start"], sofar["to"]), F.lit(0))).alias("n"), F.greatest(x["end"], sofar["to"]).alias("to"))
+    hit = F.aggregate(spans, zero, more)["n"]
+    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(p)["items"] for p in parts)))))
+    best = reduce(lambda a, b: F.when(b["longest_match"] > a["longest_match"], b).otherwise(a), (F.col(p) for p in parts))
+    n = F.col(parts[0])["n_words"]
+    told = F.struct(
+        n.alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= n)).alias("contaminated"),
+        *(best[c].alias(c) for c in ("longest_match", "longest_item", "longest_at")),
+    )
+    return out.withColumn(name, told).select(*docs.columns, name)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -229,7 +246,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), kept=["doc_id"])
+    found = match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", *(f"overlap.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from ebbtide.llm import decontaminate
@@ -23,10 +24,11 @@ def brute(text, benchmark, width=13):
                 if own[i : i + n] == w[p : p + n]:
                     hit |= set(range(i, i + n))
                     items |= {str(item)} if item is not None else set()
-                    k = n
-                    while i + k < len(own) and p + k < len(w) and own[i + k] == w[p + k]:
-                        k += 1
-                    longest = max(longest, k)
+        for shift in range(-len(w), len(own)):
+            run = 0
+            for i in range(max(shift, 0), min(shift + len(w), len(own))):
+                run = run + 1 if own[i] == w[i - shift] else 0
+                longest = max(longest, run)
     return len(own), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(own), longest
 
 
@@ -49,20 +51,37 @@ def case(spark):
 
 
 def test_matches_equal_brute_force(case):
+    """Among others the longest match, of any length, and that its item and place hold it."""
     frame, table, benchmark = case
     told = decontaminate.match(frame, table).select("text", "overlap_.*").collect()
     assert len(told) == frame.count()
     for r in told:
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest_match) == brute(r.text, benchmark), r.text
-    assert sum(r.contaminated for r in told) > 20
+        if r.longest_match and r.longest_item:
+            match = words(r.text)[r.longest_at : r.longest_at + r.longest_match]
+            assert any(f" {' '.join(match)} " in f" {' '.join(words(t))} " for item, t in benchmark if str(item) == r.longest_item)
+    assert sum(r.contaminated for r in told) > 20 and any(0 < r.longest_match < 13 for r in told)
 
 
-def test_blocks_change_nothing(case, spark):
+def test_suffix_array_is_sorted_whole():
+    random.seed(4)
+    for size, kinds in ((1, 1), (2, 1), (50, 1), (300, 2), (400, 9)):
+        ids = np.array([random.randrange(kinds) for _ in range(size)])
+        array = decontaminate.suffix_array(ids, size)
+        assert array.tolist() == sorted(range(size), key=lambda i: ids[i:].tolist())
+
+
+def test_blocks_and_shards_change_nothing(case, monkeypatch):
+    """One item a pass, a text or two a shard."""
     frame, table, benchmark = case
-    texts = [r.text or "" for r in frame.collect()]
-    whole = decontaminate.examine(texts, [b.value for b in decontaminate.blocks(table)])
-    parts = decontaminate.blocks(table, block_words=25)
-    assert len(parts) > 3 and [x[:5] for x in decontaminate.examine(texts, [b.value for b in parts])] == [x[:5] for x in whole]
+    few = frame.where("doc_id % 3 = 0")
+    monkeypatch.setattr(decontaminate, "BLOCK", 100)
+    monkeypatch.setattr(decontaminate, "SHARD", 300)
+    assert len(list(decontaminate.blocks(table))) > 3
+    told = decontaminate.match(few, table).select("text", "overlap_.*").collect()
+    assert len(told) == few.count()
+    for r in told:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest_match) == brute(r.text, benchmark), r.text
 
 
 def test_empty_tables_and_the_kept(case):
@@ -71,14 +90,3 @@ def test_empty_tables_and_the_kept(case):
     clean = decontaminate.keep_clean(frame, table.where("false"))
     assert clean.columns == frame.columns and clean.count() == frame.count()
     assert sorted(r.doc_id for r in decontaminate.keep_clean(frame, table).collect() if r.doc_id) == sorted(r.doc_id for r in frame.collect() if r.doc_id and not brute(r.text, benchmark)[4])
-
-
-def test_the_benchmark_stays_off_the_driver_and_chunks_change_nothing(case, monkeypatch):
-    frame, table, benchmark = case
-    monkeypatch.setattr(decontaminate, "CHUNK", 2000)
-    monkeypatch.setattr(decontaminate, "blocks", None)
-    monkeypatch.setattr(type(table), "toLocalIterator", None)
-    told = decontaminate.match(frame, table).select("text", "overlap_.*").collect()
-    assert len(told) == frame.count()
-    for r in told:
-        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest_match) == brute(r.text, benchmark), r.text
