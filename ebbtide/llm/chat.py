@@ -8,9 +8,11 @@ rounds' tables names each message of a chosen path once. Only ids and scores tak
 A chosen path becomes one conversation of turns `### role: text</turn>\n`. In a text, `\`, `### ` and `</turn>` are escaped
 with a backslash (in a role also `:`), so reading back is exact. The loss mask covers the escaped text of assistant turns.
 
-Edge cases: null text and role are empty. A null tree is a tree of its own. A parent that isn't there makes a root. Equal
-scores: the smaller leaf first. Repeated rows of a conversation are further turns, ordered by turn (null first), role and
-text. A cycle of replies raises an error. An empty table gives no conversation.
+Edge cases: null text and role are empty. A null tree is a tree of its own, and a null node a message of its tree. A parent
+that isn't there makes a root. Equal scores: the smaller leaf first. Messages that share tree and node are one: the one with
+the smallest parent, role, text and score. Repeated rows of a table of turns are further turns, ordered by turn (null
+first), role and text. A cycle of replies raises an error. An empty table gives no conversation. Texts of any length are
+kept whole. Columns other than those of a message are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbtide.core import checkpointed, table
@@ -39,8 +41,24 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+def unique(messages: DataFrame) -> DataFrame:
+    """One message of each tree and node."""
+    first = F.min(F.struct("parent", "role", "text", "score"))
+    return messages.groupBy("tree", "node").agg(first.alias("m")).select("tree", "node", "m.*")
+
+
+def _keyed(messages: DataFrame) -> DataFrame:
+    """Trees, nodes and parents as structs, which joins compare with nulls inside; a parent that is null stays null."""
+    held = lambda c: F.struct(F.col(c).alias("id"))
+    return messages.select(held("tree").alias("tree"), held("node").alias("node"), F.when(F.col("parent").isNotNull(), held("parent")).alias("parent"), "role", "text", "score")
+
+
 def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
-    """(tree, rank, node, place): the messages of the `top` best root-to-leaf paths of each tree, place 0 at the root."""
+    """(tree, rank, node, place): the messages of the `top` best root-to-leaf paths of each tree, place 0 at the root. Tree and node are unique together."""
+    return _chosen(_keyed(messages), top).select(F.col("tree.id").alias("tree"), "rank", F.col("node.id").alias("node"), "place")
+
+
+def _chosen(messages: DataFrame, top: int) -> DataFrame:
     own = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("total"))
     there = own.select("tree", F.col("node").alias("parent"), F.col("node").alias("up"))
     level = checkpointed(own.join(there, ["tree", "parent"], "left").select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), "total"))
@@ -91,9 +109,11 @@ def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([_conversation(*now, turns)], columns=names)
 
 
-def format_paths(messages: DataFrame, top: int = 1) -> DataFrame:
-    """FORMATTED: a row for each chosen path; `loss` are the spans (code points, end exclusive) under the loss mask."""
-    turns = chosen_paths(messages, top).join(messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "node"])
+def format_paths(messages: DataFrame, top: int = 1, distinct: bool = False) -> DataFrame:
+    """FORMATTED: a row for each chosen path; `loss` are the spans (code points, end exclusive) under the loss mask. `distinct`: tree and node are known to be unique together."""
+    keyed = _keyed(messages if distinct else unique(messages))
+    turns = _chosen(keyed, top).join(keyed.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "node"])
+    turns = turns.select(F.col("tree.id").cast("string").alias("tree"), "rank", "place", "role", "text")
     return turns.repartition("tree", "rank").sortWithinPartitions("tree", "rank", "place").select("tree", "rank", "role", "text").mapInPandas(_assemble, FORMATTED)
 
 
@@ -116,19 +136,15 @@ def replies(conversations: DataFrame) -> DataFrame:
     """A table of turns as reply trees without branches: each turn answers the one before."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
-    return numbered.select(_tree(F.col("conv_id")).alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
-
-
-def _tree(conv_id: Column) -> Column:
-    return F.coalesce(conv_id.cast("string"), F.lit(""))
+    return numbered.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(extra)
-    done = format_paths(replies(rows))
-    return done.select(F.when(F.col("tree") != "", F.col("tree").cast("long")).alias("conv_id"), F.pandas_udf(_read, READ)("formatted", "loss").alias("r")).select("conv_id", "r.*")
+    done = format_paths(replies(rows), distinct=True)
+    return done.select(F.col("tree").cast("long").alias("conv_id"), F.pandas_udf(_read, READ)("formatted", "loss").alias("r")).select("conv_id", "r.*")
 
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### ')"

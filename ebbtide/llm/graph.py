@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from ebbtide.core import checkpointed
 
 
+HUB = 100_000  # neighbours
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b): the smallest node it is joined with.
 
     Each round links every node to the smallest it sees, first among its larger, then among its smaller neighbours; the
-    rounds grow with the logarithm of the longest chain. Minima are aggregated before the shuffle, and the joins that
-    bring them back are plain sort-merge joins, whose skew (one node with a great many neighbours) Spark splits.
+    rounds grow with the logarithm of the longest chain, so `most_rounds` is out of reach. Minima are aggregated before the
+    shuffle. Those of nodes with more than HUB neighbours, of which there are at most edges / HUB, are broadcast; the
+    others are joined in a shuffle, where no node then has more rows than HUB.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(now)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _beside(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _beside(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = checkpointed(small)
         was, mark = mark, _mark(now)
         if was == mark:
@@ -31,5 +35,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with the minimum m of their u."""
+    hubs = F.broadcast(least.where(F.col("n") > HUB).select("u", "m"))
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(others)
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first())

@@ -6,8 +6,9 @@ rows) to groups of about `group_size`, so no key, source or group of copies can
 on its own: longest piece first, into the first bin that has room, found in logarithmic time in a tree whose inner nodes
 hold the largest capacity below them.
 
-Edge cases: null text is empty: one piece, the end id. Rows with equal or null ids are packed like any others. An empty
-table gives no rows. Equal lengths go by doc_id, then start.
+Edge cases: null text is empty: one piece, the end id. Rows with equal or null ids are packed like any others; ids may be
+numbers or texts. An empty table gives no rows. Equal lengths go by doc_id, then start. A text of any length is encoded
+whole, then cut. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.core import checkpointed, table
 
@@ -110,10 +112,13 @@ def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, text:
                     piece = ids[at : at + width]
                     rows.append((k, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if with_ids else None))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            if whole:
+                out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id long, {PIECE}")
+    kind = docs.select(F.col(key)).schema[0].dataType
+    whole = isinstance(kind, T.IntegralType)
+    return docs.select(F.col(key).cast("long" if whole else kind).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {'long' if whole else kind.simpleString()}, {PIECE}")
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +159,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_size: int = 8192, seed:
     return dealt.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return pack(checkpointed(cut(docs, path, capacity, text=text, key=key).drop("ids")), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """The packed pieces of docs; `with_ids`: with a column `ids`, little-endian unsigned 32-bit values."""
+    made = cut(docs, path, capacity, text=text, key=key, with_ids=with_ids)
+    return pack(checkpointed(made if with_ids else made.drop("ids")), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ task that reads the segment, so no text is shuffled. A rule without a mandatory
 
 Rules `assign`, `access` and `hex` are the base; the others add spans. Spans count code points, end exclusive.
 
-Edge cases: null text is empty and has no span. Repeated rows give repeated results. Texts of any length are scanned whole.
+Edge cases: null text is empty and has no span; masked, it stays null. Repeated rows give repeated results, an empty table
+none. Texts of any length are scanned whole. Spans that begin at one place go by rule, in the order of RULES. Other columns
+are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -215,8 +217,10 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: all documents, secrets masked; n_chars follows the text."""
+    """The pipeline's stage: all documents, secrets masked; n_chars, where there is one, follows the text."""
     masked = docs.withColumn("text", mask(F.col("text"), MASKED))
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 

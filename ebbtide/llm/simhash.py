@@ -3,15 +3,18 @@
 A text is lower-cased (A-Z), split at ASCII white space and hashed as `width`-word shingles, repeats included; a bit of its
 64-bit fingerprint is set where more than half the shingles' XXH64 values have it. Equal fingerprints are one class.
 
-Classes link at `threshold` (2) or fewer differing bits. Of two such fingerprints, one half differs in at most one bit. The
-anchors of a half are the codewords of the [31,26] Hamming code on its first 31 bits, a perfect code of covering radius 1:
-the fingerprint's own anchor is within 1, so its partner lies within 1 + 1 of that anchor. Every fingerprint is replicated
-to all anchors within that radius (16 of 2**26 at most) and, per anchor, compared with those whose own anchor it is. No
-pair within the threshold is missed, and an anchor holds few fingerprints as long as those are spread.
+Classes link at `threshold` (2) or fewer differing bits. Of two such fingerprints, one half differs in at most one bit, and
+of the other half, cut in three, one third not at all. The anchors of a half are the codewords of the [31,26] Hamming code
+on its first 31 bits, a perfect code of covering radius 1: the fingerprint's own anchor is within 1, so its partner lies
+within 1 + 1 of that anchor. Every fingerprint is replicated to all anchors within that radius (16 of 2**26 at most), for
+each third of the other half beside that third's bits, and compared with those whose own anchor it is. So a place is one of
+2**36 or more for each half and third, no pair within the threshold is missed, and candidates stay few up to some 10**9
+distinct fingerprints. A fingerprint is replicated 96 times at most, however many are alike: equal ones are one class.
 
 Edge cases: null, empty and blank texts have no shingle and fingerprint zero, linked like any other; fewer than `width`
 words are one shingle. Repeated rows and null ids belong to their fingerprint's class; a component whose ids are all null
-has a null component_id.
+has a null component_id. A text of any length is hashed whole. An empty table gives no rows. Ties of a bit are 0. Other
+columns are passed on (`keep_one`) or not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,15 +82,17 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     """(a, b), a < b: distinct fingerprints of prints(fp) that differ in at most `threshold` (2 at most) bits."""
     if threshold > 2:
         raise ValueError("the radius of the covering serves thresholds up to 2")
-    halves = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).select(
-        "fp", "half", F.when(F.col("half") == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32)).bitwiseAND((1 << LENGTH) - 1).alias("word")
-    )
+    first = (1 << LENGTH) - 1
+    turned = [F.struct(F.lit(h).alias("half"), *(x.alias(n) for x, n in zip(pair, ("one", "other"), strict=True))) for h, pair in enumerate(((F.col("fp"), F.shiftrightunsigned("fp", 32)), (F.shiftrightunsigned("fp", 32), F.col("fp"))))]
+    halves = prints.select("fp", F.explode(F.array(*turned)).alias("h")).select("fp", "h.half", F.col("h.one").bitwiseAND(first).alias("word"), "h.other")
     halves = halves.withColumn("s", _syndrome(F.col("word")).cast("int"))
+    thirds = "transform(sequence(0, 2), k -> struct((half * 3 + k) as part, shiftright(other & 4294967295L, 11 * k) & 2047L as bits))"
+    halves = halves.select("fp", "word", "s", F.explode(F.expr(thirds)).alias("t")).select("fp", "word", "s", "t.part", "t.bits")
     bit = "case when {p} = 0 then 0L else shiftleft(1L, {p} - 1) end"
-    own = halves.select("half", F.col("fp").alias("a"), F.expr(f"word ^ {bit.format(p='s')}").alias("anchor"))
+    own = halves.select("part", "bits", F.col("fp").alias("a"), F.expr(f"word ^ {bit.format(p='s')}").alias("anchor"))
     near = f"transform(filter(sequence(1, {LENGTH}), p -> p = s or p < (p ^ s)), p -> word ^ {bit.format(p='p')} ^ {bit.format(p='(p ^ s)')})"
-    ball = halves.select("half", F.col("fp").alias("b"), F.explode(F.expr(f"case when s = 0 then array(word) else {near} end")).alias("anchor"))
-    return own.join(ball, ["half", "anchor"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
+    ball = halves.select("part", "bits", F.col("fp").alias("b"), F.explode(F.expr(f"case when s = 0 then array(word) else {near} end")).alias("anchor"))
+    return own.join(ball, ["part", "bits", "anchor"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
 
 
 def classes(prints: DataFrame, threshold: int = 2) -> DataFrame:
@@ -106,16 +110,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 
 
 def _place(docs: DataFrame) -> Column:
-    """What names a row in every read: file and row of a Parquet table, whatever executors read it; else its number as planned."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:
-        return F.monotonically_increasing_id()
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    """What names a row in every read: file and row of a table in files, whatever executors read it; else its number as planned."""
+    if docs.inputFiles():
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return F.monotonically_increasing_id()
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, threshold: int = 2) -> DataFrame:
-    """One document of each component (smallest id, then first row). docs must be an immutable table or checkpointed: it is read twice."""
+    """One document of each component (smallest id, then first row). docs must be a Parquet table as read or checkpointed: it is read twice."""
     row = fresh(docs, "_row")
     numbered = docs.withColumn(row, _place(docs))
     rows = checkpointed(numbered.select(F.col(row).alias("row"), F.col(key).alias("doc_id"), fingerprint(F.col(text), width).alias("fp")))

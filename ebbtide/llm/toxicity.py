@@ -7,7 +7,9 @@ L1 sparsity) from the common state, and Spark averages the shards' states. The w
 at most.
 
 Edge cases: null and empty texts score as the bias alone. A document with several labels is toxic if any of them says so.
-Null labels and null ids are never learnt from. With no labelled row every score is 0.5. Repeated ids are learnt once.
+Null labels and null ids are never learnt from. With no labelled row every score is 0.5. Of repeated ids the smallest text
+is learnt. A text of any length is scored whole. An empty table gives no rows. Other columns are passed on, whatever their
+names.
 """
 
 from __future__ import annotations

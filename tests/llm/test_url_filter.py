@@ -23,7 +23,7 @@ def brute(url):
 
 def test_rules_and_list(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(3, URLS[3], "x"), (None, URLS[-2], "x")], "page_id long, url string, host string")
-    names = spark.createDataFrame([("listed.example/a",)], "canonical string")
+    names = spark.createDataFrame([("listed.example/a",), ("listed.example/a",), (None,)], "canonical string")
     got = url_filter.judge(pages, names).collect()
     assert len(got) == len(URLS) + 2
     for r in got:
@@ -39,9 +39,26 @@ def test_rules_and_list(spark):
 def test_bloom_filter_is_exact_after_the_join(spark, monkeypatch, most):
     monkeypatch.setattr(url_filter, "MAX_BLOCKS", most)
     names = spark.range(0, 5000, 3).selectExpr("cast(id as string) as k")
-    pages = spark.range(5000).selectExpr("id", "cast(id as string) as k").union(spark.sql("select -1L, cast(null as string)"))
-    got = url_filter.listed(pages, names, "k", "hit").collect()
-    assert len(got) == 5001 and all(r.hit == (r.id >= 0 and r.id % 3 == 0) for r in got)
+    pages = spark.range(5000).selectExpr("id", "cast(id as string) as k", "'x' as block_", "1 as word_", "2 as may_").union(spark.sql("select -1L, cast(null as string), '', 0, 0"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = url_filter.listed(pages, names, "k", "hit")
+        assert ("BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        got = plan.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.columns == [*pages.columns, "hit"] and len(got) == 5001 and all(r.hit == (r.id >= 0 and r.id % 3 == 0) for r in got)
+
+
+def test_query_has_listed_and_other_urls_of_one_host(spark):
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    told = {r.page_id: (r.host.removeprefix("www."), r.verdict) for r in url_filter.query(spark, "/root/testdata/sf0.1").where("rule is null").collect()}
+    assert pages.count() > len(told) and all({v for h, v in told.values() if h == host} == {"allow", "block"} for host in url_filter.HOSTS[:3])
+    names = {f"{h}/{x}/{n}" for h in url_filter.HOSTS for x in url_filter.LANGUAGES for n in range(0, url_filter.NUMBERS, 2)}
+    for r in pages.collect():
+        if r.page_id in told and "?" not in r.url:
+            rest = r.url.split("://", 1)[1].split("#")[0].rstrip("/").removeprefix("www.")
+            assert (told[r.page_id][1] == "block") == (rest in names), r.url
 
 
 def test_native_plan(spark):
