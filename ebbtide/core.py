@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where none is named, a folder of our own, in local mode alone."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "ebbtide-checkpoints"))
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ebbtide-checkpoints-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
