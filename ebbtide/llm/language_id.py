@@ -234,21 +234,21 @@ def _training(docs: DataFrame, text: str, lang: str, key: str) -> DataFrame:
     return docs.select(F.col(text).alias("text"), F.when(counts, F.col(lang).cast("string")).alias("lang")).where("text is not null")
 
 
-def _threshold(own: dict[int, int], foreign: dict[int, int], false_rejects: float) -> float:
-    """The bin edge with the least sum of the shares of own bins above it and foreign bins below it; of equal ones the middle.
+def _threshold(own: dict[int, int], foreign: dict[int, int], slack: float = 0.005) -> float:
+    """The highest bin edge at which the shares of own bins above it and foreign bins below it add up to `slack` more than the least sum at most.
 
-    Without foreign texts, the edge that all but `false_rejects` of the own ones stay below.
+    Without foreign texts, the edge that all but a fifth of `slack` of the own ones stay below.
     """
     edges = np.arange(min([*own, *foreign]), max([*own, *foreign]) + 2)
     above = np.array([sum(n for b, n in own.items() if b >= e) for e in edges]) / max(sum(own.values()), 1)
     below = np.array([sum(n for b, n in foreign.items() if b < e) for e in edges]) / max(sum(foreign.values()), 1)
     if not foreign:
-        return float(edges[np.flatnonzero(above <= false_rejects)[0]])
+        return float(edges[np.flatnonzero(above <= slack / 5)[0]])
     cost = above + below
-    return float(np.median(edges[cost <= cost.min() + 1e-12]))
+    return float(edges[cost <= cost.min() + slack][-1])
 
 
-def _limits(model: Model, scored: DataFrame, false_rejects: float = 0.001) -> None:
+def _limits(model: Model, scored: DataFrame) -> None:
     """Set the model's limits by the calibration texts (lang, bits, n, lettered).
 
     A language's own texts are those of it that are predicted so; foreign to it are the texts of each other language that
@@ -276,7 +276,7 @@ def _limits(model: Model, scored: DataFrame, false_rejects: float = 0.001) -> No
         for i in (r["at"], -1):
             held[i][not r.own][r.bin] += r.many
     enough = [min(sum(x.values()) for x in pair) >= 20 for pair in held]
-    model.limits = model.usual + np.array([_threshold(*held[i if enough[i] else -1], false_rejects) / 100 for i in range(len(model.langs))])
+    model.limits = model.usual + np.array([_threshold(*held[i if enough[i] else -1]) / 100 for i in range(len(model.langs))])
 
 
 def _scored(docs: DataFrame, langs: list[str], scores: DataFrame, kept: list[str], text: str, names: list[str]) -> DataFrame:

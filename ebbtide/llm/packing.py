@@ -39,7 +39,7 @@ class Encoder:
     hold a special token are given to the library whole.
     """
 
-    def __init__(self, definition: str, memory: int = 1_000_000):
+    def __init__(self, definition: str, memory: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,19 +102,24 @@ def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, text:
     definition = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        return out.astype({"doc_id": "Int64"}) if whole else out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(definition.value)
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for k, t in zip(batch.doc_id, batch.text, strict=True):
                 ids = (encoder.encode(t) if isinstance(t, str) else b"") + end
                 for at in range(0, len(ids), width):
                     piece = ids[at : at + width]
                     rows.append((k, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if with_ids else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            if whole:
-                out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                size += len(ids)
+                if size > 4_000_000:
+                    yield frame(rows)
+                    rows, size = [], 0
+            yield frame(rows)
 
     kind = docs.select(F.col(key)).schema[0].dataType
     whole = isinstance(kind, T.IntegralType)
@@ -160,9 +165,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_size: int = 8192, seed:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """The packed pieces of docs; `with_ids`: with a column `ids`, little-endian unsigned 32-bit values."""
+    """The packed pieces of docs; `with_ids`: with a column `ids`, little-endian unsigned 32-bit values, which takes no part in packing and is joined to it."""
     made = cut(docs, path, capacity, text=text, key=key, with_ids=with_ids)
-    return pack(checkpointed(made if with_ids else made.drop("ids")), capacity)
+    if not with_ids:
+        return pack(checkpointed(made.drop("ids")), capacity)
+    made = checkpointed(made.withColumn("piece", F.monotonically_increasing_id()))
+    return pack(made.drop("ids"), capacity).join(made.select("piece", "ids"), "piece").drop("piece")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
