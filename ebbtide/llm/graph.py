@@ -23,10 +23,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = _mark(now)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hubs = not both.groupBy("u").count().where(F.col("count") > HUB).isEmpty()
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = _beside(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _beside(both.where("v > u"), least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _beside(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = _beside(large, least, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = checkpointed(small)
         was, mark = mark, _mark(now)
         if was == mark:
@@ -35,11 +36,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges with the minimum m of their u."""
-    hubs = F.broadcast(least.where(F.col("n") > HUB).select("u", "m"))
-    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
-    return edges.join(hubs, "u").unionByName(others)
+def _beside(edges: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+    """edges with the minimum m of their u; `hubs`: there may be nodes with more than HUB rows."""
+    if not hubs:
+        return edges.join(least.select("u", "m"), "u")
+    known = F.broadcast(least.where(F.col("n") > HUB).select("u", "m"))
+    others = edges.join(known.select("u"), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return edges.join(known, "u").unionByName(others)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -89,7 +89,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, texts in batch.groupby("lang", dropna=False).text:
             lang = lang if isinstance(lang, str) else None
-            for piece in pieces(texts, 4_000_000):
+            for piece in pieces(texts, 1_000_000):
                 code, unique = pd.factorize(grams(piece)[0])
                 part = pd.Series(np.bincount(code, minlength=len(unique)), index=unique)
                 held[lang] = part if lang not in held else held[lang].add(part, fill_value=0)
@@ -287,7 +287,7 @@ def _scored(docs: DataFrame, langs: list[str], scores: DataFrame, kept: list[str
     dealt = docs.withColumn(chunk, named).repartition(chunk)  # the one shuffle of texts, which both uses below share
 
     def ask(group: pa.Table) -> pa.Table:
-        own = np.unique(np.concatenate([np.unique(grams(piece)[0]) for piece in pieces(group[text].to_pylist(), 2_000_000)])).view(np.int64)
+        own = np.unique(np.concatenate([np.unique(grams(piece)[0]) for piece in pieces(group[text].to_pylist(), 1_000_000)])).view(np.int64)
         return pa.table({chunk: pa.array(np.full(len(own), group[chunk][0].as_py())), "gram": pa.array(own)})
 
     def answer(group: pa.Table, found: pa.Table) -> pa.Table:
@@ -295,7 +295,7 @@ def _scored(docs: DataFrame, langs: list[str], scores: DataFrame, kept: list[str
         order = np.argsort(keys)
         keys, values = keys[order], found["scores"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs))[order]
         means, counts, letter = [np.zeros((0, len(langs)))], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for piece in pieces(group[text].to_pylist(), 2_000_000):
+        for piece in pieces(group[text].to_pylist(), 1_000_000):
             gram, owner = grams(piece)
             at, size = np.searchsorted(keys, gram), len(piece)
             many = np.bincount(owner, minlength=size)

@@ -39,7 +39,7 @@ class Encoder:
     hold a special token are given to the library whole.
     """
 
-    def __init__(self, definition: str, memory: int = 400_000):
+    def __init__(self, definition: str, memory: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,6 +56,7 @@ class Encoder:
         single = re.escape("".join(c for i, c in enumerate(plain) if 4 * i + 1 in alone and not re.match(f"[{others}]", c)))
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{single}]|[{others}]+".encode("latin-1"))
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.memory = memory
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -73,10 +74,12 @@ class Encoder:
         except KeyError:
             pass
         new = [w for w in dict.fromkeys(words) if w not in self.known]
-        own = dict(zip(new, self._library([w.decode("latin-1") for w in new]), strict=True))
-        if len(self.known) + len(own) > self.memory:
+        own = {w: self.old[w] for w in new if w in self.old}
+        new = [w for w in new if w not in own]
+        own |= dict(zip(new, self._library([w.decode("latin-1") for w in new]), strict=True))
+        if len(self.known) + len(own) > self.memory // 2:  # words that come again are taken over, the others go
             own |= {w: self.known[w] for w in set(words) if w in self.known}
-            self.known.clear()
+            self.old, self.known = self.known, {}
         self.known.update(own)
         ids = b"".join(map(self.known.__getitem__, words))
         for w in own:

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ebbtide.llm import simhash
+from ebbtide.llm import graph, simhash
 from ebbtide.llm.graph import components
 
 
@@ -60,7 +61,9 @@ def test_links_miss_nothing(spark):
     assert found == expected and len(expected) > 200
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [100_000, 20])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
     random.seed(8)
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(random.randrange(2000, 2100), random.randrange(2000, 2100)) for _ in range(80)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
