@@ -32,6 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_distinct(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """rows with columns that depend on `key` alone, computed once for each distinct value of it.
+
+    Distinct values are found before the shuffle; a few of them are broadcast back by Spark's own choice.
+    """
+    known = rows.select(F.col(key).alias("_key")).distinct().select("_key", F.col("_key").alias(key)).withColumns(columns).select("_key", *columns)
+    return rows.join(known, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; null for a null key."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))

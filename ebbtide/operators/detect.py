@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.core import checkpointed
+from ebbtide.core import by_distinct, checkpointed
 from ebbtide.functions import dates, money
 from ebbtide.functions.fuzzy import jaro_winkler
 from ebbtide.functions.text import keyword, merchant_key, never_subscription, other_debit_reason, title_case
@@ -39,21 +39,24 @@ class Detection:
 def judged(rows: DataFrame) -> DataFrame:
     """rows with `fate`: duplicate, credit, transfer, ignored (an empty or never label) or null for those that go on."""
     label = F.col("normalized_label")
+    never = F.col("_never")
     fate = (
         F.when(~F.col("is_first"), "duplicate").when(F.col("direction") == "credit", "credit").when(F.col("kind") == "transfer", "transfer")
-        .when(F.coalesce(label, F.lit("")) == "", "ignored").when(never_subscription(label), "ignored")
+        .when(F.coalesce(label, F.lit("")) == "", "ignored").when(never, "ignored")
     )
-    return first_captures(rows).withColumn("fate", fate).drop("is_first")
+    return by_distinct(first_captures(rows), "normalized_label", _never=never_subscription(label)).withColumn("fate", fate).drop("is_first", "_never")
 
 
 def routed(rows: DataFrame, services: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rows with their first group key (`route`), the service, the intermediary, the reason of another debit, the keyword."""
     known = services.select("service_id", "intermediary", "service_ord")
     found = match(rows, services, threshold=threshold).join(F.broadcast(known), "service_id", "left")
-    asked = rows.join(found.select(F.col("label").alias("normalized_label"), "service_id", "intermediary", F.col("via").alias("_via")), "normalized_label", "left")
+    label = F.col("normalized_label")
+    told = rows.select("normalized_label").distinct().join(found.select(F.col("label").alias("normalized_label"), "service_id", "intermediary", F.col("via").alias("_via")), "normalized_label", "left")
+    told = told.select(label.alias("_label"), "service_id", "intermediary", "_via", other_debit_reason(label).alias("_other"), merchant_key(label).alias("_merchant"), keyword(label).alias("_word"))
+    asked = rows.join(told, label.eqNullSafe(F.col("_label")), "left")  # what a label says is worked out once for each label
     own = F.col("service_id").isNotNull() & ~F.col("intermediary")
-    other = other_debit_reason(F.col("normalized_label"))
-    key = merchant_key(F.col("normalized_label"))
+    other, key = F.col("_other"), F.col("_merchant")
     prefix = F.when(F.col("source") == STORE, "store").otherwise("label")
     hidden = F.col("service_id").isNotNull() & F.col("intermediary") & ~F.coalesce(F.col("source") == STORE, F.lit(False))
     route = (
@@ -64,7 +67,7 @@ def routed(rows: DataFrame, services: DataFrame, threshold: float = THRESHOLD) -
     unknown = ~own & other.isNull() & ~hidden
     return asked.select(
         *rows.columns, route.alias("route"), F.when(own, F.col("service_id")).alias("service_id"), F.when(own, F.col("_via")).when(other.isNull() & hidden, F.col("service_id")).alias("via_id"),
-        F.when(~own, other).alias("other_reason"), F.when(unknown, keyword(F.col("normalized_label"))).alias("keyword"), unknown.alias("unknown_merchant"),
+        F.when(~own, other).alias("other_reason"), F.when(unknown, F.col("_word")).alias("keyword"), unknown.alias("unknown_merchant"),
     )
 
 

@@ -78,14 +78,15 @@ def _features(lines: DataFrame) -> DataFrame:
     rows = lines.select("capture_id", "line_pos", "x0", "y0", "x1", "y1", "confidence", "reference", text.alias("text"), word_height(F.col("words"), F.col("y0"), F.col("y1")).alias("height"))
     upper = plain_upper(F.col("text"))
     bare = F.trim(F.regexp_replace(replaced(F.regexp_replace(upper, r"[·•|,-]", " "), r"\b\d{1,2}\/\d{1,2}(\/\d{2,4})?\b"), r"\s+", " "))
+    rows = rows.withColumn("text_date", dates.parse_date(F.col("text"), F.col("reference")))
     rows = rows.withColumn("rest", money.without_amounts(F.col("text"))).withColumn("amount", money.last_amount(F.col("text")))
     few = F.col("amount").isNull() & (F.size(F.split("rest", " ")) <= PHRASE_WORDS)
     kind = (
-        F.when(F.col("text") == "", "ignore").when(dates.is_date_header(F.col("text"), F.col("reference")), "header")
+        F.when(F.col("text") == "", "ignore").when(dates.is_date_header(F.col("text"), F.col("reference"), F.col("text_date")), "header")
         .when(matches(upper, CHROME) | matches(upper, PAGE_TITLE), "ignore").when(F.col("amount").isNotNull() & ~has_letters(F.col("rest")), "amount")
         .when(~has_letters(F.col("text")), "ignore").when(few & matches(bare, PAYMENT_PHRASE), "sublabel").when(few, "short").otherwise("label")
     )
-    return rows.withColumn("kind", kind).withColumn("text_date", dates.parse_date(F.col("text"), F.col("reference"))).withColumn("rest_date", dates.parse_date(F.col("rest"), F.col("reference")))
+    return rows.withColumn("kind", kind).withColumn("rest_date", dates.parse_date(F.col("rest"), F.col("reference")))
 
 
 class _Line(NamedTuple):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbtide.core import table
+from ebbtide.core import by_distinct, table
 from ebbtide.functions import dates, money, text, web
 from ebbtide.operators import dedupe as dedupe_
 from ebbtide.operators import detect as detect_
@@ -108,13 +108,11 @@ def route_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_.routed(transactions(spark, sf_dir), dictionary.services(spark)).select("id", "route", "via_id")
 
 
-@query(f"""select import_id, {_MERCHANT} || mkey as route, {_MERCHANT} || first_value(mkey) over (partition by import_id, source = 'screenshot_store', alike order by p) as group_key
-from (select import_id, any_value(source) as source, mkey, alike, min(pos) as p from {TX_SQL} where alike is not null group by import_id, source = 'screenshot_store', mkey, alike)""")
+@query(f"""select import_id, {_MERCHANT} || mkey as route, {_MERCHANT} || first_value(mkey) over (partition by import_id, source = 'screenshot_store', grp order by p) as group_key
+from (select import_id, any_value(source) as source, mkey, coalesce(alike, mkey) as grp, min(pos) as p from {TX_SQL} where other is null and (service is null or (service in ('apple', 'google-play', 'paypal') and source = 'screenshot_store')) group by import_id, source = 'screenshot_store', mkey, coalesce(alike, mkey))""")
 def cluster_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir)
-    known = [r[2] for r in ROWS if r[9]]
-    prefix = F.when(F.col("source") == "screenshot_store", "store:").otherwise("label:")
-    routes = rows.where(F.col("normalized_label").isin(known)).withColumn("route", F.concat(prefix, text.merchant_key(F.col("normalized_label")))).withColumn("unknown_merchant", F.lit(True))
+    """Groups of the merchants that no service, reason or intermediary claims."""
+    routes = detect_.routed(transactions(spark, sf_dir), dictionary.services(spark)).where("unknown_merchant")
     return detect_.clustered(routes).select("import_id", "route", "group_key").distinct()
 
 
@@ -146,9 +144,9 @@ def periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select o_orderkey as k, norm, tkind as kind, mkey, word as category, other, never is not null as never from orders join {TEMPLATE_SQL} on o_orderkey % 24 = n""")
 def normalize_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled_orders(spark, sf_dir).select(F.col("o_orderkey").alias("k"), text.normalize_label(F.col("raw")).alias("norm"), text.payment_kind(F.col("raw")).alias("kind"))
-    n = F.col("norm")
-    return rows.select("k", "norm", "kind", text.merchant_key(n).alias("mkey"), text.keyword(n)["category"].alias("category"), text.other_debit_reason(n).alias("other"), text.never_subscription(n).alias("never"))
+    raw, n = F.col("raw"), F.col("norm")
+    rows = by_distinct(labelled_orders(spark, sf_dir), "raw", norm=text.normalize_label(raw), kind=text.payment_kind(raw)).select(F.col("o_orderkey").alias("k"), "norm", "kind")
+    return by_distinct(rows, "norm", mkey=text.merchant_key(n), category=text.keyword(n)["category"], other=text.other_debit_reason(n), never=text.never_subscription(n))
 
 
 @query(f"select norm, service, via from {TEMPLATE_SQL} where service is not null and n in (select o_orderkey % 24 from orders)")
@@ -192,15 +190,13 @@ def find_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", last["cents"].alias("cents"), last["direction"].alias("direction"), F.size("a").alias("n"), "rest")
 
 
-@query(f"""select o_orderkey as k, {CENTS} as cents from orders""")
+@query(f"""select o_orderkey as k, case when regexp_matches(cents::varchar, '[2-9]') then cents end as cents from (select o_orderkey, {CENTS} as cents from orders)""")
 def fix_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts whose 0 and 1 were read as O and l; those whose digits were all misread hold no amount and keep their source value."""
-    rows = _priced(spark, sf_dir)
-    read = money.last_amount(F.col("misread"))["cents"]
-    return rows.select("k", F.when(F.col("misread").rlike(r"\d"), read).otherwise(F.col("cents")).alias("cents"))
+    """Amounts whose 0 and 1 were read as O and l; those whose digits were all misread hold no amount."""
+    return _priced(spark, sf_dir).select("k", money.last_amount(F.col("misread"))["cents"].alias("cents"))
 
 
-@query(f"""select o_orderkey as k, {DAY} as slashed, {DAY} as dotted, {DAY} as worded, cast({DAY} as date) as short_year, case when month({DAY}) = 2 and day({DAY}) = 29 then null
+@query(f"""select o_orderkey as k, {DAY} as slashed, {DAY} as dotted, {DAY} as worded, cast({DAY} + to_years((2000 + year({DAY}) % 100 - year({DAY}))::int) as date) as short_year, case when month({DAY}) = 2 and day({DAY}) = 29 then null
 else make_date((case when month({DAY}) * 100 + day({DAY}) > 1005 then 2025 else 2026 end)::bigint, month({DAY}), day({DAY})) end as guessed from orders""")
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("d")
@@ -210,18 +206,18 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: dates.parse_date(t, ref)["date"]
     return rows.select(
         "k", read(F.date_format(day, "'du' d/M/yyyy")).alias("slashed"), read(F.date_format(day, "dd-MM-yyyy")).alias("dotted"), read(F.col("w")).alias("worded"),
-        F.when(F.year(day) >= 2000, read(F.date_format(day, "dd/MM/yy"))).otherwise(day).alias("short_year"), read(F.date_format(day, "dd/MM")).alias("guessed"),
+        read(F.date_format(day, "dd/MM/yy")).alias("short_year"), read(F.date_format(day, "dd/MM")).alias("guessed"),
     )
 
 
 @query(f"""with c as (select o_orderkey as k, {CENTS} as cents from orders), d as (select *, {_DEC} as dd, cents // 100 as w from c)
 select k, regexp_replace(case when w >= 1000000 then (w // 1000000)::varchar || chr(8239) || lpad((w // 1000 % 1000)::varchar, 3, '0') || chr(8239) || lpad((w % 1000)::varchar, 3, '0') when w >= 1000 then (w // 1000)::varchar || chr(8239) || lpad((w % 1000)::varchar, 3, '0') else w::varchar end, '$', ',' || dd || chr(160) || '€') as euros,
-chr(8722) || '0,' || lpad((k % 100)::varchar, 2, '0') || chr(160) || '€' as signed, cents as parsed, w::varchar || ',' || dd as typed, cents * 12 as yearly from d""")
+case when k % 100 = 0 then '+' else chr(8722) end || '0,' || lpad((k % 100)::varchar, 2, '0') || chr(160) || '€' as signed, cents as parsed, w::varchar || ',' || dd as typed, cents * 12 as yearly from d""")
 def format_euros(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.col("cents")
     rows = orders(spark, sf_dir).selectExpr("o_orderkey as k", f"{CENTS} as cents")
     return rows.select(
-        "k", money.format_euros(cents).alias("euros"), F.when(F.col("k") % 100 == 0, F.concat(F.lit("−"), money.format_euros(F.lit(0)))).otherwise(money.format_signed_euros(-(F.col("k") % 100))).alias("signed"),
+        "k", money.format_euros(cents).alias("euros"), money.format_signed_euros(-(F.col("k") % 100)).alias("signed"),
         money.parse_euro_input(money.format_euros(cents)).alias("parsed"), money.cents_to_input(cents).alias("typed"), money.yearly_from_monthly(cents).alias("yearly"),
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.core import table
+from ebbtide.core import by_distinct, table
 
 #: number | raw label | normal form | payment kind | service | intermediary | other debit | keyword category | merchant key | group of alike merchants | never
 TEMPLATES = """
@@ -112,8 +112,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ebbtide.sources.captures import TRANSACTION
 
     rows = labelled_orders(spark, sf_dir).selectExpr(*(f"{v} as {k}" for k, v in TX.items()), "raw as raw_text", "raw as label")
-    kind = F.when(F.col("source") == "screenshot_store", "store").otherwise(payment_kind(F.col("label")))
-    rows = rows.withColumn("normalized_label", normalize_label(F.col("label"))).withColumn("kind", kind)
+    rows = by_distinct(rows, "label", normalized_label=normalize_label(F.col("label")), kind=payment_kind(F.col("label")))
+    rows = rows.withColumn("kind", F.when(F.col("source") == "screenshot_store", "store").otherwise(F.col("kind")))
     names = [f.split()[0] for f in TRANSACTION.split(", ")]
     return rows.select(*(F.col(n).cast(kind).alias(n) for n, kind in (f.split() for f in TRANSACTION.split(", ")))).select(*names)
 
