@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbtide.core import by_distinct, table
+from ebbtide.core import by_distinct, checkpoint_dir, table
 from ebbtide.functions import dates, money, text, web
 from ebbtide.operators import dedupe as dedupe_
 from ebbtide.operators import detect as detect_
@@ -16,7 +17,9 @@ from ebbtide.operators import matching, pages, pixels, portfolio, reports
 from ebbtide.operators.periodicity import periodicity as periodicity_
 from ebbtide.plans.views import CENTS, DAY, MONTHLY, PERIOD, ROWS, SAVED_SQL, TEMPLATE_SQL, TODAY, TX_SQL, labelled_orders, orders, transactions
 from ebbtide.plans.views import portfolio as saved_rows
-from ebbtide.sources import dictionary
+from ebbtide.sources import captures, dictionary
+from ebbtide.sources.store import Portfolio
+from ebbtide.streaming import imports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -272,33 +275,85 @@ def top5_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upcoming_deadlines(spark, sf_dir).orderBy(*portfolio.soonest_first()).limit(5)
 
 
-@query(f"""with s as {SAVED_SQL}, old as (select * from s where replace(id, 'sub:', '')::bigint % 3 < 2), new as (select *, case when replace(id, 'sub:', '')::bigint % 2 = 0 then amount_cents + 100 end as a2 from s where replace(id, 'sub:', '')::bigint % 3 > 0)
+def _number() -> Column:
+    return F.replace("id", F.lit("sub:")).cast("long")
+
+
+def _saved_before(rows: DataFrame) -> DataFrame:
+    return rows.where(_number() % 3 < 2)
+
+
+def _detected_now(rows: DataFrame) -> DataFrame:
+    amount = F.when(_number() % 2 == 0, F.col("amount_cents") + 100)
+    return rows.where(_number() % 3 > 0).withColumns({"amount_cents": amount, "status": F.lit("pending"), "source_lines": F.array(F.lit("again"))})
+
+
+_MERGED_SQL = f"""(with s as {SAVED_SQL}, old as (select * from s where replace(id, 'sub:', '')::bigint % 3 < 2), new as (select *, case when replace(id, 'sub:', '')::bigint % 2 = 0 then amount_cents + 100 end as a2 from s where replace(id, 'sub:', '')::bigint % 3 > 0)
 select coalesce(o.user_id, n.user_id) as user_id, coalesce(o.id, n.id) as id, case when o.id is null then n.a2 when n.id is not null and o.status = 'pending' then coalesce(n.a2, o.amount_cents) else o.amount_cents end as amount_cents,
 case when o.id is null then 'pending' else o.status end as status, case when o.id is null then 'keep' else o.user_status end as user_status,
 case when o.id is null then 1 when n.id is not null and o.status = 'pending' then 2 else 1 end as n_lines, case when o.id is null then 'added' when n.id is not null and o.status = 'pending' then 'refreshed' end as change
-from old o full join new n on o.user_id = n.user_id and o.id = n.id""")
+from old o full join new n on o.user_id = n.user_id and o.id = n.id)"""
+
+
+@query(f"select * from {_MERGED_SQL}")
 def merge_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = saved_rows(spark, sf_dir)
-    key = F.replace("id", F.lit("sub:")).cast("long")
-    new = rows.where(key % 3 > 0).withColumns({"amount_cents": F.when(key % 2 == 0, F.col("amount_cents") + 100), "status": F.lit("pending"), "source_lines": F.array(F.lit("again"))})
-    merged = portfolio.merge_detections(rows.where(key % 3 < 2), new, F.lit("2026-10-05 10:00:00").cast("timestamp"), ("user_id",))
+    merged = portfolio.merge_detections(_saved_before(rows), _detected_now(rows), F.lit("2026-10-05 10:00:00").cast("timestamp"), ("user_id",))
     return merged.select("user_id", "id", "amount_cents", "status", "user_status", F.size("source_lines").alias("n_lines"), "change")
 
 
+def _edits(rows: DataFrame) -> DataFrame:
+    k = _number()
+    return rows.where(k % 4 == 0).select(
+        "user_id", "id", F.when(k % 12 == 0, " Neuf ").otherwise("  ").alias("display_name"), F.when(k % 8 != 0, 1234).cast("long").alias("amount_cents"), (k % 8 == 0).alias("clear_amount"), F.lit("yearly").alias("period"), F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("date").alias("next_renewal"), (k % 5 == 0).alias("clear_renewal"), F.lit(None).cast("date").alias("trial_ends_at"), F.lit(False).alias("clear_trial"), F.lit(None).cast("string").alias("user_status"), F.lit(None).cast("string").alias("status"),
+    )
+
+
 @query(f"""with s as {SAVED_SQL}, k as (select *, replace(id, 'sub:', '')::bigint as k from s), e as (select * replace (case when k % 4 = 0 then (case when k % 8 = 0 then null else 1234 end) else amount_cents end as amount_cents, case when k % 4 = 0 then 'yearly' else period end as period,
 case when k % 4 = 0 then false else period_is_estimated end as period_is_estimated, case when k % 12 = 0 then 'Neuf' else display_name end as display_name, case when k % 4 = 0 and k % 5 = 0 then null else next_renewal end as next_renewal) from k)
 select user_id, id, display_name, amount_cents::bigint as amount_cents, period, period_is_estimated, next_renewal, {MONTHLY} as monthly_equivalent_cents, amount_cents is null as needs_amount from e""")
 def apply_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = saved_rows(spark, sf_dir)
-    k = F.replace("id", F.lit("sub:")).cast("long")
-    edits = rows.where(k % 4 == 0).select(
-        "user_id", "id", F.when(k % 12 == 0, " Neuf ").otherwise("  ").alias("display_name"), F.when(k % 8 != 0, 1234).cast("long").alias("amount_cents"), (k % 8 == 0).alias("clear_amount"), F.lit("yearly").alias("period"), F.lit(None).cast("string").alias("category"),
-        F.lit(None).cast("date").alias("next_renewal"), (k % 5 == 0).alias("clear_renewal"), F.lit(None).cast("date").alias("trial_ends_at"), F.lit(False).alias("clear_trial"), F.lit(None).cast("string").alias("user_status"), F.lit(None).cast("string").alias("status"),
-    )
-    edited = portfolio.apply_edits(rows, edits, F.lit("2026-10-05 10:00:00").cast("timestamp"), ("user_id",))
+    edited = portfolio.apply_edits(rows, _edits(rows), F.lit("2026-10-05 10:00:00").cast("timestamp"), ("user_id",))
     return edited.select("user_id", "id", "display_name", "amount_cents", "period", "period_is_estimated", "next_renewal", "monthly_equivalent_cents", "needs_amount")
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
+@query(f"""select user_id, id, case when k % 4 > 0 then amount_cents when k % 8 = 0 then null else 1234 end::bigint as amount_cents, status, user_status, n_lines from (select *, replace(id, 'sub:', '')::bigint as k from {_MERGED_SQL}) where k % 10 <> 9""")
+def portfolio_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portfolio on disk: rows added (each twice), detections merged, rows edited, rows deleted, and what is there then."""
+    saved, rows, now = Portfolio(spark, _new_folder(spark, "portfolio"), "user_id long"), saved_rows(spark, sf_dir), F.lit("2026-10-05 10:00:00").cast("timestamp")
+    older = rows.withColumns({"display_name": F.lit("Vieux"), "updated_at": F.lit("2026-08-01 00:00:00").cast("timestamp"), "amount_cents": F.lit(1).cast("long")})
+    saved.add(_saved_before(rows.unionByName(older)))
+    saved.save_detections(_detected_now(rows), now)
+    saved.edit(_edits(rows), now)
+    saved.delete(rows.where(_number() % 10 == 9))
+    saved.prune()
+    return saved.read().select("user_id", "id", "amount_cents", "status", "user_status", F.size("source_lines").alias("n_lines"))
+
+
+@query("select * from (values ('after', '', 0), ('before', '', 0), ('between', 'musique,sport', (select count(*) from orders))) as v(step, checked, n)")
+def portfolio_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked categories and saved rows: before anything is saved, once both are, and after all is wiped."""
+    saved, seen = Portfolio(spark, _new_folder(spark, "portfolio"), "user_id long"), []
+
+    def look(step: str) -> None:
+        rows = saved.read().agg(F.count("*").alias("n"))
+        seen.append((step, saved.checked_categories().first()[0], rows.first().n))
+
+    look("before")
+    saved.add(saved_rows(spark, sf_dir))
+    saved.set_checked_categories(["musique", "sport"])
+    look("between")
+    saved.wipe()
+    look("after")
+    return spark.createDataFrame(seen, "step string, checked array<string>, n long").select("step", F.array_join("checked", ",").alias("checked"), "n")
+
+
 @query(f"""select user_id, id, section, case section when 'mine' then row_number() over (partition by user_id, section order by user_status = 'cancelled', coalesce(monthly_equivalent_cents, 0) desc, id) end as place
 from (select *, case when status = 'rejected' then 'rejected' when kind = 'other_debit' then 'other' when status = 'pending' then 'pending' else 'mine' end as section from {SAVED_SQL})""")
 def dashboard_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,6 +392,25 @@ def _day_sql(day: str) -> str:
     return f"case when {n} = 0 then 'aujourd''hui' when {n} = 1 then 'demain' when {n} between 2 and 14 then 'dans ' || {n} || ' jours' else 'le ' || day({day}) || ' ' || ({_SHORT})[month({day})] end"
 
 
+@query(f"""{_DETECTED},
+names(sid, sname) as (values ('netflix', 'Netflix'), ('spotify', 'Spotify'), ('deezer', 'Deezer'), ('prime-video', 'Amazon Prime'), ('red-by-sfr', 'RED by SFR'), ('disney-plus', 'Disney+')),
+vias(via_id, vname) as (values ('apple', 'Apple'), ('google-play', 'Google Play'), ('paypal', 'PayPal')),
+ids as (select import_id, gk, string_agg(id, ',' order by seq) as transaction_ids from led group by all),
+texts as (select import_id, gk, string_agg(raw, ' | ' order by s) as lines from (select import_id, gk, raw, min(seq) as s from led where raw <> '' group by all) group by all)
+select import_id, 'sub:' || gk as id, transaction_ids, lines, concat_ws(' ', case when sid is not null then 'Reconnu dans la liste des services : ' || sname || '.' when st then 'Listé sur la page des abonnements du store.'
+  when reason is not null then reason || ' : prélèvement, mais pas un abonnement.' when via_id is not null then 'Payé via ' || vname || ', qui ne précise pas le service. Une capture de la page des abonnements du store le retrouverait.'
+  when kw is not null then 'Le libellé ressemble à un abonnement (' || case kw when 'banque' then 'cotisation bancaire' else kw end || ').' when sepa then 'Prélèvement d''un organisme que je ne connais pas : à toi de dire si c''est un abonnement.'
+  when times is not null then 'Même marchand et montant proche, ' || times || ' fois, ' || case seen when 'weekly' then 'chaque semaine' when 'monthly' then 'chaque mois' when 'quarterly' then 'chaque trimestre' else 'chaque année' end || '.' end,
+  case when via_id is not null and sid is not null then 'Payé via ' || vname || '.' end, case when hint is null and seen is null and period <> 'unknown' then 'Fréquence estimée : la fréquence habituelle de ce service.' end,
+  case when amount_cents is null then 'Montant absent de la capture : à compléter.' when period = 'unknown' then 'Montant lu : ' || {_euros_sql("amount_cents")} || ', fréquence inconnue.' end) as reasons
+from p left join names using (sid) left join vias using (via_id) join ids using (import_id, gk) join texts using (import_id, gk) where confidence is not null""")
+def detection_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each detection rests on: transactions and lines in order, and the reasons shown to the user."""
+    found = detect_.detect(transactions(spark, sf_dir))
+    rows = found.subscriptions.unionByName(found.other_debits)
+    return rows.select("import_id", "id", F.array_join("source_transaction_ids", ",").alias("transaction_ids"), F.array_join("source_lines", " | ").alias("lines"), F.array_join("reasons", " ").alias("reasons"))
+
+
 @query(f"""select id, coalesce({_euros_sql("amount_cents")} || ' ' || case period when 'weekly' then 'par semaine' when 'monthly' then 'par mois' when 'quarterly' then 'par trimestre' when 'yearly' then 'par an' else 'fréquence à préciser' end
 || case when period <> 'monthly' and monthly_equivalent_cents is not null then ' · ' || {_euros_sql("monthly_equivalent_cents")} || '/mois' else '' end || case when period_is_estimated and period <> 'unknown' then ' (estimé)' else '' end, 'Montant à compléter') as amount,
 case category when 'streaming' then 'Streaming' when 'sport' then 'Salle de sport' else 'Autres' end || coalesce(' · essai jusqu''au ' || regexp_replace({_day_sql("trial_ends_at")}, '^le ', ''), case when user_status <> 'cancelled' then ' · prochain ' || {_day_sql("next_renewal")} end, '') as hint,
@@ -403,12 +477,49 @@ def parse_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select o_custkey as capture_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as entry, 'PRLV SEPA CREANCIER' as label, {CENTS} as cents, {DAY} as date, 'sepa' as kind, case when o_orderkey % 2 = 0 then 'debit' else 'unknown' end as direction, 95 as confidence from orders""")
 def parse_bank_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A date header, a label and an amount alone for each order."""
-    k = F.col("o_orderkey")
-    amount = F.concat(F.when(k % 2 == 0, "-").otherwise(""), money.cents_to_input(F.expr(CENTS)), F.lit(" €"))
-    rows = _page_lines(spark, sf_dir, [F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("PRLV SEPA CREANCIER"), amount])
+    return pages.parse_bank(_bank_lines(spark, sf_dir, F.lit("PRLV SEPA CREANCIER"))).select("capture_id", "entry", "label", "cents", "date", "kind", "direction", "confidence")
+
+
+def _bank_lines(spark: SparkSession, sf_dir: str, label: Column) -> DataFrame:
+    amount = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise(""), money.cents_to_input(F.expr(CENTS)), F.lit(" €"))
+    rows = _page_lines(spark, sf_dir, [F.date_format("o_orderdate", "dd/MM/yyyy"), label, amount])
     near = rows.withColumn("y0", F.when(F.col("text").contains("€"), F.col("y0") - 50).otherwise(F.col("y0"))).withColumn("y1", F.col("y0") + 40)
     words = F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), w["x0"].alias("x0"), F.col("y0").alias("y0"), w["x1"].alias("x1"), F.col("y1").alias("y1")))
-    return pages.parse_bank(near.withColumn("words", words)).select("capture_id", "entry", "label", "cents", "date", "kind", "direction", "confidence")
+    return near.withColumn("words", words)
+
+
+def _imported(lines: DataFrame) -> DataFrame:
+    """Each page as an import of its own."""
+    return lines.withColumns({"capture_id": F.col("capture_id").cast("string"), "import_id": F.col("capture_id").cast("string"), "capture_index": F.lit(0)})
+
+
+_BANK_ROWS = f"""(select o_custkey::varchar as import_id, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) - 1 as entry, case o_orderkey % 3 when 0 then '' when 1 then 'CB NETFLIX.COM' else 'PRLV SEPA CREANCIER' end as label,
+case o_orderkey % 3 when 0 then 'transfer' when 1 then 'card' else 'sepa' end as kind, {CENTS} as amount_cents, {DAY} as date, case when o_orderkey % 2 = 0 then 'debit' else 'unknown' end as direction from orders)"""
+
+
+def _mixed_label() -> Column:
+    k = F.col("o_orderkey")
+    return F.when(k % 3 == 0, "VIR SEPA M JEAN DUPONT").when(k % 3 == 1, "CB NETFLIX.COM").otherwise("PRLV SEPA CREANCIER")
+
+
+@query(f"""select import_id, 'screenshot_card_history:0:' || entry as id, entry as pos, label, case kind when 'transfer' then '' when 'card' then 'NETFLIX.COM' else 'CREANCIER' end as normalized_label, kind = 'transfer' as text_hidden, amount_cents, date, direction, kind, 'screenshot_card_history' as source, 95 as ocr_confidence from {_BANK_ROWS}""")
+def capture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to transactions by the adapter of their kind; a transfer keeps no text."""
+    rows = captures.transactions(_imported(_bank_lines(spark, sf_dir, _mixed_label())))
+    return rows.select("import_id", "id", "pos", "label", "normalized_label", (F.col("raw_text") == "").alias("text_hidden"), "amount_cents", "date", "direction", "kind", "source", "ocr_confidence")
+
+
+@query(f"""with r as (select *, case kind when 'card' then 'sub:service:netflix' else 'sub:label:CREANCIER' end as id from {_BANK_ROWS} where kind <> 'transfer')
+select import_id, id, case kind when 'card' then 'Netflix' else 'Creancier' end as display_name, case kind when 'card' then 'high' else 'medium' end as confidence, first(amount_cents order by date desc, k) as amount_cents, 'pending' as status, 'keep' as user_status, count(*)::int as n from r group by import_id, id, kind""")
+def import_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages arrive as files, each micro-batch is detected and merged into the portfolio; the live query then reads it."""
+    folder = _new_folder(spark, "imports")
+    lines = _imported(_bank_lines(spark, sf_dir, _mixed_label())).withColumns({"segments": F.array("text"), "unreadable": F.lit(False)})
+    lines.select("import_id", "capture_id", "capture_index", "line_pos", "text", "segments", "words", "x0", "y0", "x1", "y1", "confidence", "reference", "unreadable").repartition("capture_id").write.parquet(f"{folder}/lines")
+    saved = Portfolio(spark, f"{folder}/portfolio", "import_id string")
+    imports.merge_stream(imports.line_stream(spark, f"{folder}/lines"), saved, f"{folder}/state", lambda: F.lit("2026-10-05 10:00:00").cast("timestamp")).awaitTermination()
+    shown = imports.live(saved, lambda rows: rows.select("import_id", "id", "display_name", "confidence", "amount_cents", "status", "user_status", F.size("source_transaction_ids").alias("n")))
+    return shown()
 
 
 @query("""select o_custkey as capture_id, case when o_custkey % 3 = 0 and count(*) >= 2 then 'screenshot_store' when o_custkey % 3 = 1 then 'screenshot_bank_debits' else 'screenshot_card_history' end as kind from orders group by o_custkey""")

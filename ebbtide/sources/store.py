@@ -1,7 +1,9 @@
-"""The saved portfolio: a folder of Parquet versions, the newest complete one counts.
+"""The saved portfolio: a folder of Parquet versions, dealt into parts by a hash of the scope.
 
-A write makes a new version beside the old ones and never touches what is being read; a version counts once Spark has
-committed it (_SUCCESS), so a lost executor or a stopped job leaves the old portfolio. One writer at a time.
+A write makes a new version beside the old ones, with the parts that it changes alone, and never touches what is being
+read; a part is read from the newest complete version that holds it. A version counts once Spark has committed it
+(_SUCCESS), so a lost executor or a stopped job leaves the old portfolio. One writer at a time. Null scopes and ids are keys
+like others.
 """
 
 from __future__ import annotations
@@ -17,58 +19,94 @@ SETTINGS = "key string, checked_categories array<string>"
 
 
 class Portfolio:
-    def __init__(self, spark: SparkSession, path: str, scope: str = ""):
-        """scope: DDL of key columns that stand before STORED, as `user_id string`."""
+    def __init__(self, spark: SparkSession, path: str, scope: str = "", parts: int = 16):
+        """scope: DDL of key columns that stand before STORED, as `user_id string`; parts: by their hash, rewritten one by one."""
         self.spark, self.path, self.ddl = spark, path.rstrip("/"), f"{scope}, {STORED}" if scope else STORED
         self.scope = tuple(f.name for f in T.StructType.fromDDL(scope)) if scope else ()
+        self.keys, self.parts = (*self.scope, "id"), parts if scope else 1
 
-    def _files(self):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _at(self, *names: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
     def versions(self, name: str) -> list[int]:
         """Complete versions, oldest first."""
-        files, place = self._files()
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(place, name)
+        files, top = self._at(name)
         if not files.exists(top):
             return []
         found = [s.getPath() for s in files.listStatus(top)]
         done = [p for p in found if p.getName().startswith("v") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
         return sorted(int(p.getName()[1:]) for p in done)
 
-    def _read(self, name: str, ddl: str) -> DataFrame:
-        done = self.versions(name)
-        if not done:
+    def _newest(self, name: str) -> dict[int, int]:
+        """The newest complete version that holds each part."""
+        found = {}
+        for v in self.versions(name):
+            files, top = self._at(name, f"v{v}")
+            held = [s.getPath().getName() for s in files.listStatus(top)]
+            found |= {int(h[5:]): v for h in held if h.startswith("part=")}
+        return found
+
+    def _read(self, name: str, ddl: str, parts: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{name}/v{v}/part={p}" for p, v in sorted(self._newest(name).items()) if parts is None or p in parts]
+        if not paths:
             return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}/v{done[-1]}")
+        return self.spark.read.schema(f"{ddl}, mark boolean").parquet(*paths).where("not mark").drop("mark")
 
-    def _write(self, name: str, rows: DataFrame, ddl: str) -> None:
+    def _write(self, name: str, rows: DataFrame, ddl: str, parts: set[int], part: Column | None = None) -> None:
+        """A version with these parts, whole. A part has a mark beside its rows, so one that was emptied differs from one left alone."""
+        fields = T.StructType.fromDDL(ddl)
+        held = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields), F.lit(False).alias("mark")).withColumn("part", F.lit(0) if part is None else part)
+        marks = self.spark.createDataFrame([(p,) for p in sorted(parts)], "part int").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields), F.lit(True).alias("mark"), "part")
         done = self.versions(name)
-        rows.select(*T.StructType.fromDDL(ddl).fieldNames()).write.mode("overwrite").parquet(f"{self.path}/{name}/v{done[-1] + 1 if done else 0}")
+        dealt = held.union(marks).repartition("part", F.pmod(F.xxhash64(fields[-1].name, "key" if name == "settings" else "id"), F.lit(8)))
+        dealt.write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/{name}/v{done[-1] + 1 if done else 0}")
+
+    def _part(self) -> Column:
+        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(self.ddl)}
+        return F.pmod(F.xxhash64(*(F.col(c).cast(kinds[c]) for c in self.scope)), F.lit(self.parts)).cast("int") if self.scope else F.lit(0)
+
+    def _touched(self, rows: DataFrame) -> set[int]:
+        return {r[0] for r in rows.select(self._part()).distinct().collect()}  # at most `parts`
+
+    def _save(self, rows: DataFrame, parts: set[int]) -> None:
+        if parts:
+            self._write("subscriptions", rows, self.ddl, parts, self._part())
+
+    def _without(self, rows: DataFrame, parts: set[int]) -> DataFrame:
+        """Saved rows of these parts but those whose key is in rows; nulls are equal."""
+        gone = rows.select(*(F.col(k).alias(f"_{k}") for k in self.keys)).distinct()
+        return self._read("subscriptions", self.ddl, parts).join(gone, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys], "left_anti")
 
     def read(self) -> DataFrame:
         return self._read("subscriptions", self.ddl)
 
     def save_detections(self, detected: DataFrame, now: Column) -> DataFrame:
         """Merge and save; the counts of added and refreshed rows."""
-        merged = checkpointed(merge_detections(self.read(), detected, now, self.scope))  # counted and written
+        detected = checkpointed(detected)
+        parts = self._touched(detected)
+        merged = checkpointed(merge_detections(self._read("subscriptions", self.ddl, parts), detected, now, self.scope))  # counted and written
         added = "change = 'added'"
         counts = merged.groupBy().agg(F.count_if(F.expr(added)).alias("added"), F.count_if(F.expr("change = 'refreshed'")).alias("refreshed"))
         told = counts.first()
-        self._write("subscriptions", merged, self.ddl)
+        self._save(merged, parts)
         return self.spark.createDataFrame([told], counts.schema)
 
     def add(self, rows: DataFrame) -> None:
-        """Insert rows; those of a known id replace it."""
-        keys = [*self.scope, "id"]
-        self._write("subscriptions", self.read().join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows), self.ddl)
+        """Insert rows; those of a known id replace it. Of rows with one id the one updated last counts."""
+        names = T.StructType.fromDDL(self.ddl).fieldNames()
+        last = F.struct("updated_at", "created_at", F.xxhash64(*names))
+        rows = checkpointed(rows.groupBy(*(F.col(k).alias(f"_{k}") for k in self.keys)).agg(F.max_by(F.struct(*names), last).alias("row")).select("row.*"))
+        parts = self._touched(rows)
+        self._save(self._without(rows, parts).unionByName(rows), parts)
 
     def edit(self, edits: DataFrame, now: Column) -> None:
-        self._write("subscriptions", apply_edits(self.read(), edits, now, self.scope), self.ddl)
+        parts = self._touched(edits)
+        self._save(apply_edits(self._read("subscriptions", self.ddl, parts), edits, now, self.scope), parts)
 
     def delete(self, ids: DataFrame) -> None:
-        keys = [*self.scope, "id"]
-        self._write("subscriptions", self.read().join(ids.select(*keys).distinct(), keys, "left_anti"), self.ddl)
+        parts = self._touched(ids)
+        self._save(self._without(ids, parts), parts)
 
     def checked_categories(self) -> DataFrame:
         """One row; an empty list before anything was saved."""
@@ -76,16 +114,18 @@ class Portfolio:
         return told.agg(F.coalesce(F.first("checked_categories"), F.array().cast("array<string>")).alias("checked_categories"))
 
     def set_checked_categories(self, categories: list[str]) -> None:
-        self._write("settings", self.spark.createDataFrame([("memory", categories)], SETTINGS), SETTINGS)
+        self._write("settings", self.spark.createDataFrame([("memory", categories)], SETTINGS), SETTINGS, {0})
 
     def wipe(self) -> None:
         """Empty both tables."""
-        self._write("subscriptions", self.spark.createDataFrame([], self.ddl), self.ddl)
-        self._write("settings", self.spark.createDataFrame([], SETTINGS), SETTINGS)
+        self._save(self.spark.createDataFrame([], self.ddl), set(self._newest("subscriptions")))
+        self._write("settings", self.spark.createDataFrame([], SETTINGS), SETTINGS, {0})
 
     def prune(self, keep: int = 2) -> None:
-        """Delete all but the newest versions."""
-        files, place = self._files()
+        """Delete versions that no part is read from, but for the newest ones."""
         for name in ("subscriptions", "settings"):
+            used = set(self._newest(name).values())
             for v in self.versions(name)[:-keep]:
-                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(place, f"{name}/v{v}"), True)
+                if v not in used:
+                    files, place = self._at(name, f"v{v}")
+                    files.delete(place, True)

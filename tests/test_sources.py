@@ -55,3 +55,29 @@ def test_entry_and_registration(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 40
     assert __spark_entry__.entry(spark).columns[:2] == ["import_id", "id"]
+
+
+def test_portfolio_parts(spark, tmp_path):
+    """A write touches the parts of its rows alone; repeated ids and null scopes are keys like others; emptied parts stay empty."""
+    from ebbtide.operators.portfolio import STORED
+    from ebbtide.sources.store import Portfolio
+
+    names = [f.split()[0] for f in STORED.split(", ")]
+    make = lambda *rows: spark.createDataFrame([(u, *({"id": i, "display_name": d, "updated_at": t}.get(n) for n in names)) for u, i, d, t in rows], f"user string, {STORED}")
+    early, late = datetime(2026, 1, 1), datetime(2026, 2, 1)
+    saved = Portfolio(spark, str(tmp_path / "p"), "user string")
+    saved.add(make(*((f"u{k}", "a", "x", early) for k in range(40)), (None, "a", "old", early), (None, "a", "new", late)))
+    told = lambda: {(r.user, r.id): r.display_name for r in saved.read().collect()}
+    assert len(told()) == 41 and told()[None, "a"] == "new"
+    saved.add(make((None, "a", "newer", early), ("u3", "b", "y", early)))
+    first, second = saved.versions("subscriptions")
+    parts = lambda v: sum(p.name.startswith("part=") for p in (tmp_path / "p" / "subscriptions" / f"v{v}").iterdir())
+    assert parts(second) <= 2 < parts(first)
+    assert len(told()) == 42 and told()[None, "a"] == "newer" and told()["u3", "b"] == "y"
+    saved.delete(make((None, "a", "", early)))
+    saved.prune(1)
+    assert len(told()) == 41 and (None, "a") not in told() and first in saved.versions("subscriptions")
+    saved.delete(saved.read())
+    assert told() == {}
+    saved.prune(1)
+    assert told() == {} and first not in saved.versions("subscriptions")
