@@ -54,6 +54,44 @@ def test_gradient_step_by_hand():
     assert np.allclose(own.z[at], -0.5 + g - (np.sqrt(0.25 + g * g) - 0.5) * w)
 
 
+def test_whole_model_as_plain_loops_would(spark):
+    """Sharded rounds of FTRL-proximal again, one number at a time, against the weights that fit() gives."""
+    random = np.random.default_rng(4)
+    texts = {i: " ".join([f"w{k}" for k in random.integers(0, 30, 12)] + (["vile thing"] if i % 3 == 0 else [])) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    alpha, beta, l1, l2, rounds, shards, bias = 0.7, 1.0, 0.4, 0.5, 3, 2, 1 << 18
+    got = toxicity.fit(docs, labels, shards=shards, rounds=rounds, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    told = labels.where(crc_fold(F.col("doc_id"), 4) != 2).select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")).collect()
+    z, n = {}, {}
+
+    def weight(z, n, f):
+        s = z.get(f, 0.0)
+        kept = s if f == bias else math.copysign(max(abs(s) - l1, 0), s)
+        return -kept / ((beta + math.sqrt(n.get(f, 0.0))) / alpha + l2)
+
+    for _ in range(rounds):
+        ends = []
+        for shard in range(shards):
+            rows = sorted(r.doc_id for r in told if r.shard == shard)
+            zs, ns = dict(z), dict(n)
+            for i in np.random.RandomState(5).permutation(len(rows)).tolist():
+                at = sorted(set(toxicity.features([texts[rows[i]]])[0].tolist())) + [bias]
+                w = {f: weight(zs, ns, f) for f in at}
+                g = 1 / (1 + math.exp(-sum(w.values()))) - int(rows[i] % 3 == 0)
+                for f in at:
+                    old = ns.get(f, 0.0)
+                    zs[f] = zs.get(f, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[f]
+                    ns[f] = old + g * g
+            ends.append((zs, ns))
+        seen = {f for zs, _ in ends for f in zs}
+        z, n = ({f: sum(e[k].get(f, 0.0) for e in ends) / shards for f in seen} for k in (0, 1))
+    want = np.zeros(bias + 1)
+    for f in z:
+        want[f] = weight(z, n, f)
+    assert np.count_nonzero(got) > 20 and np.allclose(got, want, atol=1e-5)
+
+
 def test_features_are_words_pairs_and_skips():
     feature, owner = toxicity.features(["A b c", "c", ""])
     assert owner.tolist() == [0, 0, 0, 1, 0, 0, 0] and feature[2] == feature[3]
