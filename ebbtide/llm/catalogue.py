@@ -1,7 +1,7 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from ebbtide.llm import chat, decontaminate, embedding_dedup, language_id, packing, secret_scan, simhash, token_count, toxicity, url_filter
+from ebbtide.llm import chat, decontaminate, embedding_dedup, language_id, packing, periodic_runs, quality, secret_scan, simhash, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -14,6 +14,8 @@ QUERIES = {
     "op8_url_filters": url_filter.query,
     "op9_toxicity": toxicity.query,
     "op10_token_counts": token_count.query,
+    "op11_quality_classifier": quality.query,
+    "op12_periodic_runs": periodic_runs.query,
     "pipeline": corpus_pipeline.run,
 }
 
