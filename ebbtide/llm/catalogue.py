@@ -1,7 +1,7 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from ebbtide.llm import chat, decontaminate, embedding_dedup, language_id, packing, periodic_runs, quality, secret_scan, simhash, token_count, toxicity, url_filter
+from ebbtide.llm import chat, decontaminate, embedding_dedup, language_id, packing, periodic_runs, quality, ranked_search, secret_scan, simhash, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_token_counts": token_count.query,
     "op11_quality_classifier": quality.query,
     "op12_periodic_runs": periodic_runs.query,
+    "op13_ranked_search": ranked_search.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +26,5 @@ ORACLES = {
     "op5_decontamination": decontaminate.ORACLE,
     "op7_embedding_dedup": embedding_dedup.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
