@@ -37,6 +37,7 @@ from ebbtide.llm.text import fresh, pieces
 
 ORDER, BITS = 4, 16
 CHUNK, GRAMS = 8_000_000, 65_536
+PRIOR = 20  # texts
 UND = "und"
 RESULT = "lang_pred string, score double, bits_per_char double, n_chars long, rejected boolean"
 _LETTERS: list[np.ndarray] = []
@@ -254,7 +255,7 @@ def _limits(model: Model, scored: DataFrame, false_rejects: float = 0.001) -> No
     A language's own texts are those of it that are predicted so; foreign to it are the texts of each other language that
     would go to it if their own language had not been learnt. A limit is drawn between the two. Bits are compared as
     excess over the language's usual value, in bins of a hundredth, so what reaches the driver is bounded by the
-    languages. A language without 20 texts of either kind takes the limit of all languages together.
+    languages. Each limit is drawn towards that of all languages together, with the weight of PRIOR texts.
     """
     if not model.langs:
         return
@@ -275,15 +276,25 @@ def _limits(model: Model, scored: DataFrame, false_rejects: float = 0.001) -> No
     for r in bins:
         for i in (r["at"], -1):
             held[i][not r.own][r.bin] += r.many
-    enough = [min(sum(x.values()) for x in pair) >= 20 for pair in held]
-    model.limits = model.usual + np.array([_threshold(*held[i if enough[i] else -1], false_rejects) / 100 for i in range(len(model.langs))])
+    pooled, limits = _threshold(*held[-1], false_rejects), []
+    for pair in held[:-1]:
+        many = min(sum(x.values()) for x in pair)
+        limits.append((many * (_threshold(*pair, false_rejects) if many else 0) + PRIOR * pooled) / (many + PRIOR) / 100)
+    model.limits = model.usual + np.array(limits)
+
+
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash values of this type: not those that hold a map or a variant."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def _scored(docs: DataFrame, langs: list[str], scores: DataFrame, kept: list[str], text: str, names: list[str]) -> DataFrame:
     """Columns `kept` of docs, then `names`: bits a character by language, characters, whether there is a letter."""
     chunk, bits, n, lettered = names
     total = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    named = F.pmod(F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant")))), F.lit(1 + total // CHUNK))
+    named = F.pmod(F.xxhash64(*(f.name for f in docs.schema if _hashable(f.dataType))), F.lit(1 + total // CHUNK))
     dealt = docs.withColumn(chunk, named).repartition(chunk)  # the one shuffle of texts, which both uses below share
 
     def ask(group: pa.Table) -> pa.Table:

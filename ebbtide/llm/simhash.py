@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,17 +110,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
 
 
-def _place(docs: DataFrame) -> Column:
-    """What names a row in every read: file and row of a table in files, whatever executors read it; else its number as planned."""
-    if docs.inputFiles():
-        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return F.monotonically_increasing_id()
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a column that names a row in every read: file and row of a table in files; of any other frame a number, written with its rows."""
+    try:
+        return docs.withColumn(row, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:  # a join, a union or an aggregate has no such column
+        return checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, threshold: int = 2) -> DataFrame:
-    """One document of each component (smallest id, then first row). docs must be a Parquet table as read or checkpointed: it is read twice."""
+    """One document of each component (smallest id, then first row). docs may be any frame; it is written once unless it is a table in files."""
     row = fresh(docs, "_row")
-    numbered = docs.withColumn(row, _place(docs))
+    numbered = _numbered(docs, row)
     rows = checkpointed(numbered.select(F.col(row).alias("row"), F.col(key).alias("doc_id"), fingerprint(F.col(text), width).alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     prints = checkpointed(rows.groupBy("fp").agg(first.alias("first")))

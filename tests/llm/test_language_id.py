@@ -157,3 +157,24 @@ def test_an_unlearned_language_in_latin_letters_is_rejected(spark, odd):
     foreign, own = [r.rejected for r in told if r.lang is None], [r.rejected for r in told if r.lang and r.fold == 0]
     print(odd, "accepted", foreign.count(False), "of", len(foreign), "own rejected", own.count(True), "of", len(own))
     assert sum(foreign) > 0.9 * len(foreign) and sum(own) < 0.1 * len(own)
+
+
+def test_columns_of_any_type_are_passed_on(docs, spark):
+    nested = docs.select("doc_id", "text", "lang").withColumns({"a": F.array(F.create_map(F.lit("k"), F.lit(1))), "b": F.struct(F.create_map(F.lit(1), F.lit("v")).alias("m"), F.lit(2).alias("n")), "chunk_": F.lit(1.5), "language": F.lit("x")})
+    judged = language_id.identify(nested)
+    assert judged.columns == [*nested.columns, "language_"] and judged.count() == docs.count()
+    assert {(r.a[0]["k"], r.b.m[1], r.chunk_, r.language) for r in judged.collect()} == {(1, "v", 1.5, "x")}
+
+
+def test_limits_are_drawn_towards_the_common_one(spark):
+    """Few texts of a language move its limit a little, many nearly all the way; none leave the common one."""
+    rows = []
+    for lang, many, own, foreign in (("aa", 400, 2.0, 4.0), ("bb", 5, 2.0, 8.0), ("cc", 0, 0.0, 0.0)):
+        i = ["aa", "bb", "cc"].index(lang)
+        for k in range(many):
+            rows.append((lang, [own if j == i else 9.0 for j in range(3)], 10_000, True))
+            rows.append((["bb", "aa"][i], [foreign if j == i else 2.0 if j == 1 - i else 9.5 for j in range(3)], 10_000, True))
+    model = language_id.Model(["aa", "bb", "cc"], floor=np.zeros(3))
+    language_id._limits(model, spark.createDataFrame(rows, "lang string, bits array<double>, n long, lettered boolean"))
+    spread = model.limits - model.usual
+    assert np.isfinite(model.limits).all() and abs(spread[0] - spread[2]) < 0.1 and spread[2] < spread[1]

@@ -114,3 +114,16 @@ def test_near_duplicates_and_kept_rows(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0 and simhash.keep_one(df.where("false")).count() == 0
     shown = simhash.near_duplicates(df).select(F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f")).collect()
     assert all(len(r.f) == 16 for r in shown)
+
+
+def test_one_is_kept_of_any_frame(spark, tmp_path):
+    """Unions, joins and aggregates have no file and row; a column named _metadata is one like others."""
+    df = docs(spark).where("doc_id is not null")
+    df.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    want = sorted(r.doc_id for r in simhash.keep_one(read).collect())
+    labels = read.select("doc_id").distinct().withColumn("quality", F.lit(1))
+    frames = [read.union(read), read.join(labels, "doc_id", "left"), read.groupBy(*read.columns).agg(F.count("*").alias("many")), read.distinct(), read.withColumn("_metadata", F.lit("x")), read.where("doc_id >= 0").select("text", "doc_id"), df]
+    for frame in frames:
+        kept = simhash.keep_one(frame)
+        assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == want
