@@ -118,6 +118,31 @@ def portfolio_totals(items: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame
     )
 
 
+#: Sums that can be kept up by additions and subtractions; `items` tells when nothing is left of a scope.
+TOTALS = "items long, count long, monthly_cents long, incomplete long, to_save_cents long"
+
+
+def totals_of_changes(changes: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """TOTALS of rows that come (weight 1) and go (weight -1)."""
+    monthly, weight = F.coalesce("monthly_equivalent_cents", F.lit(0)), F.col("weight")
+    summed = lambda value, when: F.coalesce(F.sum(F.when(when, weight * value)), F.lit(0))
+    return changes.groupBy(*scope).agg(
+        F.coalesce(F.sum(weight), F.lit(0)).alias("items"), summed(F.lit(1), is_counted()).alias("count"), summed(monthly, is_counted()).alias("monthly_cents"),
+        summed(F.lit(1), is_counted() & F.col("monthly_equivalent_cents").isNull()).alias("incomplete"), summed(monthly, is_counted() & (F.col("user_status") == "to_cancel")).alias("to_save_cents"),
+    )
+
+
+def summed_totals(rows: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """TOTALS of several TOTALS rows of a scope; scopes without items are gone."""
+    return rows.groupBy(*scope).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (f.split()[0] for f in TOTALS.split(", ")))).where("items <> 0")
+
+
+def shown_totals(rows: DataFrame) -> DataFrame:
+    """TOTALS in the columns of portfolio_totals."""
+    scope = [c for c in rows.columns if f"{c} long" not in TOTALS.split(", ")]
+    return rows.select(*scope, "count", "monthly_cents", (F.col("monthly_cents") * 12).alias("yearly_cents"), "incomplete", (F.col("to_save_cents") * 12).alias("savings_yearly_cents"))
+
+
 def upcoming_deadlines(items: DataFrame, today: Column, within: int = 30) -> DataFrame:
     """A row for each trial end and renewal in the coming days, with deadline, type, type_ord and in_days (to sort by)."""
     both = F.array(*(F.struct(F.lit(i).alias("type_ord"), F.lit(t).alias("type"), F.col(c).alias("deadline")) for i, (t, c) in enumerate((("trial_end", "trial_ends_at"), ("renewal", "next_renewal")))))

@@ -1,131 +1,131 @@
-"""The saved portfolio: a folder of Parquet versions, dealt into parts by a hash of the scope.
+"""The saved portfolio and the settings, as versioned tables dealt into parts by a hash of the scope.
 
-A write makes a new version beside the old ones, with the parts that it changes alone, and never touches what is being
-read; a part is read from the newest complete version that holds it. A version counts once Spark has committed it
-(_SUCCESS), so a lost executor or a stopped job leaves the old portfolio. One writer at a time. Null scopes and ids are keys
-like others.
+Any number of writers may work at once (see `versions`): a write touches the parts of its own rows, and a part that another
+writer changed meanwhile is worked out again from the newest rows. Null scopes and ids are keys like others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.core import checkpointed
-from ebbtide.operators.portfolio import STORED, apply_edits, merge_detections
+from ebbtide.operators.portfolio import STORED, TOTALS, apply_edits, merge_detections, shown_totals, summed_totals, totals_of_changes
+from ebbtide.sources.versions import Versions
 
 SETTINGS = "key string, checked_categories array<string>"
 
 
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
 class Portfolio:
     def __init__(self, spark: SparkSession, path: str, scope: str = "", parts: int = 16):
         """scope: DDL of key columns that stand before STORED, as `user_id string`; parts: by their hash, rewritten one by one."""
-        self.spark, self.path, self.ddl = spark, path.rstrip("/"), f"{scope}, {STORED}" if scope else STORED
-        self.scope = tuple(f.name for f in T.StructType.fromDDL(scope)) if scope else ()
+        self.spark, self.path, self.scope_ddl = spark, path.rstrip("/"), scope
+        self.ddl = f"{scope}, {STORED}" if scope else STORED
+        kinds = T.StructType.fromDDL(scope) if scope else []
+        self.scope = tuple(f.name for f in kinds)
         self.keys, self.parts = (*self.scope, "id"), parts if scope else 1
-
-    def _at(self, *names: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
-
-    def versions(self, name: str) -> list[int]:
-        """Complete versions, oldest first."""
-        files, top = self._at(name)
-        if not files.exists(top):
-            return []
-        found = [s.getPath() for s in files.listStatus(top)]
-        done = [p for p in found if p.getName().startswith("v") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done)
-
-    def _newest(self, name: str) -> dict[int, int]:
-        """The newest complete version that holds each part."""
-        found = {}
-        for v in self.versions(name):
-            files, top = self._at(name, f"v{v}")
-            held = [s.getPath().getName() for s in files.listStatus(top)]
-            found |= {int(h[5:]): v for h in held if h.startswith("part=")}
-        return found
-
-    def _read(self, name: str, ddl: str, parts: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/{name}/v{v}/part={p}" for p, v in sorted(self._newest(name).items()) if parts is None or p in parts]
-        if not paths:
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(f"{ddl}, mark boolean").parquet(*paths).where("not mark").drop("mark")
-
-    def _write(self, name: str, rows: DataFrame, ddl: str, parts: set[int], part: Column | None = None) -> None:
-        """A version with these parts, whole. A part has a mark beside its rows, so one that was emptied differs from one left alone."""
-        fields = T.StructType.fromDDL(ddl)
-        held = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields), F.lit(False).alias("mark")).withColumn("part", F.lit(0) if part is None else part)
-        marks = self.spark.createDataFrame([(p,) for p in sorted(parts)], "part int").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields), F.lit(True).alias("mark"), "part")
-        done = self.versions(name)
-        dealt = held.union(marks).repartition("part", F.pmod(F.xxhash64(fields[-1].name, "key" if name == "settings" else "id"), F.lit(8)))
-        dealt.write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/{name}/v{done[-1] + 1 if done else 0}")
-
-    def _part(self) -> Column:
-        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(self.ddl)}
-        return F.pmod(F.xxhash64(*(F.col(c).cast(kinds[c]) for c in self.scope)), F.lit(self.parts)).cast("int") if self.scope else F.lit(0)
+        self.part = F.pmod(F.xxhash64(*(F.col(f.name).cast(f.dataType) for f in kinds)), F.lit(parts)).cast("int") if scope else F.lit(0)
+        self.table = Versions(spark, f"{self.path}/subscriptions", self.ddl, self.part, self.parts)
+        self.settings = Versions(spark, f"{self.path}/settings", SETTINGS)
 
     def _touched(self, rows: DataFrame) -> set[int]:
-        return {r[0] for r in rows.select(self._part()).distinct().collect()}  # at most `parts`
+        return {r[0] for r in rows.select(self.part).distinct().collect()}  # at most `parts`
+
+    def _of(self, rows: DataFrame, parts: set[int]) -> DataFrame:
+        return rows.where(self.part.isin(*parts))
 
-    def _save(self, rows: DataFrame, parts: set[int]) -> None:
-        if parts:
-            self._write("subscriptions", rows, self.ddl, parts, self._part())
+    def _write(self, rows: DataFrame, build: Callable[[DataFrame, DataFrame], DataFrame], writer: str = "", number: int = 0) -> bool:
+        """Commit build(saved, rows) for the parts that rows fall in; False if there is none or the writer's number is known."""
+        parts = self._touched(rows)
+        return bool(parts) and self.table.commit(parts, lambda saved, stale: build(saved, self._of(rows, stale)), writer, number) is not None
 
-    def _without(self, rows: DataFrame, parts: set[int]) -> DataFrame:
-        """Saved rows of these parts but those whose key is in rows; nulls are equal."""
+    def _without(self, saved: DataFrame, rows: DataFrame) -> DataFrame:
+        """Saved rows but those whose key is in rows; nulls are equal."""
         gone = rows.select(*(F.col(k).alias(f"_{k}") for k in self.keys)).distinct()
-        return self._read("subscriptions", self.ddl, parts).join(gone, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys], "left_anti")
+        return saved.join(gone, [_same(k, f"_{k}") for k in self.keys], "left_anti")
 
-    def read(self) -> DataFrame:
-        return self._read("subscriptions", self.ddl)
-
-    def save_detections(self, detected: DataFrame, now: Column) -> DataFrame:
-        """Merge and save; the counts of added and refreshed rows."""
-        detected = checkpointed(detected)
-        parts = self._touched(detected)
-        merged = checkpointed(merge_detections(self._read("subscriptions", self.ddl, parts), detected, now, self.scope))  # counted and written
-        added = "change = 'added'"
-        counts = merged.groupBy().agg(F.count_if(F.expr(added)).alias("added"), F.count_if(F.expr("change = 'refreshed'")).alias("refreshed"))
-        told = counts.first()
-        self._save(merged, parts)
-        return self.spark.createDataFrame([told], counts.schema)
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.table.read(None if version is None else self.table.version(version))
+
+    def save_detections(self, detected: DataFrame, now: Column, writer: str = "", number: int = 0) -> DataFrame:
+        """Merge and save; the counts of added and refreshed rows in the version written. A writer's number is merged once."""
+        detected, made = checkpointed(detected), {}
+
+        def build(saved: DataFrame, rows: DataFrame) -> DataFrame:
+            merged = checkpointed(merge_detections(saved, rows, now, self.scope))  # counted and written
+            made.update(dict.fromkeys(self._touched(rows), merged))
+            return merged
+
+        wrote = self._write(detected, build, writer, number)
+        counted = self.spark.createDataFrame([], "change string")
+        for merged in {id(m): m for m in made.values()}.values() if wrote else []:
+            counted = counted.union(self._of(merged, {p for p, m in made.items() if m is merged}).select("change"))
+        return counted.agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "refreshed").alias("refreshed"))
 
     def add(self, rows: DataFrame) -> None:
         """Insert rows; those of a known id replace it. Of rows with one id the one updated last counts."""
         names = T.StructType.fromDDL(self.ddl).fieldNames()
         last = F.struct("updated_at", "created_at", F.xxhash64(*names))
         rows = checkpointed(rows.groupBy(*(F.col(k).alias(f"_{k}") for k in self.keys)).agg(F.max_by(F.struct(*names), last).alias("row")).select("row.*"))
-        parts = self._touched(rows)
-        self._save(self._without(rows, parts).unionByName(rows), parts)
+        self._write(rows, lambda saved, own: self._without(saved, own).unionByName(own))
 
     def edit(self, edits: DataFrame, now: Column) -> None:
-        parts = self._touched(edits)
-        self._save(apply_edits(self._read("subscriptions", self.ddl, parts), edits, now, self.scope), parts)
+        edits = checkpointed(edits)
+        self._write(edits, lambda saved, own: apply_edits(saved, own, now, self.scope))
 
     def delete(self, ids: DataFrame) -> None:
-        parts = self._touched(ids)
-        self._save(self._without(ids, parts), parts)
+        self._write(checkpointed(ids.select(*self.keys)), self._without)
 
     def checked_categories(self) -> DataFrame:
         """One row; an empty list before anything was saved."""
-        told = self._read("settings", SETTINGS).where("key = 'memory'")
+        told = self.settings.read().where("key = 'memory'")
         return told.agg(F.coalesce(F.first("checked_categories"), F.array().cast("array<string>")).alias("checked_categories"))
 
     def set_checked_categories(self, categories: list[str]) -> None:
-        self._write("settings", self.spark.createDataFrame([("memory", categories)], SETTINGS), SETTINGS, {0})
+        row = self.spark.createDataFrame([("memory", categories)], SETTINGS)
+        self.settings.commit({0}, lambda saved, _: saved.where("key <> 'memory'").unionByName(row))
 
     def wipe(self) -> None:
-        """Empty both tables."""
-        self._save(self.spark.createDataFrame([], self.ddl), set(self._newest("subscriptions")))
-        self._write("settings", self.spark.createDataFrame([], SETTINGS), SETTINGS, {0})
-
-    def prune(self, keep: int = 2) -> None:
-        """Delete versions that no part is read from, but for the newest ones."""
-        for name in ("subscriptions", "settings"):
-            used = set(self._newest(name).values())
-            for v in self.versions(name)[:-keep]:
-                if v not in used:
-                    files, place = self._at(name, f"v{v}")
-                    files.delete(place, True)
+        """Empty both tables, rows of writers that come first included."""
+        for held in (self.table, self.settings):
+            held.commit(set(range(held.parts)), lambda saved, _: saved.where("false"))
+
+    def prune(self, keep: int = 2, unclaimed_seconds: float = 86_400) -> None:
+        """Delete versions but the newest, and data that no kept version reads."""
+        self.table.prune(keep, unclaimed_seconds)
+        self.settings.prune(keep, unclaimed_seconds)
+
+
+class LiveTotals:
+    """Totals of each scope, kept up by what changed between versions and not by recounting.
+
+    They lie in the same parts as the portfolio, so a change rewrites the totals of its own parts alone. The totals' manifest
+    says which version they stand for, and a version is taken in once, however many are catching up.
+    """
+
+    def __init__(self, portfolio: Portfolio, path: str | None = None):
+        self.portfolio = portfolio
+        ddl = f"{portfolio.scope_ddl}, {TOTALS}" if portfolio.scope else TOTALS
+        self.table = Versions(portfolio.spark, path or f"{portfolio.path}/totals", ddl, portfolio.part, portfolio.parts)
+
+    def seen(self) -> int:
+        """The portfolio's version that the totals stand for; -1 for none."""
+        return self.table.version().writers.get("portfolio", -1)
+
+    def catch_up(self) -> int:
+        """Take in all versions up to the newest; the number of the newest."""
+        held, own = self.portfolio.table, self.portfolio
+        while (since := self.seen()) < (until := held.version().number):
+            delta = checkpointed(totals_of_changes(held.changes(since, until), own.scope))
+            self.table.commit(held.changed_parts(since, until), lambda saved, stale, delta=delta: summed_totals(saved.unionByName(own._of(delta, stale)), own.scope), "portfolio", until, since)
+        return since
+
+    def read(self) -> DataFrame:
+        return shown_totals(self.table.read())

@@ -1,6 +1,7 @@
 """Files: pages as JSON, images, the day of a capture, bank profiles; and the registered queries' names."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ebbtide.functions import dates, web
 from ebbtide.sources import captures
+from ebbtide.sources.store import LiveTotals, Portfolio
 
 
 def line(text, y):
@@ -57,27 +59,94 @@ def test_entry_and_registration(spark):
     assert __spark_entry__.entry(spark).columns[:2] == ["import_id", "id"]
 
 
-def test_portfolio_parts(spark, tmp_path):
-    """A write touches the parts of its rows alone; repeated ids and null scopes are keys like others; emptied parts stay empty."""
+def stored(spark):
     from ebbtide.operators.portfolio import STORED
-    from ebbtide.sources.store import Portfolio
 
     names = [f.split()[0] for f in STORED.split(", ")]
-    make = lambda *rows: spark.createDataFrame([(u, *({"id": i, "display_name": d, "updated_at": t}.get(n) for n in names)) for u, i, d, t in rows], f"user string, {STORED}")
-    early, late = datetime(2026, 1, 1), datetime(2026, 2, 1)
-    saved = Portfolio(spark, str(tmp_path / "p"), "user string")
-    saved.add(make(*((f"u{k}", "a", "x", early) for k in range(40)), (None, "a", "old", early), (None, "a", "new", late)))
+    return lambda *rows: spark.createDataFrame([(u, *({"id": i, "display_name": d, "updated_at": t, "status": "confirmed", "kind": "subscription", "user_status": "keep", "monthly_equivalent_cents": 100}.get(n) for n in names)) for u, i, d, t in rows], f"user string, {STORED}")
+
+
+EARLY, LATE = datetime(2026, 1, 1), datetime(2026, 2, 1)
+
+
+def test_portfolio_parts(spark, tmp_path):
+    """A write touches the parts of its rows alone; repeated ids and null scopes are keys like others; emptied parts stay empty."""
+    make, saved = stored(spark), Portfolio(spark, str(tmp_path / "p"), "user string")
+    saved.add(make(*((f"u{k}", "a", "x", EARLY) for k in range(40)), (None, "a", "old", EARLY), (None, "a", "new", LATE)))
     told = lambda: {(r.user, r.id): r.display_name for r in saved.read().collect()}
     assert len(told()) == 41 and told()[None, "a"] == "new"
-    saved.add(make((None, "a", "newer", early), ("u3", "b", "y", early)))
-    first, second = saved.versions("subscriptions")
-    parts = lambda v: sum(p.name.startswith("part=") for p in (tmp_path / "p" / "subscriptions" / f"v{v}").iterdir())
-    assert parts(second) <= 2 < parts(first)
+    saved.add(make((None, "a", "newer", EARLY), ("u3", "b", "y", EARLY)))
+    assert saved.table.numbers() == [0, 1] and 1 <= len(saved.table.changed_parts(0, 1)) <= 2 < len(saved.table.version(0).folders)
     assert len(told()) == 42 and told()[None, "a"] == "newer" and told()["u3", "b"] == "y"
-    saved.delete(make((None, "a", "", early)))
-    saved.prune(1)
-    assert len(told()) == 41 and (None, "a") not in told() and first in saved.versions("subscriptions")
+    assert {(r.user, r.id): r.display_name for r in saved.read(0).collect()}[None, "a"] == "new"
+    seen = {(r.user, r.id, r.display_name, r.weight) for r in saved.table.changes(0, 1).collect()}
+    assert seen == {(None, "a", "new", -1), (None, "a", "newer", 1), ("u3", "b", "y", 1)}
+    saved.delete(make((None, "a", "", EARLY)))
+    assert len(told()) == 41 and (None, "a") not in told()
     saved.delete(saved.read())
     assert told() == {}
+    saved.prune(1, 0)
+    assert told() == {} and saved.table.numbers() == [3] and len(list((tmp_path / "p" / "subscriptions" / "data").iterdir())) == 0
+
+
+def test_two_writers_at_once_lose_no_row(spark, tmp_path):
+    """Many threads write to parts they share; and a writer that is overtaken while it works builds only the parts it lost."""
+    make, path = stored(spark), str(tmp_path / "p")
+    writers = [Portfolio(spark, path, "user string", parts=4) for _ in range(4)]
+
+    def work(w):
+        for k in range(3):
+            writers[w].add(make((f"u{w}", f"{k}", "x", EARLY), ("shared", f"{w}.{k}", "x", EARLY)))
+        writers[w].delete(make((f"u{w}", "0", "", EARLY)))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    saved = writers[0]
+    assert sorted((r.user, r.id) for r in saved.read().collect()) == sorted([(f"u{w}", f"{k}") for w in range(4) for k in (1, 2)] + [("shared", f"{w}.{k}") for w in range(4) for k in range(3)])
+    assert saved.table.numbers() == list(range(16)), "each write is a version"
+    built = []
+
+    def slow(rows, parts):
+        built.append(set(parts))
+        if len(built) == 1:
+            writers[1].add(make(("shared", "late", "x", EARLY)))
+        return rows.withColumn("display_name", F.lit("seen"))
+
+    shared = next(iter(saved._touched(make(("shared", "", "", EARLY)))))
+    saved.table.commit({0, 1, 2, 3}, slow)
+    assert built == [{0, 1, 2, 3}, {shared}] and {r.display_name for r in saved.read().collect()} == {"seen"} and saved.read().where("id = 'late'").count() == 1
+
+
+def test_a_number_is_written_once_and_an_unclaimed_write_is_not_seen(spark, tmp_path):
+    make, saved = stored(spark), Portfolio(spark, str(tmp_path / "p"), "user string")
+    found = make(("u", "a", "x", EARLY)).drop("origin", "user_status", "created_at", "updated_at")
+    now = F.lit(LATE)
+    assert tuple(saved.save_detections(found, now, "stream", 0).first()) == (1, 0)
+    assert tuple(saved.save_detections(found, now, "stream", 0).first()) == (0, 0) and saved.table.numbers() == [0]
+    assert tuple(saved.save_detections(found.withColumn("id", F.lit("b")), now, "stream", 1).first()) == (1, 0)
+    saved.table._write(make(("u", "ghost", "x", EARLY)))  # a job that died before its claim
+    assert sorted(r.id for r in saved.read().collect()) == ["a", "b"]
     saved.prune(1)
-    assert told() == {} and first not in saved.versions("subscriptions")
+    assert len(list((tmp_path / "p" / "subscriptions" / "data").iterdir())) == 3, "it may still be claimed"
+    saved.prune(1, 0)
+    assert len(list((tmp_path / "p" / "subscriptions" / "data").iterdir())) == 1 and saved.read().count() == 2
+
+
+def test_live_totals_follow_every_version(spark, tmp_path):
+    from ebbtide.operators.portfolio import portfolio_totals
+
+    make, saved = stored(spark), Portfolio(spark, str(tmp_path / "p"), "user string")
+    live = LiveTotals(saved)
+    assert live.catch_up() == -1 and live.read().count() == 0
+    counted = lambda: sorted(map(tuple, portfolio_totals(saved.read(), saved.scope).collect()), key=repr)
+    told = lambda: sorted(map(tuple, live.read().select(*portfolio_totals(saved.read(), saved.scope).columns).collect()), key=repr)
+    saved.add(make(*((f"u{k}", "a", "x", EARLY) for k in range(20)), (None, "a", "x", EARLY)))
+    assert live.catch_up() == 0 and told() == counted() and len(told()) == 21
+    saved.add(make(("u1", "b", "x", EARLY)))
+    saved.delete(make(("u2", "a", "", EARLY), (None, "a", "", EARLY)))
+    assert live.catch_up() == 2 and told() == counted() and len(told()) == 19
+    assert live.catch_up() == 2 and live.table.numbers() == [0, 1]
+    with ThreadPoolExecutor(3) as pool:
+        saved.wipe()
+        assert set(pool.map(lambda _: LiveTotals(saved).catch_up(), range(3))) == {3}
+    assert told() == [] and live.table.numbers() == [0, 1, 2]
