@@ -37,8 +37,17 @@ def by_distinct(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
 
     Distinct values are found before the shuffle; a few of them are broadcast back by Spark's own choice.
     """
-    known = rows.select(F.col(key).alias("_key")).distinct().select("_key", F.col("_key").alias(key)).withColumns(columns).select("_key", *columns)
-    return rows.join(known, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    name = fresh(rows, "_key")
+    known = rows.select(F.col(key)).distinct().withColumns(columns).select(F.col(key).alias(name), *columns)
+    return rows.join(known, F.col(key).eqNullSafe(F.col(name)), "left").drop(name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have yet, whatever extra columns it came with."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_fold(key: Column, folds: int) -> Column:

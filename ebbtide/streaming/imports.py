@@ -1,53 +1,214 @@
-"""Imports as a stream: one micro-batch of captures is detected by itself and merged into the saved portfolio.
+"""Imports as a stream: captures arrive as files in any order, an import is detected once it is whole, and merged.
 
-No state is kept between batches but the portfolio, in which the user's decisions stand; a batch that is run again after a
-failure merges to the same rows. A capture that can't be read is counted and skipped.
+An import's captures are held as keyed state until as many have come as the import says it has (`of_captures`, on any of its
+rows, or on a row of its own without a capture), or until nothing has come for `wait_seconds`. So how files fall into
+micro-batches changes nothing. What comes after a time-out is an import of its own. The portfolio takes a batch in once,
+whatever is run again after a failure. A user's imports that get whole in one batch are merged in the order of their ids.
+
+A capture that can't be read counts and is skipped. Every batch reports how many captures it read, skipped and finished, by
+observed metrics that `Progress` adds up. Null import ids are an import of their own.
+
+State needs RocksDB as Spark's state store; `merge_stream` asks for it while the query starts. A run over what is there
+(`available_now`) looks at time-outs when it has data; one that stays looks every ten seconds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ebbtide.core import checkpointed
 from ebbtide.operators.detect import detect
 from ebbtide.sources import captures
 from ebbtide.sources.store import Portfolio
 
 LINES = (
     "import_id string, capture_id string, capture_index int, line_pos int, text string, segments array<string>, words array<struct<text:string,confidence:double,x0:double,y0:double,x1:double,y1:double>>, "
-    "x0 double, y0 double, x1 double, y1 double, confidence double, reference date, unreadable boolean"
+    "x0 double, y0 double, x1 double, y1 double, confidence double, reference date, unreadable boolean, of_captures int"
 )
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Time-outs would keep a run over what is there going for ever; without batches of no data they fire with the next data.
+ONLY_DATA = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 def line_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream over Parquet files of recognised lines."""
+    """A stream over Parquet files of recognised lines; a capture's lines are in one file."""
     return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def analyse(lines: DataFrame):
-    """Detection of one batch of lines."""
-    return detect(captures.transactions(lines.where("not coalesce(unreadable, false)")))
-
-
-def merge_stream(lines: DataFrame, portfolio: Portfolio, checkpoint: str, now: Callable[[], Column] = F.current_timestamp, available_now: bool = True) -> StreamingQuery:
-    """Start the stream that keeps the portfolio; its scope, if any, is import_id."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
+def analyse(lines: DataFrame) -> DataFrame:
+    """Subscriptions and other debits of whole imports."""
+    readable = lines.where("not coalesce(unreadable, false) and capture_id is not null").drop("of_captures")
+    found = detect(checkpointed(captures.transactions(readable)))  # pages are parsed once
+    return found.subscriptions.unionByName(found.other_debits)
+
+
+class Assembly(StatefulProcessor):
+    """Holds an import's rows until its captures are complete, or time is up; then gives them all."""
+
+    def __init__(self, wait_seconds: float):
+        self.wait = int(1000 * wait_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "body string")
+        self.seen = handle.getMapState("seen", "capture string", "there boolean")
+        self.many = handle.getValueState("many", "seen int, expected int")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, expected = self.many.get() if self.many.exists() else (0, None)
+        bodies = []
+        for row in rows:
+            expected = row.of_captures if expected is None else expected
+            if row.capture is not None:
+                bodies.append((row.body,))
+                if not self.seen.containsKey((row.capture,)):
+                    self.seen.updateValue((row.capture,), (True,))
+                    held += 1
+        self.rows.appendList(bodies)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if expected is not None and held >= expected:
+            yield from self._given(key)
+        else:
+            self.many.update((held, expected))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._given(key)
+
+    def _given(self, key) -> Iterator[Row]:
+        for (body,) in self.rows.get():
+            yield Row(body=body)
+        for state in (self.rows, self.seen, self.many):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _first_rows(rows: DataFrame) -> Column:
+    """One row of each capture: that of its first line, or the one that stands for an unreadable file."""
+    return F.col("capture_id").isNotNull() & (F.coalesce("line_pos", F.lit(0)) == 0)
+
+
+def assembled(lines: DataFrame, wait_seconds: float = 3600) -> DataFrame:
+    """A stream of the lines of imports that are whole."""
+    read, skipped = F.count_if(_first_rows(lines)), F.count_if(_first_rows(lines) & F.coalesce("unreadable", F.lit(False)))
+    told = lines.observe("arrived", read.alias("read"), skipped.alias("skipped"))
+    key = F.coalesce(F.concat(F.lit("i"), "import_id"), F.lit("none"))  # a key of state isn't null
+    capture = F.when(F.col("capture_id").isNotNull(), F.coalesce(F.col("capture_index").cast("string"), F.concat(F.lit("c"), "capture_id")))
+    packed = told.select(key.alias("key"), capture.alias("capture"), "of_captures", F.to_json(F.struct(*lines.columns)).alias("body"))
+    whole = packed.groupBy("key").transformWithState(Assembly(wait_seconds), "body string", "Append", "ProcessingTime")
+    rows = whole.select(F.from_json("body", lines.schema).alias("line")).select("line.*")
+    return rows.observe("finished", F.count_if(_first_rows(rows)).alias("captures"), F.count_if(_first_rows(rows) & F.coalesce("unreadable", F.lit(False))).alias("unreadable"))
+
+
+def merge_stream(
+    lines: DataFrame, portfolio: Portfolio, checkpoint: str, now: Callable[[], Column] = F.current_timestamp, available_now: bool = True, wait_seconds: float = 3600, owner: dict[str, Column] | None = None,
+    analyse: Callable[[DataFrame], DataFrame] = analyse,
+) -> StreamingQuery:
+    """Start the stream that keeps the portfolio. owner: the portfolio's scope, from import_id; without it the scope is import_id."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            rows = analyse(batch)
+            if owner is None:
+                portfolio.save_detections(rows, now(), writer, number)
+                return
+            rows = rows.withColumns(owner)
+            turn = Window.partitionBy(*(F.col(c) for c in owner)).orderBy("import_id")
+            rows = rows.withColumn("_turn", F.dense_rank().over(turn)).persist()
+            last = rows.agg(F.max("_turn")).first()[0] or 0  # imports of one user in this batch, nearly always 1
+            for turn in range(1, last + 1):
+                portfolio.save_detections(rows.where(F.col("_turn") == turn).drop("_turn"), now(), f"{writer}/{turn}", number)
+            rows.unpersist()
+        finally:
+            batch.unpersist()
+
+    writer = f"stream {checkpoint}"
+    spark = lines.sparkSession
+    wanted = STORE | (ONLY_DATA if available_now else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        started = assembled(lines, wait_seconds).writeStream.foreachBatch(merge).queryName(f"imports-{uuid4().hex}").option("checkpointLocation", checkpoint)
+        return (started.trigger(availableNow=True) if available_now else started.trigger(processingTime="10 seconds")).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Progress(StreamingQueryListener):
+    """Adds up what import streams report, by run: captures read, skipped (unreadable) and done (in finished imports)."""
+
+    def __init__(self):
+        self.counts: dict[str, dict[str, int]] = {}
+        self.batches: dict[str, list[dict[str, int]]] = {}
+        self.ended = threading.Condition()
+        self.over: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        told = event.progress.observedMetrics
+        if "arrived" not in told:
             return
-        batch.persist()
-        found = analyse(batch)
-        rows = found.subscriptions.unionByName(found.other_debits)
-        portfolio.save_detections(rows, now())
-        batch.unpersist()
-
-    writer = lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+        done = told.get("finished")
+        batch = {"read": told["arrived"].read, "skipped": told["arrived"].skipped, "done": done.captures if done else 0}
+        with self.ended:
+            run = str(event.progress.runId)
+            self.batches.setdefault(run, []).append(batch)
+            total = self.counts.setdefault(run, dict.fromkeys(batch, 0))
+            for k, v in batch.items():
+                total[k] += v
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.ended:
+            self.over.add(str(event.runId))
+            self.ended.notify_all()
+
+    def of(self, query: StreamingQuery, seconds: float = 60) -> dict[str, int]:
+        """The counts of a query that has ended."""
+        run = str(query.runId)
+        with self.ended:
+            self.ended.wait_for(lambda: run in self.over, seconds)
+            return dict(self.counts.get(run, {"read": 0, "skipped": 0, "done": 0}))
 
 
 def live(portfolio: Portfolio, query: Callable[[DataFrame], DataFrame]) -> Callable[[], DataFrame]:
     """A query over the saved rows that reads the newest version each time it is asked."""
     return lambda: query(portfolio.read())
+
+
+def follow(portfolio: Portfolio, changed: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """A stream over the portfolio's versions: `changed` gets the rows that came and went (`weight`) and the newest version's number.
+
+    Manifests are the stream's files, so Spark's checkpoint knows what was seen; a batch that is run again tells the same
+    changes with the same number.
+    """
+    table = portfolio.table
+
+    def tell(batch: DataFrame, _: int) -> None:
+        span = batch.agg(F.min("number"), F.max("number")).first()
+        if span[0] is not None:
+            changed(table.changes(span[0] - 1, span[1]), span[1])
+
+    files = portfolio.spark.readStream.format("text").option("pathGlobFilter", "[0-9]*.json").load(f"{table.path}/log")
+    numbered = files.select(F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("int").alias("number"))
+    started = numbered.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint)
+    return (started.trigger(availableNow=True) if available_now else started).start()

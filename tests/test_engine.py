@@ -301,7 +301,7 @@ def test_store_and_stream(spark, tmp_path):
     saved = Portfolio(spark, str(tmp_path / "saved"), "import_id string")
     assert saved.read().count() == 0 and saved.checked_categories().first()[0] == []
     rows = page([("Lundi 7 septembre", 100), ("PRLV SEPA NETFLIX.COM -10,00 €", 200), ("PRLV SEPA CINEFLUX -11,99 €", 300)])
-    df = spark.createDataFrame(rows, LINE).withColumns({"segments": F.array("text"), "unreadable": F.lit(False)}).selectExpr(*[c.split()[0] for c in imports.LINES.replace("struct<text:string,confidence:double,x0:double,y0:double,x1:double,y1:double>", "s").split(", ")])
+    df = spark.createDataFrame(rows, LINE).withColumns({"segments": F.array("text"), "unreadable": F.lit(False), "of_captures": F.lit(1)}).selectExpr(*[c.split()[0] for c in imports.LINES.replace("struct<text:string,confidence:double,x0:double,y0:double,x1:double,y1:double>", "s").split(", ")])
     for _ in range(2):  # the same captures again change nothing
         df.write.mode("append").parquet(str(tmp_path / "in"))
         imports.merge_stream(imports.line_stream(spark, str(tmp_path / "in")), saved, str(tmp_path / "state"), lambda: NOW).awaitTermination()
