@@ -28,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -290,15 +291,35 @@ def _hashable(kind: T.DataType) -> bool:
     return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
 
 
+def _packed(text: Column) -> Column:
+    """Each text compressed; null stays null."""
+
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([None if t is None else pack(t.encode()) for t in texts.to_pylist()], pa.binary())
+
+    return packed(text)
+
+
+def _unpacked(packed: pa.ChunkedArray) -> list[str | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else unpack(x).decode() for x in packed.to_pylist()]
+
+
 def _scored(docs: DataFrame, langs: list[str], scores: DataFrame, kept: list[str], text: str, names: list[str]) -> DataFrame:
     """Columns `kept` of docs, then `names`: bits a character by language, characters, whether there is a letter."""
     chunk, bits, n, lettered = names
     total = docs.agg(F.sum(F.length(text))).first()[0] or 0
     named = F.pmod(F.xxhash64(*(f.name for f in docs.schema if _hashable(f.dataType))), F.lit(1 + total // CHUNK))
-    dealt = docs.withColumn(chunk, named).repartition(chunk)  # the one shuffle of texts, which both uses below share
+    numbered = docs.withColumn(chunk, named)
+    read = pa.ChunkedArray.to_pylist
+    if text not in kept:  # texts that only the scores need travel compressed
+        numbered, read = numbered.withColumn(text, _packed(F.col(text))), _unpacked
+    dealt = numbered.repartition(chunk)  # the one shuffle of texts, which both uses below share
 
     def ask(group: pa.Table) -> pa.Table:
-        own = np.unique(np.concatenate([np.unique(grams(piece)[0]) for piece in pieces(group[text].to_pylist(), 1_000_000)])).view(np.int64)
+        own = np.unique(np.concatenate([np.unique(grams(piece)[0]) for piece in pieces(read(group[text]), 1_000_000)])).view(np.int64)
         return pa.table({chunk: pa.array(np.full(len(own), group[chunk][0].as_py())), "gram": pa.array(own)})
 
     def answer(group: pa.Table, found: pa.Table) -> pa.Table:
@@ -306,7 +327,7 @@ def _scored(docs: DataFrame, langs: list[str], scores: DataFrame, kept: list[str
         order = np.argsort(keys)
         keys, values = keys[order], found["scores"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs))[order]
         means, counts, letter = [np.zeros((0, len(langs)))], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for piece in pieces(group[text].to_pylist(), 1_000_000):
+        for piece in pieces(read(group[text]), 1_000_000):
             gram, owner = grams(piece)
             at, size = np.searchsorted(keys, gram), len(piece)
             many = np.bincount(owner, minlength=size)
