@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,15 +71,56 @@ def routed(rows: DataFrame, services: DataFrame, threshold: float = THRESHOLD) -
     )
 
 
+class _Index:
+    """Leaders in order, with what bounds Jaro-Winkler from above: lengths, letter counts, the first four letters.
+
+    Matches are no more than the letters that two keys share, counted with repeats, and no transposition only lowers the
+    similarity; so a leader that can't reach the threshold by shared letters, lengths and common prefix isn't compared.
+    """
+
+    def __init__(self, size: int):
+        self.keys: list[str] = []
+        self.place: dict[str, int] = {}
+        self.counts, self.heads, self.lengths = np.zeros((size, 64), np.uint8), np.zeros((size, 4), np.int32), np.zeros(size)
+
+    @staticmethod
+    def _told(key: str) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(key.encode("utf-32-le"), np.int32)
+        head = np.full(4, -1, np.int32)
+        head[: len(codes)] = codes[:4]
+        return np.minimum(np.bincount(codes % 64, minlength=64), 255).astype(np.uint8), head
+
+    def add(self, key: str) -> None:
+        at = len(self.keys)
+        self.keys.append(key)
+        self.place[key] = at
+        self.counts[at], self.heads[at] = self._told(key)
+        self.lengths[at] = len(key)
+
+    def first_alike(self, key: str) -> str | None:
+        """The first leader that is the key or comes near it."""
+        same, n = self.place.get(key), len(self.keys)
+        if len(key) < LEAST_KEY or not n:
+            return None if same is None else key
+        counts, head = self._told(key)
+        near = np.flatnonzero((self.lengths[:n] >= 0.6 * len(key)) & (0.6 * self.lengths[:n] <= len(key)))  # for others even every letter shared is too little
+        shared = np.minimum(self.counts[near], counts).sum(axis=1, dtype=np.int64) if max(len(key), self.lengths[:n].max()) < 256 else np.minimum(self.lengths[near], len(key))
+        prefix = np.cumprod(self.heads[near] == head, axis=1).sum(axis=1)
+        jaro = (shared / np.maximum(self.lengths[near], 1) + shared / len(key) + 1) / 3
+        for at in near[jaro + 0.1 * prefix * (1 - jaro) >= SAME_MERCHANT - 1e-9].tolist():
+            if at == same or jaro_winkler(self.keys[at], key) >= SAME_MERCHANT:
+                return self.keys[at]
+        return None if same is None else key
+
+
 def _leaders(keys: pd.DataFrame) -> pd.DataFrame:
     """Distinct keys of one import and prefix, in order of appearance: each joins the first leader that is alike, or leads."""
-    leaders, joined = [], []
     keys = keys.sort_values("first")
+    known, joined = _Index(len(keys)), []
     for key in keys["key"]:
-        alike = (x for x in leaders if x == key or (len(key) >= LEAST_KEY and jaro_winkler(x, key) >= SAME_MERCHANT))
-        leader = next(alike, None)
+        leader = known.first_alike(key)
         if leader is None:
-            leaders.append(leader := key)
+            known.add(leader := key)
         joined.append(leader)
     return keys.assign(leader=joined)[["import_id", "prefix", "key", "leader"]]
 

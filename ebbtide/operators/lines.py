@@ -8,6 +8,9 @@ Blank words and boxes without height are dropped; an empty page has no lines.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +35,51 @@ def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(shared > 0, shared / F.least(a1 - a0, b1 - b0)).otherwise(0.0)
 
 
+class _OpenRows:
+    """Rows by height class (a power of two) and top, so that a word meets the rows near it alone.
+
+    A row of a class is no higher than its class says, so those that reach below a word's top begin within that height of it.
+    """
+
+    def __init__(self):
+        self.extent: list[tuple[float, float]] = []
+        self.tops: dict[int, list[tuple[float, int]]] = {}
+
+    @staticmethod
+    def _class(height: float) -> int:
+        return math.frexp(height)[1]
+
+    def put(self, row: int, top: float, bottom: float) -> None:
+        if row < len(self.extent):
+            a, b = self.extent[row]
+            held = self.tops[self._class(b - a)]
+            del held[bisect_left(held, (a, row))]
+            top, bottom = min(a, top), max(b, bottom)
+            self.extent[row] = (top, bottom)
+        else:
+            self.extent.append((top, bottom))
+        insort(self.tops.setdefault(self._class(bottom - top), []), (top, row))
+
+    def near(self, top: float, bottom: float) -> list[int]:
+        """Rows that may share height with a word, oldest first."""
+        found = []
+        for size, held in self.tops.items():
+            found += [row for _, row in held[bisect_left(held, (top - math.ldexp(1.0, size), -1)) : bisect_left(held, (bottom, -1))]]
+        return sorted(found)
+
+
 def _rows_of_page(page: list[tuple]) -> list[tuple]:
     """A row number for each word: the row it overlaps most (the later of equals), whose extent it then widens."""
-    tops, bottoms, out = [], [], []
+    rows, out = _OpenRows(), []
     for joined, (capture, word, y0, y1, _) in enumerate(page):
-        chosen, most = len(tops), LEAST_OVERLAP
-        for k, (a, b) in enumerate(zip(tops, bottoms, strict=True)):
+        chosen, most = len(rows.extent), LEAST_OVERLAP
+        for k in rows.near(y0, y1):
+            a, b = rows.extent[k]
             shared = min(b, y1) - max(a, y0)
             ratio = shared / min(b - a, y1 - y0) if shared > 0 else 0
             if ratio >= most:
                 chosen, most = k, ratio
-        if chosen == len(tops):
-            tops.append(y0)
-            bottoms.append(y1)
-        else:
-            tops[chosen], bottoms[chosen] = min(tops[chosen], y0), max(bottoms[chosen], y1)
+        rows.put(chosen, y0, y1)
         out.append((capture, word, chosen, joined))
     return out
 

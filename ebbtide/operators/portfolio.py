@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.functions.dates import days_until
 from ebbtide.functions.money import monthly_equivalent
@@ -26,7 +27,15 @@ BOOKKEEPING = ("origin", "user_status", "created_at", "updated_at")
 EDITS = "id string, display_name string, amount_cents long, clear_amount boolean, period string, category string, next_renewal date, clear_renewal boolean, trial_ends_at date, clear_trial boolean, user_status string, status string"
 
 
+def as_detected(rows: DataFrame) -> DataFrame:
+    """rows with all of DETECTED's columns, null where they have none; their other columns come first."""
+    fields = T.StructType.fromDDL(DETECTED)
+    own = [c for c in rows.columns if c not in fields.fieldNames()]
+    return rows.select(*own, *((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def from_detection(detected: DataFrame, now: Column) -> DataFrame:
+    """Detections as saved rows that the user hasn't touched."""
     return detected.withColumns({"origin": F.lit("detected"), "user_status": F.lit("keep"), "created_at": now, "updated_at": now})
 
 

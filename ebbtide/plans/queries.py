@@ -18,7 +18,7 @@ from ebbtide.operators.periodicity import periodicity as periodicity_
 from ebbtide.plans.views import CENTS, DAY, MONTHLY, PERIOD, ROWS, SAVED_SQL, TEMPLATE_SQL, TODAY, TX_SQL, labelled_orders, orders, transactions
 from ebbtide.plans.views import portfolio as saved_rows
 from ebbtide.sources import captures, dictionary
-from ebbtide.sources.store import Portfolio
+from ebbtide.sources.store import LiveTotals, Portfolio
 from ebbtide.streaming import imports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,6 +336,21 @@ def portfolio_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.read().select("user_id", "id", "amount_cents", "status", "user_status", F.size("source_lines").alias("n_lines"))
 
 
+_EDITED_SQL = f"""(with k as (select *, replace(id, 'sub:', '')::bigint as k from {SAVED_SQL}), e as (select * exclude (monthly_equivalent_cents) replace (case when k % 4 = 0 then (case when k % 8 = 0 then null else 1234 end) else amount_cents end as amount_cents, case when k % 4 = 0 then 'yearly' else period end as period) from k)
+select *, {MONTHLY} as monthly_equivalent_cents from e where k % 10 <> 9)"""
+
+
+@query(f"select user_id, count_if({_COUNTED})::bigint as count, coalesce(sum(monthly_equivalent_cents) filter ({_COUNTED}), 0)::bigint as monthly_cents, (12 * coalesce(sum(monthly_equivalent_cents) filter ({_COUNTED}), 0))::bigint as yearly_cents, count_if({_COUNTED} and monthly_equivalent_cents is null)::bigint as incomplete, (12 * coalesce(sum(monthly_equivalent_cents) filter ({_COUNTED} and user_status = 'to_cancel'), 0))::bigint as savings_yearly_cents from {_EDITED_SQL} group by user_id")
+def live_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals kept up by the changes of four versions (rows added twice, edited, deleted); a full recount gives the same."""
+    saved, rows, now = Portfolio(spark, _new_folder(spark, "portfolio"), "user_id long"), saved_rows(spark, sf_dir), F.lit("2026-10-05 10:00:00").cast("timestamp")
+    live = LiveTotals(saved)
+    for write in (lambda: saved.add(_saved_before(rows)), lambda: saved.add(rows), lambda: saved.edit(_edits(rows), now), lambda: saved.delete(rows.where(_number() % 10 == 9))):
+        write()
+        live.catch_up()
+    return live.read()
+
+
 @query("select * from (values ('after', '', 0), ('before', '', 0), ('between', 'musique,sport', (select count(*) from orders))) as v(step, checked, n)")
 def portfolio_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked categories and saved rows: before anything is saved, once both are, and after all is wiped."""
@@ -509,19 +524,63 @@ def capture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("import_id", "id", "pos", "label", "normalized_label", (F.col("raw_text") == "").alias("text_hidden"), "amount_cents", "date", "direction", "kind", "source", "ocr_confidence")
 
 
-@query(f"""with r as (select *, case kind when 'card' then 'sub:service:netflix' else 'sub:label:CREANCIER' end as id from {_BANK_ROWS} where kind <> 'transfer')
-select import_id, id, case kind when 'card' then 'Netflix' else 'Creancier' end as display_name, case kind when 'card' then 'high' else 'medium' end as confidence, first(amount_cents order by date desc, k) as amount_cents, 'pending' as status, 'keep' as user_status, count(*)::int as n from r group by import_id, id, kind""")
+_ARRIVALS = f"""shown as (select o_custkey as u, o_orderkey // 3 % 2 as m, o_orderkey % 3 as c, o_orderkey as k from orders union all select o_custkey, o_orderkey // 3 % 2, o_orderkey % 3 + 1, o_orderkey from orders where o_orderkey % 5 = 0 and o_orderkey % 3 < 2)"""
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two imports of each customer, in up to three captures that overlap, and for some a file that can't be read."""
+    k, u = F.col("o_orderkey"), F.col("capture_id")
+    seen_in = F.when((k % 5 == 0) & (k % 3 < 2), F.array(k % 3, k % 3 + 1)).otherwise(F.array(k % 3))
+    lines = _bank_lines(spark, sf_dir, _mixed_label()).select("*", F.explode(seen_in.cast("array<int>")).alias("capture_index"), F.concat_ws("/", u, F.floor(k / 3) % 2).alias("import_id"), (u % 7 == 0).alias("broken"))
+    lines = lines.withColumns({"capture_id": F.concat_ws("/", "import_id", "capture_index"), "segments": F.array("text"), "unreadable": F.lit(False)}).drop("o_orderkey")
+    lines = lines.withColumn("line_pos", F.row_number().over(Window.partitionBy("capture_id").orderBy("line_pos")) - 1)
+    many = lines.groupBy("import_id", "broken").agg((F.count_distinct("capture_index") + F.col("broken").cast("int")).cast("int").alias("of_captures"))
+    lost = many.where("broken").select("import_id", F.concat("import_id", F.lit("/9")).alias("capture_id"), F.lit(9).alias("capture_index"), F.lit(True).alias("unreadable"), "of_captures")
+    names = [f.split()[0] for f in imports.LINES.replace("text:string,confidence:double,x0:double,y0:double,x1:double,y1:double", "").split(", ")]
+    return lines.join(many.drop("broken"), "import_id").unionByName(lost, allowMissingColumns=True).select(names)
+
+
+def _stream_arrivals(spark: SparkSession, sf_dir: str, name: str, told: imports.Progress | None = None, **options) -> Portfolio:
+    """The first imports arrive as files, a few in each micro-batch, then the second ones; the portfolio that comes of it."""
+    folder, lines = _new_folder(spark, name), _arrivals(spark, sf_dir)
+    saved = Portfolio(spark, f"{folder}/portfolio", "user_id long")
+    for later in (False, True):
+        lines.where(F.col("import_id").endswith("/1") == later).repartition(6, "capture_id").write.mode("append").parquet(f"{folder}/lines")
+        query = imports.merge_stream(
+            imports.line_stream(spark, f"{folder}/lines", files_per_batch=4), saved, f"{folder}/state", lambda: F.lit("2026-10-05 10:00:00").cast("timestamp"), owner={"user_id": F.split("import_id", "/")[0].cast("long")}, **options
+        )
+        query.awaitTermination()
+        if told is not None:
+            told.of(query)
+    return saved
+
+
+@query(f"""with {_ARRIVALS}, x as (select s.*, row_number() over (partition by u, m, c order by k) - 1 as entry, case k % 3 when 0 then '' when 1 then 'sub:service:netflix' else 'sub:label:CREANCIER' end as id, {CENTS} as amount, {DAY} as day, case when k % 2 = 0 then 'debit' else 'unknown' end as dir from shown s join orders on k = o_orderkey),
+kept as (select * from (select *, first_value(c) over (partition by u, m, id, amount, day, dir order by c, entry) as f from x where id <> '') where c = f),
+found as (select u, m, id, first(amount order by day desc, c, entry) as amount, list(c || ':' || entry) as ids from kept group by all)
+select u as user_id, id, case id when 'sub:service:netflix' then 'Netflix' else 'Creancier' end as display_name, case id when 'sub:service:netflix' then 'high' else 'medium' end as confidence, arg_max(amount, m) as amount_cents, 'pending' as status, 'keep' as user_status, len(list_distinct(flatten(list(ids))))::int as n from found group by u, id""")
 def import_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages arrive as files, each micro-batch is detected and merged into the portfolio; the live query then reads it."""
-    folder = _new_folder(spark, "imports")
-    lines = _imported(_bank_lines(spark, sf_dir, _mixed_label())).withColumns({"segments": F.array("text"), "unreadable": F.lit(False)})
-    lines.select("import_id", "capture_id", "capture_index", "line_pos", "text", "segments", "words", "x0", "y0", "x1", "y1", "confidence", "reference", "unreadable").repartition("capture_id").write.parquet(f"{folder}/lines")
-    saved = Portfolio(spark, f"{folder}/portfolio", "import_id string")
-    imports.merge_stream(imports.line_stream(spark, f"{folder}/lines"), saved, f"{folder}/state", lambda: F.lit("2026-10-05 10:00:00").cast("timestamp")).awaitTermination()
-    shown = imports.live(saved, lambda rows: rows.select("import_id", "id", "display_name", "confidence", "amount_cents", "status", "user_status", F.size("source_transaction_ids").alias("n")))
+    """Imports whose captures arrive in several micro-batches are detected once they are whole, and merged; the live query reads the result."""
+    saved = _stream_arrivals(spark, sf_dir, "imports")
+    shown = imports.live(saved, lambda rows: rows.select("user_id", "id", "display_name", "confidence", "amount_cents", "status", "user_status", F.size("source_transaction_ids").alias("n")))
     return shown()
 
 
+@query(f"""with {_ARRIVALS}, c as (select distinct u, m, c from shown union all select distinct u, m, 9 from shown where u % 7 = 0)
+select count(*)::bigint as read, count_if(c = 9)::bigint as skipped, count(*)::bigint as done from c""")
+def import_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the import streams report about their captures, batch by batch, added up."""
+    told = imports.Progress()
+    spark.streams.addListener(told)
+    try:
+        counted = lambda lines: lines.groupBy("import_id").agg(F.lit("all").alias("id"), F.lit("pending").alias("status"))
+        _stream_arrivals(spark, sf_dir, "progress", told, analyse=lambda lines: portfolio.as_detected(counted(lines)))
+    finally:
+        spark.streams.removeListener(told)
+    total = {k: sum(run[k] for run in told.counts.values()) for k in ("read", "skipped", "done")}
+    return spark.createDataFrame([tuple(total.values())], "read long, skipped long, done long")
+
+
 @query("""select o_custkey as capture_id, case when o_custkey % 3 = 0 and count(*) >= 2 then 'screenshot_store' when o_custkey % 3 = 1 then 'screenshot_bank_debits' else 'screenshot_card_history' end as kind from orders group by o_custkey""")
 def classify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("o_custkey")

@@ -16,7 +16,7 @@ from ebbtide.functions.text import normalize_label
 from ebbtide.operators import pages as page_parsers
 
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
-LINE_JSON = f"text string, segments array<string>, words array<struct<text:string,confidence:double,bbox:{_BOX}>>, bbox {_BOX}, confidence double, _corrupt_record string"
+LINE_JSON = f"text: string, segments: array<string>, words: array<struct<text:string,confidence:double,bbox:{_BOX}>>, bbox: {_BOX}, confidence: double"
 TRANSACTION = (
     "import_id string, pos long, id string, raw_text string, label string, normalized_label string, amount_cents long, currency string, date date, date_is_approximate boolean, direction string, kind string, "
     "source string, capture_index int, ocr_confidence int, period_hint string, renewal_date date, trial_ends_at date"
@@ -31,15 +31,21 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file a page, an array of lines: (capture_id, line_pos, ..., modified). A file that can't be read has one row, with `unreadable`."""
-    read = spark.read.schema(LINE_JSON).option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
-    # the rows of one file come in order from one task; their number within it follows from the running id
-    numbered = read.withColumn("_id", F.monotonically_increasing_id())
-    first = numbered.groupBy("file").agg(F.min("_id").alias("_first"))
-    return numbered.join(first, "file").select(
-        F.regexp_replace("file", r"\.json$", "").alias("capture_id"), (F.col("_id") - F.col("_first")).cast("int").alias("line_pos"), "text", "segments",
-        F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), *(w["bbox"][c].alias(c) for c in ("x0", "y0", "x1", "y1")))).alias("words"),
-        *(F.col(f"bbox.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), "confidence", "modified", F.col("_corrupt_record").isNotNull().alias("unreadable"),
+    """One JSON file a page, an array of lines: (capture_id, line_pos, ..., modified), read once; a line's place is its place in the array.
+
+    A file that isn't such an array has one row, with `unreadable`; an empty array has none, nor has a file of no bytes, which
+    Spark's readers pass over.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    read = files.select(F.try_validate_utf8(F.col("content").cast("string")).alias("value"), F.col("_metadata.file_name").alias("file"), F.col("modificationTime").alias("modified"))
+    page = F.from_json(F.when(F.col("value").rlike(r"^\s*\["), F.concat(F.lit('{"lines":'), "value", F.lit("}"))).otherwise("?"), f"lines array<struct<{LINE_JSON}>>, _corrupt_record string", {"mode": "PERMISSIVE"})
+    told = read.select("file", "modified", page.alias("page")).withColumn("bad", F.col("page._corrupt_record").isNotNull() | F.col("page.lines").isNull())
+    one = F.array(F.lit(None).cast(f"struct<{LINE_JSON}>"))
+    lines = told.select("file", "modified", "bad", F.posexplode(F.when(F.col("bad"), one).otherwise(F.col("page.lines"))).alias("line_pos", "line"))
+    return lines.select(
+        F.regexp_replace("file", r"\.json$", "").alias("capture_id"), "line_pos", "line.text", "line.segments",
+        F.transform("line.words", lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), *(w["bbox"][c].alias(c) for c in ("x0", "y0", "x1", "y1")))).alias("words"),
+        *(F.col(f"line.bbox.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")), "line.confidence", "modified", F.col("bad").alias("unreadable"),
     )
 
 
