@@ -4,6 +4,7 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -150,3 +151,22 @@ def test_live_totals_follow_every_version(spark, tmp_path):
         saved.wipe()
         assert set(pool.map(lambda _: LiveTotals(saved).catch_up(), range(3))) == {3}
     assert told() == [] and live.table.numbers() == [0, 1, 2]
+
+
+def test_calendar_sink(spark, tmp_path):
+    """Bytes as they were, any name, whole writes only: one that fails leaves what was there."""
+    from ebbtide.sources import calendars
+
+    contents = {"u/1": "BEGIN\r\nEND\r\n", "é ü%2F?": "﻿x\r\n y ", "..": "", "plain": "z" * 100_000, None: "null"}
+    rows = spark.createDataFrame(list(contents.items()), "who string, content string")
+    calendars.write_calendars(rows.repartition(3), f"file://{tmp_path}/out", "who")
+    told = lambda: {r.name: r.content for r in calendars.read_calendars(spark, f"file://{tmp_path}/out").collect()}
+    assert {k: v for k, v in told().items() if v} == {k: v for k, v in contents.items() if v}
+    one = [p for p in tmp_path.glob("out/*/*/*.ics") if p.stat().st_size == 12]
+    assert len(one) == 1 and one[0].read_bytes() == b"BEGIN\r\nEND\r\n"
+    fail = F.udf(lambda x: 1 // 0 if x == "plain" else x)
+    with pytest.raises(Exception, match="division"):
+        calendars.write_calendars(rows.repartition(3).withColumn("content", fail("who")), f"file://{tmp_path}/out", "who")
+    assert told()["plain"] == "z" * 100_000 and told()["u/1"] == contents["u/1"]
+    calendars.write_calendars(rows.where("who = 'plain'"), f"file://{tmp_path}/out", "who")
+    assert told() == {"plain": "z" * 100_000}
