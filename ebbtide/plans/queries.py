@@ -516,12 +516,30 @@ def _page_lines(spark: SparkSession, sf_dir: str, columns: list[Column]) -> Data
 @query(f"""select o_custkey as capture_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as entry, 'Appli ' || o_orderkey as name, {CENTS} as price_cents, case o_orderkey % 3 when 0 then 'monthly' when 1 then 'yearly' else 'unknown' end as period,
 case when o_orderkey % 4 > 0 then date '2027-02-03' end as renewal_date, case when o_orderkey % 4 = 0 then date '2027-02-03' end as trial_ends_at, 95 as confidence from orders""")
 def parse_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.parse_store(_store_lines(spark, sf_dir)).drop("raw_text")
+
+
+def _store_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name, a price and a date for each order."""
     k = F.col("o_orderkey")
     period = F.when(k % 3 == 0, " par mois").when(k % 3 == 1, " / an").otherwise("")
     price = F.concat(money.cents_to_input(F.expr(CENTS)), F.lit(" €"), period)
     when = F.concat(F.when(k % 4 == 0, "Essai gratuit jusqu'au ").otherwise("Renouvellement le "), F.lit("3 février"))
-    lines = _page_lines(spark, sf_dir, [F.concat(F.lit("Appli "), k.cast("string")), price, when])
-    return pages.parse_store(lines).drop("raw_text")
+    return _page_lines(spark, sf_dir, [F.concat(F.lit("Appli "), k.cast("string")), price, when])
+
+
+@query(f"""select o_custkey::varchar as import_id, 'screenshot_store:0:' || entry as id, entry as pos, 'Appli ' || o_orderkey as label, {CENTS} as amount_cents, 'debit' as direction, 'store' as kind, 'screenshot_store' as source, 95 as ocr_confidence, null::date as date,
+case o_orderkey % 3 when 0 then 'monthly' when 1 then 'yearly' else 'unknown' end as period_hint, case when o_orderkey % 4 > 0 then date '2027-02-03' end as renewal_date, case when o_orderkey % 4 = 0 then date '2027-02-03' end as trial_ends_at
+from (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as entry from orders)""")
+def store_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store pages to transactions, those of every second customer mended by a profile first: their lines begin with a mark."""
+    own = F.col("capture_id").cast("long") % 2 == 0
+    lines = _imported(_store_lines(spark, sf_dir)).withColumn("text", F.when(own, F.concat(F.lit("~"), "text")).otherwise(F.col("text")))
+    marked = lambda c: F.transform("words", lambda w: F.struct(c(w["text"]).alias("text"), *(w[x].alias(x) for x in ("confidence", "x0", "y0", "x1", "y1"))))
+    lines = lines.withColumn("words", F.when(own, marked(lambda t: F.concat(F.lit("~"), t))).otherwise(F.col("words")))
+    profile = (lambda df: df.where(F.col("text").startswith("~")), lambda df: df.withColumns({"text": F.ltrim("text", F.lit("~")), "words": marked(lambda t: F.ltrim(t, F.lit("~")))}))
+    rows = captures.store_adapter(captures.apply_profiles(lines, [profile]))
+    return rows.select("import_id", "id", "pos", "label", "amount_cents", "direction", "kind", "source", "ocr_confidence", "date", "period_hint", "renewal_date", "trial_ends_at")
 
 
 @query(f"""select o_custkey as capture_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as entry, 'PRLV SEPA CREANCIER' as label, {CENTS} as cents, {DAY} as date, 'sepa' as kind, case when o_orderkey % 2 = 0 then 'debit' else 'unknown' end as direction, 95 as confidence from orders""")
