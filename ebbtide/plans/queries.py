@@ -594,13 +594,13 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_arrivals(spark: SparkSession, sf_dir: str, name: str, told: imports.Progress | None = None, **options) -> Portfolio:
-    """The first imports arrive as files, a few in each micro-batch, then the second ones; the portfolio that comes of it."""
+    """The first imports arrive as files, some in each micro-batch, then the second ones at once; the portfolio that comes of it."""
     folder, lines = _new_folder(spark, name), _arrivals(spark, sf_dir)
     saved = Portfolio(spark, f"{folder}/portfolio", "user_id long")
     for later in (False, True):
         lines.where(F.col("import_id").endswith("/1") == later).repartition(6, "capture_id").write.mode("append").parquet(f"{folder}/lines")
         query = imports.merge_stream(
-            imports.line_stream(spark, f"{folder}/lines", files_per_batch=4), saved, f"{folder}/state", lambda: F.lit("2026-10-05 10:00:00").cast("timestamp"), owner={"user_id": F.split("import_id", "/")[0].cast("long")}, **options
+            imports.line_stream(spark, f"{folder}/lines", files_per_batch=1000 if later else 4), saved, f"{folder}/state", lambda: F.lit("2026-10-05 10:00:00").cast("timestamp"), owner={"user_id": F.split("import_id", "/")[0].cast("long")}, **options
         )
         query.awaitTermination()
         if told is not None:
