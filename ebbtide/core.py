@@ -42,6 +42,11 @@ def by_distinct(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
     return rows.join(known, F.col(key).eqNullSafe(F.col(name)), "left").drop(name)
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has at most that many rows (counted); a larger one is left to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have yet, whatever extra columns it came with."""
     taken = {c.lower() for c in df.columns}

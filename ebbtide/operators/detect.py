@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.core import checkpointed
+from ebbtide.core import broadcast_up_to, checkpointed
 from ebbtide.functions import dates, money
 from ebbtide.functions.fuzzy import jaro_winkler
 from ebbtide.functions.text import keyword, merchant_key, never_subscription, other_debit_reason, title_case
 from ebbtide.operators.dedupe import first_captures
-from ebbtide.operators.matching import THRESHOLD, match
+from ebbtide.operators.matching import FEW, THRESHOLD, match
 from ebbtide.operators.periodicity import periodicity
 from ebbtide.sources import dictionary
 
@@ -49,8 +49,8 @@ def judged(rows: DataFrame) -> DataFrame:
 
 def routed(rows: DataFrame, services: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rows with their first group key (`route`), the service, the intermediary, the reason of another debit, the keyword."""
-    known = services.select("service_id", "intermediary", "service_ord")
-    found = match(rows, services, threshold=threshold).join(F.broadcast(known), "service_id", "left")
+    known = broadcast_up_to(services.select("service_id", "intermediary", "service_ord"), FEW)
+    found = match(rows, services, threshold=threshold).join(known, "service_id", "left")
     label = F.col("normalized_label")
     told = rows.select("normalized_label").distinct().join(found.select(F.col("label").alias("normalized_label"), "service_id", "intermediary", F.col("via").alias("_via")), "normalized_label", "left")
     told = told.select(label.alias("_label"), "service_id", "intermediary", "_via", other_debit_reason(label).alias("_other"), merchant_key(label).alias("_merchant"), keyword(label).alias("_word"))
@@ -184,9 +184,9 @@ def confidence_rule(has_service: Column, in_store: Column, other: Column, hidden
 
 def projected(groups: DataFrame, services: DataFrame) -> DataFrame:
     """Groups (with period and occurrences) as detected subscriptions; unexplained ones have a null confidence."""
-    known = services.select("service_id", "service_name", "service_category", "usual_period")
+    services = broadcast_up_to(services.select("service_id", "service_name", "service_category", "usual_period"), FEW)
     via = services.select(F.col("service_id").alias("via_id"), F.col("service_name").alias("via_name"))
-    g = groups.withColumnsRenamed({"period": "seen_period"}).join(F.broadcast(known), "service_id", "left").join(F.broadcast(via), "via_id", "left")
+    g = groups.withColumnsRenamed({"period": "seen_period"}).join(services, "service_id", "left").join(via, "via_id", "left")
     has = {c: F.col(c).isNotNull() for c in ("service_id", "store", "other_reason", "via_id", "keyword", "occurrences")}
     hint = F.when(F.col("store.period_hint") != "unknown", F.col("store.period_hint"))
     g = g.withColumn("confidence", confidence_rule(has["service_id"], has["store"], has["other_reason"], has["via_id"], has["keyword"], F.col("has_sepa"), F.col("occurrences")))

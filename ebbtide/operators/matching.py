@@ -1,8 +1,15 @@
-r"""Approximate join of labels with the service dictionary.
+r"""Approximate join of labels with a dictionary of services, of any size.
 
-Works on distinct labels. Candidates come from equality joins with the dictionary, which is broadcast (a fixed dimension):
-windows of a label's words on word count and on every length that the allowed edits reach, word beginnings on the glued
-spelling, whole labels on the glued spelling. Edit distance is Spark's own and filters before Jaro-Winkler is asked.
+Works on distinct runs of words of distinct labels. Every candidate comes from an equality join:
+
+- a variant within k edits of a run is cut into k + 1 pieces, of which k edits leave one whole, moved by no more letters than
+  the edits before it or after it can move it. So a run asks for the pieces of its own text at those places, by word count,
+  variant length and piece number, and no pair within the edits is missed;
+- a word's beginnings are looked up on the glued spelling, whole labels on the compact one.
+
+Edit distance (Spark's own, with a bound) sifts the candidates before Jaro-Winkler is asked, once for each pair of run and
+variant. A dictionary of at most FEW variants (counted) is broadcast; a larger one is joined as Spark sees fit, and it may
+split a frequent piece. The lengths and word counts of variants, which are broadcast, grow with the longest variant alone.
 
 Null and empty labels match nothing. Ties: higher score, longer variant, dictionary order; intermediaries come last.
 """
@@ -12,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.core import checkpointed
+from ebbtide.core import broadcast_up_to, checkpointed
 from ebbtide.functions.fuzzy import similarity
 from ebbtide.functions.text import tokens
 
@@ -20,6 +27,7 @@ from ebbtide.functions.text import tokens
 THRESHOLD = 0.92
 LEAST_FUZZY, LEAST_GLUED = 5, 7
 GLUED, COMPACT = 0.97, 0.99
+FEW = 10_000  # variants, or services, that are broadcast
 
 
 def variants(services: DataFrame) -> DataFrame:
@@ -36,17 +44,63 @@ def _windows(of: Column, words: Column) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(of, i, words), " "))
 
 
-def scores(labels: DataFrame, services: DataFrame, label: str = "normalized_label") -> DataFrame:
-    """(label, service_ord, ..., score): best score of each variant that comes near a label."""
-    known = F.broadcast(variants(services))
+def _piece(i: Column, chars: Column, edits: Column) -> tuple[Column, Column]:
+    """Where the piece i of edits + 1 begins in a variant of that many letters (from 0), and its length."""
+    at = lambda j: F.floor(j * chars / (edits + 1)).cast("int")
+    return at(i), at(i + 1) - at(i)
+
+
+def _pieces(spelled: Column, edits: Column) -> Column:
+    """array<struct<i, piece>>: a variant's text in edits + 1 pieces."""
+
+    def cut(i: Column) -> Column:
+        start, long = _piece(i, F.length(spelled), edits)
+        return F.struct(i.alias("i"), F.substring(spelled, start + 1, long).alias("piece"))
+
+    return F.transform(F.sequence(F.lit(0), edits), cut)
+
+
+def _asked(run: Column, chars: Column, edits: Column) -> Column:
+    """array<struct<i, piece>>: the pieces that a variant of that many letters within those edits can share with the run.
+
+    Among the pieces left whole there is one with no more edits before it than pieces, and no more behind it: it begins within
+    i letters of its own place, and within edits - i of its place counted from the end (Pass-Join's selection of substrings).
+    """
+    longer = F.length(run) - chars
+
+    def cut(i: Column) -> Column:
+        start, long = _piece(i, chars, edits)
+        low = F.greatest(F.lit(0), start - i, start + longer - (edits - i))
+        high = F.least(F.length(run) - long, start + i, start + longer + (edits - i))
+        places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(places, lambda at: F.struct(i.alias("i"), F.substring(run, at + 1, long).alias("piece"))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), edits), cut))
+
+
+def near(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """(run, spelled, score) of distinct runs(run, words) and variants(words, spelled, edits) within their edits, each pair once."""
+    texts = known.select("words", "spelled", "edits").distinct()
+    fuzzy = texts.where("edits > 0").withColumn("chars", F.length("spelled"))
+    shapes = F.broadcast(fuzzy.select("words", "chars", "edits").distinct())
+    within = F.abs(F.length("run") - F.col("chars")) <= F.col("edits")
+    asked = runs.join(shapes, "words").where(within).select("run", "words", "chars", F.inline(_asked(F.col("run"), F.col("chars"), F.col("edits"))))
+    kept = fuzzy.select("spelled", "words", "chars", "edits", F.inline(_pieces(F.col("spelled"), F.col("edits"))))
+    met = asked.join(kept, ["words", "chars", "i", "piece"]).where((F.col("run") != F.col("spelled")) & (F.levenshtein("run", "spelled") <= F.col("edits")))
+    scored = met.select("run", "spelled").distinct().withColumn("score", similarity(F.col("run"), F.col("spelled")))
+    same = runs.join(texts, (runs["run"] == texts["spelled"]) & (runs["words"] == texts["words"])).select("run", "spelled", F.lit(1.0).alias("score"))
+    return scored.unionByName(same)
+
+
+def scores(labels: DataFrame, services: DataFrame, label: str = "normalized_label", few: int = FEW) -> DataFrame:
+    """(label, service_ord, ..., score): scores of each variant that comes near a label."""
+    known = broadcast_up_to(checkpointed(variants(services)), few)
     plain = checkpointed(labels.select(F.col(label).alias("label")).where("label <> ''").distinct())
     spelled = plain.select("label", F.explode(F.array_distinct(F.array("label", F.replace("label", F.lit("RN"), F.lit("M"))))).alias("s")).select("label", tokens(F.col("s")).alias("t"))
-    sizes = F.broadcast(variants(services).select("words").distinct())
-    runs = spelled.join(sizes, F.col("words") <= F.size("t")).select("label", "words", F.explode(F.array_distinct(_windows(F.col("t"), F.col("words")))).alias("run")).withColumn("chars", F.length("run"))
-    reach = F.broadcast(variants(services).withColumn("chars", F.explode(F.expr("sequence(greatest(length(spelled) - edits, 1), length(spelled) + edits)"))))
-    near = runs.join(reach, ["words", "chars"]).where((F.col("run") == F.col("spelled")) | ((F.col("edits") > 0) & (F.levenshtein("run", "spelled") <= F.col("edits"))))
-    close = near.withColumn("score", F.when(F.col("run") == F.col("spelled"), 1.0).otherwise(similarity(F.col("run"), F.col("spelled"))))
-    lengths = F.broadcast(variants(services).where(F.length("compact") >= LEAST_GLUED).select(F.length("compact").alias("chars")).distinct())
+    sizes = F.broadcast(known.select("words").distinct())
+    runs = spelled.join(sizes, F.col("words") <= F.size("t")).select("label", "words", F.explode(F.array_distinct(_windows(F.col("t"), F.col("words")))).alias("run"))
+    close = runs.join(near(runs.select("run", "words").distinct(), known), "run").join(known, ["spelled", "words"])
+    lengths = F.broadcast(known.where(F.length("compact") >= LEAST_GLUED).select(F.length("compact").alias("chars")).distinct())
     starts = spelled.select("label", F.explode("t").alias("word")).join(lengths, F.length("word") >= F.col("chars")).select("label", F.expr("left(word, chars)").alias("compact")).distinct()
     glued = starts.join(known, "compact").where(F.length("compact") >= LEAST_GLUED).withColumn("score", F.lit(GLUED))
     whole = spelled.select("label", F.array_join("t", "").alias("compact")).join(known, "compact").where(F.length("compact") >= LEAST_FUZZY).withColumn("score", F.lit(COMPACT))
@@ -54,9 +108,9 @@ def scores(labels: DataFrame, services: DataFrame, label: str = "normalized_labe
     return close.select(kept).unionByName(glued.select(kept)).unionByName(whole.select(kept))
 
 
-def match(labels: DataFrame, services: DataFrame, label: str = "normalized_label", threshold: float = THRESHOLD) -> DataFrame:
+def match(labels: DataFrame, services: DataFrame, label: str = "normalized_label", threshold: float = THRESHOLD, few: int = FEW) -> DataFrame:
     """(label, service_id, score, variant, via): the best service and the best intermediary of each label that has one."""
-    found = scores(labels, services, label)
+    found = scores(labels, services, label, few)
     rank = F.struct((-F.col("score")).alias("worse"), (-F.length("variant")).alias("shorter"), "service_ord", "variant_ord", "service_id", "variant")
     best = found.groupBy("label").agg(
         F.min(F.when((F.col("score") >= threshold) & ~F.col("intermediary"), rank)).alias("own"),

@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from ebbtide.core import broadcast_up_to
 from ebbtide.functions.fuzzy import jaro_winkler
 from ebbtide.functions.text import normalize_label
 from ebbtide.operators import detect, lines, matching, pages, pixels, portfolio, reports
@@ -179,6 +180,41 @@ def test_matching_as_nested_loops_would(spark):
     assert {r.label: r.service_id for r in matching.match(rows, services).collect()} == expected
 
 
+@pytest.mark.parametrize("few", [0, matching.FEW])
+def test_variants_near_runs_as_all_pairs_would(spark, few):
+    """The pieces miss no pair within the edits, at every length up to 40, and bring none beyond; broadcast or not."""
+    random.seed(8)
+    letters = "AAABBBCCC "
+    texts = {"".join(random.choice(letters) for _ in range(random.randrange(1, 41))).strip() for _ in range(400)}
+    texts = {" ".join(t.split()) for t in texts} - {""}
+
+    def changed(t, times):
+        for _ in range(times):
+            at = random.randrange(len(t) + 1)
+            t = random.choice([t[:at] + random.choice("ABC") + t[at:], t[:at] + t[at + 1 :], t[:at] + random.choice("ABC") + t[at + 1 :]])
+        return " ".join(t.split())
+
+    runs = {changed(t, random.randrange(len(t) // 4 + 3)) for t in texts for _ in range(3)} - {""}
+    services = spark.createDataFrame([(i, f"s{i}", False, [t]) for i, t in enumerate(sorted(texts))], "service_ord int, service_id string, intermediary boolean, variants array<string>")
+    known = broadcast_up_to(matching.variants(services), few)
+    asked = spark.createDataFrame([(r, len(r.split())) for r in runs], "run string, words int")
+    got = matching.near(asked, known)
+    pairs = asked.crossJoin(known.select(F.col("words").alias("w"), "spelled", "edits")).where("words = w and (run = spelled or edits > 0 and levenshtein(run, spelled) <= edits)")
+    expected = {(r.run, r.spelled) for r in pairs.collect()}
+    found = got.collect()
+    assert len(found) == len(expected) > 500 and {(r.run, r.spelled) for r in found} == expected
+    assert all(abs(r.score - jaro_winkler(r.run, r.spelled)) < 1e-12 for r in found)
+
+
+def test_matching_ties_and_nothing(spark):
+    services = spark.createDataFrame([(0, "a", False, ["LONGNAME", "LONGNAME"]), (1, "b", False, ["LONGNAME"]), (2, "c", True, ["LONGNAMES"])], "service_ord int, service_id string, intermediary boolean, variants array<string>")
+    labels = spark.createDataFrame([("LONGNAME",), ("LONGNAMF",), (None,), ("",), ("X" * 30_000,), ("LONGNAME" * 5_000,)], "normalized_label string")
+    for few in (0, matching.FEW):
+        got = {r.label[:9]: (r.service_id, r.via, round(r.score, 2)) for r in matching.match(labels, services, few=few).collect()}
+        assert got == {"LONGNAME": ("a", "c", 1.0), "LONGNAMF": ("a", "c", 0.95), "LONGNAMEL": ("a", None, 0.97)}
+        assert matching.match(labels.where("false"), services, few=few).count() == matching.match(labels, services.where("false"), few=few).count() == 0
+
+
 def page(rows, reference=date(2026, 10, 5), capture="p"):
     """(text, y[, height[, confidence]]) lines, one word each."""
     out = []
