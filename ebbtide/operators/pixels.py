@@ -6,6 +6,7 @@ change of pixels itself runs in Python, over whole images as bytes (RGBA). Empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,41 @@ def otsu(hist: DataFrame, key: str = "image_id") -> DataFrame:
     return sums.groupBy(key).agg(best.alias("b")).select(key, F.when(F.col("b.v").isNull(), 0).otherwise(-F.col("b.l")).cast("int").alias("threshold"))
 
 
+def _along(values: np.ndarray, size: int) -> np.ndarray:
+    """Area sums along the first axis, in `size` equal parts: each counts its share of a value times `size`, so weights add up to the old length."""
+    n = len(values)
+    upto = np.zeros((n + 1, *values.shape[1:]), np.int64)
+    np.cumsum(values, axis=0, out=upto[1:])
+    whole, part = np.divmod(np.arange(size + 1, dtype=np.int64) * n, size)
+    edge = upto[whole] * size
+    inner = part > 0
+    edge[inner] += values[whole[inner]] * part[inner].reshape(-1, *[1] * (values.ndim - 1))
+    return np.diff(edge, axis=0)
+
+
+def resized(data: bytes, width: int, height: int, new_width: int, new_height: int) -> bytes:
+    """RGBA bytes in another size: each pixel is the mean of the area it covers, rounded half up, in integers throughout.
+
+    One axis after the other, by running sums, so the work is linear in the pixels of both sizes. The canvas of a browser
+    smooths in its own way, which no two browsers share; means of areas are what its high quality setting comes near to.
+    """
+    before, out = np.frombuffer(data, np.uint8).reshape(height, width, 4), np.empty((new_height, new_width, 4), np.uint8)
+    area = width * height
+    for channel in range(4):
+        sums = _along(_along(before[:, :, channel], new_height).T, new_width).T
+        out[:, :, channel] = (2 * sums + area) // (2 * area)
+    return out.tobytes()
+
+
+def _scaled(data: bytes, width: int, height: int, wanted: float | None) -> tuple[bytes, int, int, float]:
+    """An image in the size that choose_scale gives, at least one pixel each way, with that size and the scale."""
+    scale = wanted if wanted is not None else 2.0 if width < SMALL_WIDTH else 1.0
+    if width * height * scale * scale > MOST_PIXELS:
+        scale = math.floor(math.sqrt(MOST_PIXELS / (width * height)) * 100) / 100
+    wide, high = (max(1, math.floor(n * scale + 0.5)) for n in (width, height))
+    return (data if (wide, high) == (width, height) else resized(data, width, height, wide, high)), wide, high, scale
+
+
 def _prepare(data: bytes, invert: str, stretch: bool, binarize: bool) -> tuple[bytes, bool, int | None]:
     rgba = np.frombuffer(data, np.uint8).reshape(-1, 4).copy()
     grey = (rgba[:, :3].astype(np.int64) @ np.array([299, 587, 114]) // 1000).astype(np.uint8)

@@ -691,6 +691,82 @@ def choose_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", pixels.choose_scale(F.col("p_size") * 60, F.col("p_size") * 120).alias("scale"))
 
 
+# ---- images ----
+
+
+def _raw_image(content: bytes) -> tuple[int, int, bytes]:
+    """The decoder of the images below: width, height, then RGBA."""
+    return content[0], content[1], content[2:]
+
+
+def _bars(rgba: bytes, width: int, height: int) -> list[tuple]:
+    """The recogniser of the images below: in each row, every run of dark pixels is a word that tells its length."""
+    out = []
+    for y in range(height):
+        dark = [x for x in range(width) if rgba[4 * (y * width + x)] < 128]
+        starts = [x for x in dark if x - 1 not in dark]
+        for x in starts:
+            end = next(e for e in range(x, width + 1) if e not in dark)
+            out.append((f"W{end - x}", 90, x, y, end, y + 1))
+    return out
+
+
+def _image(width: Column, height: Column, pixel: Callable[[Column, Column], list[Column]]) -> Column:
+    """Bytes of an image whose pixels are made from their place: pixel(x, y) gives red, green and blue."""
+    byte = lambda n: F.lpad(F.hex(n), 2, "0")
+    row = lambda y: F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda x: F.concat(*map(byte, pixel(x, y)), F.lit("FF"))), "")
+    return F.unhex(F.concat(byte(width), byte(height), F.array_join(F.transform(F.sequence(F.lit(0), height - 1), row), "")))
+
+
+_PAINTED = "(select p_partkey as k, 3 + p_partkey % 3 as w, 2 + p_partkey % 2 as h, case when p_partkey % 2 = 0 then 0.6 else 2.0 end as s from part)"
+
+
+@query(f"""with o as (select *, greatest(1, floor(w * s + 0.5))::bigint as nw, greatest(1, floor(h * s + 0.5))::bigint as nh from {_PAINTED}),
+n as (select o.*, i, j, c, x, y, (k * 7 + x * 31 + y * 17 + c * 53 + x * y * k) % 256 as v, least((i + 1) * w, (x + 1) * nw) - greatest(i * w, x * nw) as ox, least((j + 1) * h, (y + 1) * nh) - greatest(j * h, y * nh) as oy
+  from o, range(0, 10) a(i), range(0, 6) b(j), range(0, 3) d(c), range(0, 5) e(x), range(0, 3) f(y) where i < nw and j < nh and x < w and y < h),
+r as (select k, nw, nh, i, j, c, (2 * sum(v * ox * oy) + w * h) // (2 * w * h) as v from n where ox > 0 and oy > 0 group by k, nw, nh, w, h, i, j, c),
+g as (select k, nw, nh, i, j, ((sum(v * case c when 0 then 299 when 1 then 587 else 114 end)) // 1000)::bigint as g from r group by all),
+d as (select *, avg(g) over (partition by k) < 110 as dark from g), e as (select * replace (case when dark then 255 - g else g end as g) from d),
+t as (select *, min(g) over (partition by k) as lo, max(g) over (partition by k) as hi from e),
+u as (select * replace (case when hi - lo >= 10 then floor((g - lo) * (255.0::double / (hi - lo)))::bigint else g end as g) from t),
+hist as (select k, g, count(*) as m from u group by all),
+q as (select k, g, (sum(m) over w)::double as b, (sum(m) over (partition by k))::double as a, (sum(g * m) over w)::double as bm, (sum(g * m) over (partition by k))::double as am from hist window w as (partition by k order by g)),
+z as (select k, g, b * (a - b) * ((bm / b - (am - bm) / (a - b)) * (bm / b - (am - bm) / (a - b))) as between_ from q where a > b),
+cut as (select k, first(g order by between_ desc, g) as threshold from z group by k)
+select u.k, any_value(nw)::int as width, any_value(nh)::int as height, any_value(dark) as inverted, coalesce(any_value(threshold), 0)::int as threshold,
+string_agg(lpad(upper(to_hex(g)), 2, '0'), '' order by j, i) as stretched, string_agg(case when g > coalesce(threshold, 0) then 'FF' else '00' end, '' order by j, i) as cut from u left join cut using (k) group by u.k""")
+def prepared_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small images of every part, scaled up or down, grey, light, stretched; then black and white."""
+    from ebbtide.sources.photos import prepared_files
+
+    k = F.col("k")
+    pixel = lambda x, y: [F.pmod(k * 7 + x * 31 + y * 17 + c * 53 + x * y * k, F.lit(256)) for c in range(3)]
+    shown = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).withColumn("content", _image((3 + k % 3).cast("int"), (2 + k % 2).cast("int"), pixel))
+    wanted = F.when(k % 2 == 0, 0.6)
+    red = lambda data: F.regexp_replace(F.hex(data), "(..)......", "$1")
+    grey = prepared_files(shown, _raw_image, wanted=wanted).select("k", "content", F.col("prepared.width").alias("width"), F.col("prepared.height").alias("height"), F.col("prepared.inverted").alias("inverted"), red("prepared.pixels").alias("stretched"))
+    both = prepared_files(grey, _raw_image, wanted=wanted, binarize=True)
+    return both.select("k", "width", "height", "inverted", F.col("prepared.threshold").alias("threshold"), "stretched", red("prepared.pixels").alias("cut"))
+
+
+@query("""with p as (select p_partkey as k, 2 + p_partkey % 4 as a, 1 + p_partkey % 3 as b, p_partkey % 7 = 0 as broken from part)
+select k, broken as failed, case when not broken then 24 end::int as width, case when not broken then 2.0::double end as scale, case when not broken then 'W' || 2 * a || ' W' || 2 * b end as lines, case when not broken then 2 end::int as n_lines,
+case when not broken then 2.0::double end as x0, case when not broken then (2.0 * (3 + a + b))::double end as x1, (select count_if(not broken) from p) as read, (select count_if(broken) from p) as skipped from p""")
+def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with two bars in a row, doubled for their small width, as lines of recognised words; a seventh of the files is cut short."""
+    from ebbtide.sources.photos import read_captures
+
+    k = F.col("capture_id")
+    a, b = 2 + k % 4, 1 + k % 3
+    light = lambda x, y: F.when((y == 1) & (((x >= 1) & (x < 1 + a)) | ((x >= 3 + a) & (x < 3 + a + b))), 0).otherwise(255)
+    content = _image(F.lit(12), F.lit(3), lambda x, y: [light(x, y)] * 3)
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("capture_id")).withColumn("content", F.when(k % 7 == 0, F.substring(content, 1, 40)).otherwise(content))
+    got = read_captures(files.repartition("capture_id"), _raw_image, _bars)  # the table is one file: images are dealt before Python meets them
+    seen = got.lines.groupBy("capture_id").agg(F.min_by("text", "line_pos").alias("lines"), F.count("*").cast("int").alias("n_lines"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    told = got.pages.join(seen, "capture_id", "left").join(F.broadcast(got.counts.select("read", "skipped")))
+    return told.select(k.alias("k"), F.col("error").isNotNull().alias("failed"), "width", "scale", "lines", "n_lines", "x0", "x1", "read", "skipped")
+
+
 # ---- addresses ----
 
 
@@ -737,9 +813,15 @@ def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).select(k.alias("k"), reports.toggled(checked, F.lit("musique")).alias("checked"), reports.progress(k % 7 + 1, F.lit(8), F.lit(0.5)).alias("progress"))
 
 
-@query()
+@query("""with recursive s as (select p_partkey, p_name as a, p_type as b, greatest(0, greatest(length(p_name), length(p_type)) // 2 - 1) as reach, 0 as i, '' as mine, []::bigint[] as used from part
+union all select p_partkey, a, b, reach, i + 1, case when j is null then mine else mine || a[i + 1] end, case when j is null then used else list_append(used, j) end
+  from (select *, list_filter(range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1), lambda j: b[j] = a[i + 1] and not list_contains(used, j))[1] as j from s where i < length(a))),
+m as (select *, len(used) as m, array_to_string(list_transform(list_sort(used), lambda j: b[j]), '') as theirs from s where i = length(a)),
+n as (select *, len(list_filter(range(1, m + 1), lambda p: mine[p] <> theirs[p])) as moved, len(list_filter(range(1, 5), lambda n: n <= least(length(a), length(b)) and a[1:n] = b[1:n])) as same from m),
+j as (select *, case when a = b then 1.0::double when m = 0 then 0.0::double else (m / length(a) + m / length(b) + (m - moved / 2) / m) / 3 end as near from n)
+select p_partkey, near + same * 0.1::double * (1 - near) as similarity from j""")
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jaro-Winkler similarity of part names and types; the tests compare it with known values."""
+    """Jaro-Winkler similarity of part names and types; the SQL pairs their letters one after the other."""
     from ebbtide.functions.fuzzy import similarity
 
     return table(spark, sf_dir, "part").select("p_partkey", similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))

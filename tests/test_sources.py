@@ -4,6 +4,7 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,71 @@ def test_calendar_sink(spark, tmp_path):
     assert told()["plain"] == "z" * 100_000 and told()["u/1"] == contents["u/1"]
     calendars.write_calendars(rows.where("who = 'plain'"), f"file://{tmp_path}/out", "who")
     assert told() == {"plain": "z" * 100_000}
+
+
+def test_resizing_as_overlaps_would():
+    """Means of areas, exactly: against the overlap of every pair of pixels."""
+    from fractions import Fraction
+
+    from ebbtide.operators.pixels import resized
+
+    rng = np.random.default_rng(3)
+    for w, h, nw, nh in [(1, 1, 3, 2), (3, 2, 6, 4), (5, 4, 3, 2), (7, 3, 4, 5), (2, 9, 5, 1), (6, 6, 6, 6)]:
+        image = rng.integers(0, 256, (h, w, 4), np.uint8)
+        share = lambda i, x, n, new: max(0, min((i + 1) * n, (x + 1) * new) - max(i * n, x * new))
+        expected = [
+            int(Fraction(sum(int(image[y, x, c]) * share(i, x, w, nw) * share(j, y, h, nh) for x in range(w) for y in range(h)), w * h) + Fraction(1, 2)) for j in range(nh) for i in range(nw) for c in range(4)
+        ]
+        assert list(resized(image.tobytes(), w, h, nw, nh)) == expected
+    wide = np.zeros((3000, 4000, 4), np.uint8)
+    wide[:, 2000:] = 255
+    small = np.frombuffer(resized(wide.tobytes(), 4000, 3000, 40, 30), np.uint8).reshape(30, 40, 4)
+    assert (small[:, :20] == 0).all() and (small[:, 20:] == 255).all()
+
+
+def test_scales_as_the_column_says(spark):
+    from ebbtide.operators import pixels
+
+    sizes = [(999, 10), (1000, 10), (1, 1), (4000, 3000), (4001, 3000), (720, 30_000)]
+    told = spark.createDataFrame(sizes, "w int, h int").select(pixels.choose_scale(F.col("w"), F.col("h"))).collect()
+    for (w, h), (scale,) in zip(sizes, told, strict=True):
+        if w * h < 1000_000:
+            rgba, wide, high, used = pixels._scaled(bytes(4 * w * h), w, h, None)
+            assert used == scale and (wide, high) == (int(w * scale + 0.5), int(h * scale + 0.5)) and len(rgba) == 4 * wide * high
+    assert pixels._scaled(bytes(4 * 1000), 1000, 1, 0.0001)[1:3] == (1, 1)
+
+
+def test_files_to_lines(spark, tmp_path):
+    """Image files on disk to lines of words: the whole chain, with files that can't be decoded, read or recognised."""
+    from ebbtide.sources.photos import prepared_files, read_captures
+
+    def decode(content):
+        w, h = content[0], content[1]
+        if w == 77:
+            raise OSError("no such format")
+        return w, h, content[2:]
+
+    def recognise(rgba, width, height):
+        assert width != 2 * 13, "unlucky"
+        dark = [i for i in range(width) if rgba[4 * i] < 128]
+        return [("NOIR", 95, min(dark), 0, max(dark) + 1, height), (" ", 10, 0, 0, 1, 1), ("x", 50, 0, 0, 1, 0)] if dark else []
+
+    def image(w, h, ink):
+        return bytes([w, h]) + b"".join(bytes([*[0 if x in ink else 255] * 3, 255]) for _ in range(h) for x in range(w))
+
+    made = {"a": image(10, 2, (3, 4)), "b": image(10, 2, ()), "c": image(10, 2, ())[:-1], "d": image(77, 1, ()), "e": image(13, 1, (2,)), "f": b"", "g": bytes([0, 5]), "h": image(200, 200, range(50))}
+    for name, content in made.items():
+        (tmp_path / f"{name}.png").write_bytes(content)
+    (tmp_path / "notes.txt").write_text("no image")
+    files = captures.images(spark, str(tmp_path)).withColumn("capture_id", F.regexp_extract("path", r"([^/]+)\.png$", 1))
+    got = read_captures(files, decode, recognise)
+    pages = {r.capture_id: r for r in got.pages.collect()}
+    assert {k: bool(r.error) for k, r in pages.items()} == dict(zip("abcdegh", (False, False, True, True, True, True, False), strict=True))  # Spark's reader passes over f
+    assert "no such format" in pages["d"].error and "unlucky" in pages["e"].error and (pages["a"].width, pages["a"].height, pages["a"].scale) == (20, 4, 2.0)
+    assert sorted((r.capture_id, r.text, r.x0, r.x1, r.confidence) for r in got.lines.collect()) == [("a", "NOIR", 6.0, 10.0, 95.0), ("h", "NOIR", 0.0, 100.0, 95.0)]
+    assert got.counts.collect() == [(3, 4, 7)]
+    none = read_captures(files.where("false"), decode, recognise)
+    assert none.pages.count() == none.lines.count() == 0 and none.counts.collect() == [(0, 0, 0)]
+    odd = spark.createDataFrame([(1, None, "kept"), (2, bytearray(made["a"]), None)], "capture_id int, content binary, prepared_ string")
+    told = {r.capture_id: r for r in prepared_files(odd, decode).collect()}
+    assert told[1].prepared.error == "ValueError: no content" and told[1].prepared.pixels is None and told[1].prepared_ == "kept" and len(told[2].prepared.pixels) == 20 * 4 * 4
