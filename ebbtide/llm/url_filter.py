@@ -91,7 +91,8 @@ def judge(pages: DataFrame, names: DataFrame, key: str = "page_id", url: str = "
 
 
 #: Hosts of the list that the query takes: each has the paths /en/0, /en/2 ... /en/9998, and so for the other languages.
-HOSTS, LANGUAGES, NUMBERS = ("spam-farm.example.com", "blog.tionsh.example.com", "tionble.example.org", "tiontion.example.net"), ("de", "en", "es", "fr"), 10_000
+HOSTS = ("spam-farm.example.com", "blog.tionsh.example.com", "tionble.example.org", "tiontion.example.net", "m.tionsh.example.net", "blog.tionsh.example.net", "thther.example.org")
+LANGUAGES, NUMBERS = ("de", "en", "es", "fr"), 10_000
 
 
 def blocklist(spark: SparkSession) -> DataFrame:
