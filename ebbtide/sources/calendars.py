@@ -8,19 +8,22 @@ file, `CURRENT`, is replaced to name that folder: readers see all files of a wri
 writes the same bytes to the same place. The folder of a write that fails is never read, and removed once its tasks have stopped. The path must be one that all executors share and that
 pyarrow's file systems reach (local mounts, hdfs, s3, gs). Contents are written byte for byte as UTF-8; a null content is an
 empty file, of rows with one name the last one written stays.
+
+Reading is by the same source: a task takes one subfolder, lists it and reads its files, so neither the names nor a task for
+each few files pass through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 from uuid import uuid4
 from zlib import crc32
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 FOLDERS = 256
@@ -75,6 +78,34 @@ class CalendarWriter(DataSourceWriter):
             store.delete_dir(f"{top}/{self.job}")
 
 
+@dataclass
+class Folder(InputPartition):
+    path: str
+
+
+class CalendarReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[Folder]:
+        from pyarrow import fs
+
+        store, top = _files(self.path)
+        with store.open_input_stream(f"{top}/CURRENT") as told:
+            job = told.read().decode()
+        held = store.get_file_info(fs.FileSelector(f"{top}/{job}", allow_not_found=True))
+        return [Folder(f.path) for f in held if f.type == fs.FileType.Directory] or [Folder("")]  # none: an empty frame
+
+    def read(self, partition: Folder) -> Iterator[tuple[str | None, str]]:
+        from pyarrow import fs
+
+        store, _ = _files(self.path)
+        for f in store.get_file_info(fs.FileSelector(partition.path)) if partition.path else ():
+            stored = f.base_name.removesuffix(".ics")
+            with store.open_input_stream(f.path) as content:
+                yield None if stored == "%" else unquote(stored), content.read().decode()
+
+
 class CalendarSink(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -86,6 +117,9 @@ class CalendarSink(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> CalendarWriter:
         return CalendarWriter(self.options["path"])
 
+    def reader(self, schema: StructType) -> CalendarReader:
+        return CalendarReader(self.options["path"])
+
 
 def write_calendars(calendars: DataFrame, path: str, name: str) -> None:
     """Write build_calendar's rows, a file for each value of column `name`."""
@@ -95,7 +129,5 @@ def write_calendars(calendars: DataFrame, path: str, name: str) -> None:
 
 def read_calendars(spark: SparkSession, path: str) -> DataFrame:
     """(name, content) of the files that the last complete write made."""
-    job = spark.read.text(f"{path}/CURRENT", wholetext=True).first()
-    stored = F.regexp_extract("path", r"([^/]*)\.ics$", 1)
-    files = spark.read.format("binaryFile").load(f"{path}/{job[0]}/*/*.ics")
-    return files.select(F.when(stored != "%", F.url_decode(stored)).alias("name"), F.col("content").cast("string").alias("content"))
+    spark.dataSource.register(CalendarSink)
+    return spark.read.format("calendar").load(path)

@@ -173,6 +173,19 @@ def test_calendar_sink(spark, tmp_path):
     assert told() == {"plain": "z" * 100_000}
 
 
+def test_calendars_are_read_by_folder(spark, tmp_path):
+    """Tasks grow with the folders and not with the files, and a write without a row is an empty frame."""
+    from ebbtide.sources import calendars
+
+    rows = spark.range(12_000).select(F.concat(F.lit("u/"), "id").alias("who"), F.concat(F.lit("é"), "id").alias("content"))
+    calendars.write_calendars(rows, f"{tmp_path}/out", "who")
+    read = calendars.read_calendars(spark, f"{tmp_path}/out")
+    assert read.rdd.getNumPartitions() <= calendars.FOLDERS
+    assert read.exceptAll(rows.withColumnRenamed("who", "name")).isEmpty() and read.count() == 12_000
+    calendars.write_calendars(rows.where("false"), f"{tmp_path}/out", "who")
+    assert calendars.read_calendars(spark, f"{tmp_path}/out").isEmpty()
+
+
 def test_resizing_as_overlaps_would():
     """Means of areas, exactly: against the overlap of every pair of pixels."""
     from fractions import Fraction
