@@ -6,15 +6,22 @@ A null text has no amounts (null array).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ebbtide.functions.patterns import java, replaced, squeezed
+from ebbtide.functions.patterns import java, let, replaced, squeezed
 
 _GAP = r"[ \u00A0\u202F]"
 # The form of an amount, and of a token in which letters stand for digits.
-AMOUNT = java(rf"([+\-−–]{_GAP}?)?(\d{{1,3}}(?:(?:{_GAP}|\.)\d{{3}})+|\d+)(?:[,.](\d{{2}}))?(?![\d/])(?:{_GAP}?(€|EUR\b|E\b))?")
+WHOLE = rf"([+\-−–]{_GAP}?)?(\d{{1,3}}(?:(?:{_GAP}|\.)\d{{3}})+|\d+)"
+AMOUNT = java(rf"{WHOLE}(?:[,.](\d{{2}}))?(?![\d/])(?:{_GAP}?(€|EUR\b|E\b))?")
+ACCEPTED = java(rf"^{WHOLE}(?:[,.]\d{{2}}(?![\d/])(?:{_GAP}?(?:€|EUR\b|E\b))?|(?![\d/]){_GAP}?(?:€|EUR\b))$")
 MISREAD = r"(?<!\p{L})[+\-−–]?[\dOoIl]+[,.][\dOoIl]{2}(?![\p{L}\d])"
+#: What every accepted amount holds: decimals, or a currency after a digit. Texts without it aren't cut into pieces.
+PRICED = rf"\d(?:[,.]\d{{2}}|{_GAP}?(?:€|EUR))"
+AMOUNTS = "array<struct<cents:bigint,direction:string,text:string,at:int,size:int>>"
 # Payments of a year, by period.
 PER_YEAR = {"weekly": 52, "monthly": 12, "quarterly": 4, "yearly": 1}
 
@@ -28,17 +35,18 @@ def fix_digits(text: Column) -> Column:
     """O and l, I as 0 and 1 in tokens that look like an amount and hold a digit."""
     parts = _pieces(text, MISREAD, r"[^+\-−–\dOoIl]")
     mended = F.transform(parts, lambda p: F.when((F.length(p) > 3) & p.rlike(r"\d") & p.rlike(r"^[+\-−–]?[\dOoIl]+[,.][\dOoIl]{2}$"), F.translate(p, "OoIl", "0011")).otherwise(p))
-    return F.when(text.rlike(r"[OoIl]"), F.array_join(mended, "")).otherwise(text)
+    return F.when(text.rlike(r"[OoIl]") & text.rlike(r"\d") & text.rlike(MISREAD), F.array_join(mended, "")).otherwise(text)
 
 
-def _amount_pieces(text: Column) -> Column:
-    return _pieces(fix_digits(text), AMOUNT, r"[^\d+\-−–]")
+def _priced(text: Column, found: Callable[[Column], Column], otherwise: Callable[[Column], Column]) -> Column:
+    """found(pieces) of the mended text, or otherwise(mended text) if it can't hold an amount; null for a null text."""
+    pieces = lambda t: let(_pieces(t, AMOUNT, r"[^\d+\-−–]"), found)
+    return let(fix_digits(text), lambda t: F.when(t.rlike(PRICED), pieces(t)).when(t.isNotNull(), otherwise(t)))
 
 
 def _accepted(piece: Column) -> Column:
     """A whole match that has decimals or a currency (`E` only after decimals)."""
-    part = lambda k: F.regexp_extract(piece, f"^{AMOUNT}$", k)
-    return (part(2) != "") & ((part(3) != "") | ~part(4).isin("", "E"))
+    return piece.rlike(ACCEPTED)
 
 
 def _parsed(piece: Column, at: Column) -> Column:
@@ -51,24 +59,31 @@ def _parsed(piece: Column, at: Column) -> Column:
     )
 
 
-def amounts(text: Column) -> Column:
-    parts = _amount_pieces(text)
-    placed = F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    kept = F.filter(placed, lambda x: _accepted(x["p"]))
+def _kept(parts: Column) -> Column:
+    """The accepted pieces with their places."""
+    return F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: _accepted(x["p"]))
+
+
+def _all_parsed(parts: Column, kept: Column) -> Column:
     return F.transform(kept, lambda x: _parsed(x["p"], F.length(F.array_join(F.slice(parts, F.lit(1), x["i"]), ""))))
 
 
+def amounts(text: Column) -> Column:
+    return _priced(text, lambda parts: _all_parsed(parts, _kept(parts)), lambda _: F.array().cast(AMOUNTS))
+
+
 def last_amount(text: Column) -> Column:
     """The right-most amount's struct, or null."""
-    return F.try_element_at(amounts(text), F.lit(-1))
+    last = lambda parts: _all_parsed(parts, F.slice(F.reverse(_kept(parts)), 1, 1))
+    return F.get(_priced(text, last, lambda _: F.lit(None).cast(AMOUNTS)), F.lit(0))
 
 
 def has_amount(text: Column) -> Column:
-    return F.exists(_amount_pieces(text), _accepted)
+    return _priced(text, lambda parts: F.exists(parts, _accepted), lambda _: F.lit(False))
 
 
 def without_amounts(text: Column) -> Column:
-    return squeezed(F.array_join(F.filter(_amount_pieces(text), lambda p: ~_accepted(p)), ""))
+    return squeezed(_priced(text, lambda parts: F.array_join(F.filter(parts, lambda p: ~_accepted(p)), ""), lambda t: t))
 
 
 def format_euros(cents: Column) -> Column:

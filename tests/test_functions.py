@@ -159,3 +159,33 @@ def test_web(values):
     assert values(["https://a.example//"], web.shareable_url) == ["https://a.example/"]
     policy = F.create_map(F.lit("a"), F.array(F.lit("x"), F.lit("y")), F.lit("b"), F.array(F.lit("z")))
     assert values(["_"], lambda _: web.policy(policy)) == ["a x y; b z"]
+
+
+def test_marks_lose_no_match(spark, values):
+    """What is searched only in texts with its mark is found as by the bare patterns."""
+    import random
+    import re
+
+    from ebbtide.functions.patterns import java, matches
+
+    words = sorted({w for w in dates.MONTH_WORDS} | {"ma", "juini", "fevrr", "sepbre", "octobr", "janierr"})
+    bare = values(words, lambda c: F.coalesce(*(F.when(c.rlike(f"^(?:{p})$"), F.lit(i)) for i, p in enumerate(dates.MONTHS, 1))))
+    assert values(words, dates.month_from_word) == bare and None in bare
+    dice = random.Random(5)
+    parts = ["12", "3", ",50", ".05", " ", " ", "€", "EUR", "E", "l", "O", "-", "+", "/", "mai", "REF", "ID", "CB", "PAR", "MOIS", "ANNUEL", "1O,9l", "X1234", "hier", "a", "Ä", "^", "`", "\u00a0"]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randint(0, 7))) for _ in range(3000)]
+    whole = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    pieces = money._pieces(F.col("t"), money.AMOUNT, r"[^\d+\-−–]")
+    mended = money._pieces(F.col("t"), money.MISREAD, r"[^+\-−–\dOoIl]")
+    part = lambda p, k: F.regexp_extract(p, f"^{money.AMOUNT}$", k)
+    wrong = {
+        "amounts": F.exists(pieces, money._accepted) & ~F.col("t").rlike(money.PRICED),
+        "accents": (F.col("t").rlike("Ä") | (F.translate("t", text._FROM, text._TO) != F.col("t"))) & ~F.col("t").rlike(text.ACCENT_MARK),
+        "accepted": F.exists(pieces, lambda p: money._accepted(p) != ((part(p, 2) != "") & ((part(p, 3) != "") | ~part(p, 4).isin("", "E")))),
+        "digits": F.exists(mended, lambda p: (F.length(p) > 3) & p.rlike(r"^[+\-−–]?[\dOoIl]+[,.][\dOoIl]{2}$")) & ~F.col("t").rlike(money.MISREAD),
+        "noise": F.exists(F.array(*(matches(F.col("t"), p) for p in text.NOISE)), lambda x: x) & ~F.col("t").rlike(text.NOISE_MARK),
+        "prefixes": F.col("t").rlike(java(rf"^(?:{'|'.join(text.PREFIXES)})")) & ~F.col("t").rlike(text.PREFIX_MARK),
+        "periods": F.exists(F.array(*(matches(F.col("t"), p) for p, _ in text.PERIOD_WORDS)), lambda x: x) & ~F.col("t").rlike(text.PERIOD_MARK),
+    }
+    assert whole.select(*(F.count_if(w).alias(n) for n, w in wrong.items())).first().asDict() == dict.fromkeys(wrong, 0)
+    assert any(re.search(money.PRICED, t) for t in texts) and not all(re.search(money.PRICED, t) for t in texts)
