@@ -123,7 +123,7 @@ class LiveTotals:
         """Take in all versions up to the newest; the number of the newest."""
         held, own = self.portfolio.table, self.portfolio
         while (since := self.seen()) < (until := held.version().number):
-            delta = checkpointed(totals_of_changes(held.changes(since, until), own.scope))
+            delta = checkpointed(totals_of_changes(held.both_sides(since, until), own.scope))
             self.table.commit(held.changed_parts(since, until), lambda saved, stale, delta=delta: summed_totals(saved.unionByName(own._of(delta, stale)), own.scope), "portfolio", until, since)
         return since
 

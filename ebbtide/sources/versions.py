@@ -133,10 +133,14 @@ class Versions:
 
     def changes(self, since: int, until: int) -> DataFrame:
         """The rows that two versions don't share, with `weight`: -1 of the earlier, 1 of the later (or as many as there are copies)."""
+        fields = T.StructType.fromDDL(self.ddl).fieldNames()
+        return self.both_sides(since, until).groupBy(*fields).agg(F.sum("weight").alias("weight")).where("weight <> 0")
+
+    def both_sides(self, since: int, until: int) -> DataFrame:
+        """The rows of the parts that two versions don't share, with `weight` -1 and 1, unpaired: for sums, which need no pairs and so no shuffle of rows."""
         parts = self.changed_parts(since, until)
         sides = [self.read(self.version(v), parts).withColumn("weight", F.lit(w)) for v, w in ((since, -1), (until, 1))]
-        fields = T.StructType.fromDDL(self.ddl).fieldNames()
-        return sides[0].unionByName(sides[1]).groupBy(*fields).agg(F.sum("weight").alias("weight")).where("weight <> 0")
+        return sides[0].unionByName(sides[1])
 
     def prune(self, keep: int = 2, unclaimed_seconds: float = 86_400) -> None:
         """Delete old manifests, and data that none of those kept refers to; what is younger may belong to a write that is under way."""

@@ -173,6 +173,24 @@ def test_calendar_sink(spark, tmp_path):
     assert told() == {"plain": "z" * 100_000}
 
 
+def test_totals_are_caught_up_without_pairing_rows(spark, tmp_path, monkeypatch):
+    """Sums of changes need no shuffle of whole rows: they are taken before it, and equal a recount."""
+    from ebbtide.operators.portfolio import portfolio_totals
+    from ebbtide.plans.views import portfolio as saved_rows
+    from ebbtide.sources.store import LiveTotals, Portfolio
+    from ebbtide.sources.versions import Versions
+
+    saved = Portfolio(spark, f"{tmp_path}/p", "user_id long")
+    live, rows = LiveTotals(saved), saved_rows(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(Versions, "changes", None)
+    saved.add(rows.limit(300))
+    live.catch_up()
+    saved.delete(rows.limit(300).where("user_id % 3 = 0"))
+    live.catch_up()
+    recount = portfolio_totals(saved.read(), ("user_id",))
+    assert live.read().select(recount.columns).exceptAll(recount).isEmpty() and live.read().count() == recount.count()
+
+
 def test_calendars_are_read_by_folder(spark, tmp_path):
     """Tasks grow with the folders and not with the files, and a write without a row is an empty frame."""
     from ebbtide.sources import calendars
