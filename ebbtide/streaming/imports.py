@@ -8,18 +8,23 @@ whatever is run again after a failure. A user's imports that get whole in one ba
 A capture that can't be read counts and is skipped. Every batch reports how many captures it read, skipped and finished, by
 observed metrics that `Progress` adds up. Null import ids are an import of their own.
 
+A batch's lines of an import are one value of its state, so state grows by imports and batches and not by lines. State of
+before this form (a row for each line) can't be read on.
+
 State needs RocksDB as Spark's state store; `merge_stream` asks for it while the query starts. A run over what is there
 (`available_now`) looks at time-outs when it has data; one that stays looks every ten seconds.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -58,35 +63,39 @@ class Assembly(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("rows", "body string")
-        self.seen = handle.getMapState("seen", "capture string", "there boolean")
-        self.many = handle.getValueState("many", "seen int, expected int")
+        self.many = handle.getValueState("many", "captures string, expected int")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held, expected = self.many.get() if self.many.exists() else (0, None)
+        """What comes in one batch is one body; an import that is whole in it is given without being held. Every call of the state costs a round trip."""
+        held = self.many.get()
+        seen, expected = (set(json.loads(held[0])), held[1]) if held else (set(), None)
         bodies = []
         for row in rows:
             expected = row.of_captures if expected is None else expected
             if row.capture is not None:
-                bodies.append((row.body,))
-                if not self.seen.containsKey((row.capture,)):
-                    self.seen.updateValue((row.capture,), (True,))
-                    held += 1
-        self.rows.appendList(bodies)
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if expected is not None and held >= expected:
-            yield from self._given(key)
+                bodies.append(row.body)
+                seen.add(row.capture)
+        body = f"[{','.join(bodies)}]"
+        if held:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+        if expected is not None and len(seen) >= expected:
+            if held:
+                yield from self._given()
+            yield Row(body=body)
         else:
-            self.many.update((held, expected))
+            if bodies:
+                self.rows.appendValue((body,))
+            self.many.update((json.dumps(sorted(seen)), expected))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._given(key)
+        yield from self._given()
 
-    def _given(self, key) -> Iterator[Row]:
+    def _given(self) -> Iterator[Row]:
         for (body,) in self.rows.get():
             yield Row(body=body)
-        for state in (self.rows, self.seen, self.many):
+        for state in (self.rows, self.many):
             state.clear()
 
     def close(self) -> None:
@@ -106,7 +115,7 @@ def assembled(lines: DataFrame, wait_seconds: float = 3600) -> DataFrame:
     capture = F.when(F.col("capture_id").isNotNull(), F.coalesce(F.col("capture_index").cast("string"), F.concat(F.lit("c"), "capture_id")))
     packed = told.select(key.alias("key"), capture.alias("capture"), "of_captures", F.to_json(F.struct(*lines.columns)).alias("body"))
     whole = packed.groupBy("key").transformWithState(Assembly(wait_seconds), "body string", "Append", "ProcessingTime")
-    rows = whole.select(F.from_json("body", lines.schema).alias("line")).select("line.*")
+    rows = whole.select(F.inline(F.from_json("body", T.ArrayType(lines.schema))))
     return rows.observe("finished", F.count_if(_first_rows(rows)).alias("captures"), F.count_if(_first_rows(rows) & F.coalesce("unreadable", F.lit(False))).alias("unreadable"))
 
 

@@ -106,3 +106,53 @@ def test_following_versions(spark, frames, tmp_path):
     imports.follow(saved, note, f"{tmp_path}/state").awaitTermination()
     imports.follow(saved, note, f"{tmp_path}/state").awaitTermination()
     assert seen == [(0, [("2", "all", 1)]), (2, [("1", "all", 1), ("2", "all", -1)])]
+
+
+def test_state_is_held_by_import_and_batch():
+    """An import that is whole in one batch writes no state; one in parts writes one value a batch, however many its lines."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def get(self):
+            return self.held if self is rows else self.held[-1] if self.held else None
+
+        def exists(self):
+            return bool(self.held)
+
+        def update(self, value):
+            calls.append("update")
+            self.held = [value]
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.held.append(value)
+
+        def clear(self):
+            self.held = []
+
+    rows, many = State(), State()
+
+    class Handle:
+        timers = []
+
+        getListState = lambda self, *_: rows
+        getMapState = getValueState = lambda self, *_: many
+        listTimers = lambda self: iter(self.timers)
+        registerTimer = lambda self, at: self.timers.append(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+    class Now:
+        getCurrentProcessingTimeInMs = lambda self: 5
+
+    lines = lambda capture, n: [Row(capture=capture, of_captures=2, body=f'{{"n":{i}}}') for i in range(n)]
+    held = imports.Assembly(1)
+    held.init(Handle())
+    given = lambda got: [r.body.count("n") for r in held.handleInputRows(("k",), iter(got), Now())]
+    assert given(lines("0", 50) + lines("1", 50)) == [100] and calls == [] and not Handle.timers
+    assert given(lines("0", 50)) == [] and calls == ["append", "update"] and Handle.timers == [1005]
+    assert given(lines("0", 3) + lines("1", 2)) == [50, 5] and len(calls) == 2 and not Handle.timers and not rows.held and not many.held
