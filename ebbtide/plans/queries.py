@@ -737,14 +737,14 @@ select u.k, any_value(nw)::int as width, any_value(nh)::int as height, any_value
 string_agg(lpad(upper(to_hex(g)), 2, '0'), '' order by j, i) as stretched, string_agg(case when g > coalesce(threshold, 0) then 'FF' else '00' end, '' order by j, i) as cut from u left join cut using (k) group by u.k""")
 def prepared_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small images of every part, scaled up or down, grey, light, stretched; then black and white."""
-    from ebbtide.sources.photos import prepared_files
+    from ebbtide.sources.photos import dealt, prepared_files
 
     k = F.col("k")
     pixel = lambda x, y: [F.pmod(k * 7 + x * 31 + y * 17 + c * 53 + x * y * k, F.lit(256)) for c in range(3)]
     shown = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).withColumn("content", _image((3 + k % 3).cast("int"), (2 + k % 2).cast("int"), pixel))
     wanted = F.when(k % 2 == 0, 0.6)
     red = lambda data: F.regexp_replace(F.hex(data), "(..)......", "$1")
-    grey = prepared_files(shown, _raw_image, wanted=wanted).select("k", "content", F.col("prepared.width").alias("width"), F.col("prepared.height").alias("height"), F.col("prepared.inverted").alias("inverted"), red("prepared.pixels").alias("stretched"))
+    grey = prepared_files(dealt(shown, "k"), _raw_image, wanted=wanted).select("k", "content", F.col("prepared.width").alias("width"), F.col("prepared.height").alias("height"), F.col("prepared.inverted").alias("inverted"), red("prepared.pixels").alias("stretched"))
     both = prepared_files(grey, _raw_image, wanted=wanted, binarize=True)
     return both.select("k", "width", "height", "inverted", F.col("prepared.threshold").alias("threshold"), "stretched", red("prepared.pixels").alias("cut"))
 
@@ -754,14 +754,14 @@ select k, broken as failed, case when not broken then 24 end::int as width, case
 case when not broken then 2.0::double end as x0, case when not broken then (2.0 * (3 + a + b))::double end as x1, (select count_if(not broken) from p) as read, (select count_if(broken) from p) as skipped from p""")
 def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images with two bars in a row, doubled for their small width, as lines of recognised words; a seventh of the files is cut short."""
-    from ebbtide.sources.photos import read_captures
+    from ebbtide.sources.photos import dealt, read_captures
 
     k = F.col("capture_id")
     a, b = 2 + k % 4, 1 + k % 3
     light = lambda x, y: F.when((y == 1) & (((x >= 1) & (x < 1 + a)) | ((x >= 3 + a) & (x < 3 + a + b))), 0).otherwise(255)
     content = _image(F.lit(12), F.lit(3), lambda x, y: [light(x, y)] * 3)
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("capture_id")).withColumn("content", F.when(k % 7 == 0, F.substring(content, 1, 40)).otherwise(content))
-    got = read_captures(files.repartition("capture_id"), _raw_image, _bars)  # the table is one file: images are dealt before Python meets them
+    got = read_captures(dealt(files, "capture_id"), _raw_image, _bars)  # the table is one file: images are dealt before Python meets them
     seen = got.lines.groupBy("capture_id").agg(F.min_by("text", "line_pos").alias("lines"), F.count("*").cast("int").alias("n_lines"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     told = got.pages.join(seen, "capture_id", "left").join(F.broadcast(got.counts.select("read", "skipped")))
     return told.select(k.alias("k"), F.col("error").isNotNull().alias("failed"), "width", "scale", "lines", "n_lines", "x0", "x1", "read", "skipped")

@@ -69,6 +69,11 @@ def prepared_files(files: DataFrame, decode: Decode, content: str = "content", w
     return files.withColumn("prepared", run(F.col(content), (F.lit(None) if wanted is None else wanted).cast("double")))
 
 
+def dealt(files: DataFrame, key: str) -> DataFrame:
+    """files over four tasks a core: a number that is named, since Spark would join small images into few tasks by their bytes again."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, key)
+
+
 @dataclass
 class Reading:
     """pages(capture_id, REPORT, words), lines of the pages that were read, and one row (read, skipped, done)."""

@@ -191,6 +191,14 @@ def test_totals_are_caught_up_without_pairing_rows(spark, tmp_path, monkeypatch)
     assert live.read().select(recount.columns).exceptAll(recount).isEmpty() and live.read().count() == recount.count()
 
 
+def test_images_are_dealt_over_all_cores(spark):
+    """Small images stay in many tasks, whatever Spark makes of their bytes."""
+    from ebbtide.plans.queries import QUERIES
+
+    for name in ("prepared_images",):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_calendars_are_read_by_folder(spark, tmp_path):
     """Tasks grow with the folders and not with the files, and a write without a row is an empty frame."""
     from ebbtide.sources import calendars
