@@ -6,12 +6,16 @@ with a null import_id are an import of their own. An empty table gives no subscr
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.core import broadcast_up_to, checkpointed
 from ebbtide.functions import dates, money
@@ -71,17 +75,37 @@ def routed(rows: DataFrame, services: DataFrame, threshold: float = THRESHOLD) -
     )
 
 
-class _Index:
-    """Leaders in order, with what bounds Jaro-Winkler from above: lengths, letter counts, the first four letters.
+@lru_cache(1 << 16)
+def _alike(leader: str, key: str) -> bool:
+    """Whether two keys come near each other; remembered, since imports share merchants."""
+    prefix = next((i for i, (x, y) in enumerate(zip(leader[:4], key[:4], strict=False)) if x != y), min(4, len(leader), len(key)))
+    jaro = (min(len(leader), len(key)) / max(len(leader), len(key), 1) + 2) / 3  # at most, if the longer one holds all letters of the other
+    return jaro + 0.1 * prefix * (1 - jaro) >= SAME_MERCHANT - 1e-9 and jaro_winkler(leader, key) >= SAME_MERCHANT
+
+
+class _Leaders:
+    """Leaders in order. Many of them are kept with what bounds Jaro-Winkler from above: lengths, letter counts, the first four letters.
 
     Matches are no more than the letters that two keys share, counted with repeats, and no transposition only lowers the
     similarity; so a leader that can't reach the threshold by shared letters, lengths and common prefix isn't compared.
+    A few leaders are compared one by one, which costs less than arrays of them.
     """
 
-    def __init__(self, size: int):
+    MANY = 64
+
+    def __init__(self):
         self.keys: list[str] = []
         self.place: dict[str, int] = {}
-        self.counts, self.heads, self.lengths = np.zeros((size, 64), np.uint8), np.zeros((size, 4), np.int32), np.zeros(size)
+        self.told = 0  # leaders that the arrays hold
+        self.counts, self.heads, self.lengths = np.zeros((0, 64), np.uint8), np.zeros((0, 4), np.int32), np.zeros(0)
+
+    def joined(self, key: str) -> str:
+        """The first leader that is the key or comes near it; without one the key leads from now on."""
+        leader = self._first_alike(key)
+        if leader is None:
+            self.place[key] = len(self.keys)
+            self.keys.append(leader := key)
+        return leader
 
     @staticmethod
     def _told(key: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,18 +114,22 @@ class _Index:
         head[: len(codes)] = codes[:4]
         return np.minimum(np.bincount(codes % 64, minlength=64), 255).astype(np.uint8), head
 
-    def add(self, key: str) -> None:
-        at = len(self.keys)
-        self.keys.append(key)
-        self.place[key] = at
-        self.counts[at], self.heads[at] = self._told(key)
-        self.lengths[at] = len(key)
+    def _catch_up(self, n: int) -> None:
+        if n > len(self.lengths):
+            more = 2 * n - len(self.lengths)
+            self.counts, self.heads, self.lengths = (np.concatenate([x, np.zeros((more, *x.shape[1:]), x.dtype)]) for x in (self.counts, self.heads, self.lengths))
+        for at in range(self.told, n):
+            self.counts[at], self.heads[at] = self._told(self.keys[at])
+            self.lengths[at] = len(self.keys[at])
+        self.told = n
 
-    def first_alike(self, key: str) -> str | None:
-        """The first leader that is the key or comes near it."""
+    def _first_alike(self, key: str) -> str | None:
         same, n = self.place.get(key), len(self.keys)
         if len(key) < LEAST_KEY or not n:
             return None if same is None else key
+        if n < self.MANY:
+            return next((x for x in self.keys if x == key or _alike(x, key)), None)
+        self._catch_up(n)
         counts, head = self._told(key)
         near = np.flatnonzero((self.lengths[:n] >= 0.6 * len(key)) & (0.6 * self.lengths[:n] <= len(key)))  # for others even every letter shared is too little
         shared = np.minimum(self.counts[near], counts).sum(axis=1, dtype=np.int64) if max(len(key), self.lengths[:n].max()) < 256 else np.minimum(self.lengths[near], len(key))
@@ -113,26 +141,37 @@ class _Index:
         return None if same is None else key
 
 
+def _led(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys by import and prefix, in order of appearance, with the `leader` that each joins: the first one alike, or itself.
+
+    Many imports share a batch, and one may go on in the next.
+    """
+    at, known = None, _Leaders()
+    for batch in batches:
+        leaders = []
+        for *of, key in zip(*(batch.column(c).to_pylist() for c in ("import_id", "prefix", "key")), strict=True):
+            if of != at:
+                at, known = of, _Leaders()
+            leaders.append(known.joined(key))
+        yield batch.append_column("leader", pa.array(leaders, pa.string()))
+
+
 def _leaders(keys: pd.DataFrame) -> pd.DataFrame:
-    """Distinct keys of one import and prefix, in order of appearance: each joins the first leader that is alike, or leads."""
+    """Distinct keys of one import and prefix with their leaders, all at once."""
     keys = keys.sort_values("first")
-    known, joined = _Index(len(keys)), []
-    for key in keys["key"]:
-        leader = known.first_alike(key)
-        if leader is None:
-            known.add(leader := key)
-        joined.append(leader)
-    return keys.assign(leader=joined)[["import_id", "prefix", "key", "leader"]]
+    return pa.Table.from_batches(_led(pa.Table.from_pandas(keys, preserve_index=False).to_batches())).to_pandas()[["import_id", "prefix", "key", "leader"]]
 
 
 def clustered(rows: DataFrame) -> DataFrame:
     """rows with `group_key`: the route, or for unknown merchants that of the leader.
 
-    The fold is over the distinct merchants of one import, not over rows, since equal keys always share a leader.
+    The fold is over the distinct merchants of one import, not over rows, since equal keys always share a leader. They are
+    dealt over a named number of tasks (their few bytes say little of the work), and only those that join another come back.
     """
-    parts = F.split("route", ":", 2)
+    parts, tasks = F.split("route", ":", 2), 4 * rows.sparkSession.sparkContext.defaultParallelism
     keys = rows.where("unknown_merchant").groupBy("import_id", parts[0].alias("prefix"), parts[1].alias("key")).agg(F.min("pos").alias("first"))
-    led = keys.groupBy("import_id", "prefix").applyInPandas(_leaders, "import_id string, prefix string, key string, leader string")
+    dealt = keys.repartition(tasks, "import_id", "prefix").sortWithinPartitions("import_id", "prefix", "first", "key")
+    led = dealt.mapInArrow(_led, T.StructType([*dealt.schema, T.StructField("leader", T.StringType())])).where("leader <> key")
     told = led.select(F.col("import_id").alias("_import"), F.concat_ws(":", "prefix", "key").alias("_route"), F.concat_ws(":", "prefix", "leader").alias("_leader"))
     same = F.col("import_id").eqNullSafe(F.col("_import")) & (F.col("route") == F.col("_route"))
     return rows.join(told, same, "left").withColumn("group_key", F.when(F.col("unknown_merchant"), F.coalesce("_leader", "route")).otherwise(F.col("route"))).select(*rows.columns, "group_key")

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,3 +122,23 @@ def test_line_files_in_one_read(spark, tmp_path):
     assert sorted(r.capture_id for r in rows if r.unreadable) == ["cut", "object", "word"] and all(r.text is None for r in rows if r.unreadable)
     assert next(r for r in rows if r.text == "5.4").words[0].y1 == 49.5
     assert read._jdf.queryExecution().executedPlan().toString().count("Scan binaryFile") == 1
+
+
+def test_leaders_of_imports_across_batches():
+    """Imports share a task and its batches; leaders don't pass from one to the next, and none is lost where a batch ends."""
+    random = np.random.default_rng(5)
+    imports = {("a", "label"): merchants(random, 300), ("a", "store"): ["CINEFLUX"], (None, "label"): merchants(random, 9), (None, "store"): ["CINEFLUXX", "", "AB"], ("b", "label"): ["CINEFLUX", "CINEFLUXX", "AB"]}
+    rows = [{"import_id": i, "prefix": p, "key": k} for (i, p), keys in imports.items() for k in keys]
+    batches = [pa.RecordBatch.from_pylist(rows[at : at + 7], pa.schema([(c, pa.string()) for c in ("import_id", "prefix", "key")])) for at in range(0, len(rows), 7)]
+    found = [x for b in detect._led(batches) for x in b.column("leader").to_pylist()]
+    assert found == [x for keys in imports.values() for x in plain_leaders(keys)] and found != [r["key"] for r in rows]
+
+
+def test_small_imports_are_grouped_by_many_tasks_and_soon(spark):
+    """4,000 imports of twelve merchants: no call of Python for each, and no one task for their few bytes."""
+    rows = spark.range(48_000).selectExpr("cast(id div 12 as string) as import_id", "id as pos", "concat('label:', chr(cast(65 + id % 12 as int)), 'INEFLUX', id % 3) as route", "true as unknown_merchant")
+    out = detect.clustered(rows).groupBy("group_key").count()
+    began = time.time()
+    assert {r[0]: r[1] for r in out.collect()} == {f"label:{chr(65 + i)}INEFLUX{i % 3}": 4_000 for i in range(12)} and time.time() - began < 15
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "REPARTITION_BY_NUM" in plan
