@@ -23,7 +23,7 @@ from ebbtide.functions.fuzzy import jaro_winkler
 from ebbtide.functions.text import keyword, merchant_key, never_subscription, other_debit_reason, title_case
 from ebbtide.operators.dedupe import first_captures
 from ebbtide.operators.matching import FEW, THRESHOLD, match
-from ebbtide.operators.periodicity import periodicity
+from ebbtide.operators.periodicity import regular_groups
 from ebbtide.sources import dictionary
 
 # How alike two merchants' keys must be, and from which length on.
@@ -58,6 +58,7 @@ def routed(rows: DataFrame, services: DataFrame, threshold: float = THRESHOLD) -
     label = F.col("normalized_label")
     told = rows.select("normalized_label").distinct().join(found.select(F.col("label").alias("normalized_label"), "service_id", "intermediary", F.col("via").alias("_via")), "normalized_label", "left")
     told = told.select(label.alias("_label"), "service_id", "intermediary", "_via", other_debit_reason(label).alias("_other"), merchant_key(label).alias("_merchant"), keyword(label).alias("_word"))
+    told = broadcast_up_to(checkpointed(told), FEW)  # a few labels come to the rows, which needn't be dealt by label then
     asked = rows.join(told, label.eqNullSafe(F.col("_label")), "left")  # what a label says is worked out once for each label
     own = F.col("service_id").isNotNull() & ~F.col("intermediary")
     other, key = F.col("_other"), F.col("_merchant")
@@ -187,7 +188,8 @@ def reconciled(rows: DataFrame) -> DataFrame:
     target = _same_import(listed, first, "group_key").groupBy("import_id", "amount_cents").agg(F.min_by("group_key", "_born").alias("_target"))
     hidden = rows.where("group_key like 'via:%' and amount_cents is not null").groupBy("import_id", "group_key", "amount_cents").agg(F.min("pos").alias("_moved"))
     moves = _same_import(hidden, target, "amount_cents").select("import_id", "group_key", "_target", "_moved")
-    found = _same_import(rows, moves, "group_key", "left")
+    is_hidden = F.coalesce(F.col("group_key").like("via:%"), F.lit(False))  # only their rows are dealt anew
+    found = _same_import(rows.where(is_hidden), moves, "group_key", "left").unionByName(rows.where(~is_hidden), allowMissingColumns=True)
     return found.select(*(c for c in rows.columns if c != "group_key"), F.coalesce("_target", "group_key").alias("group_key"), F.col("_moved").alias("moved"))
 
 
@@ -290,7 +292,7 @@ def detect(rows: DataFrame, services: DataFrame | None = None, threshold: float
     led = checkpointed(clustered(checkpointed(routed(fates.where("fate is null").drop("fate"), services, threshold))))
     ready = checkpointed(reconciled(led))
     groups = grouped(ready)
-    regular = periodicity(ready, ["import_id", "group_key"]).withColumnRenamed("import_id", "_i").withColumnRenamed("group_key", "_k")
+    regular = regular_groups(ready, ["import_id", "group_key"]).withColumnRenamed("import_id", "_i").withColumnRenamed("group_key", "_k")
     timed = groups.join(regular, F.col("import_id").eqNullSafe(F.col("_i")) & (F.col("group_key") == F.col("_k")), "left").drop("_i", "_k")
     found = projected(timed, services)
     explained = found.where("confidence is not null").drop("n_rows")

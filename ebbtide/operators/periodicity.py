@@ -18,8 +18,8 @@ def period_of_gap(days: Column) -> Column:
     return chain
 
 
-def periodicity(rows: DataFrame, keys: list[str], date: str = "date", cents: str = "amount_cents") -> DataFrame:
-    """(keys, period, occurrences) of every group of rows; both null where payments are not regular.
+def regular_groups(rows: DataFrame, keys: list[str], date: str = "date", cents: str = "amount_cents") -> DataFrame:
+    """(keys, period, occurrences) of the groups of rows whose payments are regular.
 
     Days are made distinct before the window, so a group's window holds a calendar's days at most, however many rows
     the group has. Undated rows and null amounts don't count; a group without two days is not regular.
@@ -31,6 +31,11 @@ def periodicity(rows: DataFrame, keys: list[str], date: str = "date", cents: str
         F.count("*").alias("_n"), F.count("_gap").alias("_gaps"), F.count("_period").alias("_fit"), F.min("_period").alias("_a"), F.max("_period").alias("_z"), F.min("_least").alias("_least"), F.max("_most").alias("_most")
     )
     regular = (F.col("_n") >= 2) & (F.col("_gaps") == F.col("_fit")) & (F.col("_a") == F.col("_z")) & is_stable(F.col("_least"), F.col("_most"))
-    told = found.where(regular).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_a").alias("period"), F.col("_n").alias("occurrences"))
+    return found.where(regular).select(*keys, F.col("_a").alias("period"), F.col("_n").alias("occurrences"))
+
+
+def periodicity(rows: DataFrame, keys: list[str], date: str = "date", cents: str = "amount_cents") -> DataFrame:
+    """(keys, period, occurrences) of every group of rows; both null where payments are not regular."""
+    told = regular_groups(rows, keys, date, cents).select(*(F.col(k).alias(f"_{k}") for k in keys), "period", "occurrences")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return rows.select(*keys).distinct().join(told, same, "left").select(*keys, "period", "occurrences")

@@ -12,8 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ebbtide.functions.fuzzy import jaro_winkler
-from ebbtide.operators import detect, lines
-from ebbtide.sources import captures
+from ebbtide.operators import dedupe, detect, lines
+from ebbtide.sources import captures, dictionary
 
 
 def plain_leaders(keys):
@@ -142,3 +142,40 @@ def test_small_imports_are_grouped_by_many_tasks_and_soon(spark):
     assert {r[0]: r[1] for r in out.collect()} == {f"label:{chr(65 + i)}INEFLUX{i % 3}": 4_000 for i in range(12)} and time.time() - began < 15
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_first_captures_as_a_plain_loop_finds_them(spark):
+    """Nulls are keys like others; only keys that several captures show are joined, sorted by a hash of them."""
+    random = np.random.default_rng(6)
+    pick = lambda *values: values[int(random.integers(len(values)))]
+    rows = [(pick("a", "b", None), n, pick("s", None), pick("X", "Y", ""), pick(1, 2, None), pick("2025-01-05", None), "debit", pick(0, 0, 0, 1, None)) for n in range(400)]
+    rows += [(f"alone {n}", 400 + n, "s", "X", 1, None, "debit", 3) for n in range(50)]
+    frame = spark.createDataFrame(rows, "import_id string, pos long, source string, normalized_label string, amount_cents long, date string, direction string, capture_index int")
+    first, out = {}, dedupe.first_captures(frame)
+    for r in rows:
+        first.setdefault((r[0], *r[2:7]), r[7])
+    told = {r.pos: r.is_first for r in out.collect()}
+    assert told == {r[1]: first[(r[0], *r[2:7])] == r[7] for r in rows} and 50 < sum(told.values()) < len(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and out.columns == [*frame.columns, "is_first"]
+
+
+def test_few_labels_are_not_a_reason_to_deal_rows(spark):
+    """What a few labels say is brought to the rows; rows of intermediaries alone are dealt by their group."""
+    rows = spark.range(400).selectExpr("cast(id % 7 as string) as import_id", "id as pos", "elt(1 + id % 4, 'CINEFLUX', 'NETFLIX', 'APPLE.COM BILL', 'ONDEA') as normalized_label", "299 + id % 3 as amount_cents", "if(id % 5 = 0, 'screenshot_store', 'screenshot_bank_debits') as source")
+    found = detect.routed(rows, dictionary.services(spark))
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" in plan
+    led = detect.clustered(found)
+    moved = detect.reconciled(led)
+    assert moved.columns == [*(c for c in led.columns if c != "group_key"), "group_key", "moved"] and moved.count() == 400
+    lead, seen = {}, {(r.import_id, r.pos): r for r in led.collect()}
+    for r in sorted(seen.values(), key=lambda r: r.pos):
+        lead.setdefault((r.import_id, r.group_key), r.pos)
+    hidden = lambda r: r.group_key.startswith("via:") and r.amount_cents is not None
+    listed = {}
+    for (i, g), at in sorted(lead.items(), key=lambda x: x[1]):
+        for r in seen.values():
+            if (r.import_id, r.group_key) == (i, g) and r.source == detect.STORE:
+                listed.setdefault((i, r.amount_cents), g)
+    assert {(r.import_id, r.pos): r.group_key for r in moved.collect()} == {k: listed.get((r.import_id, r.amount_cents), r.group_key) if hidden(r) else r.group_key for k, r in seen.items()}
+    assert moved.where("moved is not null").count() > 0
