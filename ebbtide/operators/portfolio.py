@@ -46,10 +46,15 @@ def merge_detections(saved: DataFrame, detected: DataFrame, now: Column, scope:
     user has decided on stay as they are. `detected` has one row for each id.
     """
     keys = (*scope, "id")
-    fields = [c for c in saved.columns if c not in keys and c not in BOOKKEEPING]
     old = saved.select(*(F.col(c).alias(f"o_{c}") for c in saved.columns))
-    new = detected.select(*(F.col(c).alias(f"n_{c}") for c in (*keys, *fields)))
-    both = old.join(new, [F.col(f"o_{k}").eqNullSafe(F.col(f"n_{k}")) for k in keys], "full")
+    new = detected.select(*(F.col(c).alias(f"n_{c}") for c in saved.columns if c not in BOOKKEEPING))
+    return merged(old.join(new, [F.col(f"o_{k}").eqNullSafe(F.col(f"n_{k}")) for k in keys], "full"), saved.columns, now, scope)
+
+
+def merged(both: DataFrame, columns: list[str], now: Column, scope: tuple[str, ...] = ()) -> DataFrame:
+    """merge_detections of rows that have met: o_ before the columns of saved ones, n_ before those of detections."""
+    keys = (*scope, "id")
+    fields = [c for c in columns if c not in keys and c not in BOOKKEEPING]
     is_new = F.col("o_id").isNull()
     refresh = ~is_new & F.col("n_id").isNotNull() & (F.col("o_status") == "pending")
 
@@ -62,14 +67,18 @@ def merge_detections(saved: DataFrame, detected: DataFrame, now: Column, scope:
     return both.select(
         *(F.coalesce(f"o_{k}", f"n_{k}").alias(k) for k in keys), *map(field, fields), *(F.when(is_new, v).otherwise(F.col(f"o_{c}")).alias(c) for c, v in kept.items()),
         F.when(is_new | refresh, now).otherwise(F.col("o_updated_at")).alias("updated_at"), F.when(is_new, "added").when(refresh, "refreshed").alias("change"),
-    ).select(*saved.columns, "change")
+    ).select(*columns, "change")
 
 
 def apply_edits(saved: DataFrame, edits: DataFrame, now: Column, scope: tuple[str, ...] = ()) -> DataFrame:
     """saved with each row's edit (at most one an id); edits of unknown ids change nothing. Derived fields are recomputed."""
     keys = (*scope, "id")
     edit = edits.select(*(F.col(c).alias(f"e_{c}") for c in edits.columns))
-    both = saved.join(edit, [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in keys], "left")
+    return edited(saved.join(edit, [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in keys], "left"), saved.columns, now)
+
+
+def edited(both: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """apply_edits of rows that have met: e_ before the columns of edits."""
     touched = F.col("e_id").isNotNull()
     given = lambda c: F.coalesce(F.col(f"e_{c}"), F.col(c))
     cleared = lambda c, flag: F.when(F.coalesce(F.col(f"e_{flag}"), F.lit(False)), None).otherwise(given(c))
@@ -80,7 +89,7 @@ def apply_edits(saved: DataFrame, edits: DataFrame, now: Column, scope: tuple[st
         "period_is_estimated": F.when(F.col("e_period").isNotNull(), False).otherwise(F.col("period_is_estimated")), "amount_cents": amount, "next_renewal": cleared("next_renewal", "clear_renewal"),
         "trial_ends_at": cleared("trial_ends_at", "clear_trial"), "needs_amount": amount.isNull(), "monthly_equivalent_cents": monthly_equivalent(amount, period), "updated_at": now,
     }
-    return both.select(*((F.when(touched, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)) for c in saved.columns))
+    return both.select(*((F.when(touched, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)) for c in columns))
 
 
 def manual_rows(entries: DataFrame, now: Column, trial: bool = False) -> DataFrame:

@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.core import checkpointed
-from ebbtide.operators.portfolio import STORED, TOTALS, apply_edits, merge_detections, shown_totals, summed_totals, totals_of_changes
+from ebbtide.operators.portfolio import STORED, TOTALS, edited, merge_detections, merged, shown_totals, summed_totals, totals_of_changes
 from ebbtide.sources.versions import Versions
 
 SETTINGS = "key string, checked_categories array<string>"
 
 
-def _same(left: str, right: str) -> Column:
-    return F.col(left).eqNullSafe(F.col(right))
-
-
 class Portfolio:
     def __init__(self, spark: SparkSession, path: str, scope: str = "", parts: int = 16):
         """scope: DDL of key columns that stand before STORED, as `user_id string`; parts: by their hash, rewritten one by one."""
@@ -44,12 +40,24 @@ class Portfolio:
     def _write(self, rows: DataFrame, build: Callable[[DataFrame, DataFrame], DataFrame], writer: str = "", number: int = 0) -> bool:
         """Commit build(saved, rows) for the parts that rows fall in; False if there is none or the writer's number is known."""
         parts = self._touched(rows)
-        return bool(parts) and self.table.commit(parts, lambda saved, stale: build(saved, self._of(rows, stale)), writer, number) is not None
+        return bool(parts) and self.table.commit(parts, lambda saved, stale: build(saved, self._of(rows, stale)), writer, number, dealt=True) is not None
+
+    def _met(self, saved: DataFrame, rows: DataFrame, old: str, new: str) -> DataFrame:
+        """Saved rows and rows of one key in one row, their columns behind `old` and `new`; null where there is none."""
+        both = self.table.paired(saved, rows, self.keys)
+        told = lambda df, side, mark: [(F.when(F.col(f"{side}.there"), F.col(c)) if c in self.keys else F.col(f"{side}.{c}")).alias(f"{mark}{c}") for c in df.columns]
+        return both.select(*told(saved, "o", old), *told(rows, "n", new), F.col("o.there").alias("_old"), F.col("n.there").alias("_new"))
 
     def _without(self, saved: DataFrame, rows: DataFrame) -> DataFrame:
         """Saved rows but those whose key is in rows; nulls are equal."""
-        gone = rows.select(*(F.col(k).alias(f"_{k}") for k in self.keys)).distinct()
-        return saved.join(gone, [_same(k, f"_{k}") for k in self.keys], "left_anti")
+        return self._met(saved, rows.select(*self.keys), "", "n_").where("_old and _new is null").select(*saved.columns)
+
+    def _replaced(self, saved: DataFrame, rows: DataFrame) -> DataFrame:
+        """Saved rows and rows, which stand for saved ones of their key."""
+        return self._met(saved, rows, "o_", "n_").select(*(F.when(F.col("_new"), F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in saved.columns))
+
+    def _edited(self, saved: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
+        return edited(self._met(saved, edits, "", "e_").where("_old"), saved.columns, now)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.table.read(None if version is None else self.table.version(version))
@@ -59,26 +67,26 @@ class Portfolio:
         detected, made = checkpointed(detected), {}
 
         def build(saved: DataFrame, rows: DataFrame) -> DataFrame:
-            merged = checkpointed(merge_detections(saved, rows, now, self.scope))  # counted and written
-            made.update(dict.fromkeys(self._touched(rows), merged))
-            return merged
+            told = merge_detections(saved, rows, now, self.scope).select(*self.keys, "change")  # counted: keys and status alone
+            made.update(dict.fromkeys(self._touched(rows), told))
+            return merged(self._met(saved, rows, "o_", "n_"), saved.columns, now, self.scope)
 
         wrote = self._write(detected, build, writer, number)
         counted = self.spark.createDataFrame([], "change string")
-        for merged in {id(m): m for m in made.values()}.values() if wrote else []:
-            counted = counted.union(self._of(merged, {p for p, m in made.items() if m is merged}).select("change"))
-        return counted.agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "refreshed").alias("refreshed"))
+        for told in {id(m): m for m in made.values()}.values() if wrote else []:
+            counted = counted.union(self._of(told, {p for p, m in made.items() if m is told}).select("change"))
+        return checkpointed(counted.agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "refreshed").alias("refreshed")))  # before what was there is pruned
 
     def add(self, rows: DataFrame) -> None:
         """Insert rows; those of a known id replace it. Of rows with one id the one updated last counts."""
         names = T.StructType.fromDDL(self.ddl).fieldNames()
         last = F.struct("updated_at", "created_at", F.xxhash64(*names))
         rows = checkpointed(rows.groupBy(*(F.col(k).alias(f"_{k}") for k in self.keys)).agg(F.max_by(F.struct(*names), last).alias("row")).select("row.*"))
-        self._write(rows, lambda saved, own: self._without(saved, own).unionByName(own))
+        self._write(rows, self._replaced)
 
     def edit(self, edits: DataFrame, now: Column) -> None:
         edits = checkpointed(edits)
-        self._write(edits, lambda saved, own: apply_edits(saved, own, now, self.scope))
+        self._write(edits, lambda saved, own: self._edited(saved, own, now))
 
     def delete(self, ids: DataFrame) -> None:
         self._write(checkpointed(ids.select(*self.keys)), self._without)

@@ -99,18 +99,32 @@ class Versions:
         paths = [f"{self.path}/data/{f}/part={p}" for p, f in sorted(wanted.items()) if f]
         return self.spark.read.schema(self.ddl).parquet(*paths) if paths else self.spark.createDataFrame([], self.ddl)
 
-    def _write(self, rows: DataFrame) -> tuple[str, set[int]]:
+    def paired(self, saved: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """A row for each key: the keys, `o` with the other columns of its saved row, `n` with those of its row in rows, null if there is none.
+
+        Both are shuffled once, to where a write lays them into files, and met there by grouping, which (unlike a join) doesn't
+        deal them by all keys again; so what comes of it can be written where it lies. Nulls are equal; keys are unique.
+        """
+        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(self.ddl)}
+        side = lambda df, name: df.select(*(F.col(k).cast(kinds[k]).alias(k) for k in keys), F.struct(F.lit(True).alias("there"), *(c for c in df.columns if c not in keys)).alias(name))
+        both = side(saved, "o").unionByName(side(rows, "n"), allowMissingColumns=True)
+        place = both.withColumns({"_part": self.part, "_slot": F.pmod(F.xxhash64(*keys), F.lit(SPREAD))}).repartition("_part", "_slot")
+        return place.groupBy("_part", "_slot", *keys).agg(F.first("o", True).alias("o"), F.first("n", True).alias("n")).drop("_part", "_slot")
+
+    def _write(self, rows: DataFrame, dealt: bool = False) -> tuple[str, set[int]]:
         fields, name = T.StructType.fromDDL(self.ddl), uuid4().hex
         held = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).withColumn("part", self.part)
         flat = [f.name for f in fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        held.repartition("part", F.pmod(F.xxhash64(*flat), F.lit(SPREAD))).write.partitionBy("part").parquet(f"{self.path}/data/{name}")
+        laid = held if dealt else held.repartition("part", F.pmod(F.xxhash64(*flat), F.lit(SPREAD)))
+        laid.write.partitionBy("part").parquet(f"{self.path}/data/{name}")
         return name, {int(s.getPath().getName()[5:]) for s in self._listed("data", name) if s.getPath().getName().startswith("part=")}
 
-    def commit(self, parts: set[int], build: Callable[[DataFrame, set[int]], DataFrame], writer: str = "", number: int = 0, after: int | None = None) -> Version | None:
+    def commit(self, parts: set[int], build: Callable[[DataFrame, set[int]], DataFrame], writer: str = "", number: int = 0, after: int | None = None, dealt: bool = False) -> Version | None:
         """Replace these parts by build(their rows, parts), whatever other writers do meanwhile.
 
         A named writer's number is written once: None if its last one is no less, or isn't `after`, where that is given.
-        build may be called again, with newer rows and fewer parts, and must depend on them alone.
+        build may be called again, with newer rows and fewer parts, and must depend on them alone. dealt: what it gives
+        lies as `paired` laid it.
         """
         done: dict[int, str | None] = {}
         base, stale = self.version(), set(parts)
@@ -118,7 +132,7 @@ class Versions:
             if writer and (base.writers.get(writer, -1) >= number or (after is not None and base.writers.get(writer, -1) != after)):
                 return None
             if stale:
-                name, full = self._write(build(self.read(base, stale), stale))
+                name, full = self._write(build(self.read(base, stale), stale), dealt)
                 done |= {p: name if p in full else None for p in stale}
             made = Version(base.number + 1, base.folders | done, base.writers | ({writer: number} if writer else {}))
             if self._claim(f"{made.number:012d}.json", json.dumps({"folders": made.folders, "writers": made.writers})):

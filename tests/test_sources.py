@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ebbtide.functions import dates, web
+from ebbtide.operators.portfolio import STORED
 from ebbtide.sources import captures
 from ebbtide.sources.store import LiveTotals, Portfolio
 
@@ -278,3 +279,27 @@ def test_files_to_lines(spark, tmp_path):
     odd = spark.createDataFrame([(1, None, "kept"), (2, bytearray(made["a"]), None)], "capture_id int, content binary, prepared_ string")
     told = {r.capture_id: r for r in prepared_files(odd, decode).collect()}
     assert told[1].prepared.error == "ValueError: no content" and told[1].prepared.pixels is None and told[1].prepared_ == "kept" and len(told[2].prepared.pixels) == 20 * 4 * 4
+
+
+def test_a_write_shuffles_what_is_saved_and_what_comes_once(spark, tmp_path):
+    """Saved and new rows meet where they are written; null keys are keys; a part has no more files than before."""
+    ddl = f"user_id string, {STORED}"
+    stamp = lambda day: f"timestamp '2026-09-{day:02d} 00:00:00'"
+    known = {"user_id": "if(id % 9 = 0, null, cast(id % 9 as string))", "id": "cast(id as string)", "status": "if(id % 2 = 0, 'pending', 'confirmed')", "amount_cents": "id", "source_lines": "array('old')", "created_at": stamp(1), "updated_at": stamp(1)}
+    rows = lambda ids, **more: ids.selectExpr(*(f"cast({(known | more).get(f.split()[0], 'null')} as {f.split()[1]}) as {f.split()[0]}" for f in ddl.split(", ")))
+    saved, now = Portfolio(spark, str(tmp_path / "p"), "user_id string"), F.lit("2026-10-05 10:00:00").cast("timestamp")
+    saved.add(rows(spark.range(400)))
+    files = lambda: max(len(list(p.glob("*/*.parquet"))) for p in (tmp_path / "p/subscriptions/data").iterdir())
+    assert 0 < files() <= 16 * 8
+    held = saved.read()
+    for built in (saved._without(held, held), saved._replaced(held, held)):
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan
+    saved.add(rows(spark.range(390, 410), amount_cents="-id"))
+    assert tuple(saved.save_detections(rows(spark.range(380, 500), amount_cents="7", source_lines="array('new')"), now).first()) == (90, 15)
+    saved.delete(rows(spark.range(0, 500, 7)).select("user_id", "id"))
+    amount = lambda n: 7 if n >= 410 or (n >= 380 and n % 2 == 0) else -n if n >= 390 else n
+    assert sorted((r.user_id or "", int(r.id), r.amount_cents, len(r.source_lines)) for r in saved.read().collect()) == sorted(
+        (str(n % 9) if n % 9 else "", n, amount(n), 2 if 380 <= n < 410 and n % 2 == 0 else 1) for n in range(500) if n % 7
+    )
+    assert files() <= 16 * 8
