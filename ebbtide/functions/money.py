@@ -49,14 +49,23 @@ def _accepted(piece: Column) -> Column:
     return piece.rlike(ACCEPTED)
 
 
-def _parsed(piece: Column, at: Column) -> Column:
-    part = lambda k: F.regexp_extract(piece, f"^{AMOUNT}$", k)
-    whole = F.translate(part(2), " \u00a0\u202f.", "").try_cast("bigint")
-    sign = F.translate(part(1), " \u00a0\u202f", "")
-    direction = F.when(sign == "+", "credit").when(sign != "", "debit").otherwise("unknown")
-    return F.struct(
-        (whole * 100 + F.coalesce(part(3).try_cast("bigint"), F.lit(0))).alias("cents"), direction.alias("direction"), replaced(piece, r"^\s+|\s+$", "").alias("text"), at.alias("at"), F.length(piece).alias("size")
-    )
+def _parsed(piece: Column, *more: Column) -> Column:
+    """cents, direction and text of a whole match, which begins with its sign or a digit and doesn't end in a blank.
+
+    Groups of its whole part have three digits, so a point or comma before the last two is that of decimals.
+    """
+    direction = F.when(piece.startswith("+"), "credit").when(_signed(piece), "debit").otherwise("unknown")
+    number = F.translate(piece, "+-−– \u00a0\u202f€EUR", "")
+
+    def cents(number: Column) -> Column:
+        digits = F.translate(number, ",.", "").try_cast("bigint")
+        return F.when((F.length(number) > 3) & F.substring(number, -3, 1).isin(",", "."), digits).otherwise(F.try_multiply(digits, F.lit(100).cast("bigint")))
+
+    return F.struct(let(number, cents).alias("cents"), direction.alias("direction"), piece.alias("text"), *more)
+
+
+def _signed(piece: Column) -> Column:
+    return piece.rlike(r"^[+\-−–]")
 
 
 def _kept(parts: Column) -> Column:
@@ -65,7 +74,7 @@ def _kept(parts: Column) -> Column:
 
 
 def _all_parsed(parts: Column, kept: Column) -> Column:
-    return F.transform(kept, lambda x: _parsed(x["p"], F.length(F.array_join(F.slice(parts, F.lit(1), x["i"]), ""))))
+    return F.transform(kept, lambda x: _parsed(x["p"], F.length(F.array_join(F.slice(parts, F.lit(1), x["i"]), "")).alias("at"), F.length(x["p"]).alias("size")))
 
 
 def amounts(text: Column) -> Column:
@@ -82,6 +91,23 @@ def has_amount(text: Column) -> Column:
     return _priced(text, lambda parts: F.exists(parts, _accepted), lambda _: F.lit(False))
 
 
+def reading(text: Column) -> Column:
+    """struct(n, signed, last, rest) from one cut of the text: how many amounts, whether one has a sign, the right-most one (cents, direction, text), the text without them."""
+    kind = "struct<cents:bigint,direction:string,text:string>"
+
+    def found(parts: Column) -> Column:
+        def told(tagged: Column) -> Column:
+            held = lambda wanted: F.transform(F.filter(tagged, lambda x: x["ok"] == wanted), lambda x: x["p"])
+            seen = lambda kept: F.struct(
+                F.size(kept).alias("n"), F.exists(kept, _signed).alias("signed"), F.get(F.transform(F.slice(F.reverse(kept), 1, 1), lambda p: _parsed(p)), F.lit(0)).alias("last"), squeezed(F.array_join(held(False), "")).alias("rest")
+            )
+            return let(held(True), seen)
+
+        return let(F.transform(parts, lambda p: F.struct(p.alias("p"), _accepted(p).alias("ok"))), told)
+
+    return _priced(text, found, lambda t: F.struct(F.lit(0).alias("n"), F.lit(False).alias("signed"), F.lit(None).cast(kind).alias("last"), squeezed(t).alias("rest")))
+
+
 def without_amounts(text: Column) -> Column:
     return squeezed(_priced(text, lambda parts: F.array_join(F.filter(parts, lambda p: ~_accepted(p)), ""), lambda t: t))
 

@@ -2,11 +2,16 @@ r"""Regular expressions that mean in Java what they mean in the pages' own rules
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space, the no-break ones included, for use inside a character class.
 SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: One character of them; the rare ones are looked at only beyond Latin letters, since most characters are none.
+_SPACE = r"[\t\n\x0B\f\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]]"
 _WORD = "[A-Za-z0-9_]"
 _EDGE = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
@@ -19,7 +24,7 @@ def java(pattern: str) -> str:
         if two == r"\b":
             out.append(_EDGE)
         elif two == r"\s":
-            out.append(SPACES if inside else f"[{SPACES}]")
+            out.append(SPACES if inside else _SPACE)
         elif two == r"\S":
             out.append(f"[^{SPACES}]")
         elif two[0] == "\\":
@@ -32,8 +37,10 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(java(pattern))
+def matches(text: Column, pattern: str, marks: tuple[str, ...] = ()) -> Column:
+    """Whether the pattern is found. marks: one of them is in every match; a text that holds none isn't searched."""
+    found = lambda t: t.rlike(java(pattern))
+    return let(text, lambda t: reduce(or_, (t.contains(m) for m in marks)) & found(t)) if marks else found(text)
 
 
 def replaced(text: Column, pattern: str, by: str = " ") -> Column:
@@ -46,11 +53,11 @@ def squeezed(text: Column) -> Column:
 
 
 def first_that(text: Column, rules, otherwise: Column | None = None) -> Column:
-    """The value of the first (pattern, value) that is found in the text."""
+    """The value of the first (pattern, value) that is found in the text; marks of the pattern may follow."""
     chain = None
-    for pattern, value in rules:
-        value = value if isinstance(value, Column) else F.lit(value)
-        chain = F.when(matches(text, pattern), value) if chain is None else chain.when(matches(text, pattern), value)
+    for pattern, value, *marks in rules:
+        value, found = value if isinstance(value, Column) else F.lit(value), matches(text, pattern, tuple(marks))
+        chain = F.when(found, value) if chain is None else chain.when(found, value)
     return chain if otherwise is None else chain.otherwise(otherwise)
 
 

@@ -54,25 +54,28 @@ def dated(lines: DataFrame, now: Column) -> DataFrame:
     return lines.withColumn("reference", capture_day(F.col("modified"), now))
 
 
-def _as_transactions(rows: DataFrame, source: str, entry: Column) -> DataFrame:
+def _as_transactions(rows: DataFrame, source: Column, entry: Column) -> DataFrame:
     place = F.col("capture_index").cast("long") * MOST_ENTRIES + entry
-    named = rows.withColumn("pos", place).withColumn("id", F.concat_ws(":", F.lit(source), "capture_index", entry)).withColumn("source", F.lit(source)).withColumn("currency", F.lit("EUR"))
+    named = rows.withColumns({"pos": place, "id": F.concat_ws(":", source, "capture_index", entry), "source": source, "currency": F.lit("EUR")})
     schema = T.StructType.fromDDL(TRANSACTION)
     return named.select(*((F.col(f.name) if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
-def bank_adapter(source: str) -> Callable[[DataFrame], DataFrame]:
-    """Transactions of a bank's list. Transfers keep no text: it can name a person."""
+def bank_adapter(source: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Transactions of a bank's list. Transfers keep no text: it can name a person. Without a source, lines tell the kind of their page (`_kind`) and come dealt by page."""
 
     def adapt(lines: DataFrame) -> DataFrame:
-        entries = page_parsers.parse_bank(lines).join(lines.select("capture_id", "import_id", "capture_index").distinct(), "capture_id")
+        if source is None:
+            entries = page_parsers.bank_entries(lines, ("import_id", "capture_index", "_kind"), dealt=True)
+        else:
+            entries = page_parsers.bank_entries(lines, ("import_id", "capture_index")).withColumn("_kind", F.lit(source))
         shown = lambda c: F.when(F.col("kind") == "transfer", "").otherwise(c)
-        kind = F.when((F.col("kind") == "unknown") & F.lit(source == "screenshot_bank_debits"), "sepa").otherwise(F.col("kind"))
-        rows = entries.select(
+        kind = F.when((F.col("kind") == "unknown") & (F.col("_kind") == page_parsers.DEBITS_KIND), "sepa").otherwise(F.col("kind"))
+        rows = entries.where("capture_id is not null").select(
             "import_id", "capture_index", "entry", shown(F.col("raw_text")).alias("raw_text"), shown(F.col("label")).alias("label"), shown(normalize_label(F.col("label"))).alias("normalized_label"),
-            F.col("cents").alias("amount_cents"), "date", F.col("approximate").alias("date_is_approximate"), "direction", kind.alias("kind"), F.col("confidence").alias("ocr_confidence"),
+            F.col("cents").alias("amount_cents"), "date", F.col("approximate").alias("date_is_approximate"), "direction", kind.alias("kind"), F.col("confidence").alias("ocr_confidence"), F.col("_kind").alias("source"),
         )
-        return _as_transactions(rows, source, F.col("entry"))
+        return _as_transactions(rows, F.col("source"), F.col("entry"))
 
     return adapt
 
@@ -84,15 +87,12 @@ def store_adapter(lines: DataFrame) -> DataFrame:
         "import_id", "capture_index", "entry", "raw_text", F.col("name").alias("label"), normalize_label(F.col("name")).alias("normalized_label"), F.col("price_cents").alias("amount_cents"),
         F.lit("debit").alias("direction"), F.lit("store").alias("kind"), F.col("confidence").alias("ocr_confidence"), F.col("period").alias("period_hint"), "renewal_date", "trial_ends_at",
     )
-    return _as_transactions(rows, "screenshot_store", F.col("entry"))
+    return _as_transactions(rows, F.lit(page_parsers.STORE_KIND), F.col("entry"))
 
 
-#: Page kind to adapter; add to it to read other kinds of page.
-ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "screenshot_store": store_adapter,
-    "screenshot_bank_debits": bank_adapter("screenshot_bank_debits"),
-    "screenshot_card_history": bank_adapter("screenshot_card_history"),
-}
+_read_bank = bank_adapter()
+#: Page kind to adapter; add to it to read other kinds of page. Kinds that share an adapter are read in one pass.
+ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {page_parsers.STORE_KIND: store_adapter, page_parsers.DEBITS_KIND: _read_bank, page_parsers.HISTORY_KIND: _read_bank}
 #: (predicate over a frame of lines giving the captures it fits, rewrite) pairs that mend one bank's lines before parsing.
 PROFILES: list[tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]] = []
 
@@ -109,11 +109,20 @@ def apply_profiles(lines: DataFrame, profiles=None) -> DataFrame:
 
 
 def transactions(lines: DataFrame, adapters=None, profiles=None) -> DataFrame:
-    """Lines of captures (with import_id, capture_index, reference) to TRANSACTION rows, by the kind of each page."""
+    """Lines of captures (with import_id, capture_index, reference) to TRANSACTION rows, by the kind of each page.
+
+    Pages of banks are classified and read where their lines were dealt to, in one pass. Store pages are a pass of their own,
+    over the captures whose words allow them.
+    """
     adapters = ADAPTERS if adapters is None else adapters
-    known = lines.join(page_parsers.classify_pages(lines).withColumnRenamed("kind", "_kind"), "capture_id")
-    parts = [adapt(apply_profiles(known.where(F.col("_kind") == kind).drop("_kind"), profiles if kind != "screenshot_store" else [])) for kind, adapt in adapters.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    profiles, out = PROFILES if profiles is None else profiles, None
+    lines = lines.where("capture_id is not null")
+    for adapt in dict.fromkeys(adapters.values()):
+        kinds = [kind for kind, own in adapters.items() if own is adapt]
+        asked = lines.join(page_parsers.maybe_store(lines), "capture_id", "left_semi") if kinds == [page_parsers.STORE_KIND] else lines
+        known = page_parsers.with_kinds(asked).where(F.col("_kind").isin(*kinds))
+        if profiles and page_parsers.STORE_KIND not in kinds:
+            known = apply_profiles(known, profiles).repartition("capture_id")
+        part = adapt(known)
+        out = part if out is None else out.unionByName(part)
     return out

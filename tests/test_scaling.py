@@ -179,3 +179,33 @@ def test_few_labels_are_not_a_reason_to_deal_rows(spark):
                 listed.setdefault((i, r.amount_cents), g)
     assert {(r.import_id, r.pos): r.group_key for r in moved.collect()} == {k: listed.get((r.import_id, r.amount_cents), r.group_key) if hidden(r) else r.group_key for k, r in seen.items()}
     assert moved.where("moved is not null").count() > 0
+
+
+def test_pages_of_banks_are_read_in_one_pass(spark):
+    """Classified and read where their lines were dealt to: one fold, one shuffle of lines, whatever kinds there are; amounts are cut once a text."""
+    from test_engine import LINE, page
+    from test_recorded_pages import BANK, DEBITS, STORE
+
+    rows = [(f"p{n}", "u", n, *r[3:]) for n, lines in enumerate((BANK, DEBITS, STORE)) for r in page(lines)]
+    read = captures.transactions(spark.createDataFrame(rows, LINE))
+    assert {r[0]: r[1] for r in read.groupBy("source").count().collect()} == {"screenshot_card_history": 6, "screenshot_bank_debits": 4, "screenshot_store": 1}
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines()]
+    assert nodes.count("MapInArrow") == 1 and "MapInPandas" not in nodes and nodes.count("RepartitionByExpression") == 3, nodes  # two are of the pages that may be of a store
+
+
+def test_one_reading_of_amounts(spark):
+    """A single cut of a text tells what the separate functions tell; whole numbers too large for cents have none and end no job."""
+    from pyspark.sql import functions as F
+
+    from ebbtide.functions import money
+
+    random = np.random.default_rng(8)
+    parts = ["12", "3", ",50", ".05", " ", "€", "EUR", "E", "l", "O", "-", "+", "/", "1 234,50 €", "1O,9l", "CB", " ", "−9,99"]
+    texts = ["".join(random.choice(parts, int(random.integers(0, 7)))) for _ in range(2000)] + [None, "", "123456789012345678 €", "12,50 E"]
+    t = F.col("t")
+    found, last = money.amounts(t), money.last_amount(t)
+    apart = F.struct(F.size(found).alias("n"), F.exists(found, lambda a: a["direction"] != "unknown").alias("signed"), F.when(last.isNotNull(), F.struct(*(last[c].alias(c) for c in ("cents", "direction", "text")))).alias("last"), money.without_amounts(t).alias("rest"))
+    told = spark.createDataFrame([(x,) for x in texts], "t string").select("t", money.reading(t).alias("once"), F.when(t.isNotNull(), apart).alias("apart")).collect()
+    assert [r.once for r in told] == [r.apart for r in told] and sum(r.once.n > 0 for r in told if r.once) > 200
+    assert told[-2].once.n == 1 and told[-2].once.last.cents is None and told[-1].once.last.cents == 1250
