@@ -5,20 +5,23 @@ rows, or on a row of its own without a capture), or until nothing has come for `
 micro-batches changes nothing. What comes after a time-out is an import of its own. The portfolio takes a batch in once,
 whatever is run again after a failure. A user's imports that get whole in one batch are merged in the order of their ids.
 
-A capture that can't be read counts and is skipped. Every batch reports how many captures it read, skipped and finished, by
-observed metrics that `Progress` adds up. Null import ids are an import of their own.
+A capture that can't be read counts and is skipped. Every batch reports how many captures it read, skipped and finished, which
+`Progress` adds up. Null import ids are an import of their own.
 
-A batch's lines of an import are one value of its state, so state grows by imports and batches and not by lines. State of
-before this form (a row for each line) can't be read on.
+A run over what is there (`available_now`) holds lines in files beside its checkpoint (`Held`): what came and what was held
+meet by one shuffle, and no import costs a call. A batch rewrites what is held, and time-outs are looked at when there is data.
 
-State needs RocksDB as Spark's state store; `merge_stream` asks for it while the query starts. A run over what is there
-(`available_now`) looks at time-outs when it has data; one that stays looks every ten seconds.
+A query that stays looks at time-outs every ten seconds, which only state can do without data. A batch's lines of an import
+are one value of its state, so state grows by imports and batches and not by lines, but each import costs round trips of
+Python. State needs RocksDB as Spark's state store; `merge_stream` asks for it while the query starts. The two kinds can't
+read on what the other holds, and a checkpoint of the other kind is refused.
 """
 
 from __future__ import annotations
 
 import json
 import threading
+import time
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -38,8 +41,8 @@ LINES = (
     "x0 double, y0 double, x1 double, y1 double, confidence double, reference date, unreadable boolean, of_captures int"
 )
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-#: Time-outs would keep a run over what is there going for ever; without batches of no data they fire with the next data.
-ONLY_DATA = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+#: What the last batches of each run gave on, by the run's name and the batch's number, for `Progress`.
+FINISHED: dict[str, dict[int, dict[str, int]]] = {}
 
 
 def line_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -107,13 +110,67 @@ def _first_rows(rows: DataFrame) -> Column:
     return F.col("capture_id").isNotNull() & (F.coalesce("line_pos", F.lit(0)) == 0)
 
 
-def assembled(lines: DataFrame, wait_seconds: float = 3600) -> DataFrame:
-    """A stream of the lines of imports that are whole."""
+def _arrived(lines: DataFrame) -> DataFrame:
+    """The lines, whose captures are counted as they pass."""
     read, skipped = F.count_if(_first_rows(lines)), F.count_if(_first_rows(lines) & F.coalesce("unreadable", F.lit(False)))
-    told = lines.observe("arrived", read.alias("read"), skipped.alias("skipped"))
-    key = F.coalesce(F.concat(F.lit("i"), "import_id"), F.lit("none"))  # a key of state isn't null
-    capture = F.when(F.col("capture_id").isNotNull(), F.coalesce(F.col("capture_index").cast("string"), F.concat(F.lit("c"), "capture_id")))
-    packed = told.select(key.alias("key"), capture.alias("capture"), "of_captures", F.to_json(F.struct(*lines.columns)).alias("body"))
+    return lines.observe("arrived", read.alias("read"), skipped.alias("skipped"))
+
+
+def _import_key() -> Column:
+    return F.coalesce(F.concat(F.lit("i"), "import_id"), F.lit("none"))  # a key of state isn't null
+
+
+def _capture() -> Column:
+    return F.when(F.col("capture_id").isNotNull(), F.coalesce(F.col("capture_index").cast("string"), F.concat(F.lit("c"), "capture_id")))
+
+
+class Held:
+    """Lines of imports that aren't whole yet, in a folder for each batch of a run over what is there.
+
+    A batch's folder holds the lines that it gives on and those that stay held, decided and written at once; a batch that is
+    run again finds its own decision there, so a later clock changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, wait_seconds: float = 3600):
+        self.spark, self.path, self.wait = spark, path.rstrip("/"), int(1000 * wait_seconds)
+
+    def _place(self, *names: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def there(self, *names: str) -> bool:
+        files, place = self._place(*names)
+        return files.exists(place)
+
+    def _read(self, spark: SparkSession, number: int, done: bool, ddl: str) -> DataFrame | None:
+        folder = (str(number), f"_done={str(done).lower()}")
+        return spark.read.schema(ddl).parquet("/".join((self.path, *folder))) if self.there(*folder) else None
+
+    def taken(self, batch: DataFrame, number: int) -> DataFrame | None:
+        """Take a batch's lines in; those of imports that are whole now, or whose time is up, or None. The batch is read once."""
+        if not self.there(str(number), "_SUCCESS"):
+            self._write(batch, number)
+        files, old = self._place(str(number - 2))
+        files.delete(old, True)  # the batch before this one is kept until this one is known to be done
+        rows = self._read(self.spark, number, True, LINES)
+        return None if rows is None else rows.where(_capture().isNotNull())
+
+    def _write(self, batch: DataFrame, number: int) -> None:
+        now, names = int(1000 * time.time()), [f.name for f in T.StructType.fromDDL(LINES)]
+        rows = batch.select(*names, F.lit(now).cast("bigint").alias("_came"), F.lit(number).cast("bigint").alias("_batch"))
+        held = self._read(batch.sparkSession, number - 1, False, f"{LINES}, _came bigint, _batch bigint")
+        if held is not None:
+            rows = rows.unionByName(held)
+        own = Window.partitionBy("_key")
+        seen, expected = F.size(F.collect_set("_capture").over(own)), F.min_by("of_captures", F.when(F.col("of_captures").isNotNull(), F.col("_batch"))).over(own)
+        late = (F.max("_batch").over(own) < number) & (F.max("_came").over(own) + self.wait <= now)
+        told = rows.withColumns({"_key": _import_key(), "_capture": _capture()}).withColumn("_done", F.coalesce(seen >= expected, F.lit(False)) | late)
+        told.drop("_key", "_capture").write.mode("overwrite").partitionBy("_done").parquet(f"{self.path}/{number}")
+
+
+def assembled(lines: DataFrame, wait_seconds: float = 3600) -> DataFrame:
+    """A stream of the lines of imports that are whole, held as keyed state."""
+    packed = _arrived(lines).select(_import_key().alias("key"), _capture().alias("capture"), "of_captures", F.to_json(F.struct(*lines.columns)).alias("body"))
     whole = packed.groupBy("key").transformWithState(Assembly(wait_seconds), "body string", "Append", "ProcessingTime")
     rows = whole.select(F.inline(F.from_json("body", T.ArrayType(lines.schema))))
     return rows.observe("finished", F.count_if(_first_rows(rows)).alias("captures"), F.count_if(_first_rows(rows) & F.coalesce("unreadable", F.lit(False))).alias("unreadable"))
@@ -125,34 +182,46 @@ def merge_stream(
 ) -> StreamingQuery:
     """Start the stream that keeps the portfolio. owner: the portfolio's scope, from import_id; without it the scope is import_id."""
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def merge(lines: DataFrame, number: int) -> None:
+        rows = analyse(lines)
+        if owner is None:
+            portfolio.save_detections(rows, now(), writer, number)
+            return
+        rows = rows.withColumns(owner)
+        turn = Window.partitionBy(*(F.col(c) for c in owner)).orderBy("import_id")
+        rows = rows.withColumn("_turn", F.dense_rank().over(turn)).persist()
+        last = rows.agg(F.max("_turn")).first()[0] or 0  # imports of one user in this batch, nearly always 1
+        for turn in range(1, last + 1):
+            portfolio.save_detections(rows.where(F.col("_turn") == turn).drop("_turn"), now(), f"{writer}/{turn}", number)
+        rows.unpersist()
+
+    def from_files(batch: DataFrame, number: int) -> None:
+        whole, told = held.taken(batch, number), FINISHED.setdefault(name, {})
+        told.pop(number - 100, None)  # long reported
+        if whole is not None:
+            unreadable = F.coalesce("unreadable", F.lit(False))
+            told[number] = whole.agg(F.count_if(_first_rows(whole)).alias("captures"), F.count_if(_first_rows(whole) & unreadable).alias("unreadable")).first().asDict()
+            merge(whole, number)
+
+    def from_state(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            if batch.isEmpty():
-                return
-            rows = analyse(batch)
-            if owner is None:
-                portfolio.save_detections(rows, now(), writer, number)
-                return
-            rows = rows.withColumns(owner)
-            turn = Window.partitionBy(*(F.col(c) for c in owner)).orderBy("import_id")
-            rows = rows.withColumn("_turn", F.dense_rank().over(turn)).persist()
-            last = rows.agg(F.max("_turn")).first()[0] or 0  # imports of one user in this batch, nearly always 1
-            for turn in range(1, last + 1):
-                portfolio.save_detections(rows.where(F.col("_turn") == turn).drop("_turn"), now(), f"{writer}/{turn}", number)
-            rows.unpersist()
+            if not batch.isEmpty():
+                merge(batch, number)
         finally:
             batch.unpersist()
 
-    writer = f"stream {checkpoint}"
-    spark = lines.sparkSession
-    wanted = STORE | (ONLY_DATA if available_now else {})
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
+    writer, name = f"stream {checkpoint}", f"imports-{uuid4().hex}"
+    spark, held = lines.sparkSession, Held(portfolio.spark, f"{checkpoint.rstrip('/')}/held", wait_seconds)
+    if Held(spark, checkpoint).there("state" if available_now else "held"):
+        raise ValueError("the checkpoint is of a query that stays, whose state a run over what is there can't read" if available_now else "the checkpoint is of runs over what is there, whose files a query that stays can't read")
+    if available_now:
+        return _arrived(lines).writeStream.foreachBatch(from_files).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
-        started = assembled(lines, wait_seconds).writeStream.foreachBatch(merge).queryName(f"imports-{uuid4().hex}").option("checkpointLocation", checkpoint)
-        return (started.trigger(availableNow=True) if available_now else started.trigger(processingTime="10 seconds")).start()
+        return assembled(lines, wait_seconds).writeStream.foreachBatch(from_state).queryName(name).option("checkpointLocation", checkpoint).trigger(processingTime="10 seconds").start()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -174,8 +243,8 @@ class Progress(StreamingQueryListener):
         told = event.progress.observedMetrics
         if "arrived" not in told:
             return
-        done = told.get("finished")
-        batch = {"read": told["arrived"].read, "skipped": told["arrived"].skipped, "done": done.captures if done else 0}
+        done, kept = told.get("finished"), FINISHED.get(event.progress.name, {}).get(event.progress.batchId)
+        batch = {"read": told["arrived"].read, "skipped": told["arrived"].skipped, "done": done.captures if done else kept["captures"] if kept else 0}
         with self.ended:
             run = str(event.progress.runId)
             self.batches.setdefault(run, []).append(batch)

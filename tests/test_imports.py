@@ -156,3 +156,27 @@ def test_state_is_held_by_import_and_batch():
     assert given(lines("0", 50) + lines("1", 50)) == [100] and calls == [] and not Handle.timers
     assert given(lines("0", 50)) == [] and calls == ["append", "update"] and Handle.timers == [1005]
     assert given(lines("0", 3) + lines("1", 2)) == [50, 5] and len(calls) == 2 and not Handle.timers and not rows.held and not many.held
+
+
+def test_runs_over_what_is_there_hold_files(spark, frames, tmp_path):
+    """No state and no call of Python for an import: lines that wait lie in the last batches' folders, and the other kind of run is refused."""
+    got, counts, _ = run(spark, frames, tmp_path, [[[k] for k in list(PAGES)[::-1]]], files_per_batch=1)
+    assert [r[0] for r in got] == ["1", "2"] and counts == [{"read": 5, "skipped": 1, "done": 5}]
+    assert not (tmp_path / "state/state").exists() and sorted(p.name for p in (tmp_path / "state/held").iterdir()) == ["3", "4"]
+    assert [p.name for p in (tmp_path / "state/held/4").iterdir() if p.is_dir()] == ["_done=true"], "nothing waits any more"
+    with pytest.raises(ValueError, match="runs over what is there"):
+        imports.merge_stream(imports.line_stream(spark, f"{tmp_path}/in"), Portfolio(spark, f"{tmp_path}/saved", "import_id string"), f"{tmp_path}/state", available_now=False)
+
+
+def test_a_batch_run_again_keeps_its_decision(spark, frames, tmp_path, monkeypatch):
+    """What was held when the batch first ran stays held, though its time is up by now; a capture's number of rows or repeats change nothing."""
+    held, clock = imports.Held(spark, str(tmp_path), wait_seconds=10), [1000.0]
+    monkeypatch.setattr(imports.time, "time", lambda: clock[0])
+    captures = lambda rows: rows and sorted({r.capture_id for r in rows.collect()})
+    assert held.taken(frames([("1", 0), ("1", 0)]), 0) is None
+    clock[0] += 5
+    assert captures(held.taken(frames([("2", 0), ("2", 1)]), 1)) == ["2-0", "2-1"]
+    clock[0] += 6
+    assert captures(held.taken(frames([("2", 0), ("2", 1)]), 1)) == ["2-0", "2-1"], "import 1 waits as it did"
+    assert captures(held.taken(frames([("2", 0)]), 2)) == ["1-0"], "its time is up with the next batch"
+    assert captures(held.taken(frames([("2", 1)]), 3)) == ["2-0", "2-1"] and held.taken(frames([]), 4) is None
