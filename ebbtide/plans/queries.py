@@ -505,12 +505,12 @@ def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pages ----
 
 
-def _page_lines(spark: SparkSession, sf_dir: str, columns: list[Column]) -> DataFrame:
-    """Three lines for each order, on the page of its customer, one below the other."""
-    rows = orders(spark, sf_dir).select(F.col("o_custkey").alias("capture_id"), "o_orderkey", F.posexplode(F.array(*columns)).alias("i", "text"))
+def _page_lines(spark: SparkSession, sf_dir: str, columns: list[Column], shown: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Three lines for each order, on the page of its customer, one below the other. shown: the orders, with more columns to keep."""
+    rows = (orders(spark, sf_dir) if shown is None else shown).select(F.col("o_custkey").alias("capture_id"), "o_orderkey", *more, F.posexplode(F.array(*columns)).alias("i", "text"))
     rows = rows.withColumn("line_pos", (F.col("o_orderkey") * 4 + F.col("i")).cast("long")).withColumn("y0", (F.col("line_pos") * 100).cast("double"))
     word = F.struct("text", F.lit(95.0).alias("confidence"), F.lit(0.0).alias("x0"), F.col("y0"), F.lit(900.0).alias("x1"), (F.col("y0") + 40).alias("y1"))
-    return rows.select("capture_id", "o_orderkey", F.col("line_pos").cast("int").alias("line_pos"), "text", F.array(word).alias("words"), F.lit(0.0).alias("x0"), "y0", F.lit(900.0).alias("x1"), (F.col("y0") + 40).alias("y1"), F.lit(95.0).alias("confidence"), _day().alias("reference"))
+    return rows.select("capture_id", "o_orderkey", F.col("line_pos").cast("int").alias("line_pos"), "text", F.array(word).alias("words"), F.lit(0.0).alias("x0"), "y0", F.lit(900.0).alias("x1"), (F.col("y0") + 40).alias("y1"), F.lit(95.0).alias("confidence"), _day().alias("reference"), *more)
 
 
 @query(f"""select o_custkey as capture_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as entry, 'Appli ' || o_orderkey as name, {CENTS} as price_cents, case o_orderkey % 3 when 0 then 'monthly' when 1 then 'yearly' else 'unknown' end as period,
@@ -548,9 +548,9 @@ def parse_bank_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.parse_bank(_bank_lines(spark, sf_dir, F.lit("PRLV SEPA CREANCIER"))).select("capture_id", "entry", "label", "cents", "date", "kind", "direction", "confidence")
 
 
-def _bank_lines(spark: SparkSession, sf_dir: str, label: Column) -> DataFrame:
+def _bank_lines(spark: SparkSession, sf_dir: str, label: Column, shown: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     amount = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise(""), money.cents_to_input(F.expr(CENTS)), F.lit(" €"))
-    rows = _page_lines(spark, sf_dir, [F.date_format("o_orderdate", "dd/MM/yyyy"), label, amount])
+    rows = _page_lines(spark, sf_dir, [F.date_format("o_orderdate", "dd/MM/yyyy"), label, amount], shown, more)
     near = rows.withColumn("y0", F.when(F.col("text").contains("€"), F.col("y0") - 50).otherwise(F.col("y0"))).withColumn("y1", F.col("y0") + 40)
     words = F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), w["x0"].alias("x0"), F.col("y0").alias("y0"), w["x1"].alias("x1"), F.col("y1").alias("y1")))
     return near.withColumn("words", words)
@@ -580,25 +580,38 @@ def capture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ARRIVALS = f"""shown as (select o_custkey as u, o_orderkey // 3 % 2 as m, o_orderkey % 3 as c, o_orderkey as k from orders union all select o_custkey, o_orderkey // 3 % 2, o_orderkey % 3 + 1, o_orderkey from orders where o_orderkey % 5 = 0 and o_orderkey % 3 < 2)"""
 
 
-def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two imports of each customer, in up to three captures that overlap, and for some a file that can't be read."""
-    k, u = F.col("o_orderkey"), F.col("capture_id")
+def _arrivals(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+    """The first or the second import of each customer, in up to three captures that overlap, and for some a file that can't be read; in six files.
+
+    Captures are numbered and dealt as orders are, narrow; lines are made of them where they are written.
+    """
+    k, u, broken, c = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_custkey") % 7 == 0, F.col("capture_index")
     seen_in = F.when((k % 5 == 0) & (k % 3 < 2), F.array(k % 3, k % 3 + 1)).otherwise(F.array(k % 3))
-    lines = _bank_lines(spark, sf_dir, _mixed_label()).select("*", F.explode(seen_in.cast("array<int>")).alias("capture_index"), F.concat_ws("/", u, F.floor(k / 3) % 2).alias("import_id"), (u % 7 == 0).alias("broken"))
-    lines = lines.withColumns({"capture_id": F.concat_ws("/", "import_id", "capture_index"), "segments": F.array("text"), "unreadable": F.lit(False)}).drop("o_orderkey")
-    lines = lines.withColumn("line_pos", F.row_number().over(Window.partitionBy("capture_id").orderBy("line_pos")) - 1)
-    many = lines.groupBy("import_id", "broken").agg((F.count_distinct("capture_index") + F.col("broken").cast("int")).cast("int").alias("of_captures"))
-    lost = many.where("broken").select("import_id", F.concat("import_id", F.lit("/9")).alias("capture_id"), F.lit(9).alias("capture_index"), F.lit(True).alias("unreadable"), "of_captures")
+    of_import = orders(spark, sf_dir).where(F.floor(k / 3) % 2 == int(later)).select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate", F.explode(seen_in.cast("array<int>")).alias("capture_index"))
+    own = Window.partitionBy("o_custkey")
+
+    def told(rows: DataFrame) -> DataFrame:
+        many = (F.size(F.collect_set("capture_index").over(own)) + broken.cast("int")).cast("int")
+        return rows.withColumns({"of_captures": many, "nth": F.row_number().over(Window.partitionBy("o_custkey", "capture_index").orderBy("o_orderkey")) - 1, "unreadable": F.lit(False)})
+
+    first = F.row_number().over(own.orderBy("capture_index", "o_orderkey")) == 1
+    lost = told(of_import.where(broken)).withColumn("first", first).where("first").drop("first").withColumns({"capture_index": F.lit(9), "unreadable": F.lit(True)})
+    name = F.concat_ws("/", u, F.lit(int(later)))
+    dealt = told(of_import).unionByName(lost).withColumns({"import_id": name, "shown_in": F.concat_ws("/", name, c)}).repartition(6, "shown_in")
+    lines = _bank_lines(spark, sf_dir, _mixed_label(), dealt, ("import_id", "shown_in", "capture_index", "of_captures", "nth", "unreadable"))
+    i = F.col("line_pos") % 4
+    lines = lines.where(~F.col("unreadable") | (i == 0)).withColumns({"capture_id": F.col("shown_in"), "segments": F.array("text"), "line_pos": (3 * F.col("nth") + i).cast("int")})
     names = [f.split()[0] for f in imports.LINES.replace("text:string,confidence:double,x0:double,y0:double,x1:double,y1:double", "").split(", ")]
-    return lines.join(many.drop("broken"), "import_id").unionByName(lost, allowMissingColumns=True).select(names)
+    own_values = ("import_id", "capture_id", "capture_index", "unreadable", "of_captures")
+    return lines.select(*(F.col(n) if n in own_values else F.when(~F.col("unreadable"), F.col(n)).alias(n) for n in names))
 
 
 def _stream_arrivals(spark: SparkSession, sf_dir: str, name: str, told: imports.Progress | None = None, **options) -> Portfolio:
     """The first imports arrive as files, some in each micro-batch, then the second ones at once; the portfolio that comes of it."""
-    folder, lines = _new_folder(spark, name), _arrivals(spark, sf_dir)
+    folder = _new_folder(spark, name)
     saved = Portfolio(spark, f"{folder}/portfolio", "user_id long")
     for later in (False, True):
-        lines.where(F.col("import_id").endswith("/1") == later).repartition(6, "capture_id").write.mode("append").parquet(f"{folder}/lines")
+        _arrivals(spark, sf_dir, later).write.mode("append").parquet(f"{folder}/lines")
         query = imports.merge_stream(
             imports.line_stream(spark, f"{folder}/lines", files_per_batch=1000 if later else 4), saved, f"{folder}/state", lambda: F.lit("2026-10-05 10:00:00").cast("timestamp"), owner={"user_id": F.split("import_id", "/")[0].cast("long")}, **options
         )
